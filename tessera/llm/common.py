@@ -88,3 +88,10 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -
 
 def crc32_text(col: Column) -> Column:
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file on this machine; every machine has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

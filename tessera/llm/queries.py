@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import table, tokenizer_path
+from tessera.llm.packing import pack_documents
 from tessera.llm.sharding import shard_documents
 
 ORACLE_SQL: dict[str, str] = {}
 
+#: The vocabulary file of the packing query.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
