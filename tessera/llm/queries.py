@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, tokenizer_path
 from tessera.llm.packing import pack_documents
+from tessera.llm import quality
 from tessera.llm.sharding import shard_documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -20,3 +21,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
