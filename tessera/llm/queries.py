@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, tokenizer_path
+from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.packing import pack_documents
 from tessera.llm import quality
 from tessera.llm.sharding import shard_documents
@@ -27,3 +28,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
