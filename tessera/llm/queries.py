@@ -8,7 +8,8 @@ from tessera.llm.common import table, tokenizer_path
 from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.neighbours import top_k
 from tessera.llm.packing import pack_documents
-from tessera.llm import quality
+from tessera.llm import quality, warc
+from tessera.llm.suffixes import remove_repeats
 from tessera.llm.sharding import shard_documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -17,10 +18,33 @@ ORACLE_SQL: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op1_warc"] = """
+with p as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes,
+         sha256(encode(coalesce(html, ''))) as payload_digest
+  from pages),
+f as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first
+  from p)
+select page_id, payload_bytes, payload_digest,
+       case when page_id > first then 'revisit' else 'response' end as record_type,
+       case when page_id > first then first end as refers_to
+from f
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
