@@ -48,7 +48,7 @@ class WordEncoder:
     #: Characters that its normalising steps leave alone but for their case, which Python lowers alike.
     PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import json
 
         import regex
@@ -65,37 +65,38 @@ class WordEncoder:
         self.young_pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
-    def _encode_all(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _encode_whole(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096]
             for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 yield text, array("I", e.ids).tobytes()
 
+    def _encode_pieces(self, pieces: list[str], together: int = 128) -> Iterator[tuple[str, bytes]]:
+        """Plain pieces: many in one text, told apart by the number of the word that every id belongs to."""
+        lists = [pieces[at : at + together] for at in range(0, len(pieces), together)]
+        for part, e in zip(lists, self.tokenizer.encode_batch([" ".join(x) for x in lists], add_special_tokens=False)):
+            raw = array("I", e.ids).tobytes()
+            cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4).tolist()
+            yield from ((p, raw[i:j]) for p, i, j in zip(part, cuts, cuts[1:]))
+
     def _learn(self, missing: set[str]) -> None:
-        young, old, whole = self.young, self.old, []
-        if len(self.young_pieces) > self.keep:
-            self.young_pieces, self.old_pieces = {}, self.young_pieces
-        pieces, get = self.young_pieces, self.young_pieces.__getitem__
-        later: dict[str, list[str]] = {}
-        for w in missing:
-            if w in old:
-                young[w] = old[w]
-            elif self.split and self.plain(w) and "<|" not in w:
-                parts = self.split(w.lower())
-                try:
-                    young[w] = b"".join(map(get, parts))
-                except KeyError:
-                    later[w] = parts
-            else:
-                whole.append(w)
-        young.update(self._encode_all(whole))
-        if later:
-            new = set(chain.from_iterable(later.values())).difference(pieces)
-            before = self.old_pieces
-            pieces.update((p, before[p]) for p in new if p in before)
-            pieces.update(self._encode_all([p for p in new if p not in before]))
-            for w, parts in later.items():
-                young[w] = b"".join(map(get, parts))
+        young, old = self.young, self.old
+        fresh = [w for w in missing if w not in old]
+        if len(fresh) < len(missing):
+            young.update([(w, old[w]) for w in missing if w in old])
+        plain = [w for w in fresh if self.plain(w) and "<|" not in w] if self.split else []
+        if len(plain) < len(fresh):
+            young.update(self._encode_whole(list(set(fresh).difference(plain))))
+        if plain:
+            parts = [self.split(w.lower()) for w in plain]
+            if len(self.young_pieces) > self.keep:
+                self.young_pieces, self.old_pieces = {}, self.young_pieces
+            pieces, before = self.young_pieces, self.old_pieces
+            new = set(chain.from_iterable(parts)).difference(pieces)
+            pieces.update([(p, before[p]) for p in new if p in before])
+            pieces.update(self._encode_pieces([p for p in new if p not in before]))
+            get = pieces.__getitem__
+            young.update(zip(plain, [b"".join(map(get, p)) for p in parts]))
 
     def words(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
@@ -104,10 +105,7 @@ class WordEncoder:
         """Makes every stretch of these lists known; at most one generation is given up for it."""
         if len(self.young) > self.keep:
             self.young, self.old = {"": b""}, self.young
-        missing: set[str] = set()
-        for words in lists:
-            missing.update(set(words).difference(self.young))
-        if missing:
+        if missing := set().union(*lists).difference(self.young):
             self._learn(missing)
 
     def encode_all(self, texts: list[str], at_once: int = 1 << 20) -> Iterator[bytes]:
