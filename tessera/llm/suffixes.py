@@ -37,7 +37,7 @@ GRAM = 20
 #: Suffixes in a span; their bits fit an unsigned 64-bit mask.
 SPAN = 32
 #: Bytes of text handled at once, in a block of documents, and to a bucket.
-CHUNK, BLOCK, BUCKET = 1 << 20, 20 << 20, 40 << 20
+CHUNK, BLOCK, BUCKET = 1 << 20, 12 << 20, 24 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _NONE = np.iinfo(np.int64).max
