@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, tokenizer_path
 from tessera.llm.fingerprints import fingerprint_documents
+from tessera.llm.jaccard import similar_documents
 from tessera.llm.neighbours import top_k
 from tessera.llm.packing import pack_documents
 from tessera.llm import quality, warc
@@ -55,6 +56,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
