@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table, tokenizer_path
 from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.jaccard import similar_documents
 from tessera.llm.neighbours import top_k
 from tessera.llm.packing import pack_documents
-from tessera.llm import quality, warc
+from tessera.llm import lines, mixing, quality, warc
 from tessera.llm.suffixes import remove_repeats
 from tessera.llm.sharding import shard_documents
 
@@ -81,3 +82,55 @@ p as (
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
+
+
+#: Shares of tokens that the mixing query aims at.
+MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = mixing.language_labels(docs, table(spark, sf_dir, "labels"))
+    mix = mixing.solve(docs, mixing.learn(docs, known), MIX)
+    return mixing.rates(docs.select("doc_id", "text"), mix).select("doc_id", "n_tokens", "domain", "rate", "copies")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = lines.without_repeats(docs, digest=True)
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.col("text").alias("kept_sha256"))
+
+
+ORACLE_SQL["op10_line_dedup"] = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents where doc_id is not null),
+l as (
+  select doc_id, pos, line, line_count from (
+    select doc_id, unnest(string_split(text, chr(10))) as line,
+           unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos, 1 as line_count
+    from d)),
+h as (
+  select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as i,
+         regexp_matches(line, '[^\t\n\x0B\f\r ]+([\t\n\x0B\f\r ]+[^\t\n\x0B\f\r ]+){4}') as long
+  from l where regexp_matches(line, '[^\t\n\x0B\f\r ]')),
+r as (
+  select *, lead(line, 1) over w as l1, lead(line, 2) over w as l2 from h window w as (partition by doc_id order by i)),
+s as (
+  select doc_id, i, pos, line, long,
+         row_number() over (partition by line order by doc_id, i) > 1 as again,
+         l2 is not null and row_number() over (partition by line, l1, l2 order by doc_id, i) > 1 as run3
+  from r),
+g as (
+  select *, (again and long) or run3 or coalesce(lag(run3, 1) over w, false) or coalesce(lag(run3, 2) over w, false) as gone
+  from s window w as (partition by doc_id order by i)),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from g),
+c as (
+  select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, count(*) filter (where starts) as n_runs
+  from e group by doc_id),
+t as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.pos) as text
+  from l left join e on l.doc_id = e.doc_id and l.pos = e.pos
+  where not coalesce(e.gone, false) group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs,
+       sha256(encode(coalesce(t.text, ''))) as kept_sha256
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+""".replace("\\\\", "\\")
