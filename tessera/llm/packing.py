@@ -48,7 +48,7 @@ class WordEncoder:
     #: Characters that its normalising steps leave alone but for their case, which Python lowers alike.
     PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 350_000):
         import json
 
         import regex
