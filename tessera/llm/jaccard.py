@@ -10,9 +10,14 @@ segments get deletion neighbourhoods is settled for each family by an estimate o
 A segment empty in both sets would be a meeting too. Families have ``spare`` segments more than H takes, so a set with at
 most that many empty ones needs no keys for them; only the rare others index them.
 
+Strangers meet under a key when they share a common passage and a segment holds nothing else. So families have ``passed``
+more segments still: partners then have passed + 1 keys in common, and every set may pass over its ``passed`` most
+frequent keys. The rarest key in common is never among them, for either set, as the others in common are more frequent.
+
 Groups of documents under one key are not paired off. Each first meets the group's smallest member that it shares most
 keys with; members found similar are one component, and after that only members of different components meet, until no
-such pair in any group is untested. Nothing is capped: a pair is left untested only if its members are connected.
+such pair in any group is untested. Nothing is capped: a pair is left untested only if its members are connected, or if
+their parity sketches differ in more bits than similar sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -118,6 +123,7 @@ class Family:
     segments: int
     deletions: int
     spare: int
+    passed: int = 0
 
 
 def bands(largest: int, percent: int = 80) -> list[int]:
@@ -133,11 +139,11 @@ def family(low: int, high: int, sets: int, percent: int = 80) -> Family:
     most = (high + high * 100 // percent) * (100 - percent) // (100 + percent)  # differences, at most
     if most == 0:
         return Family(1, 0, 0)
-    best = None
+    best, passed = None, 2 + -(-most * 15 // 100)
     for deletions in sorted({0, *((most + 1) // 2 * i // 4 for i in range(1, 5)), (most + 2) // 2}):
         spare = 0
         for _ in range(20):  # the more segments, the more are empty
-            need = 1 + spare * (2 if deletions else 1)
+            need = 1 + passed + spare * (2 if deletions else 1)
             exact = max(0, most + need - 2 * deletions)
             while True:  # segments that survive: all but those that the differences can spoil
                 hit = min(exact, most)
@@ -154,7 +160,7 @@ def family(low: int, high: int, sets: int, percent: int = 80) -> Family:
         light = math.exp(-each) * (1 + each) if m > 1 else 0.0  # segments of one shingle or none
         cost = m + deletions * each + sets * m * light * 1e-5
         if best is None or cost < best[0]:
-            best = (cost, Family(m, deletions, spare))
+            best = (cost, Family(m, deletions, spare, passed))
     return best[1]
 
 
@@ -194,8 +200,12 @@ def _keys(h: np.ndarray, owner: np.ndarray, size: np.ndarray, number: int, f: Fa
 
 
 _SETS = "doc_id long, n long, d1 long, d2 long"
-_KEYS = "bucket int, low binary, member binary, docs binary"
-_GROUPS = "gid long, doc_id long, whole boolean"
+_KEYS = "bucket int, family int, low binary, member binary, docs binary"
+_GROUPS = "gid long, doc_id long, whole boolean, family int, size int"
+#: Groups of more documents are weighed against each other before they count.
+FREQUENT = 4
+#: Members of a group that meet in one piece.
+MEETING = 2048
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,23 +219,26 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
     low_edges = np.array(edges)
 
     def flush(kept: list) -> Iterator[pa.RecordBatch]:
-        docs = np.concatenate([k[0] for k in kept])
-        base = np.cumsum([0] + [len(k[0]) for k in kept])
-        key = np.concatenate([k[1] for k in kept])
-        member = np.concatenate([(k[2] + b) * 2 + k[3] for k, b in zip(kept, base)]).astype(np.uint32)
-        to = ((key >> U64(32)) % U64(buckets)).astype(np.uint32)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        low, member = key.astype(np.uint32)[order], member[order]
         rows = []
-        for b in range(buckets):
-            some = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                used, short = np.unique(member[some] >> 1, return_inverse=True)
-                rows.append((b, low[some].tobytes(), (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32).tobytes(), docs[used].tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "low", "member", "docs"]
-        )
+        for number in sorted({k[4] for k in kept}):
+            mine = [k for k in kept if k[4] == number]
+            docs = np.concatenate([k[0] for k in mine])
+            base = np.cumsum([0] + [len(k[0]) for k in mine])
+            key = np.concatenate([k[1] for k in mine])
+            member = np.concatenate([(k[2] + b) * 2 + k[3] for k, b in zip(mine, base)]).astype(np.uint32)
+            to = ((key >> U64(32)) % U64(buckets)).astype(np.uint32)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            low, member = key.astype(np.uint32)[order], member[order]
+            for b in range(buckets):
+                some = slice(cuts[b], cuts[b + 1])
+                if cuts[b] < cuts[b + 1]:
+                    used, short = np.unique(member[some] >> 1, return_inverse=True)
+                    short = (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32)
+                    rows.append((b, number, low[some].tobytes(), short.tobytes(), docs[used].tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        names = [x.split()[0] for x in _KEYS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, count = [], 0
@@ -252,7 +265,7 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
                 for number in (own, own - 1):
                     if number in families:
                         key, of, whole = _keys(values, owner, part, number, families[number])
-                        kept.append((doc[some], key, of, whole.astype(np.int64)))
+                        kept.append((doc[some], key, of, whole.astype(np.int64), number))
                         count += len(key)
             if count > 2_000_000:
                 yield from flush(kept)
@@ -264,9 +277,11 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
 
 
 def _groups(key: tuple, table: pa.Table) -> pa.Table:
-    """Documents that share a key at least one of them has as a whole subset; equal groups of a bucket once."""
+    """Documents that share a key at least one of them has as a whole subset; equal small groups of a bucket once."""
     low, member, docs = (table.column(c).to_pylist() for c in ("low", "member", "docs"))
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in low])
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in low]).astype(U64)
+    family = np.repeat(np.array(table.column("family").to_pylist()), [len(x) // 4 for x in low])
+    keys |= family.astype(U64) << U64(32)
     flags = [np.frombuffer(x, np.uint32) for x in member]
     doc = np.concatenate([np.frombuffer(d, np.int64)[m >> 1] for m, d in zip(flags, docs)])
     whole = (np.concatenate(flags) & 1).astype(bool)
@@ -276,25 +291,31 @@ def _groups(key: tuple, table: pa.Table) -> pa.Table:
     twin[1:] = k[1:] == k[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
-    keys, doc, whole = keys[order], doc[order], whole[order]
-    order = np.lexsort((~whole, doc, keys))
-    keys, doc, whole = keys[order], doc[order], whole[order]
+    order = order[np.lexsort((~whole[order], doc[order], keys[order]))]
+    keys, doc, whole, family = keys[order], doc[order], whole[order], family[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    keys, doc, whole = keys[first], doc[first], whole[first]
+    keys, doc, whole, family = keys[first], doc[first], whole[first], family[first]
     if not len(keys):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], names=["gid", "doc_id", "whole"])
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())], names=[x.split()[0] for x in _GROUPS.split(", ")])
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
     at, group = np.flatnonzero(head), np.cumsum(head) - 1
     size = np.bincount(group)
     useful = (size > 1) & np.logical_or.reduceat(whole, at)
     gid = np.add.reduceat(_mix(doc.astype(U64) * _TIMES[0] + whole.astype(U64) + U64(7)), at)
+    frequent = size > FREQUENT
+    bucket = U64(table.column("bucket")[0].as_py())
+    gid[frequent] = _mix(keys[at[frequent]] * _TIMES[1] + bucket)
     _, unique = np.unique(gid, return_index=True)
     once = np.zeros(len(gid), bool)
     once[unique] = True
     keep = (useful & once)[group]
-    return pa.table([pa.array(gid.view(np.int64)[group[keep]]), pa.array(doc[keep]), pa.array(whole[keep])], names=["gid", "doc_id", "whole"])
+    group = group[keep]
+    return pa.table(
+        [pa.array(gid.view(np.int64)[group]), pa.array(doc[keep]), pa.array(whole[keep]), pa.array(family[keep].astype(np.int32)), pa.array(size[group].astype(np.int32))],
+        names=[x.split()[0] for x in _GROUPS.split(", ")],
+    )
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -304,10 +325,59 @@ def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 
 def _shingle_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, shingles, sketch: which of some 2 n bits (a power of two) an odd number of shingles fall on."""
     for ids, texts in _grouped(batches):
         h, bounds = _shingles(texts)
         arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays], names=["id", "shingles"])
+        sketches = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            bits = max(64, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 64
+            odd = np.bincount((h[a:b] >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        cuts = np.cumsum([0] + [len(x) for x in sketches]).astype(np.int32)
+        sketch = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sketches)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays, sketch], names=["id", "shingles", "sketch"])
+
+
+def _near(percent: int):
+    """Pairs of members of different components whose sizes and sketches allow similarity, in every meeting of blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        gid, low, high, own, rep, c, n = (table.column(x).to_numpy() for x in ("gid", "low", "high", "own", "rep", "c", "n"))
+        whole, sketch = table.column("whole").to_numpy(), table.column("sketch").combine_chunks()
+        if isinstance(sketch, pa.ChunkedArray):
+            sketch = sketch.chunk(0)
+        words, bounds = sketch.values.to_numpy().view(U64), sketch.offsets.to_numpy().astype(np.int64)
+        order = np.lexsort((rep, high, low, gid))
+        new = np.zeros(len(order), bool)
+        for x in (gid, low, high):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        found: list[np.ndarray] = []
+        for part in np.split(order, np.flatnonzero(new)):
+            if (c[part] == c[part[0]]).all():
+                continue
+            width = int((bounds[part + 1] - bounds[part]).min())
+            bits = np.empty((len(part), width), U64)
+            for i, p in enumerate(part.tolist()):
+                bits[i] = np.bitwise_xor.reduce(words[bounds[p] : bounds[p + 1]].reshape(-1, width), axis=0)
+            size, comp, block, full = n[part].astype(np.int64), c[part], own[part], whole[part]
+            across = low[part[0]] != high[part[0]]
+            for i in range(len(part) - 1):
+                rest = slice(i + 1, None)
+                ok = (comp[rest] != comp[i]) & (full[rest] | full[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+                if across:  # members of one block meet in that block's own meeting
+                    ok &= block[rest] != block[i]
+                j = np.flatnonzero(ok) + i + 1
+                if len(j):
+                    odd = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                    j = j[(100 + percent) * odd <= (100 - percent) * (size[j] + size[i])]
+                    if len(j):
+                        found.append(np.column_stack([np.full(len(j), rep[part[i]]), rep[part[j]]]))
+        pairs = np.unique(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=0)
+        return pa.table([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -334,7 +404,12 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     families = {b: family(edges[b], edges[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), percent) for b in range(len(edges) - 1)}
     buckets = bucket_count(text_bytes(docs), PER_BUCKET, 12)
     keys = texts.mapInArrow(_index(edges, families, buckets), _KEYS)
-    groups = keys.groupBy("bucket").applyInArrow(_groups, _GROUPS).distinct()
+    groups = stored(keys.groupBy("bucket").applyInArrow(_groups, _GROUPS))
+    # every set passes over its most frequent keys, as many as its family allows
+    allowed = F.create_map(*[F.lit(x) for b, f in families.items() for x in (b, f.passed)])
+    most = F.row_number().over(W.partitionBy("doc_id", "family").orderBy(F.desc("size"), "gid"))
+    heavy = groups.where(F.col("size") > FREQUENT).withColumn("r", most).where(F.col("r") > F.element_at(allowed, F.col("family")))
+    groups = groups.where(F.col("size") <= FREQUENT).select("gid", "doc_id", "whole").union(heavy.select("gid", "doc_id", "whole"))
     reps = members.where("rep is not null and n > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     g = groups.join(reps, "doc_id").groupBy("gid", "rep").agg(F.max("whole").alias("whole"))
     g = stored(g)
@@ -342,15 +417,27 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     several = several.where("a <> z and centre is not null")
     g = stored(g.join(several.select("gid", "centre"), "gid"))
     wanted = g.select(F.col("rep").alias("doc_id")).distinct()
-    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays, "id long, shingles array<long>").groupBy("id").agg(F.max("shingles").alias("shingles")))
+    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays, "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
+        """The pairs (a, b) that are similar: those whose sketches allow it are compared as a whole."""
+        short = arrays.select("id", "sketch", F.size("shingles").alias("n"))
+        near = pairs.join(short.toDF("a", "ka", "na"), "a").join(short.toDF("b", "kb", "nb"), "b")
+        width = F.least(F.size("ka"), F.size("kb"))
+
+        def folded(c: str):
+            half = F.zip_with(F.slice(c, 1, width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))
+            return F.when(F.size(c) > width, half).otherwise(F.col(c))
+
+        odd = F.aggregate(F.zip_with(folded("ka"), folded("kb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("na") + F.col("nb")
+        sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        near = near.where(sized & ((100 + percent) * odd <= (100 - percent) * total)).select("a", "b")
         one = arrays.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         two = arrays.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        sized = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-        return sized.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+        found = near.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+        return found.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -370,13 +457,19 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     tested = tested.union(more)
     links = stored(links.union(linked(more)))
     found = components(links)
-    # and at last all members of a group that are in different components
+    # and at last all members of a group that are in different components, by their sketches, inside tasks
     placed = labelled(g.select("gid", "rep", "whole"), "rep", "c")
-    mixed = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gid")
-    placed = stored(placed.join(mixed, "gid"))
-    left = placed.where("whole").select("gid", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    right = placed.select("gid", F.col("rep").alias("y"), F.col("c").alias("cy"))
-    rest = left.join(right, "gid").where("cx <> cy").select(*pair("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rows = stored(placed.join(mixed.select("gid", "size"), "gid").join(arrays.select(F.col("id").alias("rep"), "sketch", F.size("shingles").alias("n")), "rep"))
+    # a group of several blocks: every block meets itself and every other once, each meeting on its own
+    blocks = F.ceil(F.col("size") / MEETING).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    tasks = bucket_count(rows.count(), 20_000, 12)
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("gid", "low", "high"), F.lit(tasks)).cast("int"))
+    near = rows.select("task", "gid", "low", "high", "own", "rep", "whole", "c", "n", "sketch").groupBy("task").applyInArrow(_near(percent), "a long, b long")
+    rest = near.distinct().join(tested, ["a", "b"], "left_anti")
     last = stored(linked(stored(rest)))
     if not last.isEmpty():
         found = components(links.union(last))
