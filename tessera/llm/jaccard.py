@@ -89,18 +89,20 @@ def _shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nd
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[cuts]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[list, list[bytes]]]:
-    """(first column, texts as bytes) of up to ``most`` bytes or one text."""
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = CHUNK // 2, rows: int = 256) -> Iterator[tuple[list, list[bytes]]]:
+    """(first column, texts as bytes) of up to about ``most`` bytes or one text; a batch is never unpacked as a whole."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = t.encode() if t else b""
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = t.encode() if t else b""
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= most:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -267,7 +269,7 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
                         key, of, whole = _keys(values, owner, part, number, families[number])
                         kept.append((doc[some], key, of, whole.astype(np.int64), number))
                         count += len(key)
-            if count > 2_000_000:
+            if count > 500_000:
                 yield from flush(kept)
                 kept, count = [], 0
         if kept:
@@ -363,12 +365,14 @@ def _near(percent: int):
                 bits[i] = np.bitwise_xor.reduce(words[bounds[p] : bounds[p + 1]].reshape(-1, width), axis=0)
             size, comp, block, full = n[part].astype(np.int64), c[part], own[part], whole[part]
             across = low[part[0]] != high[part[0]]
-            for i in range(len(part) - 1):
-                rest = slice(i + 1, None)
-                ok = (comp[rest] != comp[i]) & (full[rest] | full[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+            kinds, kind, often = np.unique(comp, return_inverse=True, return_counts=True)
+            largest, number = kind == often.argmax(), np.arange(len(part))
+            for i in np.flatnonzero(~largest).tolist():  # of two components one is not the largest
+                ok = (comp != comp[i]) & (largest | (number > i)) & (full | full[i])
+                ok &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
                 if across:  # members of one block meet in that block's own meeting
-                    ok &= block[rest] != block[i]
-                j = np.flatnonzero(ok) + i + 1
+                    ok &= block != block[i]
+                j = np.flatnonzero(ok)
                 if len(j):
                     odd = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                     j = j[(100 + percent) * odd <= (100 - percent) * (size[j] + size[i])]
@@ -417,12 +421,18 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     several = several.where("a <> z and centre is not null")
     g = stored(g.join(several.select("gid", "centre"), "gid"))
     wanted = g.select(F.col("rep").alias("doc_id")).distinct()
-    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays, "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"]))
+    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays, "id long, shingles array<long>, sketch array<long>"))
+
+    def beside(pairs: DataFrame, what: list) -> DataFrame:
+        """The pairs with columns of both members: few pairs go to the arrays, the arrays of many pairs to the pairs."""
+        pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+        one = arrays.select(F.col("id").alias("a"), *[c.alias(f"{n}a") for n, c in what]).join(pairs, "a")
+        two = arrays.select(F.col("id").alias("b"), *[c.alias(f"{n}b") for n, c in what]).join(pairs, "b")
+        return one.join(two, ["a", "b"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar: those whose sketches allow it are compared as a whole."""
-        short = arrays.select("id", "sketch", F.size("shingles").alias("n"))
-        near = pairs.join(short.toDF("a", "ka", "na"), "a").join(short.toDF("b", "kb", "nb"), "b")
+        """The stored pairs (a, b) that are similar: those whose sketches allow it are compared as a whole."""
+        near = beside(pairs, [("k", F.col("sketch")), ("n", F.size("shingles"))])
         width = F.least(F.size("ka"), F.size("kb"))
 
         def folded(c: str):
@@ -430,14 +440,12 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
             return F.when(F.size(c) > width, half).otherwise(F.col(c))
 
         odd = F.aggregate(F.zip_with(folded("ka"), folded("kb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        total = F.col("na") + F.col("nb")
         sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        near = near.where(sized & ((100 + percent) * odd <= (100 - percent) * total)).select("a", "b")
-        one = arrays.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        two = arrays.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        allowed = (100 + percent) * odd <= (100 - percent) * (F.col("na") + F.col("nb"))
+        near = stored(near.where(sized & allowed).select("a", "b").distinct())
         both = F.size(F.array_intersect("sa", "sb"))
-        found = near.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-        return found.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+        found = beside(near, [("s", F.col("shingles"))]).select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+        return found.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
