@@ -399,7 +399,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = stored(
         sets.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)))
         .join(salted, ["n", "d1", "d2", "salt"], "left")
-        .select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+        .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     )
     largest = sets.agg(F.max("n")).first()[0] or 0
     edges = bands(largest, percent)
