@@ -15,13 +15,15 @@ longest first, and open new sequences only when nothing has room.
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,86 +40,75 @@ class WordEncoder:
     """Ids of texts by a ``tokenizers`` file whose pieces never span white space, as little-endian 32-bit bytes.
 
     Such a tokenizer gives every stretch between two spaces or line feeds the same ids in any text, so stretches are
-    encoded once and kept in two generations of at most ``keep`` entries. A new stretch of plain Latin letters, digits
-    and symbols is put together from the pieces that the file's own pattern cuts it into, which are kept likewise:
-    they recur more often than whole stretches. Equal to encoding the whole text (tested).
+    encoded once and kept in two generations of at most ``keep`` entries. Where the file splits by the pattern below, a
+    text of plain Latin letters, digits and symbols is cut further, between letters and what is none: those runs recur
+    more often than whole stretches. Equal to encoding the whole text (tested).
     """
 
     #: Fixed value: the pattern of the vocabulary file's splitting step.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    #: Characters that its normalising steps leave alone but for their case, which Python lowers alike.
-    PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Characters that its normalising steps leave alone but for their case, which Python lowers alike. Not the
+    #: apostrophe, by which some of the pattern's alternatives join a symbol to letters, nor special tokens (``<|``).
+    PLAIN = r"(?:[\n !-&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*"
+    RUNS = r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+"
 
-    def __init__(self, path: str, keep: int = 350_000):
-        import json
-
-        import regex
+    def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        known = any(s.get("pattern", {}).get("Regex", "").replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") == self.SPLIT for s in steps)
-        self.split = regex.compile(self.SPLIT).findall if known else None
-        self.plain = regex.compile(self.PLAIN).fullmatch
+            steps = json.load(f).get("pre_tokenizer") or {}
+        self.runs = None
+        if any(s.get("pattern", {}).get("Regex") == self.SPLIT for s in steps.get("pretokenizers", [])):
+            self.runs, self.plain = re.compile(self.RUNS).findall, re.compile(self.PLAIN).fullmatch
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.young_pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
 
-    def _encode_whole(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def units(self, text: str) -> list[str]:
+        """Parts of a text that are encoded on their own."""
+        if self.runs and self.plain(text):
+            return self.runs(text.lower()) or [""]
+        return text.replace("\n", " ").split(" ")
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096]
             for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 yield text, array("I", e.ids).tobytes()
 
-    def _encode_pieces(self, pieces: list[str], together: int = 128) -> Iterator[tuple[str, bytes]]:
-        """Plain pieces: many in one text, told apart by the number of the word that every id belongs to."""
-        lists = [pieces[at : at + together] for at in range(0, len(pieces), together)]
+    def _letters(self, runs: list[str], together: int = 128) -> Iterator[tuple[str, bytes]]:
+        """Runs of letters: many in one text, told apart by the number of the word that every id belongs to."""
+        lists = [runs[at : at + together] for at in range(0, len(runs), together)]
         for part, e in zip(lists, self.tokenizer.encode_batch([" ".join(x) for x in lists], add_special_tokens=False)):
             raw = array("I", e.ids).tobytes()
             cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4).tolist()
             yield from ((p, raw[i:j]) for p, i, j in zip(part, cuts, cuts[1:]))
 
-    def _learn(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        fresh = [w for w in missing if w not in old]
-        if len(fresh) < len(missing):
-            young.update([(w, old[w]) for w in missing if w in old])
-        plain = [w for w in fresh if self.plain(w) and "<|" not in w] if self.split else []
-        if len(plain) < len(fresh):
-            young.update(self._encode_whole(list(set(fresh).difference(plain))))
-        if plain:
-            parts = [self.split(w.lower()) for w in plain]
-            if len(self.young_pieces) > self.keep:
-                self.young_pieces, self.old_pieces = {}, self.young_pieces
-            pieces, before = self.young_pieces, self.old_pieces
-            new = set(chain.from_iterable(parts)).difference(pieces)
-            pieces.update([(p, before[p]) for p in new if p in before])
-            pieces.update(self._encode_pieces([p for p in new if p not in before]))
-            get = pieces.__getitem__
-            young.update(zip(plain, [b"".join(map(get, p)) for p in parts]))
-
-    def words(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
     def learn(self, lists: list[list[str]]) -> None:
-        """Makes every stretch of these lists known; at most one generation is given up for it."""
+        """Makes every unit of these lists known; at most one generation is given up for it."""
         if len(self.young) > self.keep:
             self.young, self.old = {"": b""}, self.young
-        if missing := set().union(*lists).difference(self.young):
-            self._learn(missing)
+        young, old = self.young, self.old
+        if missing := set().union(*lists).difference(young):
+            if known := [w for w in missing if w in old]:
+                young.update(zip(known, map(old.__getitem__, known)))
+                missing.difference_update(known)
+            letters = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+            runs = [w for w in missing if letters(w)] if self.runs else []
+            young.update(self._letters(runs))
+            young.update(self._whole(list(missing.difference(runs))))
 
     def encode_all(self, texts: list[str], at_once: int = 1 << 20) -> Iterator[bytes]:
         """Ids of each text; what is new in up to ``at_once`` characters of texts is learned in one go."""
         lists, size = [], 0
         for i, text in enumerate(texts):
-            lists.append(self.words(text))
+            lists.append(self.units(text))
             size += len(text)
             if size >= at_once or i == len(texts) - 1:
                 self.learn(lists)
-                for words in lists:
-                    yield b"".join(map(self.young.__getitem__, words))
+                young = self.young
+                for units in lists:
+                    yield b"".join(itemgetter(*units)(young)) if len(units) > 1 else young[units[0]]
                 lists, size = [], 0
 
     def encode(self, text: str) -> bytes:
@@ -178,8 +169,12 @@ def _configuration(first: int, sizes: list[int], left: dict[int, int], capacity:
     return dict(used)
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 128, small: int = 256) -> dict[str, np.ndarray]:
-    """Ranges that place every rank of every length; see the module's text. Sorted by (length, first)."""
+def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 512, small: int | None = None) -> dict[str, np.ndarray]:
+    """Ranges that place every rank of every length; see the module's text. Sorted by (length, first).
+
+    ``small`` is a third of the capacity unless given.
+    """
+    small = capacity // 3 if small is None else small
     ranked: dict[int, int] = defaultdict(int)  # ranks given out, by length
     runs: list[list] = []  # [multiplicity, room, [(length, first rank)]]
 
@@ -283,7 +278,7 @@ def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 128, sma
     return {k: v[order] for k, v in out.items()}
 
 
-def pack(piece_table: DataFrame, capacity: int = 4096, groups: int = 128, small: int = 256) -> DataFrame:
+def pack(piece_table: DataFrame, capacity: int = 4096, groups: int = 512, small: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, piece and length (1 to ``capacity``).
 
     Rows alike in doc_id and piece (repeated documents) are all placed. An empty table gives an empty result.
