@@ -5,7 +5,7 @@ anchor too, so a text with any word has a signature. The fingerprint of a text i
 32-bit hashes. A text without words, such as one of symbols, gets the hash of itself; an empty text has an empty one.
 
 Two fingerprints are as alike as their sets' Jaccard similarity; two empty ones are alike (1). The sizes of two sets
-bound it from above, so candidates are only looked for between sets of near length (``near_pairs``), and a
+bound it from above, so candidates are only looked for between sets of near length (``near_classes``), and a
 comparison whose bound is under the threshold is not made.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import components, stored
 
 # Anchors, and further common words that chains pass over, of English, French, German and Spanish.
 ANCHORS = "the a an is was that le les une der die das ist el los una es".split()
@@ -65,29 +65,40 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * F.lit(least)), F.lit(0.0)).otherwise(jaccard)
 
 
-def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of distinct fingerprints at least ``threshold`` alike, a and b their smallest ids.
+def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, class_id): fingerprints reachable from each other by likeness of ``threshold`` or more; the smallest id names it.
 
-    prints: id long, sigs array<int>. Equal fingerprints count once (``id`` is then the smallest). Sets are put in length
-    bands a factor 1/threshold wide, so partners stand in one band or the next; in a band two sets that alike must share
-    one of the (1 - threshold) * size + 1 rarest signatures of either, which are the keys of the join. Empty fingerprints
-    have no partners.
+    prints: id long, sigs array<int>. Equal fingerprints count once. Sets are put in length bands a factor 1/threshold
+    wide, so partners stand in one band or the next; two such sets share one of the (1 - threshold) * size + 1 rarest
+    signatures of either, which are the keys. Under a key all first meet its smallest id; then only members of different
+    classes meet, so a key that very many near copies share makes no square of pairs. Empty fingerprints stand alone.
     """
-    sets = stored(prints.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id")))
+    same = W.partitionBy("sigs")
+    named = stored(prints.withColumn("rep", F.min("id").over(same)))
+    sets = stored(named.where("size(sigs) > 0 and id = rep").select("id", "sigs").dropDuplicates(["id"]))
     spread = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     often = spread.groupBy("sig").agg(F.count("*").alias("freq"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("freq", "sig"))
     rare = spread.join(often, "sig").withColumn("r", rank).where(F.col("r") <= F.floor((1 - threshold) * F.col("n")) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)))
-    keyed = rare.select("id", "n", "sig", band.alias("band"))
-    left = keyed.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", "band")
-    right = keyed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    sized = (F.col("na") <= F.col("nb")) & (F.col("na") >= threshold * F.col("nb"))
-    order = (F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["sig", "band"]).where(sized & order).select("a", "b").distinct()
-    one, two = sets.toDF("sa", "a"), sets.toDF("sb", "b")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold).alias("likeness"))
-    return met.where(F.col("likeness") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    keyed = rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band"))
+    keyed = stored(keyed.withColumn("centre", F.min("id").over(W.partitionBy("sig", "band"))))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        return met.where(likeness(F.col("sa"), F.col("sb"), threshold) >= threshold).select("a", "b")
+
+    first = stored(keyed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    links = stored(linked(first))
+    found = components(links).withColumnRenamed("node", "id")
+    placed = keyed.join(found, "id", "left").select("sig", "band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("sig", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "band")
+    placed = stored(placed.join(mixed, ["sig", "band"]))
+    left, right = placed.withColumnsRenamed({"id": "a", "c": "ca"}), placed.withColumnsRenamed({"id": "b", "c": "cb"})
+    rest = left.join(right, ["sig", "band"]).where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    found = components(links.union(linked(rest)))
+    classes = found.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    return named.join(classes, "rep", "left").select("id", F.when(F.size("sigs") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("id")).alias("class_id"))
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:

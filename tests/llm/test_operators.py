@@ -250,12 +250,18 @@ def test_fingerprints_tell_edits_from_strangers(spark):
         assert r.near_edited > 0.5 > 0.1 > r.near_next
 
 
-def test_near_pairs_of_fingerprints(spark):
-    sets = {1: range(100), 2: range(5, 100), 3: range(50, 160), 4: range(100), 5: [], 6: [1], 7: range(0, 200, 2), 8: range(0, 202, 2)}
+def test_near_classes_of_fingerprints(spark):
+    sets = {1: range(100), 2: range(5, 100), 3: range(50, 160), 4: range(100), 5: [], 6: [1], 7: range(0, 200, 2), 8: range(0, 202, 2), 9: range(15, 100), 11: [], 12: range(24, 100)}
     prints = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, sigs array<int>")
-    got = {(r.a, r.b) for r in fingerprints.near_pairs(prints, 0.8).collect()}
-    want = {(a, b) for a in sets for b in sets if a < b and a != 4 and b != 4 and sets[a] and sets[b] and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
-    assert got == want
+    got = {r.id: r.class_id for r in fingerprints.near_classes(prints, 0.8).collect()}
+    near = lambda a, b: a and b and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if near(sets[a], sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == want and fingerprints.near_classes(prints.limit(0)).collect() == []
 
 
 # ---- quality
