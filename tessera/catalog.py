@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import coding
 from tessera.functions import samples as s
 from tessera.operators import assembly, geometry, stencils, transforms
 from tessera.plans import layout
@@ -601,3 +602,102 @@ def syn9_accumulate(spark: SparkSession, sf: str) -> DataFrame:
 def vdr19_ranges(spark: SparkSession, sf: str) -> DataFrame:
     zeros = F.count_if(F.col("c2") == 0).alias("zeros")
     return r.samples(spark, sf).groupBy("img").agg(F.min("c2").alias("low"), F.max("c2").alias("high"), F.sum("c2").alias("total"), F.count("*").alias("n"), zeros)
+
+
+@query("""select o_orderkey as id, x0, y0, x0 >= 0 and y0 >= 0 and x0 + 300 <= 2000 and y0 + 200 <= 1500 as contained,
+  x0 > 0 or y0 > 0 or x0 + 300 < 2000 or y0 + 200 < 1500 as partial
+  from (select *, o_orderkey * 97 % 2400 - 200 as x0, o_orderkey * 61 % 1900 - 200 as y0 from orders)""")
+def hdr10_rectangle(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = r.table(spark, sf, "orders").select(k.alias("id"), (k * 97 % 2400 - 200).alias("x0"), (k * 61 % 1900 - 200).alias("y0"))
+    contained, partial = layout.inside_canvas("x0", "y0", F.lit(300), F.lit(200), F.lit(2000), F.lit(1500))
+    return rows.select("id", "x0", "y0", contained.alias("contained"), partial.alias("partial"))
+
+
+@query("""with m as (select o_orderkey as id, o_orderkey % 4 as a, o_orderkey // 4 % 4 as b, o_orderkey // 16 % 4 as c from orders),
+h as (select *, [0, 1, 1, 0][a + 1] as ha, [0, 1, 1, 0][b + 1] as hb, [0, 1, 1, 0][c + 1] as hc,
+  [0, 1, 0, 1][a + 1] as va, [0, 1, 0, 1][b + 1] as vb, [0, 1, 0, 1][c + 1] as vc from m)
+select id, cast(greatest(ha, hb, hc) - ha as bigint) as h0, cast(greatest(ha, hb, hc) - hb as bigint) as h1, cast(greatest(ha, hb, hc) - hc as bigint) as h2,
+  cast(greatest(va, vb, vc) - va as bigint) as v0, cast(greatest(va, vb, vc) - vb as bigint) as v1, cast(greatest(va, vb, vc) - vc as bigint) as v2 from h""")
+def hdr13_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    modes = {"a": k % 4, "b": s.div(k, F.lit(4)) % 4, "c": s.div(k, F.lit(16)) % 4}
+    rows = r.table(spark, sf, "orders").select(k.alias("id"), *[c.alias(n) for n, c in modes.items()])
+    found = [c.alias(f"{axis}{i}") for axis in "hv" for i, c in enumerate(layout.chroma_shifts(list(modes), axis))]
+    return rows.select("id", *found)
+
+
+@query("""select event_id as id, case event_id % 5 when 0 then 'replace' when 1 then 'add' when 2 then 'blend' when 3 then 'weighted add' else 'multiply' end as mode from events""")
+def hdr16_labels(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.createDataFrame(list(enumerate(("replace", "add", "blend", "weighted add", "multiply"))), "code long, mode string")
+    rows = r.table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 5).alias("code"))
+    return rows.join(F.broadcast(names), "code").select("id", "mode")
+
+
+@query("""with t as (select user_id as img, event_id as frame, cast(round(value * 100) as bigint) % 400 as ticks from events)
+select img, frame, ticks, cast(coalesce(sum(ticks) over (partition by img order by frame rows between unbounded preceding and 1 preceding), 0) as bigint) * 1001 * 1000 // 30000 as starts_ms from t""")
+def out14_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = F.round(F.col("value") * 100).cast("bigint") % 400
+    rows = r.table(spark, sf, "events").select(F.col("user_id").alias("img"), F.col("event_id").alias("frame"), ticks.alias("ticks"))
+    before = F.sum("ticks").over(W.partitionBy("img").orderBy("frame").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("starts_ms", s.div(F.coalesce(before, F.lit(0)) * 1001 * 1000, F.lit(30000)))
+
+
+@query("""with d as (select o_custkey as spline, o_orderkey as point, o_orderkey % 11 - 5 as dd from orders),
+a as (select *, cast(sum(dd) over (partition by spline order by point rows unbounded preceding) as bigint) as delta from d)
+select spline, point, delta, cast(sum(delta) over (partition by spline order by point rows unbounded preceding) as bigint) as position from a""")
+def syn6_positions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = r.table(spark, sf, "orders").select(F.col("o_custkey").alias("spline"), F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 11 - 5).alias("dd"))
+    upto = W.partitionBy("spline").orderBy("point").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("delta", F.sum("dd").over(upto)).withColumn("position", F.sum("delta").over(upto)).drop("dd")
+
+
+@query(f"""with {_SAMPLES}, q as (select img, x, y, greatest((c2 / 200::double - 0.1::double) * 6, 0) as v from samples),
+w as (select *, case when v >= 7 then 6 else cast(floor(v) as int) end as i, case when v >= 7 then 1.0 else v - floor(v) end as f,
+  [0.1, 0.3, 0.2, 0.5, 0.9, 0.4, 0.6, 1.2]::double[] as t from q)
+select img, x, y, cast(floor(least(greatest(t[i + 1] + (t[i + 2] - t[i + 1]) * f, 0), 1) * 10000 + 0.5) as bigint) as v from w""")
+def syn4_strength(spark: SparkSession, sf: str) -> DataFrame:
+    v = coding.strength(F.col("c2") / 200.0 - 0.1, (0.1, 0.3, 0.2, 0.5, 0.9, 0.4, 0.6, 1.2))
+    return r.samples(spark, sf).select("img", "x", "y", fixed(v).alias("v"))
+
+
+@query(f"""with {_SAMPLES}, tiles as (select img, x // 8 as tx, y // 8 as ty, min(c1) as factor from samples group by 1, 2, 3)
+select s.img, s.x, s.y, cast(floor((c0 + c2 * (0.5::double + factor / 84::double)) * 10000 + 0.5) as bigint) as v
+  from samples s join tiles t on s.img = t.img and s.x // 8 = t.tx and s.y // 8 = t.ty""")
+def vdr2_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = r.samples(spark, sf).withColumn("tx", s.div("x", F.lit(8))).withColumn("ty", s.div("y", F.lit(8)))
+    tiles = rows.groupBy("img", "tx", "ty").agg(F.min("c1").alias("factor"))
+    joined = rows.join(tiles, ["img", "tx", "ty"])
+    return joined.select("img", "x", "y", fixed(F.col("c0") + F.col("c2") * (0.5 + F.col("factor") / 84.0)).alias("v"))
+
+
+@query(f"""with {_SAMPLES} select img, x, y, cast(floor(1 / least(0.46::double / (0.25::double * (c0 + 1) * -1.1715729::double) * (c1 / 7::double), -0.0001::double) * 10000 + 0.5) as bigint) as v from samples""")
+def vdr12_sigma(spark: SparkSession, sf: str) -> DataFrame:
+    sigma = F.least(F.lit(0.46) / (0.25 * (F.col("c0") + 1) * -1.1715729) * (F.col("c1") / 7.0), F.lit(-0.0001))
+    return r.samples(spark, sf).select("img", "x", "y", fixed(1 / sigma).alias("v"))
+
+
+@query(f"""with {_TOC}, c as (select frame, list(size % 8 order by idx) as codes from toc group by frame),
+p as (select frame, list_reduce(list_prepend([range(8), []], list_transform(codes, lambda d: [[d], []])),
+    lambda acc, d: [list_concat([acc[1][d[1][1] + 1]], acc[1][1:d[1][1]], acc[1][d[1][1] + 2:]), list_append(acc[2], acc[1][d[1][1] + 1])])[2] as vals from c)
+select frame, unnest(range(len(vals))) as idx, cast(unnest(vals) as bigint) as v from p""")
+def ent3_move_to_front(spark: SparkSession, sf: str) -> DataFrame:
+    rows = r.sections(spark, sf).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("size") % 8).alias("c")))).alias("s"))
+    out = rows.select("frame", F.col("s.c").alias("codes")).select("frame", F.posexplode(coding.move_to_front("codes", 8)).alias("idx", "v"))
+    return out.select("frame", F.col("idx").cast("bigint").alias("idx"), "v")
+
+
+@query("""with t as (select o_orderkey as id, o_orderkey % 120 as t from orders)
+select id, case when t < 16 then 0 else 4 - 3 + ((t - 16) >> 3) end as bits, case when t < 16 then t >> 1 else ((t >> 1) & 3) + 4 end as high, t & 1 as low from t""")
+def ent7_token(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return r.table(spark, sf, "orders").select(k.alias("id"), coding.token_parts(k % 120).alias("p")).select("id", "p.*")
+
+
+@query("""with l as (select p_size as grp, p_partkey as symbol, cast(p_partkey % 10 + 6 as bigint) as len from part),
+c as (select *, coalesce(sum(cast(1 as bigint) << (15 - len)) over (partition by grp order by len, symbol rows between unbounded preceding and 1 preceding), 0) as start from l)
+select cast(grp as bigint) as grp, symbol, len, cast(start as bigint) >> (15 - len) as code from c""")
+def ent9_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = r.table(spark, sf, "part").select(F.col("p_size").cast("bigint").alias("grp"), k.alias("symbol"), (k % 10 + 6).alias("len"))
+    return coding.canonical_codes(rows, "grp", "symbol", "len")

@@ -103,6 +103,24 @@ def pass_brackets(marks: DataFrame) -> DataFrame:
     return rows.withColumn("max_shift", F.coalesce(F.lag("min_shift").over(upto) - 1, F.lit(2).cast("bigint"))).drop("_m")
 
 
+# How far the three chroma modes shift each axis.
+MODE_SHIFTS = {"h": (0, 1, 1, 0), "v": (0, 1, 0, 1)}
+
+
+def chroma_shifts(modes: Sequence[str], axis: str) -> list[Column]:
+    """Shift of each channel along an axis: the largest of the modes' less its own."""
+    table = F.array(*[F.lit(v) for v in MODE_SHIFTS[axis]])
+    own = [F.element_at(table, (col(m) + 1).cast("int")) for m in modes]
+    return [(F.greatest(*own) - o).cast("bigint") for o in own]
+
+
+def inside_canvas(x0, y0, w, h, width, height) -> list[Column]:
+    """(contained, partial): whether a frame lies in the canvas, and whether it leaves some of it out."""
+    x0, y0, x1, y1 = col(x0), col(y0), col(x0) + col(w), col(y0) + col(h)
+    contained = (x0 >= 0) & (y0 >= 0) & (x1 <= col(width)) & (y1 <= col(height))
+    return [contained, (x0 > 0) | (y0 > 0) | (x1 < col(width)) | (y1 < col(height))]
+
+
 def above(value, thresholds: Sequence[int]) -> Column:
     """How many thresholds a value exceeds."""
     return sum(((col(value) > t).cast("bigint") for t in thresholds), F.lit(0).cast("bigint"))
