@@ -86,6 +86,21 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -
     return counts.where(F.col("count") > F.lit(max(least, int(total * share)))), total
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the machine; workers live on, and keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def crc32_text(col: Column) -> Column:
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 

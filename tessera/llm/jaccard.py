@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, components, stored, text_bytes
+from tessera.llm.common import bucket_count, components, stored, text_bytes, tidy
 from tessera.llm.suffixes import CHUNK, U64, _mix, _stretch, _sums
 
 WORDS = 5
 #: Text bytes for each bucket of keys; and ids that are broadcast at most (8 bytes each).
-PER_BUCKET, BROADCAST_IDS = 16 << 20, 500_000
+PER_BUCKET, BROADCAST_IDS = 6 << 20, 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TIMES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -202,7 +202,7 @@ def _keys(h: np.ndarray, owner: np.ndarray, size: np.ndarray, number: int, f: Fa
 
 
 _SETS = "doc_id long, n long, d1 long, d2 long"
-_KEYS = "bucket int, family int, low binary, member binary, docs binary"
+_KEYS = "bucket int, low binary, member binary, family binary, docs binary"
 _GROUPS = "gid long, doc_id long, whole boolean, family int, size int"
 #: Groups of more documents are weighed against each other before they count.
 FREQUENT = 4
@@ -215,30 +215,30 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, bounds = _shingles(texts)
         one, two = _digests(h, bounds)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)], names=["doc_id", "n", "d1", "d2"])
+    tidy()
 
 
 def _index(edges: list[int], families: dict[int, Family], buckets: int):
     low_edges = np.array(edges)
 
     def flush(kept: list) -> Iterator[pa.RecordBatch]:
+        docs = np.concatenate([k[0] for k in kept])
+        base = np.cumsum([0] + [len(k[0]) for k in kept])
+        key = np.concatenate([k[1] for k in kept])
+        member = np.concatenate([k[2] + np.uint32(2 * b) for k, b in zip(kept, base)])
+        family = np.repeat(np.array([k[3] for k in kept], np.uint8), [len(k[1]) for k in kept])
+        to = ((key >> U64(32)) % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        low, member, family = key.astype(np.uint32)[order], member[order], family[order]
         rows = []
-        for number in sorted({k[4] for k in kept}):
-            mine = [k for k in kept if k[4] == number]
-            docs = np.concatenate([k[0] for k in mine])
-            base = np.cumsum([0] + [len(k[0]) for k in mine])
-            key = np.concatenate([k[1] for k in mine])
-            member = np.concatenate([(k[2] + b) * 2 + k[3] for k, b in zip(mine, base)]).astype(np.uint32)
-            to = ((key >> U64(32)) % U64(buckets)).astype(np.uint32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            low, member = key.astype(np.uint32)[order], member[order]
-            for b in range(buckets):
-                some = slice(cuts[b], cuts[b + 1])
-                if cuts[b] < cuts[b + 1]:
-                    used, short = np.unique(member[some] >> 1, return_inverse=True)
-                    short = (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32)
-                    rows.append((b, number, low[some].tobytes(), short.tobytes(), docs[used].tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        for b in range(buckets):
+            some = slice(cuts[b], cuts[b + 1])
+            if cuts[b] < cuts[b + 1]:
+                used, short = np.unique(member[some] >> 1, return_inverse=True)
+                short = (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32)
+                rows.append((b, low[some].tobytes(), short.tobytes(), family[some].tobytes(), docs[used].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         names = [x.split()[0] for x in _KEYS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -267,13 +267,15 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
                 for number in (own, own - 1):
                     if number in families:
                         key, of, whole = _keys(values, owner, part, number, families[number])
-                        kept.append((doc[some], key, of, whole.astype(np.int64), number))
+                        kept.append((doc[some], key, (of * 2 + whole).astype(np.uint32), number))
                         count += len(key)
             if count > 500_000:
                 yield from flush(kept)
                 kept, count = [], 0
         if kept:
             yield from flush(kept)
+        kept = []
+        tidy()
 
     return run
 
@@ -282,7 +284,7 @@ def _groups(key: tuple, table: pa.Table) -> pa.Table:
     """Documents that share a key at least one of them has as a whole subset; equal small groups of a bucket once."""
     low, member, docs = (table.column(c).to_pylist() for c in ("low", "member", "docs"))
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in low]).astype(U64)
-    family = np.repeat(np.array(table.column("family").to_pylist()), [len(x) // 4 for x in low])
+    family = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("family").to_pylist()])
     keys |= family.astype(U64) << U64(32)
     flags = [np.frombuffer(x, np.uint32) for x in member]
     doc = np.concatenate([np.frombuffer(d, np.int64)[m >> 1] for m, d in zip(flags, docs)])
@@ -314,6 +316,7 @@ def _groups(key: tuple, table: pa.Table) -> pa.Table:
     once[unique] = True
     keep = (useful & once)[group]
     group = group[keep]
+    tidy()
     return pa.table(
         [pa.array(gid.view(np.int64)[group]), pa.array(doc[keep]), pa.array(whole[keep]), pa.array(family[keep].astype(np.int32)), pa.array(size[group].astype(np.int32))],
         names=[x.split()[0] for x in _GROUPS.split(", ")],
@@ -339,6 +342,7 @@ def _shingle_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         cuts = np.cumsum([0] + [len(x) for x in sketches]).astype(np.int32)
         sketch = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sketches)))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays, sketch], names=["id", "shingles", "sketch"])
+    tidy()
 
 
 def _near(percent: int):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, text_bytes
+from tessera.llm.common import bucket_count, text_bytes, tidy
 
 U64 = np.uint64
 GRAM = 20
@@ -196,6 +196,7 @@ def _send(width: int, buckets: int):
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
+    tidy()
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(names)
