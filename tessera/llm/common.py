@@ -1,11 +1,11 @@
-"""What the operators of this subpackage share: the scratch folder, hot keys, components."""
+"""What the operators of this subpackage share: the scratch folder, bucket counts, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,13 +79,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return heads.union(cur.select(F.col("b").alias("node"), F.col("a").alias("component")))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -> tuple[DataFrame, int]:
-    """Keys holding more than ``share`` of all rows (and over ``least`` rows); never more than 1/share of them."""
-    counts = df.groupBy(key).count()
-    total = df.count()
-    return counts.where(F.col("count") > F.lit(max(least, int(total * share)))), total
-
-
 def tidy() -> None:
     """Gives memory that a task no longer uses back to the machine; workers live on, and keep it otherwise."""
     import ctypes
@@ -101,10 +94,6 @@ def tidy() -> None:
         pass
 
 
-def crc32_text(col: Column) -> Column:
-    return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file on this machine; every machine has the same package."""
     import public_tokenizers

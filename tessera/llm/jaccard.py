@@ -137,32 +137,34 @@ def bands(largest: int, percent: int = 80) -> list[int]:
 
 
 def family(low: int, high: int, sets: int, percent: int = 80) -> Family:
-    """For smaller sets of ``low`` to ``high`` shingles, of which there are ``sets``; see the module's text."""
+    """For smaller sets of ``low`` to ``high`` shingles, of which there are ``sets``; see the module's text.
+
+    Every choice of deletions and spare gets as many segments as the differences can spoil, and 1 + passed more, and
+    those that may be lost as empty. Its cost: keys a set, and a thousandth of a key for each stranger met, over an empty
+    segment by two sets with more empty ones than spare, or over a segment of one shingle at most that many share.
+    """
     most = (high + high * 100 // percent) * (100 - percent) // (100 + percent)  # differences, at most
     if most == 0:
         return Family(1, 0, 0)
-    best, passed = None, 2 + -(-most * 15 // 100)
+    best, passed = None, 0 if most < 5 else 2 + -(-most * 15 // 100)
     for deletions in sorted({0, *((most + 1) // 2 * i // 4 for i in range(1, 5)), (most + 2) // 2}):
-        spare = 0
-        for _ in range(20):  # the more segments, the more are empty
+        for spare in (x for x in (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 28, 40, 56, 80, 120, 180, 270, 400, 600) if x <= high):
             need = 1 + passed + spare * (2 if deletions else 1)
-            exact = max(0, most + need - 2 * deletions)
+            exact = 0
             while True:  # segments that survive: all but those that the differences can spoil
                 hit = min(exact, most)
-                if exact + deletions - hit - min(deletions, (most - hit) // 2) >= need:
+                missing = need - (exact + deletions - hit - min(deletions, (most - hit) // 2))
+                if missing <= 0:
                     break
-                exact += 1
+                exact += missing
             m = exact + deletions
-            empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
-            more = math.ceil(empty + 2.5 * math.sqrt(empty)) if empty > 1e-3 else 0
-            if more <= spare:
-                break
-            spare = more
-        each = low / m
-        light = math.exp(-each) * (1 + each) if m > 1 else 0.0  # segments of one shingle or none
-        cost = m + deletions * each + sets * m * light * 1e-5
-        if best is None or cost < best[0]:
-            best = (cost, Family(m, deletions, spare, passed))
+            share = (1 - 1 / m) ** low if m > 1 else 0.0  # of segments that are empty
+            over = 0.5 * math.erfc((spare + 0.5 - m * share) / math.sqrt(2 * m * share + 1e-9)) if share else 0.0
+            each = low / m
+            light = math.exp(-each) * (1 + each) if m > 1 else 0.0
+            cost = m + deletions * each + over * m * share + 1e-3 * sets * m * (over**2 * share**2 + light * 1e-2)
+            if best is None or cost < best[0]:
+                best = (cost, Family(m, deletions, spare, passed))
     return best[1]
 
 

@@ -198,6 +198,32 @@ def test_join_finds_links_at_the_threshold(spark):
     assert kept == {c for _, _, c in want}
 
 
+@pytest.mark.parametrize("sets", [10, 10**5, 10**9])
+def test_similar_sets_share_enough_keys(sets):
+    rng = np.random.default_rng(7)
+    edges = jaccard.bands(4000)
+    families = {b: jaccard.family(edges[b], edges[b + 1] - 1, sets) for b in range(len(edges) - 1)}
+    for size in [*range(1, 60), *rng.integers(60, 3000, 40).tolist()]:
+        for _ in range(3):
+            base = rng.integers(0, 2**63, size).astype(np.uint64)
+            more = int(rng.integers(0, size // 4 + 1))  # added to one, taken from the other, as far as 0.8 allows
+            less = 0
+            while 10 * (size - less - 1) >= 8 * (size + more) and rng.random() < 0.9:
+                less += 1
+            if 10 * (size - less) < 8 * (size + more):
+                continue
+            a, b = base, np.concatenate([base[less:], rng.integers(0, 2**63, more).astype(np.uint64)])
+            small = min(len(a), len(b))
+            number = int(np.searchsorted(edges, small, "right") - 1)
+            f, keys = families[number], []
+            assert int(np.searchsorted(edges, max(len(a), len(b)), "right") - 1) in (number, number + 1)
+            for x in (a, b):
+                key, _, whole = jaccard._keys(x, np.zeros(len(x), np.int64), np.array([len(x)]), number, f)
+                keys.append({int(k): bool(w) for k, w in sorted(zip(key, whole), key=lambda p: p[1])})
+            shared = [k for k in keys[0] if k in keys[1] and (keys[0][k] or keys[1][k])]
+            assert len(shared) >= 1 + f.passed, (size, less, more, f)
+
+
 def test_shingles_of_odd_white_space():
     texts = ["a b\tc\nd\x0be\x0cf\rg", " A  B C D E F G ", "a b c d e f", "", "  ", "one", "one  two"]
     hashes, bounds = jaccard._shingles([t.encode() for t in texts])
