@@ -24,6 +24,8 @@ END = "\r\n\r\n"
 REVISIT_FROM = 100
 #: Tasks that a payload common to very many pages is spread over, at least.
 SALTS = 16
+#: Payloads that several pages have, some 100 bytes each, that are broadcast at most.
+BROADCAST_DIGESTS = 100_000
 
 _INDEX = "file string, offset long, length long, type string, record_id string, url string, digest string, refers_to string"
 
@@ -41,9 +43,12 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     rows = rows.withColumn("size", size).withColumn("key", F.when((size >= revisit_from) & F.col("page_id").isNotNull(), F.col("digest")))
     # a partial aggregate first; only payloads that several pages have come to the join
     repeated = rows.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # in several salts, so that a payload a third of the pages share is not one task's
-    salted = repeated.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS))).join(salted, ["key", "salt"], "left")
+    repeated = stored(repeated.select("key", "first"))
+    if repeated.count() <= BROADCAST_DIGESTS:  # then the pages stay where they are
+        joined = rows.join(F.broadcast(repeated), "key", "left")
+    else:  # in several salts, so that a payload a third of the pages share is not one task's
+        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS))).join(salted, ["key", "salt"], "left")
     revisit = F.col("page_id") > F.col("first")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(

@@ -24,7 +24,9 @@ def pages(spark, data):
     return spark.createDataFrame(data, "page_id long, url string, html string")
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_warc_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
     long = "<p>é " + "x" * 200
     data = [(5, "http://a/1", long), (3, None, long), (9, "http://a/ b\r\nEvil: 1", long), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (2, "u", "a\r\n\r\nb" * 50), (None, "u", long), (3, "again", long), (1, "big", "z" * 200_000)]
     got = {}
