@@ -79,6 +79,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return heads.union(cur.select(F.col("b").alias("node"), F.col("a").alias("component")))
 
 
+def slices(batches, rows: int = 512):
+    """The batches in parts of few rows, so that texts are never unpacked by the ten thousand; tidies up at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    tidy()
+
+
 def tidy() -> None:
     """Gives memory that a task no longer uses back to the machine; workers live on, and keep it otherwise."""
     import ctypes

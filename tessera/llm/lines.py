@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import slices, stored
 
 _WHITE = "\\t\\n\\x0B\\f\\r "
 SALTS = 16
@@ -113,7 +113,7 @@ def without_repeats(docs: DataFrame, min_lines: int = 3, min_words: int = 5, dig
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, found = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 cut, *counts = _cut(text or "", gone)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import slices, stored, tidy
 from tessera.llm.jaccard import _SPACE, _grouped
 
 
@@ -139,6 +139,7 @@ def solve(docs: DataFrame, domains: Domains, weights: dict[str, float], low: flo
             tokens, x = _features(texts, d.pairs)
             p = _posterior(x, d.softmax)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["n", "p"])
+        tidy()
 
     table = stored(docs.select("doc_id", "text").mapInArrow(members, "n long, p array<double>"))
 
@@ -185,9 +186,7 @@ def rates(docs: DataFrame, mix: Mix) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
             parts, some, size = [], [], 0
             for i, t in enumerate(texts):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, stored
+from tessera.llm.common import bucket_count, slices, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,7 +52,7 @@ class WordEncoder:
     PLAIN = r"(?:[\n !-&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*"
     RUNS = r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+"
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
+
 BLOCK = 4096
 LEVEL = 6
 
@@ -140,7 +142,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         sizes = _Sizes(m.good, m.bad)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([sizes.features((t.as_py() or "").encode()) for t in batch.column(at)]).reshape(-1, 4)
             s = m.score(x)
             yield pa.RecordBatch.from_arrays(
