@@ -116,18 +116,21 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, keep: int) -> WordEncoder:
     """One encoder for a worker process, so that tasks that follow each other share what is known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     gc.set_threshold(200_000, 50, 1000)  # the many entries hold no cycles, and looking for them takes a tenth of the time
-    return WordEncoder(path)
+    return WordEncoder(path, keep)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenised documents, cut where longer than ``capacity``: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep: int = 300_000) -> DataFrame:
+    """Tokenised documents, cut where longer than ``capacity``: doc_id, piece, start, length, ids_crc32.
+
+    A worker keeps the ids of up to ``2 * keep`` word parts, some 150 bytes each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer_path, keep), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -317,6 +320,6 @@ def pack(piece_table: DataFrame, capacity: int = 4096, groups: int = 512, small:
     return ranked.select(*columns, "_rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep: int = 300_000) -> DataFrame:
     """One row per piece of every document (a null text is empty: just the end id) with its place in a sequence."""
-    return pack(stored(pieces(docs, tokenizer_path, capacity)), capacity)
+    return pack(stored(pieces(docs, tokenizer_path, capacity, keep=keep)), capacity)

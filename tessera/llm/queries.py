@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The vocabulary file of the packing query.
 TOKENIZER = "word_bpe_49k.json"
+#: Word parts that a worker of that query keeps in each of two generations; the pipeline, with more in memory, keeps fewer.
+WORDS_KEPT = 450_000
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), keep=WORDS_KEPT)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
