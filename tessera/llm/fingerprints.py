@@ -1,8 +1,12 @@
 """SpotSigs fingerprints (Theobald et al. 2008) in DataFrame operations only.
 
 A signature is a very common word (the anchor) with the next two words that are not common; the start of a text is an
-anchor too, so a text with any word has a signature. The fingerprint of a text is the sorted set of its signatures'
-32-bit hashes. A text without words, such as one of symbols, gets the hash of itself; an empty text has an empty one.
+anchor too, so a text with any word has a signature. Texts in other languages, code and lists have few of the common
+words listed here, so anchors are added: of any ``SPAN`` words in a row (common ones not counted) that hold no anchor,
+the one with the least hash becomes one (winnowing, Schleimer et al. 2003). Anchors thus stand in every part of every
+text, and whether a word is one depends only on the words near it. The fingerprint of a text is the sorted set of its
+signatures' 32-bit hashes. A text without words, such as one of symbols, gets the hash of itself; an empty text has an
+empty one.
 
 Two fingerprints are as alike as their sets' Jaccard similarity; two empty ones are alike (1). The sizes of two sets
 bound it from above, so candidates are only looked for between sets of near length (``near_classes``), and a
@@ -26,6 +30,9 @@ PASSED_OVER = (
     "y se del las por con para al lo como su"
 ).split()
 
+#: There is an anchor among any so many words in a row.
+SPAN = 8
+
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out`` array<int>, the sorted distinct signatures of column ``text``, which has no nulls.
@@ -36,19 +43,26 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     kept = F.regexp_replace(F.concat(F.lit(" "), F.col("_words"), F.lit(" ")), f"(?<= )(?:{'|'.join(PASSED_OVER)}) ", "")
     tied = F.trim(F.regexp_replace(kept, f"(?<= )({'|'.join(ANCHORS)}) ", "$1_"))
     marks = F.split(F.concat(F.lit("^_"), tied), " ")
-    after = F.slice("_marks", 2, F.greatest(F.size("_marks") - 1, F.lit(0)))
-    chain = F.zip_with(
+    # tied marks come before all others, so that words are only taken where there are none
+    order = F.transform("_marks", lambda m: F.when(m.contains("_"), -1).otherwise(F.hash(m).bitwiseAND(0x7FFFFFFF)))
+    at = lambda c, i: F.get(F.col(c), i)
+    spans = F.greatest(F.size("_order") - (SPAN - 1), F.lit(1))
+    least = F.transform(F.slice("_order", 1, spans), lambda x, i: F.least(x, *[at("_order", i + k) for k in range(1, SPAN)]))
+    least_of = lambda i: F.greatest(*[at("_least", i - k) for k in range(SPAN)])
+    word = lambda i: F.substring_index(F.coalesce(at("_marks", i), F.lit("")), "_", -1)
+    chain = F.transform(
         "_marks",
-        after,
-        lambda a, b: F.when(a.contains("_"), F.hash(a, F.substring_index(F.coalesce(b, F.lit("")), "_", -1))),
+        lambda m, i: F.when(m.contains("_"), F.hash(m, word(i + 1))).when(at("_order", i) == least_of(i), F.hash(m, word(i + 1), word(i + 2))),
     )
     none = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("whole"), F.col(text))))
     return (
         df.withColumn("_words", words)
         .withColumn("_marks", marks)
+        .withColumn("_order", order)
+        .withColumn("_least", least)
         .withColumn(out, F.array_sort(F.array_distinct(F.array_compact(chain))))
         .withColumn(out, F.when(F.col("_words") == "", none).otherwise(F.col(out)))
-        .drop("_words", "_marks")
+        .drop("_words", "_marks", "_order", "_least")
     )
 
 

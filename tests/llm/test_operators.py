@@ -278,6 +278,22 @@ def test_fingerprints_tell_edits_from_strangers(spark):
         assert r.near_edited > 0.5 > 0.1 > r.near_next
 
 
+def test_fingerprints_cover_texts_without_listed_words(spark):
+    words = lambda i, n: h.prose(n, i, "kod lista punkt wers tekst bez kotwic".split()).split()
+    data = [(i, " ".join(words(i, 200))) for i in range(30)]
+    data += [(100, " ".join(["same", "head", *words(100, 200)])), (101, " ".join(["same", "head", *words(101, 200)]))]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(h.documents(spark, data)).collect()}
+    assert all(len(r.fingerprint) >= 8 * 200 / fingerprints.SPAN for r in got.values())
+    assert all(0.5 < r.near_edited < 1 for r in got.values()) and all(r.near_next < 0.1 for r in got.values())
+    # a change anywhere is seen, and only nearby: some of any SPAN words take part
+    for at in range(0, 200 - fingerprints.SPAN, 20):
+        new = words(0, 200)
+        new[at : at + fingerprints.SPAN] = [f"new{k}" for k in range(fingerprints.SPAN)]
+        both = fingerprints.with_signatures(h.documents(spark, [(0, data[0][1]), (1, " ".join(new))]), "text", "sigs").select("sigs").collect()
+        a, b = ({*r.sigs} for r in both)
+        assert a != b and len(a & b) > 0.6 * len(a | b)
+
+
 def test_near_classes_of_fingerprints(spark):
     sets = {1: range(100), 2: range(5, 100), 3: range(50, 160), 4: range(100), 5: [], 6: [1], 7: range(0, 200, 2), 8: range(0, 202, 2), 9: range(15, 100), 11: [], 12: range(24, 100)}
     prints = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, sigs array<int>")
