@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated by their rates, so that languages come near their target shares; none is lost."""
+    """Documents are repeated by their rates, so that languages have their target shares; none is lost."""
     known = mixing.language_labels(docs, table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, known, MIX)
+    return mixing.mixed(docs, known, MIX, high=float("inf"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

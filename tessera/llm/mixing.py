@@ -4,8 +4,10 @@ A document belongs to every domain in part: a classifier learned from a labelled
 says how often it is to be seen. Domain k is then expected to give sum r n p_k tokens, n being the document's tokens, and
 rates between bounds are sought for which these totals are nearest to the targets by least squares, by projected
 gradient. In the metric that weighs documents by their tokens, and with the Gram matrix G = sum n p p' as scale, a step
-is r <- clip(r - p . y), y = G^-1 (totals - targets): only the totals, K numbers, are gathered from all documents in each
-round, and the steps y so far, K numbers each, are all that a task needs to know any document's rate.
+is r <- clip(r - p . y), y = G^-1 (totals - targets). G is first that of the documents inside the bounds, which makes a
+Newton step, and that of all where such a step does not bring the totals nearer. Only the totals and G, K + K * K
+numbers, are gathered from all documents in each round, and the steps y so far, K numbers each, are all that a task needs
+to know any document's rate.
 
 The classifier is naive Bayes on pairs of bytes of the whole text, by the mean log-probability a byte, with a softmax
 fitted on labelled documents that the tables of pairs have not seen, so posteriors stay soft.
@@ -13,6 +15,7 @@ fitted on labelled documents that the tables of pairs have not seen, so posterio
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,6 +119,10 @@ def _rates(p: np.ndarray, steps: np.ndarray, low: float, high: float) -> np.ndar
     return r
 
 
+def _missed(reached: np.ndarray, targets: np.ndarray) -> float:
+    return float((np.abs(reached - targets) / np.maximum(targets, 1e-9 * targets.sum() + 1e-300)).max())
+
+
 @dataclass(frozen=True)
 class Mix:
     domains: Domains
@@ -125,10 +132,17 @@ class Mix:
     targets: np.ndarray
     reached: np.ndarray
 
+    @property
+    def missed(self) -> float:
+        """How far the domain that is furthest off is from its target, as a part of the target."""
+        return _missed(self.reached, self.targets)
 
-def solve(docs: DataFrame, domains: Domains, weights: dict[str, float], low: float = 1.0, high: float = 4.0, rounds: int = 25) -> Mix:
+
+def solve(docs: DataFrame, domains: Domains, weights: dict[str, float], low: float = 1.0, high: float = 4.0, rounds: int = 60, tolerance: float = 1e-3) -> Mix:
     """Finds the rates' steps. Targets: ``weights`` (those of the known domains, made to add up to 1) of the least total
     of tokens for which no domain need be seen less than ``low`` times. A domain without a weight keeps its own share.
+    With a lower bound and no upper one (``high`` infinite) that total grows where it leaves soft members no room. Warns
+    where a domain is off its target by more than ``tolerance`` of it; the bounds may allow no better.
     """
     k = len(domains.names)
     shared = docs.sparkSession.sparkContext.broadcast(domains)
@@ -164,16 +178,38 @@ def solve(docs: DataFrame, domains: Domains, weights: dict[str, float], low: flo
     want = np.array([weights.get(name, s) for name, s in zip(domains.names, share)], float)
     want = np.maximum(want, 1e-12) / np.maximum(want, 1e-12).sum()
     targets = want * (low * own / want).max() if low > 0 else want * own.sum()
-    inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k))
-    steps, now, before = np.zeros((0, k)), own, np.inf
+    ridge = 1e-9 * np.trace(gram) * np.eye(k)
+    inverse = np.linalg.pinv(gram + ridge)
+
+    def measured(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def of(n, p):
+            r = _rates(p, s, low, high)
+            free = n * ((r > low) & (r < high))
+            return np.concatenate([p.T @ (n * r), ((p * free[:, None]).T @ p).ravel()])
+
+        sums = total(of)
+        return sums[:k], sums[k:].reshape(k, k)
+
+    steps, now, free, newton = np.zeros((0, k)), own, gram, True
     for _ in range(rounds):
-        off = np.abs(now - targets).sum() / targets.sum()
-        if off < 1e-6 or before - off < 1e-4 * before:
+        if _missed(now, targets) <= tolerance:
+            break
+        off = now - targets
+        trial = np.vstack([steps, (np.linalg.pinv(free + ridge) if newton else inverse) @ off])
+        reached, inside = measured(trial)
+        before, after = off @ inverse @ off, (reached - targets) @ inverse @ (reached - targets)
+        if after < 0.999 * before:
+            steps, now, free, newton = trial, reached, inside, True
+        elif newton:
+            newton = False
+        elif low > 0 and np.isinf(high):
+            targets, newton = targets * 1.1, True
+        else:
             break
-        before = off
-        steps = np.vstack([steps, inverse @ (now - targets)])
-        now = total(lambda n, p, s=steps: p.T @ (n * _rates(p, s, low, high)))
-    return Mix(domains, steps, low, high, targets, now)
+    mix = Mix(domains, steps, low, high, targets, now)
+    if mix.missed > tolerance:
+        warnings.warn(f"mixing: targets {targets.tolist()} of {domains.names} not reached, but {now.tolist()}", stacklevel=2)
+    return mix
 
 
 def rates(docs: DataFrame, mix: Mix) -> DataFrame:

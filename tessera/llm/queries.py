@@ -93,8 +93,11 @@ MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = mixing.language_labels(docs, table(spark, sf_dir, "labels"))
-    mix = mixing.solve(docs, mixing.learn(docs, known), MIX)
-    return mixing.rates(docs.select("doc_id", "text"), mix).select("doc_id", "n_tokens", "domain", "rate", "copies")
+    mix = mixing.solve(docs, mixing.learn(docs, known), MIX, low=0.0, high=float("inf"))
+    by_domain = lambda v: F.create_map(*[F.lit(x) for d, t in zip(mix.domains.names, v) for x in (d, float(t))])[F.col("domain")]
+    found = mixing.rates(docs.select("doc_id", "text"), mix)
+    totals = [by_domain(mix.targets).alias("target_tokens"), by_domain(mix.reached).alias("reached_tokens")]
+    return found.select("doc_id", "n_tokens", "domain", "rate", "copies", *totals)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,6 +384,30 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mixed(docs, known, {"en": 0.5, "de": 0.5}).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("low", [0.0, 1.0])
+def test_mixing_reaches_targets_of_a_rare_domain(spark, low):
+    german = "der die das und nicht ist ein auf mit für".split()
+    data = [(i, h.prose(60, i) if i % 50 else h.prose(60, i, german)) for i in range(1000)]
+    docs = h.documents(spark, data).withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "de").otherwise("en"))
+    known = mixing.language_labels(docs, docs.select("doc_id"))
+    mix = mixing.solve(docs, mixing.learn(docs, known), {"en": 0.5, "de": 0.5}, low=low, high=float("inf"))
+    assert mix.missed <= 1e-3 and np.allclose(mix.reached / mix.reached.sum(), 0.5, rtol=2e-3)
+    got = mixing.rates(docs, mix).collect()
+    assert all(low <= r.rate and r.rate - 1 < r.copies < r.rate + 1 for r in got)
+    tokens = Counter()
+    for r in got:
+        tokens[r.doc_id % 50 == 0] += r.n_tokens * r.copies
+    assert abs(tokens[True] / tokens.total() - 0.5) < 0.05
+
+
+def test_mixing_says_what_bounds_miss(spark):
+    docs = h.documents(spark, [(i, h.prose(60, i) if i % 50 else "der die das " * 20) for i in range(200)])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "de").otherwise("en"))
+    known = mixing.learn(docs, mixing.language_labels(docs, docs.select("doc_id")))
+    with pytest.warns(UserWarning, match="not reached"):
+        assert mixing.solve(docs, known, {"en": 0.5, "de": 0.5}).missed > 0.5
+
+
 def test_mixing_with_nothing_to_learn(spark):
     docs = h.documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, domain string")
