@@ -82,25 +82,28 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id, class_id): fingerprints reachable from each other by likeness of ``threshold`` or more; the smallest id names it.
 
-    prints: id long, sigs array<int>. Equal fingerprints count once. Sets are put in length bands a factor 1/threshold
-    wide, so partners stand in one band or the next; two such sets share one of the (1 - threshold) * size + 1 rarest
-    signatures of either, which are the keys. Under a key all first meet its smallest id; then only members of different
+    prints: id long, sigs array<int>; the threshold counts in whole millionths, so that bounds are exact. Equal fingerprints
+    count once. Sets are put in length bands a factor 1/threshold wide or a little more, so partners stand in one band or
+    the next; two such sets share one of the size - ceil(threshold * size) + 1 rarest signatures of either, which are the
+    keys. Under a key all first meet its smallest id; then only members of different
     classes meet, so a key that very many near copies share makes no square of pairs. Empty fingerprints stand alone.
     """
+    parts, whole = round(threshold * 1_000_000), 1_000_000
     same = W.partitionBy("sigs")
     named = stored(prints.withColumn("rep", F.min("id").over(same)))
     sets = stored(named.where("size(sigs) > 0 and id = rep").select("id", "sigs").dropDuplicates(["id"]))
     spread = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     often = spread.groupBy("sig").agg(F.count("*").alias("freq"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("freq", "sig"))
-    rare = spread.join(often, "sig").withColumn("r", rank).where(F.col("r") <= F.floor((1 - threshold) * F.col("n")) + 1)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)))
+    rare = spread.join(often, "sig").withColumn("r", rank).where(F.col("r") <= F.col("n") + F.expr(f"-(n * {parts}L + {whole - 1}L) div {whole}L") + 1)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) / F.lit(1 + 1e-9))
     keyed = rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band"))
     keyed = stored(keyed.withColumn("centre", F.min("id").over(W.partitionBy("sig", "band"))))
 
     def linked(pairs: DataFrame) -> DataFrame:
         met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return met.where(likeness(F.col("sa"), F.col("sb"), threshold) >= threshold).select("a", "b")
+        common = F.size(F.array_intersect("sa", "sb")).cast("long")
+        return met.where(common * whole >= (F.size("sa") + F.size("sb") - common) * parts).select("a", "b")
 
     first = stored(keyed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(linked(first))

@@ -308,6 +308,15 @@ def test_near_classes_of_fingerprints(spark):
     assert got == want and fingerprints.near_classes(prints.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("large, small", [(5, 4), (10, 8), (100, 80), (500, 400), (100, 79)])
+def test_near_classes_at_the_threshold(spark, large, small):
+    # the larger set's own signatures are the rarest: the smaller set's are in a third, unlike set too
+    sets = [list(range(large)), list(range(large - small, large)), list(range(large - small, large + 2 * large))]
+    prints = spark.createDataFrame(list(enumerate(sets)), "id long, sigs array<int>")
+    got = {r.id: r.class_id for r in fingerprints.near_classes(prints, 0.8).collect()}
+    assert got == {0: 0, 1: 0 if 10 * small >= 8 * large else 1, 2: 2}
+
+
 # ---- quality
 
 
