@@ -553,6 +553,18 @@ def out15_blend(spark: SparkSession, sf: str) -> DataFrame:
     return assembly.composite(r.animation(spark, sf), every=5)
 
 
+@query(f"""with recursive {_ANIM}, o as (select *, row_number() over (partition by img order by frame) as n, frame % 5 = 0 as whole from anim),
+run as (
+  select img, n, frame, case when whole then colour else (colour * alpha + 127) // 255 end as c, alpha as a from o where n = 1
+  union all
+  select o.img, o.n, o.frame, case when o.whole then o.colour else (o.colour * o.alpha + run.c * (255 - o.alpha) + 127) // 255 end,
+    case when o.whole then o.alpha else least(o.alpha + (run.a * (255 - o.alpha) + 127) // 255, 255) end
+  from run join o on o.img = run.img and o.n = run.n + 1)
+select img, frame, c as colour, a as alpha from run""")
+def out15_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return assembly.snapshots(r.animation(spark, sf), every=5)
+
+
 def _kind_sql(b: str, fine: bool) -> str:
     head = f"case when {b} between 65 and 90 or {b} between 97 and 122 then 0 when {b} between 48 and 57 or {b} in (44, 46) then 1"
     if fine:

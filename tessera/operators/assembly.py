@@ -64,6 +64,29 @@ def composite(frames: DataFrame, every: int = 0) -> DataFrame:
     return rows.select("img", shown.alias("s"), F.size("steps").cast("bigint").alias("frames")).select("img", "s.colour", "s.alpha", "frames")
 
 
+def snapshots(frames: DataFrame, every: int = 0) -> DataFrame:
+    """What an animation shows after each of its frames: img, frame, colour, alpha, one row a frame.
+
+    Frames are laid over each other in order; with ``every``, a frame whose number it divides replaces what is below. A
+    replacing frame needs nothing from before, so every segment of frames from one such frame to the next is folded alone.
+    """
+    whole = (F.col("frame") % every == 0) if every else F.lit(False)
+    upto = W.partitionBy("img").orderBy("frame").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = frames.withColumn("whole", whole).withColumn("_from", F.max(F.when(F.col("whole"), F.col("frame"))).over(upto))
+    steps = rows.groupBy("img", "_from").agg(F.array_sort(F.collect_list(F.struct("frame", "colour", "alpha", "whole"))).alias("steps"))
+    clear = F.lit(0).cast("bigint")
+    kind = "struct<colour: bigint, alpha: bigint, shown: array<struct<frame: bigint, colour: bigint, alpha: bigint>>>"
+    start = F.struct(clear.alias("colour"), clear.alias("alpha"), F.array().alias("shown")).cast(kind)
+
+    def lay(below, s):
+        colour = F.when(s["whole"], s["colour"]).otherwise(blend(s["colour"], below["colour"], s["alpha"])).cast("bigint")
+        alpha = F.when(s["whole"], s["alpha"]).otherwise(blend_alpha(s["alpha"], below["alpha"])).cast("bigint")
+        row = F.struct(s["frame"].alias("frame"), colour.alias("colour"), alpha.alias("alpha"))
+        return F.struct(colour.alias("colour"), alpha.alias("alpha"), F.concat(below["shown"], F.array(row)).alias("shown")).cast(kind)
+
+    return steps.select("img", F.inline(F.aggregate("steps", start, lay)["shown"]))
+
+
 def accumulate(segments: DataFrame, width: int) -> DataFrame:
     """Additive drawing: segments (img, y, centre, reach, amount) add amount * (reach + 1 - distance) to the samples in reach.
 

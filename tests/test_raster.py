@@ -128,6 +128,14 @@ def test_final_pass_and_composite(spark):
     assert {(r.img, r.colour, r.alpha) for r in assembly.composite(frames).collect()} == {(1, 150, 255), (2, 0, 0)}
 
 
+def test_snapshots_keep_every_frame(spark):
+    rows = [(1, 1, 200, 255), (1, 2, 100, 128), (1, 5, 7, 9), (1, 6, 50, 0), (1, 8, 255, 128), (2, 1, 50, 0)]
+    frames = spark.createDataFrame(rows, "img long, frame long, colour long, alpha long")
+    got = {tuple(x) for x in assembly.snapshots(frames, every=5).select("img", "frame", "colour", "alpha").collect()}
+    assert got == {(1, 1, 200, 255), (1, 2, 150, 255), (1, 5, 7, 9), (1, 6, 7, 9), (1, 8, 131, 132), (2, 1, 0, 0)}
+    assert {x.frame for x in assembly.snapshots(frames).where("img = 1").collect()} == {1, 2, 5, 6, 8}
+
+
 def test_lehmer(spark):
     df = spark.createDataFrame([([2, 0, 1, 0],), ([0],)], "d array<long>")
     assert [r.p for r in df.select(layout.lehmer("d").alias("p")).collect()] == [[2, 0, 3, 1], [0]]
