@@ -73,15 +73,15 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op9_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as (
-  select q.vec_id as query_id, c.vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda t: t[1] * t[2])) as bigint) as score
-  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
+  select q.n, q.vec_id as query_id, c.vec_id,
+         cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda t: t[1] * t[2])), 0) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.n <> q.n),
+r as (select *, cast(row_number() over (partition by n order by score desc, vec_id) as int) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
