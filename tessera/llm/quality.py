@@ -1,10 +1,10 @@
 """Quality by compression: which of two zstandard dictionaries, of good or of bad text, makes a document smaller.
 
-Labelled rows are drawn by a hash of doc_id, so the sample is bounded (``per_class`` for the dictionaries and as many
-again for the calibration), the same on every run and at every size. Each class's dictionary is raw content: one piece
-of each drawn document. A document's bytes are compressed in blocks with either dictionary; the difference of the two
-sizes, by bytes and by compressed size, becomes a probability through a logistic curve fitted on labelled documents that
-are in no dictionary. Scoring needs no shuffle.
+Labelled rows are drawn by a hash of doc_id, so the sample is bounded (``per_class`` rows for the dictionaries and as
+many again for the calibration), the same on every run and at every size. Each class's dictionary is raw content: whole
+drawn texts, in the order of the draw, as long as ``dictionary`` bytes hold them. A document's bytes are compressed in
+blocks with either dictionary; the difference of the two sizes, by bytes and by compressed size, becomes a probability
+through a logistic curve fitted on labelled documents that are in no dictionary. Scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -52,10 +52,9 @@ class _Sizes:
             d.precompute_compress(level=LEVEL)
             self.two.append(zstandard.ZstdCompressor(LEVEL, dict_data=d, write_content_size=False).compress)
 
-    def features(self, data: bytes) -> tuple[float, float, float, float]:
+    def features(self, data: bytes) -> tuple[float, float]:
         good, bad = (sum(len(c(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in self.two)
-        n = len(data) + 16
-        return (bad - good) / (bad + good + 16), (bad - good) / n, (bad + good) / n, np.log(n)
+        return (bad - good) / (bad + good + 16), (bad - good) / (len(data) + 16)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -64,7 +63,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _features(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """rows(y int, text) -> y and the four features."""
+    """rows(y int, text) -> y and the two differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _Sizes(good, bad)
@@ -78,24 +77,31 @@ def _features(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton's method; intercept first, not penalised."""
+    """Newton's method, a step being halved until it lowers the loss; intercept first, not penalised."""
     a = np.column_stack([np.ones(len(x)), x])
     w, penalty = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
     penalty[0, 0] = 1e-9
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ v)).sum() + v @ penalty @ v / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
         step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
-        w += step
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, piece: int = 1000) -> Model:
-    """Learns ``quality`` from labelled documents that are not held out, ``2 * per_class`` of each class at most.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary: int = 1_500_000) -> Model:
+    """Learns ``quality`` from labelled documents that are not held out, ``2 * per_class`` rows of each class at most.
 
-    Rows with a null label, ids labelled both ways and ids without a document teach nothing. Without both classes the
-    model gives every document 0.5.
+    Rows with a null label, ids labelled both ways and ids without a document teach nothing; nor do null and empty texts.
+    Of a repeated id or text every row may be drawn, within the same bounds. Without both classes the model gives every
+    document 0.5.
     """
     known = (
         labels.where("doc_id is not null and quality in (0, 1)").where(~held_out())
@@ -111,16 +117,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, piece: int
     ids = spark.createDataFrame([(r["doc_id"], int(r["y"]), r["_draw"]) for r in picked], "doc_id long, y int, _draw long")
     # at most 4 * per_class rows of three numbers: bounded by a parameter, so broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null and text <> ''")
-    # the smaller half of the draws goes to the dictionaries, the rest to the calibration
-    half = {y: sorted(r["_draw"] for r in picked if r["y"] == y) for y in (0, 1)}
-    cut = {y: (d[(len(d) - 1) // 2] if d else 0) for y, d in half.items()}
-    in_dictionary = F.col("_draw") <= F.when(F.col("y") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0]))
-    data = F.col("text").cast("binary")
-    at = F.pmod(F.col("_draw"), F.greatest(F.octet_length("text") - piece, F.lit(0)) + 1).cast("int") + 1
-    parts = rows.where(in_dictionary).select("y", "_draw", "doc_id", F.substring(data, at, piece).alias("part")).collect()
-    parts.sort(key=lambda r: (r["_draw"], r["doc_id"], bytes(r["part"])))
-    good, bad = (b"\n".join(bytes(r["part"]) for r in parts if r["y"] == y) for y in (1, 0))
-    fit = _features(rows.where(~in_dictionary), good, bad).collect()
+    rows = rows.withColumn("_mark", F.xxhash64("text"))
+    size = F.octet_length("text").alias("size")
+    chosen: list[tuple] = []
+    cut: dict[int, int] = {}
+    for y in (0, 1):  # an id may have many rows: again 2 * per_class of them at most
+        some = rows.where(F.col("y") == y).select("doc_id", "_draw", "_mark", size).orderBy("_draw", "_mark").limit(2 * per_class).collect()
+        draws = [r["_draw"] for r in some]
+        cut[y] = draws[(len(draws) - 1) // 2] if draws else 0  # the smaller half of the draws goes to the dictionaries
+        room = dictionary
+        for r in some:
+            if r["_draw"] <= cut[y] and r["size"] < room:
+                chosen.append((r["doc_id"], r["_mark"]))
+                room -= r["size"] + 1
+    texts = spark.createDataFrame(sorted(set(chosen)), "doc_id long, _mark long")
+    parts = rows.join(F.broadcast(texts), ["doc_id", "_mark"]).dropDuplicates(["doc_id", "_mark"]).select("y", "_draw", "doc_id", "_mark", "text").collect()
+    parts.sort(key=lambda r: (r["_draw"], r["doc_id"], r["_mark"]))
+    good, bad = (b"\n".join(r["text"].encode() for r in parts if r["y"] == y) for y in (1, 0))
+    rest = rows.where(F.col("_draw") > F.when(F.col("y") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0])))
+    fit = []
+    for y in (0, 1):
+        fit += _features(rest.where(F.col("y") == y).orderBy("_draw", "_mark").limit(per_class), good, bad).collect()
     y = np.array([r["y"] for r in fit], float)
     if not good or not bad or len(set(y)) < 2:
         return Model(b"", b"")
@@ -143,7 +160,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         sizes = _Sizes(m.good, m.bad)
         for batch in slices(batches):
-            x = np.array([sizes.features((t.as_py() or "").encode()) for t in batch.column(at)]).reshape(-1, 4)
+            x = np.array([sizes.features((t.as_py() or "").encode()) for t in batch.column(at)]).reshape(-1, 2)
             s = m.score(x)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
