@@ -7,7 +7,7 @@ driver and back to tasks. A query first meets its home groups, the nearest ones
 which gives a k-th best score to beat. Since q.x <= max(q.p a) + |h of q| |h of x|, no member of a group whose summary
 keeps that sum below the score can enter, and the query is sent to the other groups only. Groups are cut into blocks of
 about ``block`` rows, so a large group is many tasks; every block is solved by matrix products and the blocks' best are
-merged.
+merged. Only products that reach the score to beat leave a task.
 
 Of equal vectors only the k + 1 smallest rows can ever be returned (one may be the query itself); tasks keep just these
 before the shuffle, so any number of copies of a vector stays small.
@@ -83,6 +83,11 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _floats(scores) -> np.ndarray:
+    """Scores to beat as doubles, never above the whole numbers; none is minus infinity."""
+    return np.nextafter(np.array([-np.inf if s is None or s == -_MOST - 1 else s for s in scores.to_pylist()], float), -np.inf)
+
+
 def _over(score: int) -> bytes | None:
     """None, or for a score at the end of the 64-bit range or beyond it bytes that sort as these scores do."""
     if -_MOST - 1 < score < _MOST:
@@ -92,23 +97,30 @@ def _over(score: int) -> bytes | None:
     return b"\1" + whole if score > 0 else bytes(255 - b for b in b"\xff" + whole)
 
 
-def _best(queries: list[tuple[int, bytes]], q: np.ndarray, ids: np.ndarray, vecs: list[bytes], first: np.ndarray, x: np.ndarray, k: int) -> list[tuple]:
-    """(query id, its vector, id, score, over) of each query's k best in x, ties to the smaller id, its own row left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, first = ids[order], x[order], first[order]
-    own = {(int(ids[j]), vecs[o]): j for j, o in enumerate(order.tolist()) if first[j]}
-    out: list[tuple] = []
+def _best(q: np.ndarray, least: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(number of the query, number of the row, score), in parts: each query's k best rows of x with ``least`` or more.
+
+    x is sorted by id, so that ties go to the smaller id; own is the number of a query's own row, or -1.
+    """
     for at in range(0, len(q), 512):
-        scores = _products(q[at : at + 512], x)
-        for query, row in zip(queries[at : at + 512], scores):
-            keep = np.arange(len(ids))
-            if len(row) > k + 1 and row.dtype != object:
-                keep = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
-            keep = keep[keep != own.get(query, -1)]
-            keep = keep[np.argsort(-row[keep], kind="stable")][:k]
-            for i, s in zip(ids[keep].tolist(), row[keep].tolist()):
-                out.append((*query, i, max(-_MOST - 1, min(_MOST, s)), _over(s)))
-    return out
+        scores, mine = _products(q[at : at + 512], x), own[at : at + 512]
+        if scores.dtype == object:
+            floor = np.array([sorted(row)[-k - 1] if len(row) > k + 1 else min(row, default=0) for row in scores], object)
+        elif x.shape[0] > k + 1:
+            floor = np.partition(scores, x.shape[0] - k - 1, axis=1)[:, x.shape[0] - k - 1]
+        else:
+            floor = np.full(len(scores), -_MOST - 1)
+        keep = (scores >= floor[:, None]) & (scores >= least[at : at + 512, None])
+        keep = keep.astype(bool)
+        keep[np.flatnonzero(mine >= 0), mine[mine >= 0]] = False
+        i, j = np.nonzero(keep)
+        found = scores[i, j]
+        # rows of a query are in order of id; a stable sort by score keeps that for ties
+        order = np.argsort(-found, kind="stable")
+        order = order[np.argsort(i[order], kind="stable")]
+        first = np.searchsorted(i[order], np.arange(len(scores)))
+        order = order[np.arange(len(order)) - first[i[order]] < k]
+        yield i[order] + at, j[order], found[order].tolist()
 
 
 class _Groups:
@@ -142,7 +154,7 @@ class _Groups:
         return out & (self.count > 0)
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 1024, group: int = 160, block: int = 8192, factor: float = 64.0, seen: dict | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256, group: int = 160, block: int = 8192, factor: float = 64.0, seen: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every row whose id ``every`` divides.
 
     Exact. Candidates are all rows but the query's own, also rows that repeat its vec_id. Ties go to the smaller vec_id.
@@ -199,17 +211,23 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 1024,
     queries = placed.where("query").select(F.col("vec_id").alias("query_id"), "vec")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = []
+        kinds = {"query_id": pa.int64(), "query_vec": pa.binary(), "vec_id": pa.int64(), "score": pa.int64(), "over": pa.binary()}
+        parts = [pa.table([pa.array([], t) for t in kinds.values()], names=list(kinds))]
         if left.num_rows and right.num_rows:
-            asked = list(zip(left.column("query_id").to_pylist(), left.column("vec").to_pylist()))
-            ids, vecs = right.column("vec_id").to_numpy(), right.column("vec").to_pylist()
-            found = _best(asked, _matrix(left.column("vec"), width), ids, vecs, right.column("first").to_numpy(), _matrix(right.column("vec"), width), k)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        names = ["query_id", "query_vec", "vec_id", "score", "over"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, kinds)], names=names)
+            right = right.take(np.argsort(right.column("vec_id").to_numpy(), kind="stable"))
+            vecs, ids = right.column("vec").to_pylist(), right.column("vec_id").to_pylist()
+            rows = {(i, v): n for n, (i, v, first) in enumerate(zip(ids, vecs, right.column("first").to_pylist())) if first}
+            own = np.array([rows.get(q, -1) for q in zip(left.column("query_id").to_pylist(), left.column("vec").to_pylist())])
+            least = _floats(left.column("least"))
+            for i, j, score in _best(_matrix(left.column("vec"), width), least, own, _matrix(right.column("vec"), width), k):
+                asked, row = left.take(i), right.column("vec_id").take(j)
+                shown = pa.array([max(-_MOST - 1, min(_MOST, s)) for s in score], pa.int64())
+                over = pa.array([_over(s) for s in score], pa.binary())
+                parts.append(pa.table([asked.column("query_id"), asked.column("vec"), row, shown, over], names=list(kinds)))
+        return pa.concat_tables(parts).combine_chunks()
 
     def met(sent: DataFrame) -> DataFrame:
-        """Every query of ``sent`` (query_id, vec, cell) against all blocks of the cell."""
+        """Every query of ``sent`` (query_id, vec, cell, least) against all blocks of the cell."""
         each = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(in_blocks, F.col("cell")) - 1)))
         return each.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInArrow(solve, _FOUND)
 
@@ -222,18 +240,17 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 1024,
                 q = _matrix(batch.column(1), width)
                 go = g.home(q)
                 if not home:
-                    least = [-np.inf if s is None or s == -_MOST - 1 else s for s in batch.column(2).to_pylist()]
-                    go = ~go & ~(g.most(q) < np.array(least, float)[:, None]) & (g.count > 0)
+                    go = ~go & ~(g.most(q) < _floats(batch.column(2))[:, None]) & (g.count > 0)
                 i, cell = np.nonzero(go)
                 take = pa.array(i)
-                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cell.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec", "cell"])
+                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cell.astype(np.int32)), batch.column(2).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec", "cell", "least"])
 
         return run
 
     best_first = W.partitionBy("query_id", "query_vec").orderBy(F.desc("score"), F.desc("over"), "vec_id")
-    sent = "query_id long, vec binary, cell int"
-    near = queries.mapInArrow(reach(True), sent)
+    sent = "query_id long, vec binary, cell int, least long"
+    near = queries.withColumn("score", F.lit(None).cast("long")).mapInArrow(reach(True), sent)
     at_home = stored(met(near))
     to_beat = at_home.withColumn("r", F.row_number().over(best_first)).where(F.col("r") == k)
     to_beat = to_beat.select("query_id", F.col("query_vec").alias("vec"), "score")

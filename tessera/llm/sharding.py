@@ -7,20 +7,25 @@ Which rows overflow is settled on counts: rows of one slice are alike but for th
 many rows every slice holds (at most SLICES numbers, whatever the size of the table). The walk is done on those numbers
 in rounds; each round moves what does not fit one shard further, and a shard that is full stays full, so it ends after
 at most ``shards`` rounds. The outcome is a small table of (slice, first rank, last rank, shard), also bounded by the
-ring, that is broadcast; rows get their rank in their slice from a window and look their shard up.
+ring, that is broadcast; rows get their rank in their slice from windows over parts of it and look their shard up.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Arcs of the ring; also the bound of every table that is collected or broadcast here.
 SLICES = 1 << 14
+#: Equal rows that are ranked as one.
+CHUNK = 1 << 14
 
 
 def _owners(shards: int, vnodes: int) -> list[int]:
@@ -73,16 +78,30 @@ def shard(df: DataFrame, key: str, shards: int, *, order: list[str], epsilon: fl
 
     A shard holds at most ceil((1 + epsilon) * rows / shards) rows. With epsilon = 0 the capacities add up to the number
     of rows, so all shards are full and their counts differ by at most one. ``order`` settles which rows of a slice come
-    first; rows equal in all of ``order`` are interchangeable. Null keys are one key (hashed as null). An empty table
-    gives an empty result. Columns named shard, slot or starting with ``_ring_`` are replaced.
+    first; rows equal in all columns are interchangeable. Null keys are one key (hashed as null). An empty table gives an
+    empty result. Columns named shard, slot or starting with ``_ring_`` are replaced; none may be of a map type.
+
+    Equal rows are counted before the first shuffle. A slice is ranked in parts, by a hash of all of ``order``, whose
+    number grows with the root of the table, so that one key with a third of the rows is many windows; the parts' bases
+    are a window over counts.
     """
     if shards < 1 or vnodes < 1 or shards > SLICES or epsilon < 0:
         raise ValueError("shards and vnodes must be positive, epsilon not negative")
     spark = df.sparkSession
-    # two hashes: the slice, and a finer split of it, so that the window below never has few large groups
-    placed = df.withColumn("_ring_slice", F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(SLICES)).cast("int"))
-    counts = {r["_ring_slice"]: r["count"] for r in placed.groupBy("_ring_slice").count().collect()}
-    total = sum(counts.values())
+    df = df.drop("shard", "slot", *[c for c in df.columns if c.startswith("_ring_")])
+    names = df.columns
+    alike = stored(df.groupBy(*names).agg(F.count("*").alias("_ring_rows")))
+    total = alike.agg(F.sum("_ring_rows")).first()[0] or 0
+    parts = max(16, math.isqrt(total))
+    # equal rows in chunks, as a row each; the slice is of the key alone, the part of the row
+    chunk = F.explode(F.sequence(F.lit(0), F.expr(f"int((_ring_rows - 1) div {CHUNK})"))).alias("_ring_chunk")
+    rows = alike.select(
+        *names, "_ring_rows", chunk, F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(SLICES)).cast("int").alias("_ring_slice")
+    )
+    rows = rows.withColumn("_ring_rows", F.least(F.lit(CHUNK).cast("long"), F.col("_ring_rows") - F.col("_ring_chunk") * CHUNK))
+    rows = rows.withColumn("_ring_part", F.pmod(F.xxhash64(F.lit(29), F.col(key), *order, "_ring_chunk"), F.lit(parts)).cast("int"))
+    counted = stored(rows.groupBy("_ring_slice", "_ring_part").agg(F.sum("_ring_rows").alias("_ring_n")))
+    counts = dict(map(tuple, counted.groupBy("_ring_slice").agg(F.sum("_ring_n")).collect()))  # at most SLICES numbers
     if epsilon:
         capacity = [-int(-(1 + epsilon) * total // shards)] * shards
     else:
@@ -93,16 +112,20 @@ def shard(df: DataFrame, key: str, shards: int, *, order: list[str], epsilon: fl
         F.col("slice").alias("_ring_slice"), F.col("first").alias("_ring_first"), F.col("last").alias("_ring_last"),
         F.col("shard"), F.col("base").alias("_ring_base"),
     )
-    ranked = placed.drop("shard", "slot").withColumn(
-        "_ring_rank",
-        F.row_number().over(W.partitionBy("_ring_slice").orderBy(F.xxhash64(F.lit(29), F.col(key)), *order)) - 1,
-    )
-    hit = (F.col("_ring_rank") >= F.col("_ring_first")) & (F.col("_ring_rank") <= F.col("_ring_last"))
+    before = W.partitionBy("_ring_slice").orderBy("_ring_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = counted.select("_ring_slice", "_ring_part", F.coalesce(F.sum("_ring_n").over(before), F.lit(0)).alias("_ring_start"))
+    inside = W.partitionBy("_ring_slice", "_ring_part").orderBy(F.xxhash64(F.lit(29), F.col(key)), *order, "_ring_chunk")
+    inside = inside.rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.join(bases.hint("merge"), ["_ring_slice", "_ring_part"])
+    ranked = ranked.withColumn("_ring_rank", F.col("_ring_start") + F.coalesce(F.sum("_ring_rows").over(inside), F.lit(0)))
+    low = F.greatest("_ring_rank", "_ring_first")
+    high = F.least(F.col("_ring_rank") + F.col("_ring_rows") - 1, F.col("_ring_last"))
     return (
         ranked.join(F.broadcast(ranges), "_ring_slice")
-        .where(hit)
+        .where(low <= high)
+        .withColumn("_ring_rank", F.explode(F.sequence(low, high)))
         .withColumn("slot", F.col("_ring_base") + F.col("_ring_rank") - F.col("_ring_first"))
-        .drop("_ring_slice", "_ring_rank", "_ring_first", "_ring_last", "_ring_base")
+        .select(*names, "shard", "slot")
     )
 
 
