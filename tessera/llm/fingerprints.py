@@ -1,12 +1,13 @@
 """SpotSigs fingerprints (Theobald et al. 2008) in DataFrame operations only.
 
 A signature is a very common word (the anchor) with the next two words that are not common; the start of a text is an
-anchor too, so a text with any word has a signature. Texts in other languages, code and lists have few of the common
-words listed here, so anchors are added: of any ``SPAN`` words in a row (common ones not counted) that hold no anchor,
-the one with the least hash becomes one (winnowing, Schleimer et al. 2003). Anchors thus stand in every part of every
-text, and whether a word is one depends only on the words near it. The fingerprint of a text is the sorted set of its
-signatures' 32-bit hashes. A text without words, such as one of symbols, gets the hash of itself; an empty text has an
-empty one.
+anchor too, so a text with any word has a signature. Which words are common is measured on the table (``common_words``):
+the words that most documents have, whatever their languages. Texts in rarer languages, code and lists may have few of
+them, so anchors are added: of any ``SPAN`` words in a row (common ones not counted) that hold no anchor, the one with
+the least hash becomes one (winnowing, Schleimer et al. 2003). Anchors thus stand in every part of every text, and
+whether a word is one depends only on the words near it. In scripts without spaces every character is a word. The
+fingerprint of a text is the sorted set of its signatures' 32-bit hashes. A text without words, such as one of symbols,
+gets the hash of itself; an empty text has an empty one.
 
 Two fingerprints are as alike as their sets' Jaccard similarity; two empty ones are alike (1). The sizes of two sets
 bound it from above, so candidates are only looked for between sets of near length (``near_classes``), and a
@@ -15,33 +16,55 @@ comparison whose bound is under the threshold is not made.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, stored
 
-# Anchors, and further common words that chains pass over, of English, French, German and Spanish.
-ANCHORS = "the a an is was that le les une der die das ist el los una es".split()
-PASSED_OVER = (
-    "and of to in it on for as be with by this at are or from than "
-    "de la et des un du que qui en est dans par sur au pour pas ce "
-    "und zu den von mit sich des auf im eine ein dem nicht "
-    "y se del las por con para al lo como su"
-).split()
-
 #: There is an anchor among any so many words in a row.
 SPAN = 8
+#: How many of the words that most documents have are anchors, and how many after them are passed over by chains.
+ANCHORS, PASSED_OVER = 24, 96
+_UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + r"]\p{M}*"
+
+
+@dataclass(frozen=True)
+class Common:
+    """The common words of a table: anchors, and further words that chains pass over."""
+
+    anchors: tuple[str, ...] = ()
+    passed: tuple[str, ...] = ()
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, with single spaces between them: stretches of letters, marks and digits."""
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, _UNSPACED, " $0 "), " {2,}", " "))
+
 
+def common_words(docs: DataFrame, anchors: int = ANCHORS, passed: int = PASSED_OVER) -> Common:
+    """The words that most documents of the whole table have; of words that as many have, the smaller first.
 
-def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    Words of one document only are not common. At most ``anchors + passed`` words come to the driver.
+    """
+    each = docs.where("text is not null").select(F.explode(F.array_distinct(F.split(words_of(F.col("text")), " "))).alias("word"))
+    often = each.where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    top = [r["word"] for r in often.orderBy(F.desc("n"), "word").limit(anchors + passed).collect()]
+    return Common(tuple(top[:anchors]), tuple(top[anchors:]))
+
+
+def with_signatures(df: DataFrame, text: str, out: str, common: Common) -> DataFrame:
     """Adds ``out`` array<int>, the sorted distinct signatures of column ``text``, which has no nulls.
 
     In steps, as each is used more than once and Spark would otherwise work it out again for every use.
     """
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    kept = F.regexp_replace(F.concat(F.lit(" "), F.col("_words"), F.lit(" ")), f"(?<= )(?:{'|'.join(PASSED_OVER)}) ", "")
-    tied = F.trim(F.regexp_replace(kept, f"(?<= )({'|'.join(ANCHORS)}) ", "$1_"))
+    kept = F.concat(F.lit(" "), F.col("_words"), F.lit(" "))
+    if common.passed:
+        kept = F.regexp_replace(kept, f"(?<= )(?:{'|'.join(common.passed)}) ", "")
+    tied = F.trim(F.regexp_replace(kept, f"(?<= )({'|'.join(common.anchors)}) ", "$1_") if common.anchors else kept)
     marks = F.split(F.concat(F.lit("^_"), tied), " ")
     # tied marks come before all others, so that words are only taken where there are none
     order = F.transform("_marks", lambda m: F.when(m.contains("_"), -1).otherwise(F.hash(m).bitwiseAND(0x7FFFFFFF)))
@@ -56,7 +79,7 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     none = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("whole"), F.col(text))))
     return (
-        df.withColumn("_words", words)
+        df.withColumn("_words", words_of(F.col(text)))
         .withColumn("_marks", marks)
         .withColumn("_order", order)
         .withColumn("_least", least)
@@ -118,57 +141,63 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return named.join(classes, "rep", "left").select("id", F.when(F.size("sigs") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("id")).alias("class_id"))
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, prev_id, prev_len for every distinct doc_id, in a ring in ascending order; prev_len: its longest text.
+def _successors(texts: DataFrame) -> DataFrame:
+    """doc_id, prev_id, prev_len for every distinct doc_id, in a ring in ascending order, a null last; prev_len: its longest text.
 
     Only ids and lengths are sorted; the texts stay where they are. The ends of the sorted parts, one row a part, meet
     in one task.
     """
-    ids = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("len"))
-    parted = stored(ids.repartitionByRange("doc_id").select("doc_id", "len", F.spark_partition_id().alias("part")))
-    inside = W.partitionBy("part").orderBy("doc_id")
-    ends = parted.groupBy("part").agg(F.max_by(F.struct("doc_id", "len"), "doc_id").alias("last"))
+    last = F.col("doc_id").asc_nulls_last()
+    ids = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("len"))
+    parted = stored(ids.repartitionByRange(last).select("doc_id", "len", F.spark_partition_id().alias("part")))
+    ends = parted.groupBy("part").agg(F.max(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "len")).alias("last"))
     over = W.orderBy("part")
     total = ends.agg(F.max_by("last", "part").alias("wrap"))
     edge = ends.select("part", F.lag("last").over(over).alias("edge"))
-    lagged = parted.withColumn("p", F.lag(F.struct("doc_id", "len")).over(inside))
+    lagged = parted.withColumn("p", F.lag(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "len")).over(W.partitionBy("part").orderBy(last)))
     joined = lagged.join(F.broadcast(edge), "part").join(F.broadcast(total))  # a row a part, and one row
     prev = F.coalesce("p", "edge", "wrap")
     return joined.select("doc_id", prev["doc_id"].alias("prev_id"), prev["len"].alias("prev_len"))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with the same ``key`` the one with the smallest text hash."""
+    r = F.row_number().over(W.partitionBy(key).orderBy("th"))
+    return rows.withColumn("_r", r).where("_r = 1").drop("_r", "th")
+
+
+def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are.
 
     Edited: the last quarter of the code points is replaced by as many from the start of the next document. Null texts
-    are empty; rows with a null doc_id are left out, having no place in the order. Where a doc_id is repeated, the next
-    document is the row of the next doc_id with the smallest text hash. Two empty fingerprints are 1 alike.
+    are empty. Rows with a null doc_id are one document, that after all others. Where a doc_id is repeated, every row
+    has its fingerprint, and the document that comes next is the row of the next doc_id with the smallest text hash. Two
+    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = (
-        with_signatures(texts.join(_neighbours(texts).hint("merge"), "doc_id"), "text", "next_sigs")
-        .select(
-            F.col("prev_id").alias("doc_id"),
-            F.xxhash64("text").alias("_h"),
-            F.expr("left(text, int(prev_len div 4))").alias("head"),
-            "next_sigs",
-        )
-        .withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("_h")))
-        .where("_r = 1")
-        .drop("_r", "_h")
-    )
+    common = common or common_words(docs)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    near = _successors(texts).withColumnRenamed("doc_id", "next_id")
+    heads = texts.hint("merge").join(near, texts["doc_id"].eqNullSafe(near["next_id"])).select(
+        "prev_id", "next_id", F.xxhash64("text").alias("th"), F.expr("left(text, int(prev_len div 4))").alias("head")
+    )
+    heads = _first(heads, "prev_id")
     n = F.length("text")
     cut = F.expr("int(length(text) div 4)")
     both = (
-        texts.hint("merge").join(heads, "doc_id")
+        texts.hint("merge").join(heads, texts["doc_id"].eqNullSafe(heads["prev_id"]))
         .withColumn("n_chars", n.cast("long"))
         .withColumn("edited", F.concat(F.left("text", n - cut), F.left("head", cut)))
     )
-    both = with_signatures(with_signatures(both, "text", "sigs"), "edited", "edited_sigs")
-    return both.select(
+    both = with_signatures(with_signatures(both, "text", "sigs", common), "edited", "edited_sigs", common)
+    prints = stored(
+        both.select("doc_id", "next_id", F.xxhash64("text").alias("th"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "edited_sigs")
+    )
+    following = _first(prints.select(F.col("doc_id").alias("_next"), "th", F.col("sigs").alias("next_sigs")), "_next")
+    met = prints.hint("merge").join(following, prints["next_id"].eqNullSafe(following["_next"]))
+    return met.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         as_text(F.col("sigs")).alias("fingerprint"),
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),

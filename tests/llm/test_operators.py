@@ -284,42 +284,99 @@ def test_components(spark):
 # ---- fingerprints
 
 
+def brute_words(text):
+    import regex
+
+    plain = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text.lower())
+    return regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*", lambda m: f" {m[0]} ", plain).split()
+
+
+def brute_prints(spark, texts, common, span=fingerprints.SPAN):
+    """The sets of signatures, written another way: marks as strings, least hashes by scanning every window."""
+    lists = []
+    for t in texts:
+        words = [w for w in brute_words(t) if w not in common.passed]
+        tied = "^_" + "".join(w + ("_" if w in common.anchors else " ") for w in words)
+        lists.append(tied.strip().split(" ") if words else ["^_"])
+    plain = sorted({m for marks in lists for m in marks if "_" not in m})
+    hashes = {r[0]: r[1] & 0x7FFFFFFF for r in spark.createDataFrame([(m,) for m in plain], "m string").select("m", F.hash("m")).collect()} if plain else {}
+    out = []
+    for t, marks in zip(texts, lists):
+        if not brute_words(t):
+            out.append(frozenset([("whole", t)] if t else []))
+            continue
+        order = [-1 if "_" in m else hashes[m] for m in marks]
+        chosen = set()
+        for at in range(max(1, len(marks) - span + 1)):
+            least = min(order[at : at + span])
+            chosen |= {i for i in range(at, min(at + span, len(marks))) if order[i] == least and least >= 0}
+        word = lambda i: marks[i].rpartition("_")[2] if i < len(marks) else ""
+        out.append(frozenset((m, word(i + 1)) if "_" in m else (m, word(i + 1), word(i + 2)) for i, m in enumerate(marks) if "_" in m or i in chosen))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    russian = "и в не на что он как это по но вода земля человек город день ночь снова идёт видит дом река лес".split()
+    turkish = "ve bir bu da ne için çok ama gibi daha ırmak şehir güneş öğle kış çiçek yağmur İstanbul dağ yol".split()
+    chinese = "的一是不了人我在有他这中大来上国水山火木金土天地日月星云风雨"
+    rng = np.random.default_rng(8)
+    data = h.awkward_texts() + [(500 + i, " ".join(rng.choice(russian, 90))) for i in range(4)] + [(600 + i, " ".join(rng.choice(turkish, 90))) for i in range(4)]
+    data += [(700 + i, "".join(rng.choice(list(chinese), 120))) for i in range(4)] + [(800, "ผมกินข้าวที่บ้าน" * 6), (801, "### $$$"), (None, "no place"), (2, "another row of two")]
+    docs = h.documents(spark, data, True)
+    common = fingerprints.common_words(docs, 5, 6)
+    counts = Counter(w for _, t in data for w in set(brute_words(t or "")))
+    top = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w.encode()))
+    assert (list(common.anchors), list(common.passed)) == (top[:5], top[5:11])
+    got = fingerprints.fingerprint_documents(docs, common).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+    by_id = {}
+    for i, t in data:
+        by_id.setdefault(i, []).append(t or "")
+    ids = sorted(by_id, key=lambda i: (i is None, i or 0))
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    marks = {r.text: r.th for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()}
+    following = {i: min(by_id[after[i]], key=lambda t: marks[t]) for i in ids}
+    rows_ = [(i, t, t[: len(t) - len(t) // 4] + following[i][: len(t) // 4], following[i]) for i in ids for t in by_id[i]]
+    flat = [x for r in rows_ for x in r[1:]]
+    prints = dict(zip(flat, brute_prints(spark, flat, common)))
+    likeness = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    want = Counter((i, len(t), hashlib.sha256(e.encode()).hexdigest(), 8 * len(prints[t]), 8 * len(prints[e]), round(likeness(prints[t], prints[e]), 9), round(likeness(prints[t], prints[f]), 9)) for i, t, e, f in rows_)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    many = [len(r.fingerprint) // 8 for r in got if r.doc_id is not None and 500 <= r.doc_id < 800]
+    assert min(many) >= 10  # scripts and languages of any kind have signatures all over
+    assert len({prints[t] for t in prints}) == len({r.fingerprint for r in got} | {r.edited_fingerprint for r in got})
+
+
 def test_fingerprints(spark):
     data = sorted((i, t) for i, t in h.awkward_texts())
-    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(h.documents(spark, [*data, (None, "no place")], True)).collect()}
-    assert set(got) == {i for i, _ in data}
-    for (i, t), (_, after) in zip(data, data[1:] + data[:1]):
-        t, after = t or "", after or ""
-        cut = len(t) // 4
-        edited = t[: len(t) - cut] + after[:cut]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        if edited == t:
-            assert got[i].fingerprint == got[i].edited_fingerprint and got[i].near_edited == 1
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(h.documents(spark, data, True)).collect()}
     assert got[1].fingerprint == got[2].fingerprint and got[1].near_next == 1 and got[10].fingerprint == ""
     assert got[21].near_next > 0.9 and got[13].near_next < 0.1
     assert fingerprints.fingerprint_documents(h.documents(spark, [])).collect() == []
+    one = fingerprints.fingerprint_documents(h.documents(spark, [(None, "only this")])).collect()
+    assert [(r.doc_id, r.near_next) for r in one] == [(None, 1.0)]
 
 
 def test_fingerprints_tell_edits_from_strangers(spark):
     common = "the of a and in is was that to it".split()
     data = [(i, " ".join(w for k, w in enumerate(h.prose(150, i).split()) for w in (common[k % 10], w))) for i in range(30)]
-    for r in fingerprints.fingerprint_documents(h.documents(spark, data)).collect():
+    for r in fingerprints.fingerprint_documents(h.documents(spark, data), fingerprints.Common(("the", "a", "is"), ("of", "and", "in"))).collect():
         assert r.near_edited > 0.5 > 0.1 > r.near_next
 
 
-def test_fingerprints_cover_texts_without_listed_words(spark):
+def test_fingerprints_cover_texts_without_common_words(spark):
     words = lambda i, n: h.prose(n, i, "kod lista punkt wers tekst bez kotwic".split()).split()
     data = [(i, " ".join(words(i, 200))) for i in range(30)]
     data += [(100, " ".join(["same", "head", *words(100, 200)])), (101, " ".join(["same", "head", *words(101, 200)]))]
-    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(h.documents(spark, data)).collect()}
+    none = fingerprints.Common()
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(h.documents(spark, data), none).collect()}
     assert all(len(r.fingerprint) >= 8 * 200 / fingerprints.SPAN for r in got.values())
     assert all(0.5 < r.near_edited < 1 for r in got.values()) and all(r.near_next < 0.1 for r in got.values())
     # a change anywhere is seen, and only nearby: some of any SPAN words take part
     for at in range(0, 200 - fingerprints.SPAN, 20):
         new = words(0, 200)
         new[at : at + fingerprints.SPAN] = [f"new{k}" for k in range(fingerprints.SPAN)]
-        both = fingerprints.with_signatures(h.documents(spark, [(0, data[0][1]), (1, " ".join(new))]), "text", "sigs").select("sigs").collect()
+        both = fingerprints.with_signatures(h.documents(spark, [(0, data[0][1]), (1, " ".join(new))]), "text", "sigs", none).select("sigs").collect()
         a, b = ({*r.sigs} for r in both)
         assert a != b and len(a & b) > 0.6 * len(a | b)
 
