@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_count, components, stored, text_bytes, tidy
-from tessera.llm.suffixes import CHUNK, U64, _mix, _stretch, _sums
+from tessera.llm.suffixes import CHUNK, U64, _by_bucket, _mix, _stretch, _sums
 
 WORDS = 5
 #: Text bytes for each bucket of keys; and ids that are broadcast at most (8 bytes each).
@@ -230,16 +230,12 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
         member = np.concatenate([k[2] + np.uint32(2 * b) for k, b in zip(kept, base)])
         family = np.repeat(np.array([k[3] for k in kept], np.uint8), [len(k[1]) for k in kept])
         to = ((key >> U64(32)) % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        low, member, family = key.astype(np.uint32)[order], member[order], family[order]
+        low = key.astype(np.uint32)
         rows = []
-        for b in range(buckets):
-            some = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                used, short = np.unique(member[some] >> 1, return_inverse=True)
-                short = (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32)
-                rows.append((b, low[some].tobytes(), short.tobytes(), family[some].tobytes(), docs[used].tobytes()))
+        for b, some in _by_bucket(to, np.arange(len(to))):
+            used, short = np.unique(member[some] >> 1, return_inverse=True)
+            short = (short.astype(np.uint32) * 2 + (member[some] & 1)).astype(np.uint32)
+            rows.append((b, low[some].tobytes(), short.tobytes(), family[some].tobytes(), docs[used].tobytes()))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         names = [x.split()[0] for x in _KEYS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)

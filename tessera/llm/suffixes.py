@@ -6,9 +6,9 @@ corpus is out of reach, but suffixes whose first ``width`` bytes differ never me
 of just those bytes: the smallest hash of the GRAM-byte strings in them (a minimizer). Neighbouring suffixes mostly
 share it, so a stretch of them (a span) travels as one string.
 
-1. Texts are dealt into blocks of documents by a hash of the id. A block sends the distinct minimizers of its texts, four
-   bytes each, and the digests of whole texts, to buckets; those seen in two documents or more come back. The others
-   cannot hold a repeated string.
+1. Texts are dealt into blocks of documents by a hash of id and text. A block sends the distinct minimizers of its texts,
+   four bytes each, and the 128-bit digests of whole texts, to buckets; those seen in two documents or more come back. The
+   others cannot hold a repeated string.
 2. A block sends the distinct spans of the minimizers that came back, each with the smallest document that has it. Whole
    copies of an earlier document are settled by their digest and send nothing.
 3. A bucket orders the suffixes of its spans by their first ``width`` bytes, ties by document. Inside an interval whose
@@ -16,8 +16,11 @@ share it, so a stretch of them (a span) travels as one string.
    Spans with such suffixes come back as bit masks.
 4. A block marks the bytes, removes them and digests what is left.
 
-A passage that very many documents share is one entry a block, however many documents of it have it, and no step holds
-more than a block or a bucket, whose sizes do not grow with the input.
+A passage that very many documents share is one entry a block, however many documents of it have it. A minimizer that
+stands in very many places (a common line goes on in a different way everywhere) is frequent: its spans are cut into
+single suffixes, which are dealt out by all of their ``width`` bytes instead, so no bucket holds all of them. No step
+holds more than a block or a bucket, whose sizes do not grow with the input. Spans are named by 64-bit hashes inside a
+block or under one minimizer only, where a false match has a chance of some 1e-9 in a block of the largest size.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ GRAM = 20
 SPAN = 32
 #: Bytes of text handled at once, in a block of documents, and to a bucket.
 CHUNK, BLOCK, BUCKET = 1 << 20, 12 << 20, 24 << 20
+#: Places from which a minimizer is frequent.
+FREQUENT = 20_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _NONE = np.iinfo(np.int64).max
@@ -142,33 +147,36 @@ class _Texts:
         parts = [self.texts[i] for i in some]
         return np.array(some), np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def digests(self) -> np.ndarray:
-        return np.array([hashlib.blake2b(t, digest_size=16).digest() for t in self.texts], "S16") if self.texts else np.zeros(0, "S16")
 
-
-def _first_docs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys sorted, the smallest id of each, and whether a key has two ids or more."""
+def _first_docs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys sorted, the smallest id of each, whether a key has two ids or more, and how often it is there."""
     order = np.lexsort((ids, keys))
     k, i = keys[order], ids[order]
     head = np.ones(len(k), bool)
     head[1:] = k[1:] != k[:-1]
     at = np.flatnonzero(head)
     if not len(at):
-        return k, i, head
-    return k[at], i[at], np.maximum.reduceat(i, at) != i[at]
+        return k, i, head, np.zeros(0, np.int64)
+    return k[at], i[at], np.maximum.reduceat(i, at) != i[at], np.diff(np.append(at, len(k)))
 
 
+_DIGEST = np.dtype("S16")
 _SENT = "bucket int, block int, kind int, data binary, docs binary"
 _BACK = "block int, kind int, data binary, docs binary"
 
 
 def _digest_keys(texts: _Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the document, digest as two 64-bit numbers in one structured key) of texts that can be removed."""
+    """(number of the document, 128-bit digest) of texts that can be removed."""
     long = np.array([len(t) >= width for t in texts.texts], bool)
-    d = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=8).digest() for t, ok in zip(texts.texts, long) if ok), U64)
+    d = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t, ok in zip(texts.texts, long) if ok), _DIGEST)
     return np.flatnonzero(long), d
 
 
+def _half(digests: np.ndarray) -> np.ndarray:
+    """The first eight bytes of every digest as a number."""
+    return np.frombuffer(digests.tobytes(), U64)[::2]
+
+
 def _send(width: int, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts, block = _Texts(table), key[0].as_py() if hasattr(key[0], "as_py") else key[0]
@@ -177,24 +185,29 @@ def _send(width: int, buckets: int):
             h, start, _ = _runs(data, bounds, width)
             hashes.append(h)
             ids.append(texts.ids[some[np.searchsorted(bounds, start, "right") - 1]])
-        h, _, many = _first_docs(np.concatenate(hashes or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, np.int64)]))
+        h, _, many, often = _first_docs(np.concatenate(hashes or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, np.int64)]))
         rows = []
-        to, low = (h >> U64(32)) % U64(buckets), h.astype(np.uint32)
+        to, low, often = (h >> U64(32)) % U64(buckets), h.astype(np.uint32), often.astype(np.uint32)
         for kind, which in ((0, ~many), (1, many)):
-            order = np.argsort(to[which], kind="stable")
-            cuts = np.searchsorted(to[which][order], np.arange(buckets + 1))
-            values = low[which][order]
-            rows += [(b, block, kind, values[cuts[b] : cuts[b + 1]].tobytes(), b"") for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            for b, x in _by_bucket(to, np.flatnonzero(which)):
+                rows.append((b, block, kind, low[x].tobytes(), often[x].tobytes() if kind else b""))
         number, digest = _digest_keys(texts, width)
-        d, first, _ = _first_docs(digest, texts.ids[number])
-        to = d % U64(buckets)
-        for b in np.unique(to):
-            rows.append((int(b), block, 2, d[to == b].tobytes(), first[to == b].tobytes()))
+        d, first, _, _ = _first_docs(digest, texts.ids[number])
+        for b, x in _by_bucket(_half(d) % U64(buckets), np.arange(len(d))):
+            rows.append((b, block, 2, d[x].tobytes(), first[x].tobytes()))
         return _table(rows, _SENT)
 
     return run
 
 
+def _by_bucket(to: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, those of ``some`` that go to it) for the buckets that are there; the order inside a bucket stays."""
+    some = some[np.argsort(to[some], kind="stable")]
+    head = np.flatnonzero(np.append(True, to[some][1:] != to[some][:-1])) if len(some) else np.zeros(0, np.int64)
+    for a, b in zip(head, np.append(head[1:], len(some))):
+        yield int(to[some[a]]), some[a:b]
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     tidy()
     names = [c.split()[0] for c in schema.split(", ")]
@@ -203,24 +216,33 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _seen_twice(key: tuple, table: pa.Table) -> pa.Table:
-    kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
-    data, docs, bucket = table.column("data").to_pylist(), table.column("docs").to_pylist(), table.column("bucket")[0].as_py()
-    low = [(i, np.frombuffer(data[i], np.uint32)) for i, k in enumerate(kinds) if k < 2]
-    values, counts = np.unique(np.concatenate([v for _, v in low] or [np.zeros(0, np.uint32)]), return_counts=True)
-    twice = np.union1d(values[counts > 1], np.concatenate([np.frombuffer(data[i], np.uint32) for i, k in enumerate(kinds) if k == 1] or [np.zeros(0, np.uint32)]))
-    by_block: dict[int, list[np.ndarray]] = {}
-    for i, v in low:
-        by_block.setdefault(blocks[i], []).append(v[np.isin(v, twice, assume_unique=True)])
-    rows = [(b, bucket, np.concatenate(v).tobytes(), b"") for b, v in by_block.items()]
-    own = [(blocks[i], np.frombuffer(data[i], U64), np.frombuffer(docs[i], np.int64)) for i, k in enumerate(kinds) if k == 2]
-    if own:
-        d, first, _ = _first_docs(np.concatenate([x for _, x, _ in own]), np.concatenate([y for _, _, y in own]))
-        for b, x, y in own:
-            least = first[np.searchsorted(d, x)]
-            if (least < y).any():
-                rows.append((b, -1, x[least < y].tobytes(), least[least < y].tobytes()))
-    return _table(rows, _BACK)
+def _seen_twice(most: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
+        data, docs, bucket = table.column("data").to_pylist(), table.column("docs").to_pylist(), table.column("bucket")[0].as_py()
+        low = [(i, np.frombuffer(data[i], np.uint32)) for i, k in enumerate(kinds) if k < 2]
+        values, at = np.unique(np.concatenate([v for _, v in low] or [np.zeros(0, np.uint32)]), return_inverse=True)
+        # one place each where a block has one document only
+        places = [np.frombuffer(docs[i], np.uint32) if kinds[i] else np.ones(len(v), np.uint32) for i, v in low]
+        total = np.bincount(at, np.concatenate(places or [np.zeros(0, np.uint32)]), len(values))
+        twice, frequent = values[total > 1], values[total >= most]
+        by_block: dict[int, list[np.ndarray]] = {}
+        for i, v in low:
+            by_block.setdefault(blocks[i], []).append(v[np.isin(v, twice, assume_unique=True)])
+        rows = []
+        for b, v in by_block.items():
+            v = np.concatenate(v)
+            rows.append((b, bucket, v.tobytes(), np.isin(v, frequent, assume_unique=True).tobytes()))
+        own = [(blocks[i], np.frombuffer(data[i], _DIGEST), np.frombuffer(docs[i], np.int64)) for i, k in enumerate(kinds) if k == 2]
+        if own:
+            d, first, _, _ = _first_docs(np.concatenate([x for _, x, _ in own]), np.concatenate([y for _, _, y in own]))
+            for b, x, y in own:
+                least = first[np.searchsorted(d, x)]
+                if (least < y).any():
+                    rows.append((b, -1, x[least < y].tobytes(), least[least < y].tobytes()))
+        return _table(rows, _BACK)
+
+    return run
 
 
 class _Block:
@@ -230,28 +252,38 @@ class _Block:
         self.texts, self.width = _Texts(table), width
         kinds, data, docs = (back.column(c).to_pylist() for c in ("kind", "data", "docs"))
         known = [np.frombuffer(x, np.uint32).astype(U64) + (U64(k) << U64(32)) for k, x in zip(kinds, data) if k >= 0]
-        self.known, self.buckets = np.unique(np.concatenate(known or [np.zeros(0, U64)])), buckets
+        self.known, at = np.unique(np.concatenate(known or [np.zeros(0, U64)]), return_index=True)
+        self.frequent = np.concatenate([np.frombuffer(y, bool) for k, y in zip(kinds, docs) if k >= 0] or [np.zeros(0, bool)])[at]
+        self.buckets = buckets
         number, digest = _digest_keys(self.texts, width)
-        d, first, _ = _first_docs(digest, self.texts.ids[number])
+        d, first, _, _ = _first_docs(digest, self.texts.ids[number])
         for k, x, y in zip(kinds, data, docs):
             if k == -1:
-                at = np.searchsorted(d, np.frombuffer(x, U64))
+                at = np.searchsorted(d, np.frombuffer(x, _DIGEST))
                 first[at] = np.minimum(first[at], np.frombuffer(y, np.int64))
         self.copy = np.zeros(len(self.texts.ids), bool)
         if len(number):
             self.copy[number] = self.texts.ids[number] > first[np.searchsorted(d, digest)]
 
     def spans(self) -> Iterator[tuple]:
-        """(document numbers, data, bounds, minimizer, hash, start, count, id) of the spans that may be repeated."""
+        """(document numbers, data, bounds, minimizer, hash, start, count, id, what it is dealt by) of the spans that may be
+        repeated; those of frequent minimizers are single suffixes, dealt by their hash."""
         for some, data, bounds in self.texts.chunks(self.copy):
             h, start, count = _runs(data, bounds, self.width)
             key = ((h >> U64(32)) % U64(self.buckets) << U64(32)) + (h & U64(0xFFFFFFFF))
             at = np.minimum(np.searchsorted(self.known, key), max(len(self.known) - 1, 0))
             keep = self.known[at] == key if len(self.known) else np.zeros(len(key), bool)
+            often = self.frequent[at[keep]] if len(self.known) else np.zeros(0, bool)
             h, start, count = h[keep], start[keep], count[keep]
+            if often.any():
+                pieces = np.where(often, count, 1)
+                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                h, often, start, count = (np.repeat(x, pieces) for x in (h, often, start, count))
+                start, count = start + nth, np.where(often, 1, count)
             sums, inverse = _sums(data)
             content = _stretch(sums, inverse, start, start + count + self.width - 1)
-            yield some, data, bounds, h, content, start, count, self.texts.ids[some[np.searchsorted(bounds, start, "right") - 1]]
+            ids = self.texts.ids[some[np.searchsorted(bounds, start, "right") - 1]]
+            yield some, data, bounds, h, content, start, count, ids, np.where(often, content, h)
 
 
 _SPANS = "bucket int, block int, classes binary, contents binary, docs binary, counts binary, data binary"
@@ -270,31 +302,25 @@ def _send_spans(width: int, buckets: int, span_buckets: int):
             return _table([], _SPANS)
         block = table.column("block")[0].as_py()
         parts = []
-        for _, data, _, h, content, start, count, ids in _Block(table, back, width, buckets).spans():
+        for _, data, _, h, content, start, count, ids, deal in _Block(table, back, width, buckets).spans():
             order = np.lexsort((ids, content))
             head = np.ones(len(order), bool)
             head[1:] = content[order][1:] != content[order][:-1]
             one = np.sort(order[head])
             size = count[one] + width - 1
             first = ids[order[head]][np.argsort(order[head], kind="stable")]
-            parts.append((h[one], content[one], first, count[one], _cut(data, start[one], size)))
+            parts.append((h[one], content[one], first, count[one], _cut(data, start[one], size), deal[one]))
         rows = []
         if parts:
-            h, content, ids, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            h, content, ids, count, deal = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 5))
             data = np.concatenate([p[4] for p in parts])
             size = count + width - 1
             at = np.cumsum(size) - size
             order = np.lexsort((ids, content))  # the same content in two chunks: the smaller id, once
             head = np.ones(len(order), bool)
             head[1:] = content[order][1:] != content[order][:-1]
-            one = order[head]
-            to = (h[one] >> U64(8)) % U64(span_buckets)
-            one = one[np.argsort(to, kind="stable")]
-            cuts = np.searchsorted(np.sort(to), np.arange(span_buckets + 1))
-            for b in range(span_buckets):
-                x = one[cuts[b] : cuts[b + 1]]
-                if len(x):
-                    rows.append((b, block, h[x].tobytes(), content[x].tobytes(), ids[x].tobytes(), count[x].astype(np.uint8).tobytes(), _cut(data, at[x], size[x]).tobytes()))
+            for b, x in _by_bucket((deal >> U64(8)) % U64(span_buckets), order[head]):
+                rows.append((b, block, h[x].tobytes(), content[x].tobytes(), ids[x].tobytes(), count[x].astype(np.uint8).tobytes(), _cut(data, at[x], size[x]).tobytes()))
         return _table(rows, _SPANS)
 
     return run
@@ -393,13 +419,13 @@ def _remove(width: int, buckets: int, kept):
         masks = np.concatenate([np.frombuffer(x, U64) for x in masked.column("docs").to_pylist()] or [np.zeros(0, U64)])
         order = np.argsort(contents)
         contents, masks = contents[order], masks[order]
-        parts = [p[4::3] for p in block.spans()]  # content, id
-        content, first, _ = _first_docs(np.concatenate([p[0] for p in parts] or [np.zeros(0, U64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)]))
+        parts = [(p[4], p[7]) for p in block.spans()]  # content, id
+        content, first, _, _ = _first_docs(np.concatenate([p[0] for p in parts] or [np.zeros(0, U64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)]))
         texts = block.texts
         n = np.array([len(t) for t in texts.texts], np.int64)
         removed, spans = np.where(block.copy, n, 0), block.copy.astype(np.int64)
         left: list = [b"" if c else t for c, t in zip(block.copy, texts.texts)]
-        for some, data, bounds, _, c, start, count, ids in block.spans():
+        for some, data, bounds, _, c, start, count, ids, _ in block.spans():
             if not len(c):
                 continue
             mask = np.zeros(len(c), U64)
@@ -431,21 +457,22 @@ def _remove(width: int, buckets: int, kept):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, digest: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes that stay, or with ``digest`` their SHA-256 in hex).
 
     Null texts are empty. Documents with the same id are the same document: they take nothing from each other. A null id
-    comes after all others. Texts under ``width`` bytes lose nothing. An empty table gives an empty result.
+    comes after all others. Texts under ``width`` bytes lose nothing. An empty table gives an empty result. ``frequent``
+    is the number of places from which a minimizer's suffixes are dealt out one by one.
     """
     if width < GRAM + 4 or width - GRAM + 1 > SPAN:
         raise ValueError(f"width must be from {GRAM + 4} to {GRAM + SPAN - 1}")
     total = text_bytes(docs)
     blocks, buckets = bucket_count(total, BLOCK, 6), bucket_count(total, BUCKET, 12)
-    key = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(blocks)).cast("int")
+    key = F.pmod(F.xxhash64(F.lit(41), "doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
     texts = docs.select("doc_id", "text", key.alias("block"))
     by_block = texts.groupBy("block")
     sent = by_block.applyInArrow(_send(width, buckets), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_seen_twice, _BACK)
+    back = sent.groupBy("bucket").applyInArrow(_seen_twice(frequent), _BACK)
     spans = by_block.cogroup(back.groupBy("block")).applyInArrow(_send_spans(width, buckets, buckets), _SPANS)
     masks = spans.groupBy("bucket").applyInArrow(_match(width), _MASKS)
     kept = (lambda b: hashlib.sha256(b).hexdigest(), "string") if digest else (bytes, "binary")

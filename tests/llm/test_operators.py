@@ -120,15 +120,18 @@ def test_repeats_match_brute_force(spark):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(h.repeats(data), key=str)
 
 
-def test_repeats_many_random(spark):
+@pytest.mark.parametrize("frequent", [suffixes.FREQUENT, 3, 1])
+def test_repeats_many_random(spark, frequent):
     rng = np.random.default_rng(5)
     data = []
     pool = [h.prose(25, 100 + i) for i in range(12)]
     for i in range(80):
         parts = [pool[rng.integers(12)] if rng.random() < 0.4 else h.prose(int(rng.integers(1, 30)), 1000 + i * 7 + k) for k in range(int(rng.integers(0, 6)))]
         data.append((int(rng.integers(0, 10**12)), " ".join(parts)[int(rng.integers(0, 9)) :]))
+    line = "a common line that very many documents have in it "
+    data += [(None, line + h.prose(9, 3000 + i)) for i in range(5)] + [(10**13 + i, h.prose(5, 4000 + i) + line + h.prose(9, 4100 + i)) for i in range(40)]
     for width in (50, 40):
-        got = suffixes.remove_repeats(h.documents(spark, data), width=width, digest=True)
+        got = suffixes.remove_repeats(h.documents(spark, data), width=width, digest=True, frequent=frequent)
         assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(h.repeats(data, width), key=str)
 
 
