@@ -140,31 +140,20 @@ c as (select img, x, y, v, l, coalesce(n, l) as t, coalesce(nw, l) as tl, coales
 k as (select img, x, y, v, l, t, tl, ll, coalesce(ne, t) as tr, coalesce(nee, ne, t) as trr, coalesce(nn, t) as tt from c)"""
 
 
-@query(f"""with {_CAUSAL} select img, x, y, abs(t) as p4, abs(l) as p5, t as p6, l as p7, l + t - tl as p9, l - tl as p10,
+@query(f"""with {_CAUSAL} select img, x, y, cast(2 as bigint) as p0, cast(7 as bigint) as p1, y as p2, x as p3, abs(t) as p4, abs(l) as p5, t as p6, l as p7,
+  l - coalesce(lag(l + t - tl) over (partition by img, y order by x), 0) as p8, l + t - tl as p9, l - tl as p10,
   tl - t as p11, t - tr as p12, t - tt as p13, l - ll as p14 from k""")
 def mod4_properties(spark: SparkSession, sf: str) -> DataFrame:
-    d = stencils.causal(r.samples(spark, sf), "c2")
-    t, l, tl = F.col("top"), F.col("left"), F.col("top_left")
-    found = {4: F.abs(t), 5: F.abs(l), 6: t, 7: l, 9: l + t - tl, 10: l - tl, 11: tl - t, 12: t - F.col("top_right"), 13: t - F.col("top_top"), 14: l - F.col("left_left")}
-    return d.select("img", "x", "y", *[c.alias(f"p{i}") for i, c in found.items()])
+    return stencils.pixel_properties(r.samples(spark, sf), "c2", 2, 7).select("img", "x", "y", *[f"p{i}" for i in range(15)])
 
 
-@query(f"""with {_CAUSAL} select img, x, y, (l + t) // 2 as average0,
-  case when abs(t - tl) < abs(l - tl) then l else t end as pick,
+@query(f"""with {_CAUSAL} select img, x, y, cast(0 as bigint) as zero, l as left, t as top, (l + t) // 2 as average0,
+  case when abs(t - tl) < abs(l - tl) then l else t end as pick, tr as top_right, tl as top_left, ll as left_left, x * 3 - y as weighted,
   least(greatest(l + t - tl, least(l, t)), greatest(l, t)) as gradient, (l + tl) // 2 as average1, (tl + t) // 2 as average2,
-  (t + tr) // 2 as average3, (6 * t - 2 * tt + 7 * l + ll + trr + 3 * tr + 8) // 16 as average4 from k""")
+  (t + tr) // 2 as average3, (6 * t - 2 * tt + 7 * l + ll + trr + 3 * tr + 8) // 16 as average4 from k""".replace("l as left,", 'l as "left",'))
 def mod5_predictors(spark: SparkSession, sf: str) -> DataFrame:
-    d = stencils.causal(r.samples(spark, sf), "c2")
-    t, l, tl, tr = F.col("top"), F.col("left"), F.col("top_left"), F.col("top_right")
-    two = F.lit(2)
-    last = 6 * t - 2 * F.col("top_top") + 7 * l + F.col("left_left") + F.col("top_right_right") + 3 * tr + 8
-    return d.select(
-        "img", "x", "y", s.div(l + t, two).alias("average0"),
-        F.when(F.abs(t - tl) < F.abs(l - tl), l).otherwise(t).alias("pick"),
-        s.clamp(l + t - tl, F.least(l, t), F.greatest(l, t)).alias("gradient"),
-        s.div(l + tl, two).alias("average1"), s.div(tl + t, two).alias("average2"), s.div(t + tr, two).alias("average3"),
-        s.div(last, F.lit(16)).alias("average4"),
-    )
+    d = stencils.causal(r.samples(spark, sf), "c2").withColumn("given", F.col("x") * 3 - F.col("y"))
+    return d.select("img", "x", "y", *[stencils.predict(kind, "given").alias(kind) for kind in stencils.PREDICTORS])
 
 
 @query(f"""with {_RECTS} select r.id, g.region from rects r join regions g
@@ -384,12 +373,66 @@ def vdr4_dc_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return stencils.smooth_dc(r.samples(spark, sf), ["c2"], [40.0]).select("img", "x", "y", fixed("c2_smooth").alias("v"))
 
 
-@query(f"""with {_SAMPLES}, {_AROUND.format('c2')},
-k as (select img, x, y, c2, n1, s1, w1, e1, greatest(1 - abs(n1 - c2) * 0.02::double, 0) as a, greatest(1 - abs(w1 - c2) * 0.02::double, 0) as b,
-  greatest(1 - abs(e1 - c2) * 0.02::double, 0) as c, greatest(1 - abs(s1 - c2) * 0.02::double, 0) as d from u)
-select img, x, y, cast(floor((c2 + a * n1 + b * w1 + c * e1 + d * s1) / (1 + a + b + c + d) * 10000 + 0.5) as bigint) as v from k""")
+def _edge_sql(step: int) -> str:
+    """The three steps over 7 x 7 neighbourhoods; the weights of neighbours are written out one by one."""
+    name = lambda x, y: f"{'mnopqrs'[x + 3]}{y + 3}"
+    cross = [(0, 0), (0, -1), (-1, 0), (1, 0), (0, 1)] if step < 2 else [(0, 0)]
+    near = [(x, y) for x in range(-2, 3) for y in range(-2, 3) if 0 < abs(x) + abs(y) <= (2 if step == 0 else 1)]
+    sad = lambda x, y: " + ".join(f"abs({name(i, j)} - {name(x + i, y + j)})" for i, j in cross)
+    weights = ", ".join(f"greatest(1 + 0.05::double * ({sad(x, y)}) * scaled, 0) as w{n}" for n, (x, y) in enumerate(near))
+    total = " + ".join(["c2", *(f"w{n} * {name(x, y)}" for n, (x, y) in enumerate(near))])
+    whole = " + ".join(["1", *(f"w{n}" for n in range(len(near)))])
+    own = (1.65 * 0.9, 1.65, 1.65 * 6.5)[step]
+    return f"""with {_ROWS7}, {_square7()}, sg as (select *, -0.3::double - (x // 8 + y // 8) % 5 as sigma from sq7),
+sc as (select *, sigma * {own!r}::double * case when x % 8 in (0, 7) or y % 8 in (0, 7) then 2 / 3::double else 1 end as scaled from sg),
+wt as (select *, {weights} from sc)
+select img, x, y, cast(floor((case when sigma < -3.905243::double then c2 else ({total}) / ({whole}) end) * 10000 + 0.5) as bigint) as v from wt"""
+
+
+def _edge(spark: SparkSession, sf: str, step: int) -> DataFrame:
+    sigma = -0.3 - (s.div("x", F.lit(8)) + s.div("y", F.lit(8))) % 5
+    rows = r.samples(spark, sf).withColumn("sigma", sigma)
+    return stencils.edge_filter(rows, ["c2"], [0.05], "sigma", step).select("img", "x", "y", fixed("c2_kept").alias("v"))
+
+
+def _line7(value: str, out: str, table: str, by: str, along: str) -> str:
+    """A CTE body: the seven values along an axis; samples past an end are the mirrored ones."""
+    lag, lead = (lambda n: f"lag({value}, {n}) over w"), (lambda n: f"lead({value}, {n}) over w")
+    def side(f, g, n):
+        if n == 1:
+            return f"coalesce({f(1)}, {value})"
+        if n == 2:
+            return f"case when {f(2)} is not null then {f(2)} when {f(1)} is not null then {f(1)} else coalesce({g(1)}, {value}) end"
+        return f"case when {f(3)} is not null then {f(3)} when {f(2)} is not null then {f(2)} when {f(1)} is not null then {value} else coalesce({g(2)}, {g(1)}, {value}) end"
+    columns = [side(lag, lead, n) for n in (3, 2, 1)] + [value] + [side(lead, lag, n) for n in (1, 2, 3)]
+    named = ", ".join(f"{c} as {out}{i}" for i, c in enumerate(columns))
+    return f"select *, {named} from {table} window w as (partition by img, {by} order by {along})"
+
+
+_ROWS7 = f"{_SAMPLES}, l7 as ({_line7('c2', 'a', 'samples', 'y', 'x')})"
+
+
+def _square7() -> str:
+    steps, table = [], "l7"
+    for i in range(7):
+        steps.append(f"g{i} as ({_line7(f'a{i}', 'mnopqrs'[i], table, 'x', 'y')})")
+        table = f"g{i}"
+    return ", ".join(steps) + f", sq7 as (select * from {table})"
+
+
+@query(_edge_sql(0))
+def vdr11_step0(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge(spark, sf, 0)
+
+
+@query(_edge_sql(1))
+def vdr11_step1(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge(spark, sf, 1)
+
+
+@query(_edge_sql(2))
 def vdr11_epf(spark: SparkSession, sf: str) -> DataFrame:
-    return stencils.edge_filter(r.samples(spark, sf), ["c2"], [1.0], -0.02).select("img", "x", "y", fixed("c2_kept").alias("v"))
+    return _edge(spark, sf, 2)
 
 
 @query(f"""with {_SAMPLES}, h as (
@@ -422,23 +465,55 @@ def syn3_convolve(spark: SparkSession, sf: str) -> DataFrame:
     return stencils.noise_filter(r.samples(spark, sf), "c2").select("img", "x", "y", fixed("noise").alias("v"))
 
 
-def _double_sql() -> str:
-    names = [[f"{c}{j}" for c in "pqrst"] for j in range(5)]  # row j, column by letter
-    all_names = ", ".join(n for row in names for n in row)
-    parts = []
-    for oy in (0, 1):
-        for ox in (0, 1):
-            k = stencils.doubling_kernel(ox, oy)
-            total = " + ".join(f"{names[j][i]} * ({k[j][i]!r})::double" for j in range(5) for i in range(5))
-            parts.append(
-                f"select img, 2 * x + {ox} as x, 2 * y + {oy} as y, cast(floor(least(greatest({total}, least({all_names})), greatest({all_names})) * 10000 + 0.5) as bigint) as v from sq"
-            )
-    return f"with {_ROWS5}, {_square5('c2')} " + " union all ".join(parts)
+def _enlarge_sql(factor: int, weights: str, value: str = "c2") -> str:
+    """Kernels are looked up in a symmetric square that SQL builds from the upper triangle, row by row."""
+    around = ", ".join(f"{c}{j}" for j in range(5) for c in "pqrst")
+    half = factor // 2
+    place = "case when {0} < %d then 5 * {0} + {1} else 5 * (%d - {0}) + 4 - {1} end" % (half, factor - 1)
+    return f"""with {_ROWS5}, {_square5(value)},
+tri as (select a.range as i, b.range as j, row_number() over (order by a.range, b.range) as n from range({5 * half}) a, range({5 * half}) b where a.range <= b.range),
+sym as (select i, j, ({weights})[n] as w from tri union select j, i, ({weights})[n] from tri),
+ker as (
+  select ox.range as ox, oy.range as oy, list(w order by py.range, px.range) as k
+  from range({factor}) ox, range({factor}) oy, range(5) px, range(5) py
+  join sym on i = {place.format('ox.range', 'px.range')} and j = {place.format('oy.range', 'py.range')}
+  group by 1, 2),
+ar as (select img, x, y, [{around}]::double[] as ar from sq)
+select img, {factor} * x + ox as x, {factor} * y + oy as y,
+  cast(floor(least(greatest(list_inner_product(ar, k), list_min(ar)), list_max(ar)) * 10000 + 0.5) as bigint) as v from ar, ker"""
+
+
+_DOUBLING = """[-0.017166138, -0.03451538, -0.040222168, -0.029205322, -0.0062446594, 0.14111328, 0.2890625, 0.0027866364,
+  -0.016098022, 0.56640625, 0.03778076, -0.019866943, -0.031433105, -0.01184845, -0.0021362305]::double[]"""
+_QUADRUPLING = """[-0.024185181, -0.034912109, -0.03692627, -0.030944824, -0.0052986145, -0.01663208, -0.035583496, -0.038879395,
+  -0.03515625, -0.0098953247, 0.23657227, 0.33398438, -0.010734558, -0.013130188, -0.035552979, 0.13049316, 0.40112305,
+  0.039520264, -0.020782471, 0.46923828, -0.0020923615, -0.014846802, -0.040649414, 0.18945312, 0.56298828, 0.066772461,
+  -0.023361206, -0.035522461, -0.0075492859, -0.022674561, -0.023635864, 0.0031585693, -0.033996582, -0.013595581,
+  -0.00091648102, -0.0033550262, -0.011634827, -0.016098022, -0.0097427368, -0.0019159317, -0.010955811, -0.031982422,
+  -0.044555664, -0.027999878, -0.0064582825, 0.063903809, 0.22961426, 0.0063095093, -0.018966675, 0.67529297,
+  0.084838867, -0.025344849, -0.02204895, -0.016677856, -0.0038452148]::double[]"""
+_OCTUPLING = "list_transform(range(210), lambda n: ((n * 37) % 101 - 30) / 1000::double)"
+
+
+@query(_enlarge_sql(2, _DOUBLING))
+def vdr13_upsample(spark: SparkSession, sf: str) -> DataFrame:
+    return stencils.enlarge(r.samples(spark, sf), "c2", 2).select("img", "x", "y", fixed("v").alias("v"))
 
 
-@query(_double_sql())
-def vdr13_upsample(spark: SparkSession, sf: str) -> DataFrame:
-    return stencils.double_size(r.samples(spark, sf), "c2").select("img", "x", "y", fixed("v").alias("v"))
+@query(_enlarge_sql(4, _QUADRUPLING) + " where img % 4 = 1")
+def vdr13_upsample4(spark: SparkSession, sf: str) -> DataFrame:
+    return stencils.enlarge(r.samples(spark, sf).where("img % 4 = 1"), "c2", 4).select("img", "x", "y", fixed("v").alias("v"))
+
+
+@query(_enlarge_sql(8, _OCTUPLING) + " where img % 8 = 1")
+def vdr13_upsample8(spark: SparkSession, sf: str) -> DataFrame:
+    weights = [((n * 37) % 101 - 30) / 1000 for n in range(210)]
+    return stencils.enlarge(r.samples(spark, sf).where("img % 8 = 1"), "c2", 8, weights).select("img", "x", "y", fixed("v").alias("v"))
+
+
+@query(_enlarge_sql(2, _DOUBLING).replace("* 10000 + 0.5", "+ 0.5"))
+def out8_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return stencils.enlarge_alpha(r.samples(spark, sf), "c2", 255).select("img", "x", "y", "v")
 
 
 @query(f"""with {_BLOCKS}, c as (
@@ -452,10 +527,15 @@ def vdr6_idct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _haar_sql() -> str:
-    rows = ",".join(f"({k},{o},{w})" for o, parts in enumerate(transforms.haar_matrix()) for k, w in parts if w)
-    return f"""with q as (select vec_id as blk, unnest(range(64)) as k, cast(floor(unnest(embedding) * 1024) as bigint) as v from embeddings),
-m(k, o, w) as (values {rows})
-select blk, cast(o % 8 as bigint) as x, cast(o // 8 as bigint) as y, cast(sum(v * w) as bigint) as v from q join m using (k) group by blk, o"""
+    """The cascade level by level: samples of the corner become sums and differences, the others stay."""
+    steps = []
+    for n, table in ((1, "q0"), (2, "q1"), (4, "q2")):
+        pair = f"select blk, x % {n} as cx, y % {n} as cy, max(case when x < {n} and y < {n} then v end) as a, max(case when x >= {n} and y < {n} then v end) as b, max(case when x < {n} and y >= {n} then v end) as c, max(case when x >= {n} and y >= {n} then v end) as d from {table} where x < {2 * n} and y < {2 * n} group by 1, 2, 3"
+        outs = " union all ".join(f"select blk, 2 * cx + {dx} as x, 2 * cy + {dy} as y, a {'-' if dy else '+'} b {'-' if dx else '+'} c {'-' if dx != dy else '+'} d as v from ({pair})" for dx in (0, 1) for dy in (0, 1))
+        steps.append(f"q{len(steps) + 1} as ({outs} union all select blk, x, y, v from {table} where x >= {2 * n} or y >= {2 * n})")
+    return f"""with q0 as (select blk, k % 8 as x, k // 8 as y, v from (
+  select vec_id as blk, unnest(range(64)) as k, cast(floor(unnest(embedding) * 1024) as bigint) as v from embeddings)), {', '.join(steps)}
+select blk, x, y, v from q3"""
 
 
 @query(_haar_sql())

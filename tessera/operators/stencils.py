@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 
 def _line(value: str, keys: Sequence[str], along: str, reach: int) -> list[Column]:
-    """The values at -reach .. reach along an axis, mirrored (reach 1 or 2)."""
+    """The values at -reach .. reach along an axis, mirrored (reach 1 to 3)."""
     over = W.partitionBy(*keys).orderBy(along)
     here = F.col(value)
-    before, after = F.lag(value, 1).over(over), F.lead(value, 1).over(over)
-    out = [F.coalesce(before, here), here, F.coalesce(after, here)]
-    if reach == 2:
-        before2 = F.coalesce(F.lag(value, 2).over(over), F.when(before.isNotNull(), before).otherwise(F.coalesce(after, here)))
-        after2 = F.coalesce(F.lead(value, 2).over(over), F.when(after.isNotNull(), after).otherwise(F.coalesce(before, here)))
-        out = [before2, *out, after2]
-    return out
+    before, after = ([here, *[f(value, i).over(over) for i in range(1, reach + 1)]] for f in (F.lag, F.lead))
+
+    def side(near: list[Column], far: list[Column], n: int) -> Column:
+        """The n-th on one side; past the end the walk turns round: the last one again, then back."""
+        choices = [near[n]]
+        for left in range(n - 1, 0, -1):  # so many are there on this side
+            turned = 2 * left - n + 1
+            choices.append(F.when(near[left].isNotNull(), near[turned] if turned >= 0 else far[-turned]))
+        return F.coalesce(*choices, *[far[i] for i in range(n - 1, 0, -1)], here)
+
+    return [side(before, after, n) for n in range(reach, 0, -1)] + [here] + [side(after, before, n) for n in range(1, reach + 1)]
 
 
 def neighbourhood(df: DataFrame, value: str, reach: int = 1, image: str = "img", out: str = "around") -> DataFrame:
@@ -43,12 +47,23 @@ def weigh(around: str, weights: Sequence[Sequence[float]]) -> Column:
     return total
 
 
-# The smoothing filter's default weights, and the first quadrant of the doubling kernel.
+# The smoothing filter's default weights, the weights of the kernels that double and quadruple, and the
+# bound under which the edge filter leaves samples alone.
 GABORISH = (1.1 * 0.104699568, 1.1 * 0.055680538)
 DOUBLING = [
     -0.017166138, -0.03451538, -0.040222168, -0.029205322, -0.0062446594, 0.14111328, 0.2890625, 0.0027866364,
     -0.016098022, 0.56640625, 0.03778076, -0.019866943, -0.031433105, -0.01184845, -0.0021362305,
 ]
+QUADRUPLING = [
+    -0.024185181, -0.034912109, -0.03692627, -0.030944824, -0.0052986145, -0.01663208, -0.035583496, -0.038879395,
+    -0.03515625, -0.0098953247, 0.23657227, 0.33398438, -0.010734558, -0.013130188, -0.035552979, 0.13049316, 0.40112305,
+    0.039520264, -0.020782471, 0.46923828, -0.0020923615, -0.014846802, -0.040649414, 0.18945312, 0.56298828, 0.066772461,
+    -0.023361206, -0.035522461, -0.0075492859, -0.022674561, -0.023635864, 0.0031585693, -0.033996582, -0.013595581,
+    -0.00091648102, -0.0033550262, -0.011634827, -0.016098022, -0.0097427368, -0.0019159317, -0.010955811, -0.031982422,
+    -0.044555664, -0.027999878, -0.0064582825, 0.063903809, 0.22961426, 0.0063095093, -0.018966675, 0.67529297,
+    0.084838867, -0.025344849, -0.02204895, -0.016677856, -0.0038452148,
+]
+LEAST_SIGMA = -3.905243
 
 
 def gaborish(df: DataFrame, value: str, out: str = "smooth") -> DataFrame:
@@ -85,46 +100,73 @@ def smooth_dc(df: DataFrame, values: Sequence[str], steps: Sequence[float]) -> D
     return df.drop("_in", "_f", *[f"_{v}" for v in values])
 
 
-def edge_filter(df: DataFrame, values: Sequence[str], scales: Sequence[float], inverse_sigma: float) -> DataFrame:
-    """Edge-preserving mean of a sample and its four neighbours, each by how alike all channels are.
+_AROUND = {0: [(0, -2), (-1, -1), (0, -1), (1, -1), (-2, 0), (-1, 0), (1, 0), (2, 0), (-1, 1), (0, 1), (1, 1), (0, 2)]}
+_CROSS = [(0, -1), (-1, 0), (1, 0), (0, 1)]
+
 
-    A neighbour weighs max(0, 1 + difference * inverse_sigma), the sample itself 1; inverse_sigma is negative. Adds
-    ``<value>_kept``.
+def edge_filter(df: DataFrame, values: Sequence[str], scales: Sequence[float], inverse_sigma, step: int = 2, sigma_scale: float | None = None, border: float = 2 / 3) -> DataFrame:
+    """Edge-preserving mean of a sample and its neighbours, each by how alike all channels are there.
+
+    Step 0 looks at 12 neighbours, 1 and 2 at four; 0 and 1 compare crosses of five samples, 2 single ones. A neighbour
+    weighs max(0, 1 + difference * inverse_sigma), the sample itself 1. ``inverse_sigma`` (negative) is a number or a
+    column; it is scaled by 1.65, by the step's own scale and, at the borders of 8 x 8 blocks, by ``border``. Where it is
+    under LEAST_SIGMA samples stay. Adds ``<value>_kept``.
     """
+    reach = {0: 3, 1: 2, 2: 1}[step]
     for v in values:
-        df = neighbourhood(df, v, out=f"_{v}")
-    places = [(0, 1), (1, 0), (1, 2), (2, 1)]
-    for n, (j, i) in enumerate(places):
-        off = sum((F.abs(F.col(f"_{v}")[j][i] - F.col(v)) * F.lit(float(s)) for v, s in zip(values, scales)), F.lit(0.0))
-        df = df.withColumn(f"_w{n}", F.greatest(1 + off * F.lit(inverse_sigma), F.lit(0.0)))
-    whole = sum((F.col(f"_w{n}") for n in range(4)), F.lit(1.0))
+        df = neighbourhood(df, v, reach, out=f"_{v}")
+    places = _AROUND.get(step, _CROSS)
+    cross = [(0, 0), *_CROSS] if step < 2 else [(0, 0)]
+    at = lambda v, x, y: F.col(f"_{v}")[reach + y][reach + x]
+    sigma = F.lit(inverse_sigma) if isinstance(inverse_sigma, (int, float)) else F.col(inverse_sigma)
+    edge = (F.col("x") % 8).isin(0, 7) | (F.col("y") % 8).isin(0, 7)
+    scale = 1.65 * ({0: 0.9, 1: 1.0, 2: 6.5}[step] if sigma_scale is None else sigma_scale)
+    df = df.withColumn("_sigma", sigma).withColumn("_scaled", F.col("_sigma") * F.lit(scale) * F.when(edge, F.lit(border)).otherwise(F.lit(1.0)))
+    for n, (x, y) in enumerate(places):
+        off = F.lit(0.0)
+        for v, s in zip(values, scales):
+            for i, j in cross:
+                off = off + F.abs(at(v, i, j) - at(v, x + i, y + j)) * F.lit(float(s))
+        df = df.withColumn(f"_w{n}", F.greatest(1 + off * F.col("_scaled"), F.lit(0.0)))
+    whole = sum((F.col(f"_w{n}") for n in range(len(places))), F.lit(1.0))
     for v in values:
-        total = sum((F.col(f"_w{n}") * F.col(f"_{v}")[j][i] for n, (j, i) in enumerate(places)), F.col(v).cast("double"))
-        df = df.withColumn(f"{v}_kept", total / whole)
-    return df.drop(*[f"_{v}" for v in values], *[f"_w{n}" for n in range(4)])
+        total = sum((F.col(f"_w{n}") * at(v, x, y) for n, (x, y) in enumerate(places)), F.col(v).cast("double"))
+        df = df.withColumn(f"{v}_kept", F.when(F.col("_sigma") < LEAST_SIGMA, F.col(v).cast("double")).otherwise(total / whole))
+    return df.drop("_sigma", "_scaled", *[f"_{v}" for v in values], *[f"_w{n}" for n in range(len(places))])
 
 
-def doubling_kernel(ox: int, oy: int) -> list[list[float]]:
-    """5 x 5 weights for one of the four samples that a sample becomes."""
-    out = [[0.0] * 5 for _ in range(5)]
-    for py in range(5):
-        for px in range(5):
-            i, j = (px if ox == 0 else 4 - px), (py if oy == 0 else 4 - py)
-            lo, hi = min(i, j), max(i, j)
-            out[py][px] = DOUBLING[5 * lo - lo * (lo - 1) // 2 + hi - lo]
-    return out
+def enlarging_kernels(factor: int, weights: Sequence[float]) -> list[list[list[float]]]:
+    """5 x 5 weights for each of the factor * factor samples that a sample becomes, row by row.
 
-
-def double_size(df: DataFrame, value: str, out: str = "v") -> DataFrame:
-    """Twice the width and height; every new sample is a weighed 5 x 5 neighbourhood, kept in its range."""
+    ``weights`` is the upper triangle, row by row, of a symmetric square of 5 * factor / 2 a side, whose blocks of five
+    are the kernels of the first quadrant; the others are mirrored.
+    """
+    half = factor // 2
+    side, given = 5 * half, iter(weights)
+    square = [[0.0] * side for _ in range(side)]
+    for i in range(side):
+        for j in range(i, side):
+            square[i][j] = square[j][i] = float(next(given))
+    if next(given, None) is not None:
+        raise ValueError("too many weights")
+    lines = [[range(5 * o, 5 * o + 5), range(5 * (factor - 1 - o) + 4, 5 * (factor - 1 - o) - 1, -1)][o >= half] for o in range(factor)]
+    return [[[square[i][j] for i in lines[ox]] for j in lines[oy]] for oy in range(factor) for ox in range(factor)]
+
+
+def enlarge(df: DataFrame, value: str, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v") -> DataFrame:
+    """``factor`` (2, 4 or 8) times the width and height; every new sample is a weighed 5 x 5 neighbourhood, kept in its range.
+
+    Weights for 8 have no default here: 210 numbers that the caller gives.
+    """
+    weights = weights or {2: DOUBLING, 4: QUADRUPLING}[factor]
     wide = neighbourhood(df, value, 2)
     flat = F.flatten("around")
-    wide = wide.withColumn("_lo", F.array_min(flat)).withColumn("_hi", F.array_max(flat))
-    parts = [
-        F.struct((F.col("x") * 2 + ox).alias("x"), (F.col("y") * 2 + oy).alias("y"), F.least(F.greatest(weigh("around", doubling_kernel(ox, oy)), "_lo"), "_hi").alias(out))
-        for oy in (0, 1) for ox in (0, 1)
-    ]
-    return wide.select("img", F.explode(F.array(*parts)).alias("s")).select("img", "s.*")
+    wide = wide.withColumn("_flat", flat).drop("around").withColumn("_lo", F.array_min("_flat")).withColumn("_hi", F.array_max("_flat"))
+    kernels = [F.struct(F.lit(n % factor).alias("ox"), F.lit(n // factor).alias("oy"), F.array(*[F.lit(w) for row in k for w in row]).alias("k")) for n, k in enumerate(enlarging_kernels(factor, weights))]
+    each = wide.withColumn("_s", F.explode(F.array(*kernels)))
+    whole = sum((F.col("_flat")[i] * F.col("_s.k")[i] for i in range(25)), F.lit(0.0))
+    shown = F.least(F.greatest(whole, "_lo"), "_hi").alias(out)
+    return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), shown)
 
 
 def widen_chroma(df: DataFrame, value: str, out: str = "v") -> DataFrame:
@@ -135,6 +177,12 @@ def widen_chroma(df: DataFrame, value: str, out: str = "v") -> DataFrame:
     return wide.select("img", "y", F.explode(F.array(*parts)).alias("s")).select("img", "s.x", "y", f"s.{out}")
 
 
+def enlarge_alpha(df: DataFrame, value: str, most: int, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v") -> DataFrame:
+    """A subsampled integer channel at full size: enlarged, rounded, from 0 to ``most``."""
+    whole = F.floor(F.col(out) + 0.5).cast("bigint")
+    return enlarge(df, value, factor, weights, out).withColumn(out, F.least(F.greatest(whole, F.lit(0)), F.lit(most)).cast("bigint"))
+
+
 def causal(df: DataFrame, value: str) -> DataFrame:
     """Adds what precedes a sample in raster order: left, top, top_left, top_right, left_left, top_top, top_right_right.
 
@@ -149,3 +197,42 @@ def causal(df: DataFrame, value: str) -> DataFrame:
     df = df.withColumn("top_left", F.coalesce("_above.nw", "left")).withColumn("top_right", F.coalesce("_above.ne", "top"))
     df = df.withColumn("left_left", F.coalesce("_ww", "left")).withColumn("top_top", F.coalesce("_nn", "top"))
     return df.withColumn("top_right_right", F.coalesce("_above.nee", "top_right")).drop("_w", "_ww", "_up", "_above", "_nn")
+
+
+def pixel_properties(df: DataFrame, value: str, channel: int = 0, stream: int = 0) -> DataFrame:
+    """Adds p0 to p14: what a decision tree asks about a sample's place and the samples before it (see ``causal``).
+
+    p8 is how far the left sample is from the guess made for the sample before, 0 at the start of a row.
+    """
+    d = causal(df, value)
+    t, l, tl = F.col("top"), F.col("left"), F.col("top_left")
+    before = F.coalesce(F.lag("p9").over(W.partitionBy("img", "y").orderBy("x")), F.lit(0).cast("bigint"))
+    found = {
+        0: F.lit(channel).cast("bigint"), 1: F.lit(stream).cast("bigint"), 2: F.col("y"), 3: F.col("x"), 4: F.abs(t), 5: F.abs(l), 6: t, 7: l, 9: l + t - tl,
+        10: l - tl, 11: tl - t, 12: t - F.col("top_right"), 13: t - F.col("top_top"), 14: l - F.col("left_left"),
+    }
+    for i, c in found.items():
+        d = d.withColumn(f"p{i}", c)
+    return d.withColumn("p8", l - before)
+
+
+PREDICTORS = (
+    "zero", "left", "top", "average0", "pick", "gradient", "weighted", "top_right", "top_left", "left_left", "average1", "average2", "average3", "average4",
+)
+
+
+def predict(kind: str, weighted: str | None = None) -> Column:
+    """A guess at a sample from the columns of ``causal``; ``weighted`` names the column of the weighted predictor."""
+    t, l, tl, tr = F.col("top"), F.col("left"), F.col("top_left"), F.col("top_right")
+    half = lambda a, b: F.call_function("div", a + b, F.lit(2).cast("bigint"))
+    if kind == "average4":
+        total = 6 * t - 2 * F.col("top_top") + 7 * l + F.col("left_left") + F.col("top_right_right") + 3 * tr + 8
+        return F.call_function("div", total, F.lit(16).cast("bigint"))
+    if kind == "pick":
+        return F.when(F.abs(t - tl) < F.abs(l - tl), l).otherwise(t)
+    if kind == "gradient":
+        return F.least(F.greatest(l + t - tl, F.least(l, t)), F.greatest(l, t))
+    if kind in ("zero", "weighted"):
+        return F.col(weighted) if kind == "weighted" and weighted else F.lit(0).cast("bigint")
+    pairs = {"average0": (l, t), "average1": (l, tl), "average2": (tl, t), "average3": (t, tr)}
+    return half(*pairs[kind]) if kind in pairs else F.col(kind)

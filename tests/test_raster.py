@@ -105,7 +105,7 @@ def test_stencils_keep_constants_and_mirror(spark):
     flat = spark.range(12).select(F.lit(1).alias("img"), (F.col("id") % 4).alias("x"), F.expr("id div 4").alias("y"), F.lit(7).cast("long").alias("v"))
     assert all(abs(r.smooth - 7) < 1e-9 for r in stencils.gaborish(flat, "v").collect())
     assert all(abs(r.noise) < 1e-9 for r in stencils.noise_filter(flat, "v").collect())
-    doubled = stencils.double_size(flat.withColumnRenamed("v", "c"), "c").collect()
+    doubled = stencils.enlarge(flat.withColumnRenamed("v", "c"), "c").collect()
     assert len(doubled) == 48 and all(abs(r.v - 7) < 1e-6 for r in doubled)
     ramp = flat.withColumn("v", F.col("x"))
     around = {(r.x, r.y): r.around for r in stencils.neighbourhood(ramp, "v", 2).collect()}
