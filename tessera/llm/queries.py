@@ -49,6 +49,25 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+ORACLE_SQL["op3_suffix_dedup"] = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+g as (select doc_id, unnest(range(1, n - 48)) as p, b from d where n >= 50),
+w as (select doc_id, p, min(doc_id) over (partition by b[p:p + 49]) as first from g),
+h as (select doc_id, p, lead(p) over o as later, lag(p) over o as earlier from w where doc_id > first window o as (partition by doc_id order by p)),
+r as (
+  select doc_id, sum(least(coalesce(later - p, 50), 50)) as gone, count(*) filter (where earlier is null or p - earlier > 50) as spans
+  from h group by doc_id),
+c as (  -- what stays before each run, and after the last
+  select doc_id, p as upto, coalesce(earlier + 50, 1) as since from h where earlier is null or p - earlier > 50
+  union all select doc_id, n + 1, coalesce(last + 50, 1) from d left join (select doc_id, max(p) as last from h group by doc_id) using (doc_id)),
+k as (
+  select doc_id, string_agg(case when upto > since then hex(b[since:upto - 1]) else '' end, '' order by since) as kept
+  from c join d using (doc_id) group by doc_id)
+select d.doc_id, d.n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256
+from d join k using (doc_id) left join r using (doc_id)
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), keep=WORDS_KEPT)
 
@@ -63,6 +82,26 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op5_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as shingle
+  from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r as (select a as node, b as other from e union select r.node, e.b from r join e on r.other = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join r on r.node = d.doc_id
+group by d.doc_id, n.n
+"""
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
