@@ -410,7 +410,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     families = {b: family(edges[b], edges[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), percent) for b in range(len(edges) - 1)}
     buckets = bucket_count(text_bytes(docs), PER_BUCKET, 12)
     keys = texts.mapInArrow(_index(edges, families, buckets), _KEYS)
-    groups = stored(keys.groupBy("bucket").applyInArrow(_groups, _GROUPS))
+    groups = stored(keys.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_groups, _GROUPS))
     # every set passes over its most frequent keys, as many as its family allows
     allowed = F.create_map(*[F.lit(x) for b, f in families.items() for x in (b, f.passed)])
     most = F.row_number().over(W.partitionBy("doc_id", "family").orderBy(F.desc("size"), "gid"))
@@ -478,7 +478,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     tasks = bucket_count(rows.count(), 20_000, 12)
     rows = rows.withColumn("task", F.pmod(F.xxhash64("gid", "low", "high"), F.lit(tasks)).cast("int"))
-    near = rows.select("task", "gid", "low", "high", "own", "rep", "whole", "c", "n", "sketch").groupBy("task").applyInArrow(_near(percent), "a long, b long")
+    near = rows.select("task", "gid", "low", "high", "own", "rep", "whole", "c", "n", "sketch").repartition(2 * tasks, "task").groupBy("task").applyInArrow(_near(percent), "a long, b long")
     rest = near.distinct().join(tested, ["a", "b"], "left_anti")
     last = stored(linked(stored(rest)))
     if not last.isEmpty():

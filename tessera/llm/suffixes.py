@@ -469,12 +469,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, digest: bool = False, frequ
     total = text_bytes(docs)
     blocks, buckets = bucket_count(total, BLOCK, 6), bucket_count(total, BUCKET, 12)
     key = F.pmod(F.xxhash64(F.lit(41), "doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
-    texts = docs.select("doc_id", "text", key.alias("block"))
-    by_block = texts.groupBy("block")
+    # partitions by the number of blocks and buckets, so that a task never gets more of them as the input grows
+    by_block = docs.select("doc_id", "text", key.alias("block")).repartition(2 * blocks, "block").groupBy("block")
+    dealt = lambda df, by, n: df.repartition(2 * n, by).groupBy(by)
     sent = by_block.applyInArrow(_send(width, buckets), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_seen_twice(frequent), _BACK)
-    spans = by_block.cogroup(back.groupBy("block")).applyInArrow(_send_spans(width, buckets, buckets), _SPANS)
-    masks = spans.groupBy("bucket").applyInArrow(_match(width), _MASKS)
+    back = dealt(sent, "bucket", buckets).applyInArrow(_seen_twice(frequent), _BACK)
+    spans = by_block.cogroup(dealt(back, "block", blocks)).applyInArrow(_send_spans(width, buckets, buckets), _SPANS)
+    masks = dealt(spans, "bucket", buckets).applyInArrow(_match(width), _MASKS)
     kept = (lambda b: hashlib.sha256(b).hexdigest(), "string") if digest else (bytes, "binary")
-    out = by_block.cogroup(back.union(masks).groupBy("block")).applyInArrow(_remove(width, buckets, kept), f"{_OUT[:-6]}{kept[1]}")
+    out = by_block.cogroup(dealt(back.union(masks), "block", blocks)).applyInArrow(_remove(width, buckets, kept), f"{_OUT[:-6]}{kept[1]}")
     return out
