@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, stored
 
 #: There is an anchor among any so many words in a row.
-SPAN = 8
+SPAN = 8  # a power of two
 #: How many of the words that most documents have are anchors, and how many after them are passed over by chains.
 ANCHORS, PASSED_OVER = 24, 96
-_UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + r"]\p{M}*"
+#: Thai, Lao, Myanmar, Khmer, kana and Han: ranges of code points, which a pattern tests faster than names of scripts.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,8 @@ class Common:
 def words_of(text: Column) -> Column:
     """The words of a text in lower case, with single spaces between them: stretches of letters, marks and digits."""
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, _UNSPACED, " $0 "), " {2,}", " "))
+    apart = F.regexp_replace(F.regexp_replace(plain, rf"[{UNSPACED}]\p{{M}}*", " $0 "), " {2,}", " ")
+    return F.trim(F.when(plain.rlike(f"[{UNSPACED}]"), apart).otherwise(plain))
 
 
 def common_words(docs: DataFrame, anchors: int = ANCHORS, passed: int = PASSED_OVER) -> Common:
@@ -56,6 +58,16 @@ def common_words(docs: DataFrame, anchors: int = ANCHORS, passed: int = PASSED_O
     return Common(tuple(top[:anchors]), tuple(top[anchors:]))
 
 
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words, branching by characters, so that a word is tried once and not for each of them."""
+    branches: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        branches.setdefault(w[:1], []).append(w[1:])
+    tails = [first + (any_of(tuple(rest)) if len(rest) > 1 else rest[0]) for first, rest in branches.items() if first]
+    whole = f"(?:{'|'.join(tails)})" if len(tails) > 1 else "".join(tails)
+    return f"(?:{whole})?" if "" in branches and tails else whole
+
+
 def with_signatures(df: DataFrame, text: str, out: str, common: Common) -> DataFrame:
     """Adds ``out`` array<int>, the sorted distinct signatures of column ``text``, which has no nulls.
 
@@ -63,30 +75,34 @@ def with_signatures(df: DataFrame, text: str, out: str, common: Common) -> DataF
     """
     kept = F.concat(F.lit(" "), F.col("_words"), F.lit(" "))
     if common.passed:
-        kept = F.regexp_replace(kept, f"(?<= )(?:{'|'.join(common.passed)}) ", "")
-    tied = F.trim(F.regexp_replace(kept, f"(?<= )({'|'.join(common.anchors)}) ", "$1_") if common.anchors else kept)
+        kept = F.regexp_replace(kept, f"(?<= ){any_of(common.passed)} ", "")
+    tied = F.trim(F.regexp_replace(kept, f"(?<= )({any_of(common.anchors)}) ", "$1_") if common.anchors else kept)
     marks = F.split(F.concat(F.lit("^_"), tied), " ")
     # tied marks come before all others, so that words are only taken where there are none
     order = F.transform("_marks", lambda m: F.when(m.contains("_"), -1).otherwise(F.hash(m).bitwiseAND(0x7FFFFFFF)))
-    at = lambda c, i: F.get(F.col(c), i)
+
+    def over(frame: DataFrame, column: str, pick) -> DataFrame:
+        """Every place of a column becomes ``pick`` of it and the SPAN - 1 that follow, by doubling."""
+        step = 1
+        while step < SPAN:
+            shifted = F.slice(column, step + 1, F.greatest(F.size(column), F.lit(1)))
+            frame = frame.withColumn(column, F.zip_with(column, shifted, lambda a, b: pick(a, b)))
+            step *= 2
+        return frame
+
     spans = F.greatest(F.size("_order") - (SPAN - 1), F.lit(1))
-    least = F.transform(F.slice("_order", 1, spans), lambda x, i: F.least(x, *[at("_order", i + k) for k in range(1, SPAN)]))
-    least_of = lambda i: F.greatest(*[at("_least", i - k) for k in range(SPAN)])
-    word = lambda i: F.substring_index(F.coalesce(at("_marks", i), F.lit("")), "_", -1)
+    least = F.concat(F.array_repeat(F.lit(-2), SPAN - 1), F.slice(F.col("_least"), 1, spans))
+    word = lambda i: F.substring_index(F.coalesce(F.get("_marks", i), F.lit("")), "_", -1)
     chain = F.transform(
-        "_marks",
-        lambda m, i: F.when(m.contains("_"), F.hash(m, word(i + 1))).when(at("_order", i) == least_of(i), F.hash(m, word(i + 1), word(i + 2))),
+        F.arrays_zip("_marks", "_order", "_chosen"),
+        lambda z, i: F.when(z["_order"] < 0, F.hash(z["_marks"], word(i + 1))).when(z["_order"] == z["_chosen"], F.hash(z["_marks"], word(i + 1), word(i + 2))),
     )
     none = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("whole"), F.col(text))))
-    return (
-        df.withColumn("_words", words_of(F.col(text)))
-        .withColumn("_marks", marks)
-        .withColumn("_order", order)
-        .withColumn("_least", least)
-        .withColumn(out, F.array_sort(F.array_distinct(F.array_compact(chain))))
-        .withColumn(out, F.when(F.col("_words") == "", none).otherwise(F.col(out)))
-        .drop("_words", "_marks", "_order", "_least")
-    )
+    df = df.withColumn("_words", words_of(F.col(text))).withColumn("_marks", marks).withColumn("_order", order)
+    df = over(df.withColumn("_least", F.col("_order")), "_least", F.least).withColumn("_chosen", least)
+    df = over(df, "_chosen", F.greatest).withColumn("_chosen", F.slice("_chosen", 1, F.size("_order")))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.array_compact(chain))))
+    return df.withColumn(out, F.when(F.col("_words") == "", none).otherwise(F.col(out))).drop("_words", "_marks", "_order", "_least", "_chosen")
 
 
 def as_text(sigs: Column) -> Column:

@@ -291,7 +291,7 @@ def brute_words(text):
     import regex
 
     plain = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text.lower())
-    return regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*", lambda m: f" {m[0]} ", plain).split()
+    return regex.sub(rf"[{fingerprints.UNSPACED}]\p{{M}}*", lambda m: f" {m[0]} ", plain).split()
 
 
 def brute_prints(spark, texts, common, span=fingerprints.SPAN):
