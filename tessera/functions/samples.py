@@ -137,3 +137,54 @@ def quant_bias(q, bias: float, fraction: float) -> Column:
     """A quantised coefficient drawn towards zero: +-1 becomes +-bias, larger ones lose fraction / q."""
     q = col(q)
     return F.when(q == 0, F.lit(0.0)).when(F.abs(q) == 1, q * F.lit(bias)).otherwise(q - F.lit(fraction) / F.when(q != 0, q))
+
+
+def in_depth(v, bits: int) -> Column:
+    """Whether a sample fits ``bits`` bits; one that does not is an error of its source."""
+    return (col(v) >= 0) & (col(v) <= (1 << bits) - 1)
+
+
+def rgba(colours: list, alpha, bits: int, alpha_bits: int, most: int) -> list[Column]:
+    """Red, green, blue and alpha on the scale 0 to ``most``; one colour stands for all three, no alpha is full alpha."""
+    shown = [scale_depth(c, bits, most) for c in (colours * 3 if len(colours) == 1 else colours[:3])]
+    return [*shown, F.lit(most).cast("bigint") if alpha is None else scale_depth(alpha, alpha_bits, most)]
+
+
+def modular_xyb(y, x, b_less_y, quant: tuple[float, float, float]) -> list[Column]:
+    """X, Y and B of integer planes stored as Y, X and B - Y."""
+    y, x, b_less_y = col(y), col(x), col(b_less_y)
+    return [x * F.lit(quant[0]), y * F.lit(quant[1]), (b_less_y + y) * F.lit(quant[2])]
+
+
+def wide_add(a, b) -> Column:
+    """Sum of two bigints as 64 bits, without a carry out."""
+    a, b, low = col(a), col(b), F.lit(0xFFFFFFFF)
+    small = a.bitwiseAND(low) + b.bitwiseAND(low)
+    large = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(small, 32)
+    return F.shiftleft(large, 32).bitwiseOR(small.bitwiseAND(low))
+
+
+def checksum(values: str) -> Column:
+    """Order-dependent 64-bit digest of an array of integers: c * 1099511628211 + index, rotated by 11, xor the value.
+
+    The factor is 2**40 + 435, so the product is a shift and two small products.
+    """
+    places = F.transform(values, lambda v, i: F.struct(i.cast("bigint").alias("i"), v.cast("bigint").alias("v")))
+
+    def step(c, s):
+        high = F.shiftleft(F.shiftrightunsigned(c, 32) * 435, 32)
+        product = wide_add(F.shiftleft(c, 40), wide_add(c.bitwiseAND(F.lit(0xFFFFFFFF)) * 435, high))
+        moved = wide_add(product, s["i"])
+        turned = F.shiftleft(moved, 11).bitwiseOR(F.shiftrightunsigned(moved, 53))
+        return turned.bitwiseXOR(s["v"].bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return F.aggregate(places, F.lit(0).cast("bigint"), step)
+
+
+def soft_step(v) -> Column:
+    """The error function, by the rational approximation that the format's renderers use."""
+    x = F.abs(col(v))
+    # fixed values of the approximation
+    d = (((x * 7.77394369e-02 + 2.05260015e-04) * x + 2.32120216e-01) * x + 2.77820801e-01) * x + 1
+    whole = 1 - 1 / F.pow(d, F.lit(4.0))
+    return F.when(col(v) <= 0, -whole).otherwise(whole)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.samples import blend, blend_alpha
+from tessera.functions.samples import blend, blend_alpha, soft_step
 
 
 def grid(sizes: DataFrame, width: str = "w", height: str = "h") -> DataFrame:
@@ -17,8 +17,10 @@ def grid(sizes: DataFrame, width: str = "w", height: str = "h") -> DataFrame:
     return columns.select("img", F.explode(F.sequence(F.lit(0), F.col(width) - 1)).alias("x"), "y")
 
 
-def fill(sizes: DataFrame, samples: DataFrame, value: str) -> DataFrame:
-    """Dense images: samples where there are any, else 0."""
+def fill(sizes: DataFrame, samples: DataFrame, value: str, order: str | None = None) -> DataFrame:
+    """Dense images: samples where there are any, else 0. Of samples at one place the last in ``order`` counts."""
+    if order:
+        samples = samples.groupBy("img", "x", "y").agg(F.max_by(value, order).alias(value))
     return grid(sizes).join(samples, ["img", "x", "y"], "left").withColumn(value, F.coalesce(value, F.lit(0).cast("bigint")))
 
 
@@ -87,12 +89,55 @@ def snapshots(frames: DataFrame, every: int = 0) -> DataFrame:
     return steps.select("img", F.inline(F.aggregate("steps", start, lay)["shown"]))
 
 
-def accumulate(segments: DataFrame, width: int) -> DataFrame:
-    """Additive drawing: segments (img, y, centre, reach, amount) add amount * (reach + 1 - distance) to the samples in reach.
+def placed_blocks(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """img, x, y, v: the samples of 8 x 8 blocks (img, bx, by, x, y, v) at their places, clipped to the image (w, h)."""
+    at = [(F.col(f"b{a}") * 8 + F.col(a)).alias(a) for a in "xy"]
+    rows = blocks.select("img", *at, "v").join(sizes.select("img", "w", "h"), "img")
+    return rows.where("x < w and y < h").select("img", "x", "y", "v")
 
-    A range join whose range is generated: a segment becomes the samples it touches, then a partial aggregate adds up.
+
+def group_counts(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """img, assembled, missing: how many groups (img, grp) of a layout are there; images with none at all are left out."""
+    had = found.select("img", "grp").distinct().withColumn("_had", F.lit(1))
+    rows = expected.join(had, ["img", "grp"], "left").groupBy("img").agg(F.count("_had").alias("assembled"), F.count_if(F.col("_had").isNull()).alias("missing"))
+    return rows.where("assembled > 0")
+
+
+def sample_at(points: DataFrame, samples: DataFrame, value: str) -> DataFrame:
+    """The sample at each point (img, x, y), null outside the image."""
+    return points.join(samples.select("img", "x", "y", value), ["img", "x", "y"], "left")
+
+
+def segment_rows(segments: DataFrame, height: int) -> DataFrame:
+    """Adds y, a row of the image that a segment (cy, reach) touches: one row of the result for each."""
+    low, high = F.greatest(F.round(F.col("cy") - F.col("reach")), F.lit(0.0)), F.least(F.round(F.col("cy") + F.col("reach")), F.lit(height - 1.0))
+    return segments.where(low <= high).withColumn("y", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+
+
+def row_index(rows: DataFrame) -> DataFrame:
+    """img, y, n, start: how many segments touch a row, and how many do rows above."""
+    counts = rows.groupBy("img", "y").agg(F.count("*").alias("n"))
+    above = W.partitionBy("img").orderBy("y").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("n").over(above), F.lit(0)))
+
+
+def draw(segments: DataFrame, width: int, height: int) -> DataFrame:
+    """img, x, y, v: the sum over segments (img, cx, cy, reach, sigma, intensity, colour) of their light at each sample.
+
+    Across its line a segment's light falls off as the square of a difference of error functions of the distance from
+    its centre. The range join's range is generated; a partial aggregate adds up.
     """
-    low, high = F.greatest(F.col("centre") - F.col("reach"), F.lit(0)), F.least(F.col("centre") + F.col("reach"), F.lit(width - 1))
-    touched = segments.where(low <= high).withColumn("x", F.explode(F.sequence(low, high)))
-    amount = F.col("amount") * (F.col("reach") + 1 - F.abs(F.col("x") - F.col("centre")))
-    return touched.groupBy("img", "y", "x").agg(F.sum(amount).alias("v"))
+    rows = segment_rows(segments, height)
+    low, high = F.greatest(F.round(F.col("cx") - F.col("reach")), F.lit(0.0)), F.least(F.round(F.col("cx") + F.col("reach")), F.lit(width - 1.0))
+    rows = rows.where(low <= high).withColumn("x", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    far = F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))
+    inner = 0.353553391  # half of half the root of 2, a fixed value
+    factor = soft_step((far * 0.5 + inner) / F.col("sigma")) - soft_step((far * 0.5 - inner) / F.col("sigma"))
+    light = F.col("colour") * 0.25 * F.col("sigma") * F.col("intensity") * factor * factor
+    return rows.groupBy("img", "x", "y").agg(F.sum(light).alias("v"))
+
+
+def reach(colour, sigma, intensity):
+    """How far a segment's light is worth drawing."""
+    most = F.greatest(F.lit(0.01), F.abs(colour * intensity))
+    return F.sqrt(-2.0 * sigma * sigma * (F.log(F.lit(0.1)) * 3.0 - F.log(most)))

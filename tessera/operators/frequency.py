@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.samples import col, div, quant_bias
+from tessera.operators.transforms import inverse_haar
 
 # Width, height and kind of the transforms by strategy number.
 STRATEGIES = [
@@ -167,3 +168,30 @@ def inverse_small(blocks: DataFrame, kind: str) -> DataFrame:
     out = rows.join(anchor, ["blk", "s"]).select("blk", "s", to.alias("k"), (rest + F.col("anchor")).alias("v"))
     x, y = F.col("s") % 2 * 4 + F.col("k") % 4, div("s", F.lit(2)) * 4 + div("k", F.lit(4))
     return out.select("blk", x.alias("x"), y.alias("y"), "v")
+
+
+def spatial(blocks: DataFrame) -> DataFrame:
+    """blk, strategy, x, y, v of 8 x 8 blocks (blk, strategy, k, v), each kind of transform on its own blocks.
+
+    Larger transforms go through ``inverse_rect`` with their size from ``strategies``.
+    """
+    out = None
+    for number, (width, height, kind) in enumerate(STRATEGIES):
+        if (width, height) != (8, 8) or kind.startswith("corner"):
+            continue
+        own = blocks.where(F.col("strategy") == number)
+        if kind == "dct":
+            done = inverse_rect(own, ["blk"], 8, 8, 2.0)
+        elif kind == "haar":
+            done = inverse_haar(own)
+        else:
+            done = inverse_small(own, kind)
+        done = done.select("blk", F.lit(number).cast("bigint").alias("strategy"), "x", "y", F.col("v").cast("double").alias("v"))
+        out = done if out is None else out.union(done)
+    return out
+
+
+def with_tiles(samples: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Samples beside the row of (img, tx, ty) of the tile of ``size`` samples a side that they lie in."""
+    placed = samples.withColumn("tx", div("x", F.lit(size))).withColumn("ty", div("y", F.lit(size)))
+    return placed.join(tiles, ["img", "tx", "ty"]).drop("tx", "ty")

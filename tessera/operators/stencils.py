@@ -169,12 +169,13 @@ def enlarge(df: DataFrame, value: str, factor: int = 2, weights: Sequence[float]
     return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), shown)
 
 
-def widen_chroma(df: DataFrame, value: str, out: str = "v") -> DataFrame:
-    """Twice the width: three quarters of the sample and a quarter of the nearer neighbour."""
-    left, here, right = _line(value, ["img", "y"], "x", 1)
-    wide = df.withColumn("_l", left).withColumn("_r", right)
-    parts = [F.struct((F.col("x") * 2 + i).alias("x"), (0.75 * here + 0.25 * F.col(n)).alias(out)) for i, n in enumerate(("_l", "_r"))]
-    return wide.select("img", "y", F.explode(F.array(*parts)).alias("s")).select("img", "s.x", "y", f"s.{out}")
+def widen_chroma(df: DataFrame, value: str, out: str = "v", axis: str = "x") -> DataFrame:
+    """Twice as long along an axis: three quarters of the sample and a quarter of the nearer neighbour."""
+    other = "y" if axis == "x" else "x"
+    before, here, after = _line(value, ["img", other], axis, 1)
+    wide = df.withColumn("_b", before).withColumn("_a", after)
+    parts = [F.struct((F.col(axis) * 2 + i).alias(axis), (0.75 * here + 0.25 * F.col(n)).alias(out)) for i, n in enumerate(("_b", "_a"))]
+    return wide.select("img", other, F.explode(F.array(*parts)).alias("s")).select("img", other, f"s.{axis}", f"s.{out}")
 
 
 def enlarge_alpha(df: DataFrame, value: str, most: int, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v") -> DataFrame:

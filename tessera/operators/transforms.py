@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.samples import clamp, div, smooth_tendency
+from tessera.functions.samples import clamp, div, inverse_rct, smooth_tendency
 
 
 def look_up_palette(indices: DataFrame, palette: DataFrame, size: int) -> DataFrame:
@@ -16,13 +16,41 @@ def look_up_palette(indices: DataFrame, palette: DataFrame, size: int) -> DataFr
     return known.join(F.broadcast(palette.where(F.col("i") < size)), "i", "left").drop("i")
 
 
+def named(value, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used; for use inside folds."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items, start, step, out: str, kind: str, chunk: int = 64) -> Column:
+    """An ordered fold of an array whose steps each add something to ``out``, an array<``kind``>.
+
+    ``start`` gives the state's fields, {name: (type, first value)}; ``step(state, item)`` is a struct of the new fields
+    and ``added``, the array to append. Items are folded in chunks and a chunk's output is appended at once, so that the
+    output is not copied at every step.
+    """
+    fields = ", ".join(f"{n}: {t}" for n, (t, _) in start.items())
+    state = f"struct<{fields}, {out}: array<{kind}>>"
+    empty = F.array().cast(f"array<{kind}>")
+    make = lambda values, done: F.struct(*[v.alias(n) for n, v in values.items()], done.alias(out)).cast(state)
+
+    def one(s, item):
+        return named(step(s, item), lambda v: make({n: v[n] for n in start}, F.concat(s[out], v["added"])))
+
+    def many(s, at):
+        inner = F.aggregate(F.slice(items, at, F.lit(chunk)), make({n: s[n] for n in start}, empty), one)
+        return named(inner, lambda v: make({n: v[n] for n in start}, F.concat(s[out], v[out])))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, make({n: v for n, (_, v) in start.items()}, empty), many)[out]
+
+
 def unsqueeze(rows: DataFrame, average: str, residual: str, out: str = "samples") -> DataFrame:
     """Undoes a squeeze along rows: arrays of averages and residuals become one of both's lengths.
 
     Every pair needs the sample before it, so a row is one fold; rows are independent. For columns, gather columns.
     """
     n = F.size(residual)
-    step = F.transform(
+    pairs = F.transform(
         F.sequence(F.lit(1), n),
         lambda i: F.struct(
             F.element_at(average, i).cast("bigint").alias("a"),
@@ -30,17 +58,43 @@ def unsqueeze(rows: DataFrame, average: str, residual: str, out: str = "samples"
             F.element_at(residual, i).cast("bigint").alias("r"),
         ),
     )
+    rows = rows.withColumn("_pairs", F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<a: bigint, b: bigint, r: bigint>>")))
 
-    def grow(done, s):
-        before = F.coalesce(F.try_element_at(done, F.lit(-1)), s["a"])
-        diff = s["r"] + smooth_tendency(before, s["a"], s["b"])
-        first = s["a"] + div(diff, F.lit(2))
-        return F.concat(done, F.array(first, first - diff))
+    def step(s, p):
+        # each value is named once: Spark would work out a repeated expression again
+        around = F.struct(F.coalesce(s["last"], p["a"]).alias("p"), p["a"].alias("a"), p["b"].alias("n"))
+        diff = p["r"] + named(around, lambda v: smooth_tendency(v["p"], v["a"], v["n"]))
+        two = named(diff, lambda d: named(p["a"] + div(d, F.lit(2)), lambda first: F.array(first, first - d)))
+        return named(two, lambda v: F.struct(v[1].alias("last"), v.alias("added")))
 
-    folded = F.aggregate(step, F.array().cast("array<bigint>"), grow)
+    made = folded(F.col("_pairs"), {"last": ("bigint", F.lit(None).cast("bigint"))}, step, "done", "bigint")
     odd = F.when(F.size(average) > n, F.slice(F.col(average).cast("array<bigint>"), -1, 1)).otherwise(F.array().cast("array<bigint>"))
-    whole = F.when(n > 0, F.concat(folded, odd)).otherwise(F.col(average).cast("array<bigint>"))
-    return rows.withColumn(out, whole)
+    whole = F.when(n > 0, F.concat(made, odd)).otherwise(F.col(average).cast("array<bigint>"))
+    return rows.withColumn(out, whole).drop("_pairs")
+
+
+def unsqueeze_prefix(rows: DataFrame, average: str, residual: str, upto: int, out: str = "samples") -> DataFrame:
+    """The first ``upto`` samples of ``unsqueeze``, from no more than they need: a pair looks back, and one average ahead."""
+    pairs = -(-upto // 2)
+    cut = rows.withColumn("_a", F.slice(average, 1, pairs + 1)).withColumn("_r", F.slice(residual, 1, pairs))
+    return unsqueeze(cut, "_a", "_r", out).withColumn(out, F.slice(out, 1, upto)).drop("_a", "_r")
+
+
+def inverted(df: DataFrame, transforms: list[tuple]) -> DataFrame:
+    """Undoes transforms of channels, the last one first: ("rct", kind, columns) or ("palette", column, table, size)."""
+    for kind, *what in reversed(transforms):
+        if kind == "rct":
+            number, columns = what
+            df = df.withColumn("_rct", F.array(*inverse_rct(number, *columns)))
+            for i, c in enumerate(columns):
+                df = df.withColumn(c, F.col("_rct")[i])
+            df = df.drop("_rct")
+        elif kind == "palette":
+            column, table, size = what
+            df = look_up_palette(df.withColumnRenamed(column, "idx"), table, size).drop("idx")
+        else:
+            raise ValueError(f"no such transform: {kind}")
+    return df
 
 
 def inverse_dct(blocks: DataFrame, size: int = 8) -> DataFrame:

@@ -15,15 +15,16 @@ def ceil_div(a, b) -> Column:
     return div(col(a) + col(b) - 1, b)
 
 
-def group_layout(frames: DataFrame, shift: int = 1, upsampling: int = 1) -> DataFrame:
-    """Adds group_dim, groups_x, groups_y, dc_groups_x, dc_groups_y and sections, for frames of one pass."""
+def group_layout(frames: DataFrame, shift: int = 1, upsampling: int = 1, passes: str | None = None) -> DataFrame:
+    """Adds group_dim, groups_x, groups_y, dc_groups_x, dc_groups_y and sections. ``passes`` names their column; else 1."""
     dim = 128 << shift
     out = frames.withColumn("group_dim", F.lit(dim).cast("bigint"))
     for axis, size in (("x", "w"), ("y", "h")):
         coded = ceil_div(size, F.lit(upsampling))
         out = out.withColumn(f"groups_{axis}", ceil_div(coded, F.lit(dim))).withColumn(f"dc_groups_{axis}", ceil_div(ceil_div(coded, F.lit(8)), F.lit(dim)))
     groups, dc = F.col("groups_x") * F.col("groups_y"), F.col("dc_groups_x") * F.col("dc_groups_y")
-    return out.withColumn("sections", F.when(groups == 1, F.lit(1).cast("bigint")).otherwise(2 + dc + groups))
+    n = F.col(passes) if passes else F.lit(1)
+    return out.withColumn("sections", F.when((groups == 1) & (n == 1), F.lit(1).cast("bigint")).otherwise(2 + dc + groups * n))
 
 
 def groups(frames: DataFrame) -> DataFrame:
@@ -140,3 +141,121 @@ def byte_kind(byte, fine: bool) -> Column:
     if fine:
         return k.when(b == 0, 2).when(b == 1, 3).when(b < 16, 4).when(b == 255, 6).when(b > 240, 5).otherwise(7)
     return k.when(b < 16, 2).when(b > 240, 3).otherwise(4)
+
+
+def size_header(small, height, ratio, width) -> list[Column]:
+    """(width, height) of a size header: small heights count in eights, and a ratio of 1 to 7 stands for the width.
+
+    A ratio of 0 has an explicit width, in eights as well where the header is small.
+    """
+    ratios = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in ((1, 1), (12, 10), (4, 3), (3, 2), (16, 9), (5, 4), (2, 1))])  # fixed values
+    whole = lambda v: F.when(col(small), (col(v) + 1) * 8).otherwise(col(v) + 1)
+    h = whole(height)
+    q = F.element_at(ratios, F.greatest(col(ratio), F.lit(1)).cast("int"))
+    return [F.when(col(ratio) == 0, whole(width)).otherwise(div(h * q["n"], q["d"])), h]
+
+
+def payload(body, offset, size) -> Column:
+    """The bytes of a section, null where it does not lie inside the stream."""
+    o, n = col(offset).cast("int"), col(size).cast("int")
+    return F.when((o >= 0) & (n >= 0) & (o + n <= F.octet_length(col(body))), F.substring(col(body), o + 1, n))
+
+
+def classified(kinds: DataFrame, frames: DataFrame) -> DataFrame:
+    """frame, id, kind, pass, grp and the rectangle x, y, gw, gh of the sections that belong to a group.
+
+    An equi join by frame and group; DC groups are eight times as long. Sections of groups that are not there drop out.
+    """
+    wide = frames.withColumn("group_dim", F.col("group_dim") * 8).withColumn("groups_x", F.col("dc_groups_x")).withColumn("groups_y", F.col("dc_groups_y"))
+    rects = groups(frames).withColumn("kind", F.lit("ac_group")).union(groups(wide).withColumn("kind", F.lit("dc_group")))
+    return kinds.select("frame", "id", "kind", "pass", "grp").join(rects, ["frame", "kind", "grp"])
+
+
+def channel_rects(group_rows: DataFrame, channels: DataFrame, least: str = "min_shift", most: str = "max_shift") -> DataFrame:
+    """frame, grp, channel, x, y, gw, gh: what a group holds of subsampled channels (frame, channel, cw, ch, shift).
+
+    Only channels whose shift lies in the pass's bracket (columns of the groups) are in it, and only where anything is
+    left of the rectangle.
+    """
+    met = group_rows.join(channels, "frame").where((F.col("shift") >= F.col(least)) & (F.col("shift") <= F.col(most)))
+    shifted = lambda c: F.expr(f"shiftright({c}, int(shift))")
+    x, y = shifted("x"), shifted("y")
+    rows = met.select("frame", "grp", "channel", x.alias("x"), y.alias("y"), F.least(shifted("gw"), F.col("cw") - x).alias("gw"), F.least(shifted("gh"), F.col("ch") - y).alias("gh"))
+    return rows.where("gw > 0 and gh > 0")
+
+
+def coded_rect(x0, y0, x1, y1, upsampling) -> list[Column]:
+    """A rectangle of the shown image in the coded one, rounded outwards."""
+    u = col(upsampling)
+    return [div(x0, u), div(y0, u), ceil_div(x1, u), ceil_div(y1, u)]
+
+
+def dependency(rows: DataFrame) -> DataFrame:
+    """What has to be decoded for a region (x, y, w, h) of an image (width, height): adds dx, dy, dw, dh.
+
+    ``across`` and ``down`` say whether a squeeze runs that way, ``shift`` is the largest vertical shift of a channel.
+    Any squeeze needs whole rows; a vertical one all rows from the top, for a region at the top only to the next
+    multiple of 2**shift after it, for others to the end.
+    """
+    any_squeeze, down = F.col("across") | F.col("down"), F.col("down")
+    unit = F.expr("shiftleft(1L, int(shift))")
+    top = ceil_div(F.col("y") + F.col("h") + unit, unit) * unit
+    height = F.when(~down, F.col("h")).when(F.col("y") == 0, top).otherwise(F.col("height"))
+    return (
+        rows.withColumn("dx", F.when(any_squeeze, 0).otherwise(F.col("x"))).withColumn("dw", F.when(any_squeeze, F.col("width")).otherwise(F.col("w")))
+        .withColumn("dy", F.when(down, 0).otherwise(F.col("y")))
+        .withColumn("dh", F.when(any_squeeze, F.least(height, F.col("height"))).otherwise(F.col("h")))
+    )
+
+
+def shifted_blocks(blocks: DataFrame, across: int, down: int) -> DataFrame:
+    """Blocks (bx, by of a group wb x hb) that a subsampled channel has: those on its grid, at their places there."""
+    x, y = F.shiftright("bx", across), F.shiftright("by", down)
+    on = (F.shiftleft(x, across) == F.col("bx")) & (F.shiftleft(y, down) == F.col("by"))
+    inside = (x < F.shiftright("wb", across)) & (y < F.shiftright("hb", down))
+    return blocks.where(on & inside).withColumn("sx", x).withColumn("sy", y)
+
+
+def extra_channels(frames: DataFrame, extras: DataFrame) -> DataFrame:
+    """(frame, extra, cw, ch, shift, planned): extra channels (frame, extra, up) of frames (w, h, dim, up_log).
+
+    A channel is planned for groups from the first one on that is larger than a group.
+    """
+    size = lambda c: ceil_div(c, F.col("up"))
+    rows = extras.join(frames, "frame").withColumn("cw", size("w")).withColumn("ch", size("h"))
+    large = (F.col("cw") > F.col("dim")) | (F.col("ch") > F.col("dim"))
+    upto = W.partitionBy("frame").orderBy("extra")
+    rows = rows.withColumn("planned", F.max(large).over(upto)).withColumn("shift", F.ceil(F.log2(F.col("up").cast("double"))).cast("bigint") - F.col("up_log"))
+    return rows.select("frame", "extra", "cw", "ch", "shift", "planned")
+
+
+def output_bytes(w, h, channels, bits) -> Column:
+    """Bytes that a decoded image takes: one a sample up to 8 bits, else two."""
+    return col(w) * col(h) * col(channels) * F.when(col(bits) <= 8, 1).otherwise(2)
+
+
+# Names of the enumerations of headers, by code.
+LABELS = {
+    "blend": ("replace", "add", "blend", "weighted add", "multiply"),
+    "frame": ("regular", "dc", "reference only", "skip progressive"),
+    "encoding": ("var dct", "modular"),
+    "space": ("rgb", "grey", "xyb", "unknown"),
+    "orientation": ("identity", "mirror", "half turn", "flip", "transpose", "clockwise", "transpose across", "counterclockwise"),
+}
+
+
+def label(kind: str, code, first: int = 0) -> Column:
+    """The name of a code of an enumeration, null for codes outside it."""
+    return F.get(F.array(*[F.lit(n) for n in LABELS[kind]]), (col(code) - first).cast("int"))
+
+
+def clipped(x0, y0, w, h, width: int, height: int) -> list[Column]:
+    """(x, y, w, h) of what a rectangle shares with a canvas; no width or height where that is nothing."""
+    x, y = F.greatest(col(x0), F.lit(0)), F.greatest(col(y0), F.lit(0))
+    return [x, y, F.greatest(F.least(col(x0) + col(w), F.lit(width)) - x, F.lit(0)), F.greatest(F.least(col(y0) + col(h), F.lit(height)) - y, F.lit(0))]
+
+
+def timeline(frames: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Adds ``starts_ms``: when each frame (img, frame, ticks) is shown, at numerator / denominator ticks a second."""
+    before = F.sum("ticks").over(W.partitionBy("img").orderBy("frame").rowsBetween(W.unboundedPreceding, -1))
+    return frames.withColumn("starts_ms", div(F.coalesce(before, F.lit(0)) * denominator * 1000, F.lit(numerator)))
