@@ -286,7 +286,7 @@ def xfm6_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {_SAMPLES}, one as (select img, x, y, c0, c1, c2 + c0 as c2 from samples),
-two as (select img, x, y, c2 as c0, c0 as c1, c1 + c2 as c2 from one)
+two as (select img, x, y, c0, c2 + c0 as c1, c1 as c2 from one)
 select img, x, y, c0, c1, c2 from two""")
 def xfm1_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Kind 22 was applied first (permutation 3, variant 1), then kind 1; they are undone the other way round."""
