@@ -26,6 +26,8 @@ from tessera.llm.common import components, stored
 
 #: There is an anchor among any so many words in a row.
 SPAN = 8  # a power of two
+#: Parts of a key that may be hot.
+SALTS = 64
 #: How many of the words that most documents have are anchors, and how many after them are passed over by chains.
 ANCHORS, PASSED_OVER = 24, 96
 #: Thai, Lao, Myanmar, Khmer, kana and Han: ranges of code points, which a pattern tests faster than names of scripts.
@@ -119,30 +121,40 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id): fingerprints reachable from each other by likeness of ``threshold`` or more; the smallest id names it.
+    """(id, class_id), a row per row: fingerprints reachable from each other by likeness of ``threshold`` or more; the smallest id names it.
 
     prints: id long, sigs array<int>; the threshold counts in whole millionths, so that bounds are exact. Equal fingerprints
     count once. Sets are put in length bands a factor 1/threshold wide or a little more, so partners stand in one band or
     the next; two such sets share one of the size - ceil(threshold * size) + 1 rarest signatures of either, which are the
-    keys. Under a key all first meet its smallest id; then only members of different
-    classes meet, so a key that very many near copies share makes no square of pairs. Empty fingerprints stand alone.
+    keys. A signature of one set only is no key, but it is the rarest, so a set with that many of them has no partner.
+    Under a key all first meet its smallest id; then only members of different classes meet, so a key that very many near
+    copies share makes no square of pairs. Empty fingerprints stand alone, rows with a null id have no class. Where an id
+    is repeated, the row with the smallest hash stands for it; the others have the class of an equal fingerprint, or their id.
     """
     parts, whole = round(threshold * 1_000_000), 1_000_000
-    same = W.partitionBy("sigs")
-    named = stored(prints.withColumn("rep", F.min("id").over(same)))
-    sets = stored(named.where("size(sigs) > 0 and id = rep").select("id", "sigs").dropDuplicates(["id"]))
-    spread = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    often = spread.groupBy("sig").agg(F.count("*").alias("freq"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("freq", "sig"))
-    rare = spread.join(often, "sig").withColumn("r", rank).where(F.col("r") <= F.col("n") + F.expr(f"-(n * {parts}L + {whole - 1}L) div {whole}L") + 1)
+    rows = prints.select("id", "sigs", F.size("sigs").alias("n"), F.xxhash64("sigs").alias("d1"), F.xxhash64(F.lit(7), "sigs").alias("d2"))
+    equal = rows.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = _beside(rows, equal, ["n", "d1", "d2"], F.hash("id"), "left").withColumn("rep", F.coalesce("rep", "id"))
+    named = stored(named)
+    own = F.row_number().over(W.partitionBy("id").orderBy("d1", "d2"))
+    sets = stored(named.where("n > 0 and id = rep").withColumn("_r", own).where("_r = 1").select("id", "sigs", "n"))
+    spread = sets.select("id", "n", F.explode("sigs").alias("sig"))
+    often = spread.groupBy("sig").agg(F.count("*").alias("freq")).where("freq > 1")
+    # places in the order of rarity: those that only this set has come first
+    of_set = W.partitionBy("id")
+    known = spread.join(often, "sig").withColumn("r", F.row_number().over(of_set.orderBy("freq", "sig")) + F.col("n") - F.count("*").over(of_set))
+    rare = known.where(F.col("r") <= F.col("n") + F.expr(f"-(n * {parts}L + {whole - 1}L) div {whole}L") + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) / F.lit(1 + 1e-9))
-    keyed = rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band"))
-    keyed = stored(keyed.withColumn("centre", F.min("id").over(W.partitionBy("sig", "band"))))
+    keyed = stored(rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band")))
+    groups = keyed.groupBy("sig", "band").agg(F.min("id").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
+    keyed = stored(_beside(keyed, groups, ["sig", "band"], F.hash("id"), "inner"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa"), F.col("n").alias("na")), "a")
+        met = met.join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb"), F.col("n").alias("nb")), "b")
+        met = met.where(F.least("na", "nb").cast("long") * whole >= F.greatest("na", "nb").cast("long") * parts)
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return met.where(common * whole >= (F.size("sa") + F.size("sb") - common) * parts).select("a", "b")
+        return met.where(common * whole >= (F.col("na") + F.col("nb") - common) * parts).select("a", "b")
 
     first = stored(keyed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(linked(first))
@@ -154,7 +166,13 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     rest = left.join(right, ["sig", "band"]).where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     found = components(links.union(linked(rest)))
     classes = found.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
-    return named.join(classes, "rep", "left").select("id", F.when(F.size("sigs") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("id")).alias("class_id"))
+    return named.join(classes, "rep", "left").select("id", F.when(F.col("n") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("id")).alias("class_id"))
+
+
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
+    """Rows with the columns of the one row of ``few`` that has their keys, in salts, so that a hot key is many tasks."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(SALTS))).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def _successors(texts: DataFrame) -> DataFrame:
@@ -182,13 +200,14 @@ def _first(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_r", r).where("_r = 1").drop("_r", "th")
 
 
-def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, common: Common | None = None, classes: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are.
 
     Edited: the last quarter of the code points is replaced by as many from the start of the next document. Null texts
     are empty. Rows with a null doc_id are one document, that after all others. Where a doc_id is repeated, every row
     has its fingerprint, and the document that comes next is the row of the next doc_id with the smallest text hash. Two
-    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none.
+    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none. With ``classes`` a
+    column class_id is added (``near_classes``); of rows that repeat an id the smallest class.
     """
     common = common or common_words(docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -210,6 +229,10 @@ def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> Data
     )
     following = _first(prints.select(F.col("doc_id").alias("_next"), "th", F.col("sigs").alias("next_sigs")), "_next")
     met = prints.hint("merge").join(following, prints["next_id"].eqNullSafe(following["_next"]))
+    more = []
+    if classes:
+        found = near_classes(prints.select(F.col("doc_id").alias("id"), "sigs")).where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"))
+        met, more = met.join(found, met["doc_id"] == found["id"], "left"), ["class_id"]
     return met.select(
         "doc_id",
         "n_chars",
@@ -218,4 +241,5 @@ def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> Data
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        *more,
     )

@@ -103,7 +103,7 @@ group by d.doc_id, n.n
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint_documents(table(spark, sf_dir, "documents"), classes=True)
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

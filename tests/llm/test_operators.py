@@ -330,7 +330,7 @@ def test_fingerprints_match_brute_force(spark):
     counts = Counter(w for _, t in data for w in set(brute_words(t or "")))
     top = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w.encode()))
     assert (list(common.anchors), list(common.passed)) == (top[:5], top[5:11])
-    got = fingerprints.fingerprint_documents(docs, common).collect()
+    got = fingerprints.fingerprint_documents(docs, common, classes=True).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
     by_id = {}
     for i, t in data:
@@ -345,6 +345,18 @@ def test_fingerprints_match_brute_force(spark):
     likeness = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
     want = Counter((i, len(t), hashlib.sha256(e.encode()).hexdigest(), 8 * len(prints[t]), 8 * len(prints[e]), round(likeness(prints[t], prints[e]), 9), round(likeness(prints[t], prints[f]), 9)) for i, t, e, f in rows_)
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    # classes: by comparing all fingerprints with all
+    sets = {}
+    for i, t, _, _ in rows_:
+        if i is not None:
+            sets.setdefault(i, []).append(prints[t])
+    top = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if a != b and any(x and y and 5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    assert all(r.class_id == (top[r.doc_id] if r.doc_id is not None else None) for r in got if r.doc_id != 2)
     many = [len(r.fingerprint) // 8 for r in got if r.doc_id is not None and 500 <= r.doc_id < 800]
     assert min(many) >= 10  # scripts and languages of any kind have signatures all over
     assert len({prints[t] for t in prints}) == len({r.fingerprint for r in got} | {r.edited_fingerprint for r in got})
