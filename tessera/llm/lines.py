@@ -1,22 +1,32 @@
-"""Removal of repeated runs of lines, by prefix doubling over sequences of line ids.
+"""Removal of repeated runs of lines: a suffix array over sequences of line ids, by distributed prefix doubling.
 
-A document is the sequence of its lines that hold anything; a line's id is 128 bits of hash. Prefix doubling ranks runs:
-the class of a run of 2w lines is the pair of the classes of its halves, so each round joins every position with the one
-w lines on and counts the pairs, all by shuffles; a class is an interval of suffixes with a common prefix of that many
-lines, and one with a single member is dropped before the next round. A run whose length is no power of two is two
-overlapping ones. Of each interval the first member in order of document and line stays. Every repeated run of at least
-w lines is covered by its runs of w lines, so marking those marks all maximal runs of at least that length.
+A document is the sequence of its lines that hold anything; a line's id is 128 bits of hash. Lines that are there once
+end every run, so only the others are sorted.
 
-A run goes if it is ``min_lines`` long or more, and a single line if it has ``min_words`` words: shorter lines alone, such
-as list marks and headings, say nothing about copying. Lines of white space are no part of sequences and always stay.
+1. ``suffixes``: the rank of a position is where its class begins in the order of the suffixes' first w lines. A round
+   sorts positions by their rank and the rank w lines on, which gives ranks by 2w lines, until no class splits any more:
+   then suffixes of one class are equal to the end of their documents. A sort is by ranges, with ties dealt over many
+   tasks; tasks number their rows, and one row a task settles what they start from.
+2. ``common_prefixes``: in the order of the array, how many lines a suffix shares with the one before it. The round in
+   which the two parted bounds that number by a factor of two. It is worked out only where it is not the number of the line
+   before less one (an irreducible value), by comparing lines between the bounds.
+3. ``intervals``: stretches of the array in which that number never falls under d are the runs of d lines that stand in
+   several places. The first place in order of document and line stays, later ones go.
+
+A run goes if it is ``min_lines`` long or more, or has ``min_words`` words in all: short lines alone, such as list marks
+and headings, say nothing about copying. Every line of a maximal repeated run that qualifies is in a run of at most
+``min_lines`` lines that does, so intervals of few depths find all of them, however long they are. Lines of white space
+are no part of sequences and always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,43 +34,167 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, stored
 
 _WHITE = "\\t\\n\\x0B\\f\\r "
-SALTS = 16
+#: Parts of a class that may be hot.
+SALTS = 64
+_PLACE = ["doc_id", "th", "i"]
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, th, i, a, b, long: the lines that hold anything; th tells apart rows that share a doc_id.
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, th, i, n, a, b, words: the lines that hold anything; th tells apart rows that share a doc_id.
 
-    i counts such lines from 0, (a, b) is the line's id, long whether it has ``min_words`` words. Rows with a null
-    doc_id are left out.
+    i counts such lines from 0, n is their number in the document, (a, b) is the line's id. Rows with a null doc_id are
+    left out.
     """
     held = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{_WHITE}]"))
-    rows = docs.where("doc_id is not null and text is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(held).alias("i", "line"))
-    many = f"[^{_WHITE}]+([{_WHITE}]+[^{_WHITE}]+){{{max(min_words, 1) - 1}}}"
-    return rows.select(
-        "doc_id", "th", "i", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), F.rlike("line", F.lit(many)).alias("long")
-    )
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), held.alias("lines"))
+    rows = rows.select("doc_id", "th", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    words = F.regexp_count("line", F.lit(f"[^{_WHITE}]+"))
+    return rows.select(*_PLACE, "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), words.alias("words"))
 
 
-def repeated(runs: DataFrame) -> DataFrame:
-    """The runs whose class (a, b) has several members, with ``later``: it is not the first of its class.
+def with_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose class (``keys``) has several places, with ``later``: theirs is not the first of them.
 
     Counting is a partial aggregate; the classes that remain are joined in SALTS salts, so that a line which a third of
-    the documents have is not one task's.
+    the documents have is not one task's. Rows equal in document and text are one document.
     """
-    first = F.min(F.struct("doc_id", "th", "i")).alias("first")
-    classes = runs.groupBy("a", "b").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
+    first = F.min(F.struct(*_PLACE)).alias("first")
+    classes = rows.groupBy(*keys).agg(first, F.max(F.struct(*_PLACE)).alias("last")).where("first <> last").drop("last")
     salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = runs.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(SALTS))).join(salted, ["a", "b", "salt"])
-    return met.withColumn("later", F.struct("doc_id", "th", "i") != F.col("first")).drop("first", "salt")
+    met = rows.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(SALTS))).join(salted, [*keys, "salt"])
+    return met.withColumn("later", F.struct(*_PLACE) != F.col("first")).drop("first", "salt")
+
+
+def _sorted_parts(rows: DataFrame, order: Sequence[str], keys: Sequence[str], deal: Sequence) -> DataFrame:
+    """The rows in parts that follow each other in ``order``, with part, at (place in the part) and start (place of the
+    first row of the part with the same ``keys``), stored."""
+    number = [rows.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, start, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = np.column_stack([batch.column(c).to_numpy() for c in number])
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]).any(1)
+            new[0] = last is None or (key[0] != last).any()
+            place = np.arange(at, at + n)
+            starts = np.maximum.accumulate(np.where(new, place, -1))
+            starts = np.where(starts < 0, start, starts)
+            at, start, last = at + n, starts[-1], key[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place), pa.array(starts)], names=[*batch.schema.names, "part", "at", "start"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.repartitionByRange(*order, *deal).sortWithinPartitions(*order)
+    return stored(dealt.mapInArrow(run, f"{schema}, part int, at long, start long"))
 
 
-def longer(runs: DataFrame, shift: int) -> DataFrame:
-    """The runs made of a run and the one ``shift`` lines on, where both are there."""
-    by_doc = W.partitionBy("doc_id", "th").orderBy("i").rangeBetween(shift, shift)
-    on = F.first(F.struct("a", "b")).over(by_doc)
-    met = runs.select("doc_id", "th", "i", "a", "b", on.alias("on")).where("on is not null")
-    return met.select("doc_id", "th", "i", F.xxhash64("a", "on.a").alias("a"), F.xxhash64("b", "on.b").alias("b"))
+def numbered(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Adds ``place``: how many rows have smaller ``keys`` (long columns). Also returns how many different keys there are.
+
+    Rows of one key may fill several parts; a part whose first key is the last of the part before goes on with its place.
+    The tables of parts have one row each.
+    """
+    parts = _sorted_parts(rows, keys, keys, [F.hash("doc_id", "i")])
+    key = F.struct(*keys)
+    ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("start").alias("last"), F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(F.col("at") == F.col("start")).alias("kinds"))
+    over = W.orderBy("part")
+    ends = ends.withColumn("offset", F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ends = ends.withColumn("on", F.coalesce(F.col("low") == F.lag("high").over(over), F.lit(False)))
+    begun = F.when(~F.col("on") | (F.col("kinds") > 1), F.col("offset") + F.col("last"))
+    ends = stored(ends.withColumn("carry", F.last(begun, True).over(over.rowsBetween(W.unboundedPreceding, -1))).select("part", "offset", "on", "carry", "kinds"))
+    kinds = ends.agg(F.sum(F.col("kinds") - F.col("on").cast("int"))).first()[0] or 0
+    place = F.when((F.col("start") == 0) & F.col("on"), F.col("carry")).otherwise(F.col("offset") + F.col("start"))
+    return parts.join(F.broadcast(ends.drop("kinds")), "part").withColumn("place", place).select(*rows.columns, "place"), kinds
+
+
+def suffixes(lines: DataFrame) -> DataFrame:
+    """Repeated lines (doc_id, th, i, n, a, b, words, ...) with line (a number for each line id), rank and since.
+
+    rank is the place of the first suffix that is equal to the end, since the width of the round in which the suffix at
+    that place was first told from the one before it.
+    """
+    rows, kinds = numbered(lines, ["a", "b"])
+    rows = rows.withColumn("rank", F.col("place")).withColumnRenamed("place", "line").withColumn("since", F.lit(1).cast("long")).drop("a", "b")
+    width = 1
+    while kinds:
+        on = F.first("rank").over(W.partitionBy("doc_id", "th").orderBy("i").rangeBetween(width, width))
+        # after the end of a document nothing follows; a line that is there once is like no other
+        once = -2 - F.xxhash64("doc_id", "th", F.col("i") + width).bitwiseAND(F.lit((1 << 62) - 1))
+        after = F.coalesce(on, F.when(F.col("i") + width >= F.col("n"), F.lit(-1).cast("long")).otherwise(once))
+        rows, found = numbered(rows.withColumn("after", after), ["rank", "after"])
+        width *= 2
+        rows = rows.withColumn("since", F.when(F.col("place") > F.col("rank"), F.lit(width).cast("long")).otherwise(F.col("since")))
+        rows = rows.withColumn("rank", F.col("place")).drop("after", "place")
+        if found == kinds:
+            break
+        kinds = found
+    return stored(rows)
+
+
+def common_prefixes(array: DataFrame) -> DataFrame:
+    """The suffixes with at, their place in the array, and common: how many lines they share with the suffix before.
+
+    Of equal suffixes the one of the smaller place comes first.
+    """
+    parts = _sorted_parts(array, ["rank", *_PLACE], _PLACE, [])
+    ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max_by(F.struct(*_PLACE), "at").alias("end"))
+    over = W.orderBy("part")
+    offset = F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("part", offset.alias("offset"))
+    rows = parts.join(F.broadcast(ends), "part").withColumn("at", F.col("offset") + F.col("at")).drop("part", "offset", "start")
+    # the suffix before, by its place; each is before one other only
+    before = rows.select((F.col("at") + 1).alias("at"), F.struct(*_PLACE).alias("before"))
+    rows = stored(rows.join(before, "at", "left"))
+    same = F.col("at") > F.col("rank")
+    known = F.when(same, (F.col("n") - F.col("i")).cast("long")).when(F.col("since") <= 2, F.col("since") - 1)
+    of_doc = W.partitionBy("doc_id", "th").orderBy("i")
+    rows = rows.withColumn("common", F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(known))
+    previous = F.lag(F.struct("i", "before", F.coalesce("common", F.lit(1)).alias("some"))).over(of_doc)
+    step = (
+        (F.col("previous.i") == F.col("i") - 1) & (F.col("previous.some") > 0) & (F.col("previous.before.doc_id") == F.col("before.doc_id"))
+        & (F.col("previous.before.th") == F.col("before.th")) & (F.col("previous.before.i") == F.col("before.i") - 1)
+    )
+    rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
+    # irreducible ones: lines between the bounds are compared; few in all (Kaerkkaeinen et al. 2009)
+    steps = F.explode(F.sequence(F.expr("since div 2"), F.col("since") - 1)).alias("o")
+    asked = rows.where("open").select("at", *_PLACE, "before", steps)
+    lines = array.select(*_PLACE, "line")
+    here = asked.withColumn("i", F.col("i") + F.col("o").cast("int")).join(lines, _PLACE, "left").select("at", "o", "before", F.col("line").alias("mine"))
+    there = here.select("at", "o", "mine", "before.doc_id", "before.th", (F.col("before.i") + F.col("o").cast("int")).alias("i")).join(lines, _PLACE, "left")
+    apart = there.where("mine is null or line is null or mine <> line").groupBy("at").agg(F.min("o").alias("found"))
+    rows = rows.join(apart, "at", "left").withColumn("common", F.coalesce("common", "found"))
+    last = F.last(F.when(F.col("common").isNotNull(), F.struct("i", "common")), True).over(of_doc)
+    filled = F.coalesce(F.col("common"), F.col("base.common") - (F.col("i") - F.col("base.i")))
+    return rows.withColumn("base", last).withColumn("common", filled).drop("base", "found", "open", "before", "line", "rank", "since")
+
+
+def intervals(array: DataFrame, depths: Sequence[int]) -> DataFrame:
+    """Adds in<d> for each depth: the place of the first suffix of the stretch that shares d lines or more."""
+    at, common = array.columns.index("at"), array.columns.index("common")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), [-1] * len(depths)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, shared, out = batch.column(at).to_numpy(), batch.column(common).to_numpy(), []
+            for k, d in enumerate(depths):
+                starts = np.maximum.accumulate(np.where(shared < d, place, -1))
+                out.append(np.where(starts < 0, last[k], starts))
+                last[k] = out[-1][-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, out)], names=[*batch.schema.names, "part", *[f"in{d}" for d in depths]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in array.schema)
+    names = [f"in{d}" for d in depths]
+    parts = stored(array.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(run, f"{schema}, part int, " + ", ".join(f"{c} long" for c in names)))
+    ends = parts.groupBy("part").agg(*[F.max(c).alias(c) for c in names])
+    over = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("part", *[F.last(F.when(F.col(c) >= 0, F.col(c)), True).over(over).alias(f"_{c}") for c in names])
+    rows = parts.join(F.broadcast(carried), "part")  # a row a part
+    return rows.withColumns({c: F.when(F.col(c) >= 0, F.col(c)).otherwise(F.col(f"_{c}")) for c in names}).drop("part", *[f"_{c}" for c in names])
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 5) -> DataFrame:
@@ -70,17 +204,21 @@ def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 5) -> D
     """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    single = stored(repeated(stored(line_table(docs, min_words))))
-    gone = single.where("later and long").select("doc_id", "th", "i")
-    runs, width = single, 1
-    while width * 2 <= min_lines:
-        runs = stored(repeated(longer(runs, width)))
-        width *= 2
-    if width < min_lines:
-        runs = repeated(longer(runs, min_lines - width))
-    covered = F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i")
-    gone = gone.union(runs.where("later").select("doc_id", "th", covered)).distinct()
-    return gone.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone"))
+    lines = stored(line_table(docs).dropDuplicates(_PLACE))
+    array = suffixes(stored(with_first(lines, ["a", "b"]).drop("later")))
+    depths = sorted({*range(1, min(min_lines - 1, max(min_words, 1)) + 1), min_lines})
+    of_doc = W.partitionBy("doc_id", "th").orderBy("i")
+    array = common_prefixes(array)
+    array = array.withColumns({f"words{d}": F.sum("words").over(of_doc.rowsBetween(0, d - 1)) for d in depths})
+    array = stored(intervals(array, depths))
+    gone = None
+    for d in depths:
+        enough = array if d >= min_lines else array.where(F.col(f"words{d}") >= min_words)
+        # all members of an interval have the same lines, so the rule holds for all or for none
+        later = with_first(enough.select(*_PLACE, f"in{d}"), [f"in{d}"]).where("later")
+        found = later.select("doc_id", "th", F.explode(F.sequence("i", F.col("i") + (d - 1))).alias("i"))
+        gone = found if gone is None else gone.union(found)
+    return gone.distinct().groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone"))
 
 
 def _cut(text: str, gone: list[int] | None) -> tuple[str, int, int, int]:

@@ -148,23 +148,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_line_dedup"] = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents where doc_id is not null),
 l as (
-  select doc_id, pos, line, line_count from (
-    select doc_id, unnest(string_split(text, chr(10))) as line,
-           unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos, 1 as line_count
-    from d)),
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from d),
 h as (
-  select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as i,
-         regexp_matches(line, '[^\t\n\x0B\f\r ]+([\t\n\x0B\f\r ]+[^\t\n\x0B\f\r ]+){4}') as long
+  select doc_id, pos, line, row_number() over (partition by doc_id order by pos) as i, len(regexp_extract_all(line, '[^\t\n\x0B\f\r ]+')) as words
   from l where regexp_matches(line, '[^\t\n\x0B\f\r ]')),
 r as (
-  select *, lead(line, 1) over w as l1, lead(line, 2) over w as l2 from h window w as (partition by doc_id order by i)),
+  select *, lead(line, 1) over w as l1, lead(line, 2) over w as l2, lead(words, 1) over w as words1
+  from h window w as (partition by doc_id order by i)),
 s as (
-  select doc_id, i, pos, line, long,
-         row_number() over (partition by line order by doc_id, i) > 1 as again,
+  select doc_id, i, pos, line,
+         words >= 5 and row_number() over (partition by line order by doc_id, i) > 1 as run1,
+         l1 is not null and words + words1 >= 5 and row_number() over (partition by line, l1 order by doc_id, i) > 1 as run2,
          l2 is not null and row_number() over (partition by line, l1, l2 order by doc_id, i) > 1 as run3
   from r),
 g as (
-  select *, (again and long) or run3 or coalesce(lag(run3, 1) over w, false) or coalesce(lag(run3, 2) over w, false) as gone
+  select *, run1 or run2 or run3 or coalesce(lag(run2 or run3, 1) over w, false) or coalesce(lag(run3, 2) over w, false) as gone
   from s window w as (partition by doc_id order by i)),
 e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as starts from g),
 c as (
@@ -177,4 +175,4 @@ t as (
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs,
        sha256(encode(coalesce(t.text, ''))) as kept_sha256
 from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
-""".replace("\\\\", "\\")
+"""

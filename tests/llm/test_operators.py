@@ -539,21 +539,50 @@ def test_mixing_with_nothing_to_learn(spark):
 
 
 def brute_lines(data, min_lines, min_words):
+    """Every run of lines that stands earlier and is long enough in lines or words goes."""
     white = "\t\n\x0b\f\r "
     docs = sorted({(i, t) for i, t in data if i is not None and t is not None}, key=lambda d: d[0])
     held = {d: [x for x in d[1].split("\n") if x.strip(white)] for d in docs}
+    words = lambda x: len(x.translate(str.maketrans(white, " " * 6)).split())
     gone = {d: set() for d in docs}
-    for width in {1, min_lines}:
+    for width in range(1, max(map(len, held.values())) + 1):
         seen = set()
         for d in docs:
             for i in range(len(held[d]) - width + 1):
                 run = tuple(held[d][i : i + width])
-                if run in seen and (width == min_lines or len(run[0].translate(str.maketrans(white, " " * 6)).split()) >= min_words):
+                if run in seen and (width >= min_lines or sum(map(words, run)) >= min_words):
                     gone[d].update(range(i, i + width))
                 seen.add(run)
     return {d: (len(held[d]), len(gone[d])) for d in docs}, gone
 
 
+def test_suffix_array_of_lines(spark):
+    """Ranks, order and common prefixes against sorting all suffixes; runs of 1 to 200 lines."""
+    rng = np.random.default_rng(17)
+    long = [f"l{k}" for k in rng.integers(0, 60, 230)]
+    texts = [long, long[15:215], ["x", *long[:100], "y", *long[50:]], ["p", "q"] * 40, ["q", "p"] * 30, *[[f"l{k}" for k in rng.integers(0, 9, 30)] for _ in range(25)], ["only here"], long[100:]]
+    docs = h.documents(spark, [(10 + i, "\n".join(t)) for i, t in enumerate(texts)])
+    table = lines.line_table(docs)
+    array = lines.suffixes(lines.with_first(table, ["a", "b"]).drop("later"))
+    got = sorted(lines.common_prefixes(array).select("at", "doc_id", "i", "common").collect())
+    count = Counter(x for t in texts for x in t)
+    suffixes_ = {(10 + d, i): t[i:] for d, t in enumerate(texts) for i in range(len(t)) if count[t[i]] > 1}
+    assert [r.at for r in got] == list(range(len(suffixes_))) and {(r.doc_id, r.i) for r in got} == set(suffixes_)
+    for before, r in zip(got, got[1:]):
+        a, b = suffixes_[before.doc_id, before.i], suffixes_[r.doc_id, r.i]
+        shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert r.common == shared, (before, r)
+    # neighbours share the most: any two suffixes share no more than the least between them
+    places = {(r.doc_id, r.i): r.at for r in got}
+    commons = [r.common for r in got]
+    for _ in range(300):
+        (p, a), (q, b) = [list(suffixes_.items())[k] for k in rng.integers(0, len(suffixes_), 2)]
+        if p != q:
+            shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            lo, hi = sorted((places[p], places[q]))
+            assert shared == min(commons[lo + 1 : hi + 1])
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_dedup(spark, min_lines):
     rng = np.random.default_rng(min_lines)
