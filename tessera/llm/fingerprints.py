@@ -200,20 +200,21 @@ def _first(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_r", r).where("_r = 1").drop("_r", "th")
 
 
-def fingerprint_documents(docs: DataFrame, common: Common | None = None, classes: bool = False) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are.
 
     Edited: the last quarter of the code points is replaced by as many from the start of the next document. Null texts
     are empty. Rows with a null doc_id are one document, that after all others. Where a doc_id is repeated, every row
     has its fingerprint, and the document that comes next is the row of the next doc_id with the smallest text hash. Two
-    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none. With ``classes`` a
-    column class_id is added (``near_classes``); of rows that repeat an id the smallest class.
+    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none. A text's signatures
+    are worked out twice, for itself and for the document before: sending them costs more disk than that costs time.
     """
     common = common or common_words(docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = _successors(texts).withColumnRenamed("doc_id", "next_id")
-    heads = texts.hint("merge").join(near, texts["doc_id"].eqNullSafe(near["next_id"])).select(
-        "prev_id", "next_id", F.xxhash64("text").alias("th"), F.expr("left(text, int(prev_len div 4))").alias("head")
+    heads = texts.hint("merge").join(near, texts["doc_id"].eqNullSafe(near["next_id"]))
+    heads = with_signatures(heads, "text", "next_sigs", common).select(
+        "prev_id", F.xxhash64("text").alias("th"), F.expr("left(text, int(prev_len div 4))").alias("head"), "next_sigs"
     )
     heads = _first(heads, "prev_id")
     n = F.length("text")
@@ -224,22 +225,19 @@ def fingerprint_documents(docs: DataFrame, common: Common | None = None, classes
         .withColumn("edited", F.concat(F.left("text", n - cut), F.left("head", cut)))
     )
     both = with_signatures(with_signatures(both, "text", "sigs", common), "edited", "edited_sigs", common)
-    prints = stored(
-        both.select("doc_id", "next_id", F.xxhash64("text").alias("th"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "edited_sigs")
-    )
-    following = _first(prints.select(F.col("doc_id").alias("_next"), "th", F.col("sigs").alias("next_sigs")), "_next")
-    met = prints.hint("merge").join(following, prints["next_id"].eqNullSafe(following["_next"]))
-    more = []
-    if classes:
-        found = near_classes(prints.select(F.col("doc_id").alias("id"), "sigs")).where("id is not null").groupBy("id").agg(F.min("class_id").alias("class_id"))
-        met, more = met.join(found, met["doc_id"] == found["id"], "left"), ["class_id"]
-    return met.select(
+    return both.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sigs")).alias("fingerprint"),
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
-        *more,
     )
+
+
+def fingerprint_classes(docs: DataFrame, common: Common | None = None, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id of the whole table: the fingerprints of ``docs`` and their ``near_classes``."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = stored(with_signatures(texts, "text", "sigs", common or common_words(docs)).select("id", "sigs"))
+    return near_classes(prints, threshold).withColumnRenamed("id", "doc_id")

@@ -330,7 +330,8 @@ def test_fingerprints_match_brute_force(spark):
     counts = Counter(w for _, t in data for w in set(brute_words(t or "")))
     top = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w.encode()))
     assert (list(common.anchors), list(common.passed)) == (top[:5], top[5:11])
-    got = fingerprints.fingerprint_documents(docs, common, classes=True).collect()
+    got = fingerprints.fingerprint_documents(docs, common).collect()
+    classes = {(r.doc_id, r.class_id) for r in fingerprints.fingerprint_classes(docs, common).collect()}
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
     by_id = {}
     for i, t in data:
@@ -356,7 +357,7 @@ def test_fingerprints_match_brute_force(spark):
             for b in sets:
                 if a != b and any(x and y and 5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b]):
                     top[a] = top[b] = min(top[a], top[b])
-    assert all(r.class_id == (top[r.doc_id] if r.doc_id is not None else None) for r in got if r.doc_id != 2)
+    assert {c for c in classes if c[0] != 2} == {(i, top[i]) for i in top if i != 2} | {(None, None)}
     many = [len(r.fingerprint) // 8 for r in got if r.doc_id is not None and 500 <= r.doc_id < 800]
     assert min(many) >= 10  # scripts and languages of any kind have signatures all over
     assert len({prints[t] for t in prints}) == len({r.fingerprint for r in got} | {r.edited_fingerprint for r in got})
