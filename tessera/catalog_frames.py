@@ -14,6 +14,7 @@ from tessera.functions import coding
 from tessera.functions import samples as s
 from tessera.operators import assembly, frequency, stencils, transforms
 from tessera.plans import layout
+from tessera.sources import containers, pam
 from tessera.sources import rasters as r
 
 _FIX = "cast(floor(({0}) * 10000 + 0.5) as bigint)"
@@ -512,3 +513,53 @@ select id, cast(n as bigint) as n, cast(sum((byte % 128) * (cast(1 as bigint) <<
 def ent12_varint(spark: SparkSession, sf: str) -> DataFrame:
     rows = r.name_bytes(spark, sf).withColumn("byte", (F.col("byte") * 7 + F.col("pos")) % 256)
     return coding.varints(rows, "id", "pos", "byte")
+
+
+# ---- containers and files
+
+
+_FILES = """f as (select p_partkey as id, 'file' || p_partkey as path, hex(encode(p_name)) as body, cast(octet_length(encode(p_name)) as bigint) as n, p_partkey % 5 as how from part)"""
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers made of part names: boxed in one box or in two numbered parts, naked, broken or cut short, by id."""
+    size = lambda n: F.lpad(F.hex(n), 8, "0")
+    body, n, how = F.hex(F.col("p_name").cast("binary")), F.octet_length("p_name").cast("bigint"), F.col("p_partkey") % 5
+    start = F.lit("0000000C4A584C200D0A870A" + "00000014667479706A786C20000000006A786C20")
+    whole = F.concat(start, size(n + 8), F.lit("6A786C63"), body)
+    parts = F.concat(start, size(F.lit(16)), F.lit("6A786C70" + "00000000"), F.substring(body, 1, 8), size(n - 4 + 12), F.lit("6A786C70" + "80000001"), F.expr("substring(hex(cast(p_name as binary)), 9)"))
+    content = F.when(how == 0, whole).when(how == 1, parts).when(how == 2, F.concat(F.lit("FF0A"), body)).when(how == 3, F.concat(F.lit("AA"), body)).otherwise(F.lit("FF"))
+    return r.table(spark, sf, "part").where("octet_length(p_name) > 4").select(F.concat(F.lit("file"), "p_partkey").alias("path"), F.unhex(content).alias("content"))
+
+
+@query(f"with {_FILES} select path, ['boxed', 'boxed', 'naked', 'invalid', 'short'][how + 1] as format from f where n > 4")
+def src2_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return _files(spark, sf).select("path", containers.signature().alias("format"))
+
+
+@query(f"""with {_FILES}, b as (
+  select path, 0 as seq, 'JXL ' as box_type, 4 as content_size, 0 as "offset" from f where how in (0, 1) and n > 4
+  union all select path, 1, 'ftyp', 12, 12 from f where how in (0, 1) and n > 4
+  union all select path, 2, 'jxlc', n, 32 from f where how = 0 and n > 4
+  union all select path, 2, 'jxlp', 8, 32 from f where how = 1 and n > 4 union all select path, 3, 'jxlp', n, 48 from f where how = 1 and n > 4)
+select path, cast(seq as int) as seq, box_type, cast(content_size as bigint) as content_size, cast("offset" as bigint) as "offset" from b""")
+def src3_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    files = _files(spark, sf)
+    return containers.boxes(files.where(containers.signature() == "boxed")).select("path", "seq", "box_type", "content_size", "offset")
+
+
+@query(f"""with {_FILES} select path, ['boxed', 'boxed', 'naked', 'invalid', 'short'][how + 1] as format,
+  case when how in (0, 1) then body when how = 2 then 'FF0A' || body end as codestream, case how when 3 then 'invalid signature' when 4 then 'truncated' end as error from f where n > 4""")
+def src4_codestreams(spark: SparkSession, sf: str) -> DataFrame:
+    return containers.codestreams(_files(spark, sf)).select("path", "format", F.hex("codestream").alias("codestream"), "error")
+
+
+@query(f"""with {_SAMPLES}, t as (select img, max(y) as last from samples group by 1),
+p as (select img, x, y, printf('%02X%02X%02X%02X', c2, c0, c1, 255) as px from samples join t using (img) where y < last)
+select img, hex(encode('P7' || chr(10) || 'WIDTH 16' || chr(10) || 'HEIGHT ' || (max(y) + 1) || chr(10) || 'DEPTH 4' || chr(10) || 'MAXVAL 255' || chr(10)
+  || 'TUPLTYPE RGB_ALPHA' || chr(10) || 'ENDHDR' || chr(10))) || string_agg(px, '' order by y, x) as payload from p group by img""")
+def snk1_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    rows = r.samples(spark, sf)
+    whole = rows.join(rows.groupBy("img").agg(F.max("y").alias("last")), "img").where("y < last")
+    pixels = whole.select("img", "x", "y", F.col("c2").alias("r"), F.col("c0").alias("g"), F.col("c1").alias("b"), F.lit(255).alias("a"))
+    return pam.payloads(pixels).select("img", F.hex("payload").alias("payload"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.samples import blend, blend_alpha, soft_step
+from tessera.operators.transforms import folded, named
 
 
 def grid(sizes: DataFrame, width: str = "w", height: str = "h") -> DataFrame:
@@ -76,17 +77,16 @@ def snapshots(frames: DataFrame, every: int = 0) -> DataFrame:
     upto = W.partitionBy("img").orderBy("frame").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = frames.withColumn("whole", whole).withColumn("_from", F.max(F.when(F.col("whole"), F.col("frame"))).over(upto))
     steps = rows.groupBy("img", "_from").agg(F.array_sort(F.collect_list(F.struct("frame", "colour", "alpha", "whole"))).alias("steps"))
-    clear = F.lit(0).cast("bigint")
-    kind = "struct<colour: bigint, alpha: bigint, shown: array<struct<frame: bigint, colour: bigint, alpha: bigint>>>"
-    start = F.struct(clear.alias("colour"), clear.alias("alpha"), F.array().alias("shown")).cast(kind)
+    clear = ("bigint", F.lit(0).cast("bigint"))
 
     def lay(below, s):
         colour = F.when(s["whole"], s["colour"]).otherwise(blend(s["colour"], below["colour"], s["alpha"])).cast("bigint")
         alpha = F.when(s["whole"], s["alpha"]).otherwise(blend_alpha(s["alpha"], below["alpha"])).cast("bigint")
-        row = F.struct(s["frame"].alias("frame"), colour.alias("colour"), alpha.alias("alpha"))
-        return F.struct(colour.alias("colour"), alpha.alias("alpha"), F.concat(below["shown"], F.array(row)).alias("shown")).cast(kind)
+        shown = F.struct(s["frame"].alias("frame"), colour.alias("colour"), alpha.alias("alpha"))
+        return named(shown, lambda v: F.struct(v["colour"].alias("colour"), v["alpha"].alias("alpha"), F.array(v).alias("added")))
 
-    return steps.select("img", F.inline(F.aggregate("steps", start, lay)["shown"]))
+    kind = "struct<frame: bigint, colour: bigint, alpha: bigint>"
+    return steps.select("img", F.inline(folded(F.col("steps"), {"colour": clear, "alpha": clear}, lay, "shown", kind)))
 
 
 def placed_blocks(blocks: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.samples import col, div
+from tessera.operators.transforms import folded
 
 
 def ceil_div(a, b) -> Column:
@@ -77,14 +78,13 @@ def stream_number(kind, pass_no, grp, groups_n, dc_groups_n) -> Column:
 def lehmer(digits: str) -> Column:
     """The permutation of a Lehmer code array: each digit picks among the numbers not yet taken."""
     rest = F.sequence(F.lit(0).cast("bigint"), F.size(digits).cast("bigint") - 1)
-    start = F.struct(rest.alias("rest"), F.array().cast("array<bigint>").alias("out"))
 
     def pick(s, d):
         at = (d + 1).cast("int")
         left = F.concat(F.slice(s["rest"], 1, at - 1), F.slice(s["rest"], at + 1, F.size(s["rest"])))
-        return F.struct(left.alias("rest"), F.concat(s["out"], F.array(F.element_at(s["rest"], at))).alias("out"))
+        return F.struct(left.alias("rest"), F.array(F.element_at(s["rest"], at)).alias("added"))
 
-    return F.aggregate(digits, start, pick, lambda s: s["out"])
+    return folded(F.col(digits), {"rest": ("array<bigint>", rest)}, pick, "out", "bigint")
 
 
 def inverse_permutation(rows: DataFrame) -> DataFrame:
