@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that is unset (tests, one machine) a temporary folder becomes the checkpoint folder.
+    Where that is unset on one machine (tests) a temporary folder becomes the checkpoint folder; on a cluster, whose
+    machines share no such folder, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)

@@ -59,6 +59,25 @@ def test_run(spark, folder):
     assert max(total.values()) <= 4096 and len(total) <= -(-sum(total.values()) // 4096) + 1
 
 
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    rows = [*h.awkward_texts(), (None, "no id here at all"), (1, h.awkward_texts()[0][1]), (1, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    for name, data in (("awkward", rows), ("empty", [])):
+        docs = h.documents(spark, data)
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if data else labels.limit(0)).coalesce(1).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == bool(data)
+    # near copies that differ inside their lines are left to the join, and lines that repeat go before it
+    base = [h.prose(12, 50 + k) for k in range(12)]
+    near = [" ".join([*line.split()[:5], f"x{k}", *line.split()[6:]]) if k % 6 == 0 else line for k, line in enumerate(base)]
+    flat = [(1, " ".join(base)), (2, " ".join(near)), (3, "\n".join(base)), (4, "\n".join([*base[:6], "a new line with some more words"]))]
+    docs = h.documents(spark, flat)
+    cut = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert cut[4] == "a new line with some more words" and cut[2] == flat[1][1]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} & {1, 2} == {1}
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
 def test_queries_match_sql(spark, name):
     import duckdb
