@@ -528,6 +528,38 @@ def test_mixing_says_what_bounds_miss(spark):
         assert mixing.solve(docs, known, {"en": 0.5, "de": 0.5}).missed > 0.5
 
 
+def brute_rates(n, p, targets, low, high):
+    """Rates between the bounds whose totals are nearest to the targets, by many plain projected-gradient steps."""
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p)
+    r, step = np.ones(len(n)), 0.9
+    for _ in range(20000):
+        r = np.clip(r - step * (p @ (inverse @ (p.T @ (n * r) - targets))), low, high)
+    off = p.T @ (n * r) - targets
+    return r, off @ inverse @ off, inverse
+
+
+@pytest.mark.parametrize("weights, low, high", [({"en": 0.5, "de": 0.5}, 0.0, float("inf")), ({"en": 0.02, "de": 0.98}, 0.5, 1.5), ({"en": 0.9, "de": 0.1}, 0.0, 2.0)])
+def test_mixing_matches_brute_force(spark, weights, low, high):
+    german = "der die das und nicht ist ein auf mit für".split()
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(german if rng.random() < k / 60 else h.WORDS, 30)) for k in range(60)]
+    long = " ".join(rng.choice(german, 9000))  # and a very long one, a repeated id, a null, an empty text
+    docs = h.documents(spark, [*enumerate(texts), (70, long), (3, "the of and"), (71, None), (72, "")], True)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 30, "en").otherwise("de"))
+    domains = mixing.learn(docs, mixing.language_labels(docs, docs.select("doc_id")))
+    mix = mixing.solve(docs, domains, weights, low, high)
+    every = [*texts, long, "the of and", "", ""]
+    n, x = mixing._features([t.encode() for t in every], domains.pairs)
+    p = mixing._posterior(x, domains.softmax)
+    assert n.tolist() == [len(t.split()) for t in every]
+    _, best, inverse = brute_rates(n.astype(float), p, mix.targets, low, high)
+    off = mix.reached - mix.targets
+    assert off @ inverse @ off <= best * 1.01 + 1e-4 * (mix.targets @ inverse @ mix.targets)
+    got = mixing.rates(docs, mix).collect()
+    assert np.allclose(sum(r.n_tokens * r.rate for r in got), mix.reached.sum(), rtol=1e-6) and all(low <= r.rate <= high for r in got)
+    assert Counter(r.n_tokens for r in got) == Counter(n.tolist())
+
+
 def test_mixing_with_nothing_to_learn(spark):
     docs = h.documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, domain string")
