@@ -6,7 +6,8 @@ end every run, so only the others are sorted.
 1. ``suffixes``: the rank of a position is where its class begins in the order of the suffixes' first w lines. A round
    sorts positions by their rank and the rank w lines on, which gives ranks by 2w lines, until no class splits any more:
    then suffixes of one class are equal to the end of their documents. A sort is by ranges, with ties dealt over many
-   tasks; tasks number their rows, and one row a task settles what they start from.
+   tasks; tasks number their rows, and one row a task settles what they start from. Deletion stops at a width of
+   ``min_lines``: it asks of suffixes only whether they share so many lines, which a finer order does not change.
 2. ``common_prefixes``: in the order of the array, how many lines a suffix shares with the one before it. The round in
    which the two parted bounds that number by a factor of two. It is worked out only where it is not the number of the line
    before less one (an irreducible value), by comparing lines between the bounds.
@@ -110,16 +111,17 @@ def numbered(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
     return parts.join(F.broadcast(ends.drop("kinds")), "part").withColumn("place", place).select(*rows.columns, "place"), kinds
 
 
-def suffixes(lines: DataFrame) -> DataFrame:
+def suffixes(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame, int | None]:
     """Repeated lines (doc_id, th, i, n, a, b, words, ...) with line (a number for each line id), rank and since.
 
     rank is the place of the first suffix that is equal to the end, since the width of the round in which the suffix at
-    that place was first told from the one before it.
+    that place was first told from the one before it. With ``depth`` rounds end when they have compared so many lines;
+    the second result is how many they did, and None where all suffixes are in order.
     """
     rows, kinds = numbered(lines, ["a", "b"])
     rows = rows.withColumn("rank", F.col("place")).withColumnRenamed("place", "line").withColumn("since", F.lit(1).cast("long")).drop("a", "b")
     width = 1
-    while kinds:
+    while kinds and (depth is None or width < depth):
         on = F.first("rank").over(W.partitionBy("doc_id", "th").orderBy("i").rangeBetween(width, width))
         # after the end of a document nothing follows; a line that is there once is like no other
         once = -2 - F.xxhash64("doc_id", "th", F.col("i") + width).bitwiseAND(F.lit((1 << 62) - 1))
@@ -129,15 +131,16 @@ def suffixes(lines: DataFrame) -> DataFrame:
         rows = rows.withColumn("since", F.when(F.col("place") > F.col("rank"), F.lit(width).cast("long")).otherwise(F.col("since")))
         rows = rows.withColumn("rank", F.col("place")).drop("after", "place")
         if found == kinds:
-            break
+            return stored(rows), None
         kinds = found
-    return stored(rows)
+    return stored(rows), width if kinds else None
 
 
-def common_prefixes(array: DataFrame) -> DataFrame:
+def common_prefixes(array: DataFrame, most: int | None = None) -> DataFrame:
     """The suffixes with at, their place in the array, and common: how many lines they share with the suffix before.
 
-    Of equal suffixes the one of the smaller place comes first.
+    Of equal suffixes the one of the smaller place comes first. In an array in order of ``most`` lines only, common
+    counts no further.
     """
     parts = _sorted_parts(array, ["rank", *_PLACE], _PLACE, [])
     ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max_by(F.struct(*_PLACE), "at").alias("end"))
@@ -149,7 +152,8 @@ def common_prefixes(array: DataFrame) -> DataFrame:
     before = rows.select((F.col("at") + 1).alias("at"), F.struct(*_PLACE).alias("before"))
     rows = stored(rows.join(before, "at", "left"))
     same = F.col("at") > F.col("rank")
-    known = F.when(same, (F.col("n") - F.col("i")).cast("long")).when(F.col("since") <= 2, F.col("since") - 1)
+    left = (F.col("n") - F.col("i")).cast("long")
+    known = F.when(same, F.least(left, F.lit(most)) if most else left).when(F.col("since") <= 2, F.col("since") - 1)
     of_doc = W.partitionBy("doc_id", "th").orderBy("i")
     rows = rows.withColumn("common", F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(known))
     previous = F.lag(F.struct("i", "before", F.coalesce("common", F.lit(1)).alias("some"))).over(of_doc)
@@ -157,7 +161,10 @@ def common_prefixes(array: DataFrame) -> DataFrame:
         (F.col("previous.i") == F.col("i") - 1) & (F.col("previous.some") > 0) & (F.col("previous.before.doc_id") == F.col("before.doc_id"))
         & (F.col("previous.before.th") == F.col("before.th")) & (F.col("previous.before.i") == F.col("before.i") - 1)
     )
-    rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
+    if most:  # numbers that stop at ``most`` do not tell those of the lines after them
+        rows = stored(rows.withColumn("open", F.col("common").isNull()))
+    else:
+        rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
     # irreducible ones: lines between the bounds are compared; few in all (Kaerkkaeinen et al. 2009)
     steps = F.explode(F.sequence(F.expr("since div 2"), F.col("since") - 1)).alias("o")
     asked = rows.where("open").select("at", *_PLACE, "before", steps)
@@ -204,11 +211,11 @@ def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 5) -> D
     """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    lines = stored(line_table(docs).dropDuplicates(_PLACE))
-    array = suffixes(stored(with_first(lines, ["a", "b"]).drop("later")))
+    lines = stored(line_table(docs))
+    array, most = suffixes(with_first(lines, ["a", "b"]).drop("later").dropDuplicates(_PLACE), min_lines)
     depths = sorted({*range(1, min(min_lines - 1, max(min_words, 1)) + 1), min_lines})
     of_doc = W.partitionBy("doc_id", "th").orderBy("i")
-    array = common_prefixes(array)
+    array = common_prefixes(array, most)
     array = array.withColumns({f"words{d}": F.sum("words").over(of_doc.rowsBetween(0, d - 1)) for d in depths})
     array = stored(intervals(array, depths))
     gone = None

@@ -596,7 +596,8 @@ def test_suffix_array_of_lines(spark):
     texts = [long, long[15:215], ["x", *long[:100], "y", *long[50:]], ["p", "q"] * 40, ["q", "p"] * 30, *[[f"l{k}" for k in rng.integers(0, 9, 30)] for _ in range(25)], ["only here"], long[100:]]
     docs = h.documents(spark, [(10 + i, "\n".join(t)) for i, t in enumerate(texts)])
     table = lines.line_table(docs)
-    array = lines.suffixes(lines.with_first(table, ["a", "b"]).drop("later"))
+    array, most = lines.suffixes(lines.with_first(table, ["a", "b"]).drop("later"))
+    assert most is None
     got = sorted(lines.common_prefixes(array).select("at", "doc_id", "i", "common").collect())
     count = Counter(x for t in texts for x in t)
     suffixes_ = {(10 + d, i): t[i:] for d, t in enumerate(texts) for i in range(len(t)) if count[t[i]] > 1}
