@@ -48,6 +48,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+def salt_count(spark: SparkSession) -> int:
+    """Parts that a hot key is dealt to: more where there are more shuffle partitions, as on larger clusters."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the undirected ``edges`` (a long, b long): component is the smallest node reachable.
 

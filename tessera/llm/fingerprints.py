@@ -22,12 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stored
+from tessera.llm.common import components, salt_count, stored
 
 #: There is an anchor among any so many words in a row.
 SPAN = 8  # a power of two
-#: Parts of a key that may be hot.
-SALTS = 64
 #: How many of the words that most documents have are anchors, and how many after them are passed over by chains.
 ANCHORS, PASSED_OVER = 24, 96
 #: Thai, Lao, Myanmar, Khmer, kana and Han: ranges of code points, which a pattern tests faster than names of scripts.
@@ -171,8 +169,9 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def _beside(rows: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
     """Rows with the columns of the one row of ``few`` that has their keys, in salts, so that a hot key is many tasks."""
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(by, F.lit(SALTS))).join(salted, [*keys, "_salt"], how).drop("_salt")
+    salts = salt_count(rows.sparkSession)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(salts))).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def _successors(texts: DataFrame) -> DataFrame:

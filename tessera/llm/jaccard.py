@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, components, stored, text_bytes, tidy
+from tessera.llm.common import bucket_count, components, salt_count, stored, text_bytes, tidy
 from tessera.llm.suffixes import CHUNK, U64, _by_bucket, _mix, _stretch, _sums
 
 WORDS = 5
@@ -397,9 +397,10 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     some = sets.where("n > 0 and doc_id is not null")
     # equal sets: a partial aggregate; only digests that several rows have come to the join, in salts
     equal = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    salts = salt_count(docs.sparkSession)
+    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     members = stored(
-        sets.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(16)))
+        sets.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
         .join(salted, ["n", "d1", "d2", "salt"], "left")
         .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     )

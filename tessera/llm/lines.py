@@ -32,11 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, stored
+from tessera.llm.common import salt_count, slices, stored
 
 _WHITE = "\\t\\n\\x0B\\f\\r "
-#: Parts of a class that may be hot.
-SALTS = 64
 _PLACE = ["doc_id", "th", "i"]
 
 
@@ -56,13 +54,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 def with_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose class (``keys``) has several places, with ``later``: theirs is not the first of them.
 
-    Counting is a partial aggregate; the classes that remain are joined in SALTS salts, so that a line which a third of
-    the documents have is not one task's. Rows equal in document and text are one document.
+    Counting is a partial aggregate; the classes that remain are joined in salts, so that a line which a third of the
+    documents have is not one task's. Rows equal in document and text are one document.
     """
+    salts = salt_count(rows.sparkSession)
     first = F.min(F.struct(*_PLACE)).alias("first")
     classes = rows.groupBy(*keys).agg(first, F.max(F.struct(*_PLACE)).alias("last")).where("first <> last").drop("last")
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(SALTS))).join(salted, [*keys, "salt"])
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = rows.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(salts))).join(salted, [*keys, "salt"])
     return met.withColumn("later", F.struct(*_PLACE) != F.col("first")).drop("first", "salt")
 
 
