@@ -137,6 +137,17 @@ def draw(segments: DataFrame, width: int, height: int) -> DataFrame:
     return rows.groupBy("img", "x", "y").agg(F.sum(light).alias("v"))
 
 
+def accumulate(segments: DataFrame, width: int) -> DataFrame:
+    """Additive drawing on rows: segments (img, y, centre, reach, amount) add amount * (reach + 1 - distance) to the samples in reach.
+
+    A range join whose range is generated: a segment becomes the samples it touches, then a partial aggregate adds up.
+    """
+    low, high = F.greatest(F.col("centre") - F.col("reach"), F.lit(0)), F.least(F.col("centre") + F.col("reach"), F.lit(width - 1))
+    touched = segments.where(low <= high).withColumn("x", F.explode(F.sequence(low, high)))
+    amount = F.col("amount") * (F.col("reach") + 1 - F.abs(F.col("x") - F.col("centre")))
+    return touched.groupBy("img", "y", "x").agg(F.sum(amount).alias("v"))
+
+
 def reach(colour, sigma, intensity):
     """How far a segment's light is worth drawing."""
     most = F.greatest(F.lit(0.01), F.abs(colour * intensity))
