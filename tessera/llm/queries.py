@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, tokenizer_path
+from tessera.llm.decontaminate import contamination
 from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.jaccard import similar_documents
 from tessera.llm.neighbours import top_k
 from tessera.llm.packing import pack_documents
-from tessera.llm import lines, mixing, quality, warc
+from tessera.llm import lines, mixing, negatives, quality, resampling, warc
 from tessera.llm.suffixes import remove_repeats
 from tessera.llm.sharding import shard_documents
 
@@ -176,3 +177,108 @@ select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_re
        sha256(encode(coalesce(t.text, ''))) as kept_sha256
 from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
 """
+
+
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_decontamination"] = r"""
+with d0 as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select coalesce(cast(item_id as varchar), '') as item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+x as (  -- windows by length
+  select distinct item, least(len(w), 10) as size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as win
+  from b where len(w) > 0),
+sizes as (select distinct size from x),
+dw as (
+  select r, size, unnest(range(1, len(w) - size + 2)) as p, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as win
+  from d0, sizes where len(w) >= size),
+o as (select r, p, x.size, item from dw join x on dw.win = x.win and dw.size = x.size),
+h as (select r, count(*) as n_hit from (select distinct r, unnest(range(p, p + size)) as q from o) group by r),
+i as (select r, count(distinct item) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from o) group by r),
+t as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d0),
+f as (select word, count(*) as n from t group by word),
+k as (  -- the five rarest words of each text
+  select distinct w, word from (
+    select w, word, row_number() over (partition by w order by n, word) as nth from (select distinct w, unnest(w) as word from b) join f using (word))
+  where nth <= 5),
+ks as (select *, count(*) over (partition by w) as size from k),
+g as (select k.w, k.size, t.r, t.p, t.word from ks k join t using (word)),
+c as (  -- words of the text in the 20 words from each of them on
+  select a.w, a.r, a.size, a.p from g a join g z on a.w = z.w and a.r = z.r and z.p between a.p and a.p + 19
+  group by all having count(distinct z.word) = a.size),
+n as (select r, count(distinct item) as n_near from c join b using (w) group by r)
+select d0.doc_id, cast(len(d0.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d0 left join h using (r) left join i using (r) left join n using (r)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op12_hard_negatives"] = """
+with v as (
+  select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select a.n, a.vec_id as anchor_id, a.label as own, c.vec_id, c.label,
+         cast(coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda t: t[1] * t[2])), 0) as bigint) as score
+  from v a join v c on a.vec_id % 100 = 0 and c.n <> a.n),
+s as (
+  select n, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by n order by score desc, vec_id nulls last) as nth
+  from p where label = own),
+r as (
+  select s.n, nth, s.anchor_id, positive_id, positive_score, p.vec_id as negative_id, p.score as negative_score,
+         cast(row_number() over (partition by s.n, nth order by p.score desc, p.vec_id nulls last) as int) as rank
+  from s join p on s.n = p.n and p.label <> p.own and 30 * positive_score <= 100 * p.score and 100 * p.score <= 90 * positive_score
+  where nth <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 10
+"""
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op13_resampling"] = r"""
+with w as (
+  select 'd' as kind, row_number() over () as r, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark),
+t as (
+  select kind, r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from w),
+f as (
+  select kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as feature from t where len(w) > 0),
+u as (select distinct feature, hex(encode(feature)) as x from f),
+bits as (  -- of each byte the lower half first, of each half the lowest bit
+  select feature, list_transform(range(0, 4 * len(x)), lambda j:
+    ((instr('0123456789ABCDEF', x[(j // 4) + (case when (j // 4) % 2 = 0 then 2 else 0 end)]) - 1) >> (j % 4)) & 1) as bits
+  from u),
+c as (
+  select feature, xor(list_reduce(list_concat([4294967295], bits), lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)), 4294967295) % 10000 as bucket
+  from bits),
+n as (select bucket, count(*) filter (where kind = 'd') as s, count(*) filter (where kind = 'b') as t from f join c using (feature) group by bucket),
+g as (
+  select bucket, floor(1000 * ln(cast((t + 1) * ((select sum(s) from n) + 10000) as double) / cast((s + 1) * ((select sum(t) from n) + 10000) as double))) as gain
+  from n),
+m as (select r, count(*) as n_features, cast(floor(sum(gain) / count(*)) as bigint) as weight from f join c using (feature) join g using (bucket) where kind = 'd' group by r),
+h as (select r, doc_id, len(w) as n_words, cast('0x' || sha256('7:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) as h from t where kind = 'd'),
+e as (
+  select h.r, doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score
+  from h left join m using (r)),
+k as (select r, row_number() over (order by score desc, doc_id nulls last) as rank, count(*) over () as n from e where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank from e left join k using (r)
+"""
