@@ -10,7 +10,7 @@ shifted by the terms' places in the text: postings of one text, row and diagonal
 text) meet. Only diagonals on which both terms of a window meet are gone through word by word, against the postings of the
 rows concerned. ``near`` finds sets of words that lie close together in any order, from the rarest two in the same way.
 
-What is broadcast is the test texts' vocabulary and seeds, and the rows of candidates, each counted first; beyond
+What is broadcast is made of the test texts, or the rows of candidates, each counted first; beyond
 BROADCAST_ROWS the same joins are left to shuffles, which Spark splits where a word is hot.
 """
 
@@ -105,13 +105,13 @@ def phrases(index: DataFrame, texts: Texts, found: DataFrame, width: int = 10) -
     windows = stored(windows)
     seeds = stored(windows.select("text", F.inline("rare")).select("text", "p", "term").distinct())
     pair = F.struct(F.col("rare")[0]["p"].alias("a"), F.element_at("rare", -1)["p"].alias("b"))
-    pairs = windows.groupBy("text").agg(F.collect_set(pair).alias("pairs"))
+    pairs = _sent(stored(windows.groupBy("text").agg(F.collect_set(pair).alias("pairs"))))
     lists = index.join(_sent(seeds), "term").select("text", "row", (F.col("pos") - F.col("p")).alias("diagonal"), "p")
     met = lists.groupBy("text", "row", "diagonal").agg(F.collect_set("p").alias("met")).join(pairs, "text")
     both = F.exists("pairs", lambda x: F.array_contains("met", x["a"]) & F.array_contains("met", x["b"]))
     candidates = stored(met.where(both).select("text", "row", "diagonal"))
     # the candidates word by word
-    wanted = candidates.join(texts.places, "text").withColumn("pos", F.col("p") + F.col("diagonal"))
+    wanted = candidates.join(_sent(texts.places), "text").withColumn("pos", F.col("p") + F.col("diagonal"))
     same = wanted.join(_rows_of(index, candidates), ["row", "pos", "term"])
     runs = same.groupBy("text", "row", "diagonal").agg(F.array_sort(F.collect_list("p")).alias("m"), F.first(length).alias("length"))
     whole = lambda j: F.get("m", j + F.col("length") - 1) == F.get("m", j) + F.col("length") - 1
@@ -136,7 +136,7 @@ def near(index: DataFrame, queries: DataFrame, found: DataFrame, within: int) ->
     met = first.select("*", cells).join(second, ["query", "row", "cell"]).where(F.abs(F.col("pos") - F.col("other")) < within)
     candidates = stored(met.select("query", "row", "size", "pos").distinct().unionByName(first.where("size = 1")))
     postings = _rows_of(index, candidates).select("row", "term", F.col("pos").alias("at"), F.expr(f"pos div {within}").cast("long").alias("cell"))
-    wanted = candidates.join(known.select("query", "term"), "query").select("*", cells)
+    wanted = candidates.join(_sent(known.select("query", "term")), "query").select("*", cells)
     close = wanted.join(postings, ["row", "term", "cell"]).where(F.abs(F.col("at") - F.col("pos")) < within)
     close = close.groupBy("query", "row", "pos", "size").agg(F.collect_set(F.struct("at", "term")).alias("all"))
     # some run of ``within`` words that begins with a word of the query and holds ``pos`` has every word
@@ -169,11 +169,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, nea
     hits = stored(phrases(index, texts, found, width))
     covered = hits.select("row", F.explode(F.transform("hits", lambda p: p + F.col("diagonal"))).alias("pos")).distinct()
     n_hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
-    of_items = hits.select("row", "text").distinct().join(texts.items, "text")
+    of_items = hits.select("row", "text").distinct().join(_sent(texts.items), "text")
     ids = F.array_join(F.array_sort(F.collect_set("item_id")), ",")
     n_items = of_items.groupBy("row").agg(F.countDistinct("item_id").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
     close = near(index, rare_words(texts, found, near_words), found, near_within).select("row", F.col("query").alias("text")).distinct()
-    n_near = close.join(texts.items, "text").groupBy("row").agg(F.countDistinct("item_id").alias("n_near"))
+    n_near = close.join(_sent(texts.items), "text").groupBy("row").agg(F.countDistinct("item_id").alias("n_near"))
     rows = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     rows = rows.join(n_hit, "row", "left").join(n_items, "row", "left").join(n_near, "row", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
