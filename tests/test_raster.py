@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import catalog, catalog_frames  # noqa: F401  (registers its queries with catalog)
+from tessera import catalog, catalog_frames, catalog_streams  # noqa: F401  (register their queries with catalog)
 from tessera.functions import samples as s
 from tessera.operators import assembly, geometry, stencils, transforms
 from tessera.plans import layout
