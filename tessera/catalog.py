@@ -199,10 +199,7 @@ p as (
 select frame, unnest(range(len(perm))) as idx, cast(unnest(perm) as bigint) as "to" from p""")
 def toc4_lehmer(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("*").over(W.partitionBy("frame"))
-    rows = r.sections(spark, sf).withColumn("d", F.col("size") % (n - F.col("idx")))
-    digits = rows.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", "d"))).alias("s")).select("frame", F.col("s.d").alias("digits"))
-    out = digits.select("frame", F.posexplode(layout.lehmer("digits")).alias("idx", "to"))
-    return out.select("frame", F.col("idx").cast("bigint").alias("idx"), "to")
+    return layout.lehmer(r.sections(spark, sf).withColumn("digit", F.col("size") % (n - F.col("idx"))))
 
 
 @query("""with t as (select user_id as frame, row_number() over (partition by user_id order by event_id) - 1 as idx,
@@ -526,7 +523,7 @@ def vdr6_idct(spark: SparkSession, sf: str) -> DataFrame:
     return transforms.inverse_dct(r.blocks(spark, sf)).select("blk", "x", "y", fixed("v").alias("v"))
 
 
-def _haar_sql() -> str:
+def _haar_sql(value: str = "cast(floor(unnest(embedding) * 1024) as bigint)") -> str:
     """The cascade level by level: samples of the corner become sums and differences, the others stay."""
     steps = []
     for n, table in ((1, "q0"), (2, "q1"), (4, "q2")):
@@ -534,7 +531,7 @@ def _haar_sql() -> str:
         outs = " union all ".join(f"select blk, 2 * cx + {dx} as x, 2 * cy + {dy} as y, a {'-' if dy else '+'} b {'-' if dx else '+'} c {'-' if dx != dy else '+'} d as v from ({pair})" for dx in (0, 1) for dy in (0, 1))
         steps.append(f"q{len(steps) + 1} as ({outs} union all select blk, x, y, v from {table} where x >= {2 * n} or y >= {2 * n})")
     return f"""with q0 as (select blk, k % 8 as x, k // 8 as y, v from (
-  select vec_id as blk, unnest(range(64)) as k, cast(floor(unnest(embedding) * 1024) as bigint) as v from embeddings)), {', '.join(steps)}
+  select vec_id as blk, unnest(range(64)) as k, {value} as v from embeddings)), {', '.join(steps)}
 select blk, x, y, v from q3"""
 
 

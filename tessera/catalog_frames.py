@@ -5,11 +5,13 @@ As in ``catalog``, each has SQL that gives the same rows and shares no code with
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.catalog import _AROUND, _BLOCKS, _GRID, _GROUPS, _KINDS, _NAMES, _RECTS, _SAMPLES, _SIZES, _SRGB, _TEND, _TEND_STEPS, _TEND_STEPS2, _TOC, _kinds, _sizes, fixed, query
+from tessera.catalog import _AROUND, _haar_sql, _BLOCKS, _GRID, _GROUPS, _KINDS, _NAMES, _RECTS, _SAMPLES, _SIZES, _SRGB, _TEND, _TEND_STEPS, _TEND_STEPS2, _TOC, _kinds, _sizes, fixed, query
 from tessera.functions import coding
 from tessera.functions import samples as s
 from tessera.operators import assembly, frequency, stencils, transforms
@@ -150,42 +152,72 @@ def vdr3_dc(spark: SparkSession, sf: str) -> DataFrame:
     return r.samples(spark, sf).select("img", "x", "y", *[fixed(c * 100.0).alias(n) for c, n in zip(found, ("vx", "vy", "vb"))])
 
 
-def _weights_sql(width: int, height: int, channel: int) -> str:
-    steps = ("[3150.0, 0.0, -0.4, -0.4, -0.4, -2.0]", "[560.0, 0.0, -0.3, -0.3, -0.3, -0.3]", "[512.0, -2.0, -1.0, 0.0, -1.0, -2.0]")[channel]
-    return f"""select {channel} as channel, {width} as width, k, b[least(ix + 1, 6)] * pow(b[least(ix + 2, 6)] / b[least(ix + 1, 6)], case when ix >= 5 then 0 else far - ix end) as w from (
-  select k, floor(far)::int as ix, far, b from (
-    select k, sqrt(pow((k % {width}) / {max(width - 1, 1)}::double, 2) + pow((k // {width}) / {max(height - 1, 1)}::double, 2)) * 5 / (sqrt(2::double) + 1e-6::double) as far
-    from (select unnest(range({width * height})) as k)),
-  (select list_transform(range(6), lambda n: s[1] * list_product(list_prepend(1::double, list_transform(list_slice(s, 2, n + 1), lambda v: case when v > 0 then 1 + v else 1 / (1 - v) end)))) as b
-   from (select {steps}::double[] as s)))"""
+def _large_sql(cells: dict[int, int]) -> str:
+    """Blocks of consecutive embeddings for strategies of several cells."""
+    kinds = ", ".join(f"({s}, {n})" for s, n in cells.items())
+    return f"""kinds as (select * from (values {kinds}) as t(strategy, cells)), vecs as (select count(*) as n from embeddings),
+large as (select cast(blk // cells as bigint) as blk, cast(strategy as bigint) as strategy, blk % cells * 64 + k as k, v from blocks, kinds, vecs where (blk // cells + 1) * cells <= n)"""
 
 
-@query("select cast(channel as bigint) as channel, cast(width as bigint) as width, k, cast(floor(w * 100 + 0.5) as bigint) as weight from (" + " union all ".join(_weights_sql(w, h, c) for w, h in ((8, 8), (16, 8)) for c in range(3)) + ")")
+def _weights_sql(width: int, height: int, steps: list) -> str:
+    return f"""select k, b[least(ix + 1, len(b))] * pow(b[least(ix + 2, len(b))] / b[least(ix + 1, len(b))], case when ix >= len(b) - 1 then 0 else far - ix end) as w from (
+  select k, floor(far)::int as ix, far, b from (
+    select k, sqrt(pow((k % {width}) / {max(width - 1, 1)}::double, 2) + pow((k // {width}) / {max(height - 1, 1)}::double, 2)) * {len(steps) - 1} / (sqrt(2::double) + 1e-6::double) as far
+    from (select unnest(range({width * height})) as k)),
+  (select list_transform(range({len(steps)}), lambda n: s[1] * list_product(list_prepend(1::double, list_transform(list_slice(s, 2, n + 1), lambda v: case when v > 0 then 1 + v else 1 / (1 - v) end)))) as b
+   from (select {[float(v) for v in steps]}::double[] as s)))"""
+
+
+def _all_weights_sql() -> str:
+    parts = []
+    for strategies, by_channel in frequency.BANDS.items():
+        for strategy in strategies:
+            for c, steps in enumerate(by_channel):
+                if strategy == 3:
+                    body = f"select y * 8 + x as k, w from (select unnest(range(8)) as y), (select unnest(range(8)) as x), ({_weights_sql(4, 4, steps)}) b where b.k = y // 2 * 4 + x // 2"
+                elif strategy in (12, 13):
+                    body = f"select y * 8 + x as k, w from (select unnest(range(8)) as y), (select unnest(range(8)) as x), ({_weights_sql(8, 4, steps)}) b where b.k = y // 2 * 8 + x"
+                else:
+                    body = _weights_sql({0: 8, 4: 16, 6: 8, 7: 16}[strategy], {0: 8, 4: 16, 6: 16, 7: 8}[strategy], steps)
+                parts.append(f"select {strategy} as strategy, {c} as channel, k, w from ({body})")
+    for c, (a, b, d) in enumerate(frequency.IDENTITY_WEIGHTS):
+        parts.append(f"select 1, {c}, k, case when k in (1, 8) then {b} when k = 9 then {d} else {a} end from (select unnest(range(64)) as k)")
+    for c, n in enumerate(frequency.HAAR_WEIGHTS):
+        level = " ".join(f"when greatest(x, y) < {2 << i} then case when least(x, y) >= {1 << i} then {n[2 * i + 1]} else {n[2 * i]} end" for i in range(3))
+        parts.append(f"select 2, {c}, y * 8 + x, case when x + y = 0 then {n[0]} {level} end from (select unnest(range(8)) as y), (select unnest(range(8)) as x)")
+    return "wt as (" + " union all ".join(parts) + ")"
+
+
+_SMALL_KINDS = (0, 1, 2, 3, 12, 13)
+
+
+@query(f"""with {_BLOCKS}, {_large_sql({4: 4, 6: 2, 7: 2})}, {_all_weights_sql()},
+c as (select blk, strategy, k, v from large union all select blk, {list(_SMALL_KINDS)}[blk % 6 + 1], k, v from blocks)
+select blk, c.strategy, blk % 3 as channel, c.k, cast(floor(w * 100 + 0.5) as bigint) as weight, {_FIX.format('v / w * 1000')} as v
+from c join wt on wt.strategy = c.strategy and wt.channel = blk % 3 and wt.k = c.k""")
 def vdp7_weights(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [
-        frequency.band_weights(spark, w, h, frequency.BANDS8[c]).select(F.lit(c).cast("bigint").alias("channel"), F.lit(w).cast("bigint").alias("width"), "k", F.floor(F.col("weight") * 100 + 0.5).alias("weight"))
-        for w, h in ((8, 8), (16, 8)) for c in range(3)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    strategy = F.element_at(F.array(*map(F.lit, _SMALL_KINDS)), (F.col("blk") % 6 + 1).cast("int")).cast("bigint")
+    small = r.blocks(spark, sf).select("blk", strategy.alias("strategy"), "k", "v")
+    rows = r.large_blocks(spark, sf, {4: 4, 6: 2, 7: 2}).unionByName(small).withColumn("channel", F.col("blk") % 3)
+    found = frequency.weighed(rows, frequency.weights(spark))
+    return found.select("blk", "strategy", "channel", "k", F.floor(F.col("weight") * 100 + 0.5).alias("weight"), fixed(F.col("v") / F.col("weight") * 1000.0).alias("v"))
 
 
-def _order_sql(width: int, height: int) -> str:
+def _order_sql(strategy: int, width: int, height: int) -> str:
     a, d = max(width, height) // 8, min(width, height) // 8
-    return f"""select {width} as width, {height} as height, row_number() over (order by lf desc, case when lf then y * {a} + x else x + y * {a // d} end,
+    return f"""select {strategy} as strategy, row_number() over (order by lf desc, case when lf then y * {a} + x else x + y * {a // d} end,
   case when lf then 0 when (x + y * {a // d}) % 2 = 0 then x else -x end) - 1 as place, k
   from (select k, k % {a * 8} as x, k // {a * 8} as y, k % {a * 8} < {a} and k // {a * 8} < {d} as lf from (select unnest(range({width * height})) as k))"""
 
 
-@query("select cast(width as bigint) as width, cast(height as bigint) as height, place, k from (" + " union all ".join(_order_sql(w, h) for w, h in ((8, 8), (16, 16), (8, 16), (32, 8))) + ")")
+_ORDERED = {0: 1, 4: 4, 6: 2, 9: 4}
+
+
+@query(f"""with {_BLOCKS}, {_large_sql(_ORDERED)}, orders_of as ({" union all ".join(_order_sql(s, w, h) for s, w, h in ((0, 8, 8), (4, 16, 16), (6, 8, 16), (9, 32, 8)))})
+select blk, l.strategy, place, o.k, {_FIX.format('v')} as v from large l join orders_of o on o.strategy = l.strategy and place = l.k""")
 def vdp11_order(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [
-        frequency.coefficient_order(spark, w, h).select(F.lit(w).cast("bigint").alias("width"), F.lit(h).cast("bigint").alias("height"), "place", "k")
-        for w, h in ((8, 8), (16, 16), (8, 16), (32, 8))
-    ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    coded = r.large_blocks(spark, sf, _ORDERED).withColumnRenamed("k", "place")
+    return frequency.in_natural_order(coded, list(_ORDERED)).select("blk", "strategy", "place", "k", fixed("v").alias("v"))
 
 
 _COS = """cs as (select n.range as n, u.range as u, i.range as i, cos((2 * i.range + 1) * u.range * pi() / (2 * n.range)) * case when u.range = 0 then sqrt(0.5::double) else 1 end as w
@@ -246,13 +278,46 @@ def vdr7_identity(spark: SparkSession, sf: str) -> DataFrame:
     return _small(spark, sf, "identity")
 
 
-@query(f"""with bm as ({_IDENTITY}), bn as ({_INV4}), bo as ({_INV2.format('x, t * 4 + i as y')}), bp as ({_INV2.format('t * 4 + i as x, x as y')})
-select blk, cast(1 as bigint) as strategy, x, y, v from bm where blk % 4 = 0 union all select blk, 3, x, y, v from bn where blk % 4 = 1
-union all select blk, 12, x, y, v from bo where blk % 4 = 2 union all select blk, 13, x, y, v from bp where blk % 4 = 3""")
+_CORNERS = f"""first as {_FIRST4}, four as (select unnest(range(4)) as corner),
+own as (select blk, k // 16 * 4 + k % 8 // 2 as j, v from blocks where k > 0 and k // 8 % 2 = 0 and k % 2 = 0 union all select blk, 0, 4 * (a + b + c) from first),
+beside as (select blk, k // 16 * 4 + k % 8 // 2 as j, v from blocks where k > 1 and k // 8 % 2 = 0 and k % 2 = 1 union all select blk, 0, a + c - b from first),
+rest as (select blk, k // 16 * 8 + k % 8 as j, v from blocks where k > 8 and k // 8 % 2 = 1 union all select blk, 0, a - c from first),
+ob as (select blk, px, py, sum(v * cos((2 * px + 1) * (j % 4) * pi() / 8) * cos((2 * py + 1) * (j // 4) * pi() / 8)) as v
+  from own, (select unnest(range(4)) as px), (select unnest(range(4)) as py) group by all),
+bh as (select blk, j // 4 as r, i as px, sum(v * w) as s from beside join cs on n = 4 and u = j % 4 group by 1, 2, 3), bb as (select blk, px, i as py, 2 * sum(s * w) as v from bh join cs on n = 4 and u = r group by 1, 2, 3),
+rh as (select blk, j // 8 as r, i as px, sum(v * w) as s from rest join cs on n = 8 and u = j % 8 group by 1, 2, 3), rb as (select blk, px, i as py, 2 * sum(s * w) as v from rh join cs on n = 4 and u = r group by 1, 2, 3),
+cn as (
+  select blk, corner, corner % 2 * 4 + case when corner % 2 = 1 then 3 - px else px end as x, corner // 2 * 4 + case when corner >= 2 then 3 - py else py end as y, v from ob, four
+  union all select blk, corner, (1 - corner % 2) * 4 + px, corner // 2 * 4 + py, v from bb, four union all select blk, corner, px, (1 - corner // 2) * 4 + py, v from rb, four)
+select blk, corner, x, y, {_FIX.format('v')} as v from cn"""
+_INV8 = f"""with {_BLOCKS}, {_COS}, h as (select blk, k // 8 as r, i as x, sum(v * w) as s from blocks join cs on n = 8 and u = k % 8 group by 1, 2, 3)
+select blk, x, i as y, {_FIX.format('2 * sum(s * w)')} as v from h join cs on n = 8 and u = r group by blk, x, i"""
+
+
+@query(f"""with bm as ({_IDENTITY}), bn as ({_INV4}), bo as ({_INV2.format('x, t * 4 + i as y')}), bp as ({_INV2.format('t * 4 + i as x, x as y')}),
+bq as ({_INV8}), br as (select blk, x, y, {_FIX.format('v')} as v from ({_haar_sql('cast(unnest(embedding) as double)')})), bs as (with {_BLOCKS}, {_COS}, {_CORNERS})
+select blk, cast(0 as bigint) as strategy, x, y, v from bq where blk % 10 = 0 union all select blk, 1, x, y, v from bm where blk % 10 = 1
+union all select blk, 2, x, y, v from br where blk % 10 = 2 union all select blk, 3, x, y, v from bn where blk % 10 = 3
+union all select blk, 12, x, y, v from bo where blk % 10 = 4 union all select blk, 13, x, y, v from bp where blk % 10 = 5
+union all select blk, 14 + corner, x, y, v from bs where blk % 10 = 6 + corner""")
 def vdr8_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    strategy = F.element_at(F.array(*[F.lit(n) for n in (1, 3, 12, 13)]), (F.col("blk") % 4 + 1).cast("int")).cast("bigint")
-    blocks = r.blocks(spark, sf).withColumn("strategy", strategy)
-    return frequency.spatial(blocks).select("blk", "strategy", "x", "y", fixed("v").alias("v"))
+    """All kinds of 8 x 8 transforms; the corners' own basis, a parameter, is a cosine one here."""
+    strategy = F.element_at(F.array(*[F.lit(n) for n in (0, 1, 2, 3, 12, 13, 14, 15, 16, 17)]), (F.col("blk") % 10 + 1).cast("int")).cast("bigint")
+    across = [[math.cos((2 * p + 1) * u * math.pi / 8) for p in range(4)] for u in range(4)]
+    basis = [[across[j % 4][p % 4] * across[j // 4][p // 4] for p in range(16)] for j in range(16)]
+    return frequency.spatial(r.blocks(spark, sf).withColumn("strategy", strategy), basis).select("blk", "strategy", "x", "y", fixed("v").alias("v"))
+
+
+_LARGER = {4: (16, 16), 5: (32, 32), 6: (8, 16), 7: (16, 8), 8: (8, 32), 9: (32, 8), 10: (16, 32), 11: (32, 16)}
+_CELLS = {s: w * h // 64 for s, (w, h) in _LARGER.items()}
+
+
+@query(f"""with {_BLOCKS}, {_large_sql(_CELLS)}, {_COS.replace("range(2, 17)", "(select unnest([8, 16, 32]) as range)").replace("range(16)", "range(32)")},
+s as (select strategy, w, h from (values {", ".join(f"({s}, {w}, {h})" for s, (w, h) in _LARGER.items())}) as t(strategy, w, h)),
+a as (select blk, l.strategy, h, k // s.w as r, i as x, sum(v * cs.w) as v from large l join s using (strategy) join cs on n = s.w and u = k % s.w group by all)
+select blk, strategy, x, i as y, {_FIX.format('2 * sum(v * w)')} as v from a join cs on n = h and u = r group by blk, strategy, x, i""")
+def vdr8_larger(spark: SparkSession, sf: str) -> DataFrame:
+    return frequency.spatial(r.large_blocks(spark, sf, _CELLS)).select("blk", "strategy", "x", "y", fixed("v").alias("v"))
 
 
 @query("""select o_orderkey as id, [8, 8, 8, 8, 16, 32, 8, 16, 8, 32, 16, 32, 8, 8, 8, 8, 8, 8, 64, 32, 64, 128, 64, 128, 256, 128, 256][o_orderkey % 28 + 1]::bigint as width,

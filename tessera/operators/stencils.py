@@ -37,6 +37,15 @@ def neighbourhood(df: DataFrame, value: str, reach: int = 1, image: str = "img",
     return wide.withColumn(out, F.array(*_line("_row", [image, "x"], "y", reach))).drop("_row")
 
 
+def neighbourhoods(df: DataFrame, values: Sequence[str], reach: int = 1, image: str = "img") -> DataFrame:
+    """Adds ``_<value>``, the neighbourhood of each of several channels, by the same two windows for all of them."""
+    df = neighbourhood(df.withColumn("_all", F.struct(*values)), "_all", reach, image, "_near")
+    channel = lambda v: F.transform("_near", lambda row: F.transform(row, lambda s: s[v]))
+    for v in values:
+        df = df.withColumn(f"_{v}", channel(v))
+    return df.drop("_all", "_near")
+
+
 def weigh(around: str, weights: Sequence[Sequence[float]]) -> Column:
     """Sum of a neighbourhood by weights, row by row."""
     total = F.lit(0.0)
@@ -90,8 +99,8 @@ def smooth_dc(df: DataFrame, values: Sequence[str], steps: Sequence[float]) -> D
     row, column = W.partitionBy("img", "y").orderBy("x"), W.partitionBy("img", "x").orderBy("y")
     inside = F.lag("x").over(row).isNotNull() & F.lead("x").over(row).isNotNull()
     df = df.withColumn("_in", inside).withColumn("_in", F.col("_in") & F.lag("x").over(column).isNotNull() & F.lead("x").over(column).isNotNull())
+    df = neighbourhoods(df, values)
     for v in values:
-        df = neighbourhood(df, v, out=f"_{v}")
         df = df.withColumn(f"_{v}", weigh(f"_{v}", [[w2, w1, w2], [w1, w0, w1], [w2, w1, w2]]))
     gap = F.greatest(F.lit(0.5), *[F.abs((F.col(v) - F.col(f"_{v}")) / F.lit(float(s))) for v, s in zip(values, steps)])
     df = df.withColumn("_f", F.greatest(3 - 4 * gap, F.lit(0.0)))
@@ -113,8 +122,7 @@ def edge_filter(df: DataFrame, values: Sequence[str], scales: Sequence[float], i
     under LEAST_SIGMA samples stay. Adds ``<value>_kept``.
     """
     reach = {0: 3, 1: 2, 2: 1}[step]
-    for v in values:
-        df = neighbourhood(df, v, reach, out=f"_{v}")
+    df = neighbourhoods(df, values, reach)
     places = _AROUND.get(step, _CROSS)
     cross = [(0, 0), *_CROSS] if step < 2 else [(0, 0)]
     at = lambda v, x, y: F.col(f"_{v}")[reach + y][reach + x]

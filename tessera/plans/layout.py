@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.samples import col, div
-from tessera.operators.transforms import folded
 
 
 def ceil_div(a, b) -> Column:
@@ -75,16 +74,24 @@ def stream_number(kind, pass_no, grp, groups_n, dc_groups_n) -> Column:
     return F.when(col(kind) == "dc_group", dc).when(col(kind) == "ac_group", ac)
 
 
-def lehmer(digits: str) -> Column:
-    """The permutation of a Lehmer code array: each digit picks among the numbers not yet taken."""
-    rest = F.sequence(F.lit(0).cast("bigint"), F.size(digits).cast("bigint") - 1)
+def lehmer(rows: DataFrame) -> DataFrame:
+    """frame, idx, to: the permutation of Lehmer codes (frame, idx, digit): each digit picks among the numbers not yet taken.
 
-    def pick(s, d):
-        at = (d + 1).cast("int")
-        left = F.concat(F.slice(s["rest"], 1, at - 1), F.slice(s["rest"], at + 1, F.size(s["rest"])))
-        return F.struct(left.alias("rest"), F.array(F.element_at(s["rest"], at)).alias("added"))
-
-    return folded(F.col(digits), {"rest": ("array<bigint>", rest)}, pick, "out", "bigint")
+    Merged level by level: a run's picks are ranks among what it may take itself. Two neighbouring runs become one when
+    each rank of the right one is counted past the left one's picks below it. If those are l0 < l1 < ..., a rank r has as
+    many of them below its number as there are n with l_n - n <= r. That is a running count over both runs in order, so a
+    level is two windows, and levels grow with the logarithm of the longest code. A frame's rows stay in one partition.
+    """
+    n = rows.agg(F.max("idx")).first()[0] or 0
+    out = rows.select("frame", "idx", F.col("digit").cast("bigint").alias("to")).repartition("frame")
+    for level in range(int(n).bit_length()):
+        run, right = F.shiftright("idx", level + 1), F.shiftright("idx", level).bitwiseAND(1)
+        both = W.partitionBy("frame", run)
+        nth = F.row_number().over(W.partitionBy("frame", run, right).orderBy("to")) - 1
+        keyed = out.withColumn("_r", right).withColumn("_k", F.when(right == 0, F.col("to") - nth).otherwise(F.col("to")))
+        below = F.sum(1 - F.col("_r")).over(both.orderBy("_k", "_r").rowsBetween(W.unboundedPreceding, W.currentRow))
+        out = keyed.select("frame", "idx", F.when(F.col("_r") == 1, F.col("to") + below).otherwise(F.col("to")).cast("bigint").alias("to"))
+    return out
 
 
 def inverse_permutation(rows: DataFrame) -> DataFrame:

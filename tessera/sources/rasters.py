@@ -29,6 +29,18 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("blk", F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
 
 
+def large_blocks(spark: SparkSession, sf_dir: str, cells: dict[int, int]) -> DataFrame:
+    """blk, strategy, k, v: for each strategy blocks of as many 8 x 8 cells as it has, of consecutive embeddings.
+
+    Embeddings that are left over at the end make no block.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("strategy"), F.lit(n).cast("bigint").alias("cells")) for s, n in cells.items()]))
+    rows = blocks(spark, sf_dir).select("*", kinds.alias("kind")).select("blk", "k", "v", "kind.strategy", "kind.cells")
+    rows = rows.select(F.expr("blk div cells").alias("blk"), "strategy", (F.col("blk") % F.col("cells") * 64 + F.col("k")).alias("k"), "v", "cells")
+    whole = F.count("*").over(W.partitionBy("strategy", "blk")) == 64 * F.col("cells")
+    return rows.withColumn("whole", whole).where("whole").select("blk", "strategy", "k", "v")
+
+
 def animation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, frame, colour, alpha: one sample of an animation an event, an image a user."""
     e = table(spark, sf_dir, "events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog, catalog_frames, catalog_streams  # noqa: F401  (register their queries with catalog)
 from tessera.functions import samples as s
-from tessera.operators import assembly, geometry, stencils, transforms
+from tessera.operators import assembly, frequency, geometry, stencils, transforms
 from tessera.plans import layout
 from tessera.sources import containers, pam
 from tessera.streaming import frames as stream_frames
@@ -137,8 +137,14 @@ def test_snapshots_keep_every_frame(spark):
 
 
 def test_lehmer(spark):
-    df = spark.createDataFrame([([2, 0, 1, 0],), ([0],)], "d array<long>")
-    assert [r.p for r in df.select(layout.lehmer("d").alias("p")).collect()] == [[2, 0, 3, 1], [0]]
+    rng = random.Random(2)
+    codes = {1: [2, 0, 1, 0], 2: [0], 3: [rng.randrange(700 - i) for i in range(700)], 4: [0] * 33, 5: [32 - i for i in range(33)]}
+    df = spark.createDataFrame([(f, i, d) for f, code in codes.items() for i, d in enumerate(code)], "frame long, idx long, digit long")
+    got = {(x.frame, x.idx): x.to for x in layout.lehmer(df).collect()}
+    for f, code in codes.items():
+        left = list(range(len(code)))
+        assert [got.pop((f, i)) for i in range(len(code))] == [left.pop(d) for d in code]
+    assert not got and layout.lehmer(df.where("frame > 9")).collect() == []
 
 
 def box(kind, body, long=False):
@@ -187,3 +193,62 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in run_stream(spark, stream_frames.composite(source()), "update", "canvas")] == [(1, 2, 150, 255)]
     rows = source().select(F.col("img").alias("grp"), F.lit(1).alias("pass"), F.col("frame").alias("ord"), F.col("colour").alias("v"))
     assert [tuple(r) for r in run_stream(spark, stream_frames.best_pass(rows), "complete", "best")] == [(1, 1, 2, 100)]
+
+
+BLOCK = "blk long, strategy long, k long, v double"
+
+
+def test_every_strategy_comes_out_whole(spark):
+    """One sample a sample: blocks of all 27 strategies, the cosine ones from a few coefficients; constants stay constants."""
+    rows = []
+    for n, (w, h, kind) in enumerate(frequency.STRATEGIES):
+        some = range(64) if kind != "dct" else (0,)
+        rows += [(n, n, k, 5.0 if k == 0 else 0.0) for k in some]
+    got = frequency.spatial(spark.createDataFrame(rows, BLOCK), [[float(j == 0) for _ in range(16)] for j in range(16)])
+    counts = got.groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("x", "y").alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("x").alias("x"), F.max("y").alias("y")).collect()
+    assert len(counts) == 27
+    for r in counts:
+        w, h, kind = frequency.STRATEGIES[r.strategy]
+        assert (r.n, r.d, r.x, r.y) == (w * h, w * h, w - 1, h - 1)
+        if not kind.startswith("corner"):  # the first coefficient of a corner's own part counts four times
+            assert abs(r.lo - 5) < 1e-9 and abs(r.hi - 5) < 1e-9
+
+
+def test_large_blocks_match_the_formula(spark):
+    rng = random.Random(6)
+    parts = {(n, k): rng.uniform(-9, 9) for n in (18, 23, 26) for k in rng.sample(range(frequency.STRATEGIES[n][0] * frequency.STRATEGIES[n][1]), 5)}
+    got = frequency.spatial(spark.createDataFrame([(n, n, k, v) for (n, k), v in parts.items()], BLOCK))
+    import math
+
+    wave = lambda u, i, size: math.cos((2 * i + 1) * u * math.pi / (2 * size)) * (math.sqrt(0.5) if u == 0 else 1)
+    for r in got.where("x % 37 = 5 and y % 29 = 3").collect():
+        w, h, _ = frequency.STRATEGIES[r.strategy]
+        want = 2 * sum(v * wave(k % w, r.x, w) * wave(k // w, r.y, h) for (n, k), v in parts.items() if n == r.strategy)
+        assert abs(r.v - want) < 1e-9
+
+
+@pytest.mark.parametrize("strategy", [27, -1, 14, None])
+def test_strategies_without_a_transform_are_an_error(spark, strategy):
+    with pytest.raises(Exception, match="no transform for strategy"):
+        frequency.spatial(spark.createDataFrame([(1, 0, 0, 1.0), (2, strategy, 0, 1.0)], BLOCK)).collect()
+
+
+def test_weights_of_a_frame(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 2, 1, 63, 1.0)], "blk long, strategy long, channel long, k long, v double")
+    custom = spark.createDataFrame([(0, 0, 0, 7.0)], "strategy long, channel long, k long, weight double")
+    table = frequency.weights(spark)
+    assert {r.strategy: r.weight for r in frequency.weighed(rows, table).collect()} == {0: 3150.0, 2: 120.0}
+    assert {r.strategy: r.weight for r in frequency.weighed(rows, table, custom).collect()} == {0: 7.0, 2: 120.0}
+    with pytest.raises(Exception, match="no weights for strategy 5"):
+        frequency.weighed(rows.withColumn("strategy", F.lit(5).cast("long")), table).collect()
+    assert frequency.weights(spark, {5: [[10.0, -1.0]] * 3}).where("strategy = 5").count() == 3 * 1024
+
+
+def test_channels_share_their_windows(spark):
+    rows = spark.createDataFrame([(1, x, y, x * y % 7, x + y, x * 3 % 5) for x in range(9) for y in range(8)], "img long, x long, y long, a long, b long, c long")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(stencils.edge_filter(rows, ["a", "b", "c"], [0.1, 0.2, 0.3], -0.5, 0)) == 2
+    for v in "abc":
+        want = {(r.x, r.y): r.around for r in stencils.neighbourhood(rows, v).collect()}
+        got = {(r.x, r.y): r[f"_{v}"] for r in stencils.neighbourhoods(rows, ["a", "b", "c"]).collect()}
+        assert got == want
