@@ -22,7 +22,9 @@ their parity sketches differ in more bits than similar sets differ in shingles.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +35,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_count, components, salt_count, stored, text_bytes, tidy
-from tessera.llm.suffixes import CHUNK, U64, _by_bucket, _mix, _stretch, _sums
+from tessera.llm.suffixes import CHUNK, U64, _by_bucket, _mix
 
 WORDS = 5
+#: Bytes of a word from which it is digested on its own.
+LONG_WORD = 64
 #: Text bytes for each bucket of keys; and ids that are broadcast at most (8 bytes each).
 PER_BUCKET, BROADCAST_IDS = 6 << 20, 500_000
 _SPACE = np.zeros(256, bool)
@@ -43,11 +47,38 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TIMES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hashes of the words data[start:end] under a key that is drawn anew for every run.
+
+    Words of up to LONG_WORD bytes are mixed in eight bytes at a time, all words together; longer ones are digested one by
+    one. Without the key nobody can make up two words that meet.
+    """
+    size = end - start
+    out = _mix(size.astype(U64) * _TIMES[0] + U64(key))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
+    order = np.argsort(-size, kind="stable")
+    order = order[np.count_nonzero(size > LONG_WORD) :]  # longest first, so those with bytes left are a prefix
+    left = np.searchsorted(-size[order], -np.arange(0, LONG_WORD, 8), side="left")
+    at, h = start[order], out[order]
+    for k, n in enumerate(left.tolist()):
+        if not n:
+            break
+        more = np.minimum(size[order[:n]] - 8 * k, 8).astype(U64)
+        part = eight[at[:n] + 8 * k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * more))
+        h[:n] = _mix((h[:n] ^ part) * _TIMES[(k + 1) % 5] + U64(key ^ 0xA5A5A5A5A5A5A5A5))
+    out[order] = h
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def _shingles(texts: list[bytes], key: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingles of text i are hashes[bounds[i]:bounds[i + 1]], sorted.
 
     A-Z are lower-cased, words are stretches without ASCII white space. A text of fewer words is one shingle; one
-    without words has none. A shingle is known by 64 bits.
+    without words has none. A shingle is known by 64 bits, made of its words' keyed hashes.
     """
     joined = b" ".join(texts).lower()
     data = np.frombuffer(joined + b" ", np.uint8)
@@ -57,8 +88,7 @@ def _shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nd
     if len(inside) and inside[0]:
         edge = np.append(0, edge)
     start, end = edge[::2], edge[1::2]
-    sums, inverse = _sums(data)
-    word = _stretch(sums, inverse, start, end)
+    word = _word_hashes(data, start, end, key)
     doc = np.searchsorted(ends_of, start, "right")
     per_doc = np.bincount(doc, minlength=len(texts))
     times = _TIMES + [_mix(U64(i + 1) * _TIMES[0]) for i in range(5, words)]
@@ -212,15 +242,18 @@ FREQUENT = 4
 MEETING = 2048
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _grouped(batches):
-        h, bounds = _shingles(texts)
-        one, two = _digests(h, bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)], names=["doc_id", "n", "d1", "d2"])
-    tidy()
+def _sizes(secret: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _grouped(batches):
+            h, bounds = _shingles(texts, secret)
+            one, two = _digests(h, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)], names=["doc_id", "n", "d1", "d2"])
+        tidy()
+
+    return run
 
 
-def _index(edges: list[int], families: dict[int, Family], buckets: int):
+def _index(edges: list[int], families: dict[int, Family], buckets: int, secret: int):
     low_edges = np.array(edges)
 
     def flush(kept: list) -> Iterator[pa.RecordBatch]:
@@ -243,7 +276,7 @@ def _index(edges: list[int], families: dict[int, Family], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, count = [], 0
         for ids, texts in _grouped(batches):
-            h, bounds = _shingles(texts)
+            h, bounds = _shingles(texts, secret)
             size = np.diff(bounds)
             one, two = _digests(h, bounds)
             # of equal sets in this part of the table only the smallest document sends keys
@@ -327,20 +360,24 @@ def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def _shingle_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_arrays(secret: int):
     """id, shingles, sketch: which of some 2 n bits (a power of two) an odd number of shingles fall on."""
-    for ids, texts in _grouped(batches):
-        h, bounds = _shingles(texts)
-        arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-        sketches = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            bits = max(64, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 64
-            odd = np.bincount((h[a:b] >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-            sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-        cuts = np.cumsum([0] + [len(x) for x in sketches]).astype(np.int32)
-        sketch = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sketches)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays, sketch], names=["id", "shingles", "sketch"])
-    tidy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _grouped(batches):
+            h, bounds = _shingles(texts, secret)
+            arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+            sketches = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                bits = max(64, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 64
+                odd = np.bincount((h[a:b] >> U64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            cuts = np.cumsum([0] + [len(x) for x in sketches]).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sketches)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays, sketch], names=["id", "shingles", "sketch"])
+        tidy()
+
+    return run
 
 
 def _near(percent: int):
@@ -392,8 +429,8 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     Links: 100 * intersection >= percent * union of the two sets. Documents without words link with nothing. Rows with
     the same doc_id are one document. A null doc_id links with nothing and has a null component.
     """
-    texts = docs.select("doc_id", "text")
-    sets = stored(texts.mapInArrow(_sizes, _SETS))
+    texts, secret = docs.select("doc_id", "text"), secrets.randbits(64)
+    sets = stored(texts.mapInArrow(_sizes(secret), _SETS))
     some = sets.where("n > 0 and doc_id is not null")
     # equal sets: a partial aggregate; only digests that several rows have come to the join, in salts
     equal = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -410,7 +447,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     counts = dict(some.groupBy(number.alias("band")).count().collect())  # one row a band
     families = {b: family(edges[b], edges[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), percent) for b in range(len(edges) - 1)}
     buckets = bucket_count(text_bytes(docs), PER_BUCKET, 12)
-    keys = texts.mapInArrow(_index(edges, families, buckets), _KEYS)
+    keys = texts.mapInArrow(_index(edges, families, buckets, secret), _KEYS)
     groups = stored(keys.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_groups, _GROUPS))
     # every set passes over its most frequent keys, as many as its family allows
     allowed = F.create_map(*[F.lit(x) for b, f in families.items() for x in (b, f.passed)])
@@ -424,7 +461,7 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     several = several.where("a <> z and centre is not null")
     g = stored(g.join(several.select("gid", "centre"), "gid"))
     wanted = g.select(F.col("rep").alias("doc_id")).distinct()
-    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays, "id long, shingles array<long>, sketch array<long>"))
+    arrays = stored(_only(texts, wanted).mapInArrow(_shingle_arrays(secret), "id long, shingles array<long>, sketch array<long>"))
 
     def beside(pairs: DataFrame, what: list) -> DataFrame:
         """The pairs with columns of both members: few pairs go to the arrays, the arrays of many pairs to the pairs."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -259,9 +260,33 @@ def test_similar_sets_share_enough_keys(sets):
             assert len(shared) >= 1 + f.passed, (size, less, more, f)
 
 
+def test_words_that_simple_hashes_confuse(spark):
+    """A word of 1024 letters and its complement: polynomial hashes modulo 2**64 are equal, whatever the odd base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other, rest = word.translate(str.maketrans("ab", "ba")), h.prose(4, 1)
+    data = [(1, word), (2, other), (3, f"{word} {rest}"), (4, f"{other} {rest}"), (5, word), (6, f"{rest} {word[:64]}"), (7, f"{rest} {other[:64]}")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(h.documents(spark, data)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7}
+
+
+def test_word_hashes_do_not_depend_on_their_place():
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 150))) for _ in range(5000)})
+
+    def hashed(found, key):
+        data, size = np.frombuffer(" ".join(found).encode(), np.uint8), np.array([len(w) for w in found])
+        start = np.cumsum(size + 1) - size - 1
+        return dict(zip(found, jaccard._word_hashes(data, start, start + size, key).tolist()))
+
+    one = hashed(words, 3)
+    assert len(set(one.values())) == len(words) and hashed(words[::-1], 3) == one and not set(hashed(words, 4).values()) & set(one.values())
+
+
 def test_shingles_of_odd_white_space():
     texts = ["a b\tc\nd\x0be\x0cf\rg", " A  B C D E F G ", "a b c d e f", "", "  ", "one", "one  two"]
-    hashes, bounds = jaccard._shingles([t.encode() for t in texts])
+    hashes, bounds = jaccard._shingles([t.encode() for t in texts], 7)
     assert np.diff(bounds).tolist() == [len(h.shingle_set(t)) for t in texts]
     assert (hashes[bounds[0] : bounds[1]] == hashes[bounds[1] : bounds[2]]).all()
 
