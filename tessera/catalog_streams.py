@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog import _CAUSAL, _SAMPLES, fixed, query
-from tessera.operators import alias, compositing, copies, noise, splines, stencils, trees, weighted
+from tessera.catalog import ORACLE_SQL, _CAUSAL, _SAMPLES, fixed, query
+from tessera.functions import samples as s
+from tessera.operators import alias, compositing, copies, noise, splines, stencils, transforms, trees, weighted
 from tessera.plans import blocks, channels
 from tessera.sources import rasters as r
 
@@ -85,7 +86,7 @@ def _wp_sql() -> str:
     guesses = ", ".join(f"{g} as g{i}" for i, g in enumerate(guess))
     total = "(r0 + r1 + r2 + r3)"
     after = ", ".join(f"list_append(e{i}, (abs(g{i} - v * 8) + 3) // 8)" for i in e)
-    return f"""with recursive {_SAMPLES}, vals as (select img, list(c2 order by y, x) as vals from samples group by img),
+    return f"""vals as (select img, list(c2 order by y, x) as vals from samples group by img),
 run as (
   select img, vals, cast(0 as bigint) as n, []::bigint[] as e0, []::bigint[] as e1, []::bigint[] as e2, []::bigint[] as e3, []::bigint[] as te, cast(0 as bigint) as pred, cast(0 as bigint) as prop from vals
   union all
@@ -98,16 +99,31 @@ run as (
     8 * l as w8, 8 * t as n8, 8 * case when x < 15 and n >= 16 then vals[n - 14] else t end as ne8
   from (select *, {around}, case when n >= 16 then te[n - 15] else 0 end as tn0, case when n >= 16 then vals[n - 15] else l end as t
   from (select *, n % 16 as x, vals[n + 1] as v, case when n % 16 > 0 then vals[n] when n >= 16 then vals[n - 15] else 0 end as l
-  from (select img, vals, n, e0, e1, e2, e3, te from run where n < len(vals))))))))))
-)
-select img, (n - 1) % 16 as x, (n - 1) // 16 as y, pred as weighted, prop as property from run where n > 0"""
+  from (select img, vals, n, e0, e1, e2, e3, te from run where n < len(vals))))))))))),
+wp as (select img, (n - 1) % 16 as x, (n - 1) // 16 as y, pred as weighted, prop as property from run where n > 0)"""
 
 
-@query(_wp_sql())
+@query(f"with recursive {_SAMPLES}, {_wp_sql()} select * from wp")
 def mod6_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return weighted.weighted(r.samples(spark, sf), "c2")
 
 
+@query(f"""with recursive {_PROPERTIES}, {_wp_sql()}
+select img, x, y, {", ".join(f"p[{i + 1}] as p{i}" for i in range(15))}, property as p15 from props join wp using (img, x, y)""")
+def mod4_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = weighted.with_weighted(r.samples(spark, sf), "c2")
+    return stencils.pixel_properties(rows, "c2", 2, 7).select("img", "x", "y", *[f"p{i}" for i in range(15)], F.col("property").alias("p15"))
+
+
+@query(f"""with recursive {_CAUSAL}, {_wp_sql()} select img, x, y, cast(0 as bigint) as zero, l as "left", t as top, (l + t) // 2 as average0,
+  case when abs(t - tl) < abs(l - tl) then l else t end as pick, tr as top_right, tl as top_left, ll as left_left, weighted,
+  least(greatest(l + t - tl, least(l, t)), greatest(l, t)) as gradient, (l + tl) // 2 as average1, (tl + t) // 2 as average2,
+  (t + tr) // 2 as average3, (6 * t - 2 * tt + 7 * l + ll + trr + 3 * tr + 8) // 16 as average4 from k join wp using (img, x, y)""")
+def mod5_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stencils.causal(weighted.with_weighted(r.samples(spark, sf), "c2"), "c2")
+    return rows.select("img", "x", "y", *[stencils.predict(kind, "weighted").alias(kind) for kind in stencils.PREDICTORS])
+
+
 # ---- alias tables
 
 
@@ -330,3 +346,36 @@ d as (select img, frame, x, y, list_reduce(list_prepend([0, 0, 0, 0, 0], coalesc
 select img, frame, x, y, v[1] as r, v[2] as g, v[3] as b, v[4] as a from d""")
 def out15_canvas(spark: SparkSession, sf: str) -> DataFrame:
     return compositing.canvases(*r.rectangles_of_frames(spark, sf))
+
+
+# ---- chains of transforms
+
+
+@query(f"select img, y as x, x as y, v from ({ORACLE_SQL['xfm4_squeeze']})")
+def xfm4_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The images of ``xfm4_squeeze`` turned on their side, so that the squeeze goes down the columns."""
+    rows = r.samples(spark, sf).select("img", F.col("y").alias("x"), F.col("x").alias("y"), "c0", "c1")
+    low, rest = rows.select("img", "x", "y", F.col("c0").alias("v")), rows.select("img", "x", "y", (F.col("c1") - 4).alias("v"))
+    return transforms.unsqueezed(low, rest, across=False)
+
+
+@query(f"""with low as ({ORACLE_SQL['xfm4_squeeze']}), pal as (select p_size - 1 as i, min(p_partkey) as k from part group by 1),
+q as (select img, x, y, k % 256 as a, k * 7 % 256 as b, k * 13 % 256 as c from low join pal on pal.i = least(greatest(v, 0), 49)),
+t as (select img, x, y, a - (c >> 1) as t, b, c from q), rgb as (select img, x, y, [t - (b >> 1) + b, c + t, t - (b >> 1)] as v from t)
+select img, x, y, cast(unnest(range(3)) as bigint) as channel, unnest(v) as v from rgb""")
+def xfm1_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A colour transform, then a palette, then a squeeze of its index: coded as a table, averages and residuals."""
+    rows = r.samples(spark, sf)
+    channel = lambda n, v: rows.select("img", F.lit(n).cast("bigint").alias("channel"), "x", "y", v.alias("v"))
+    colours = r.palette(spark, sf).select(F.col("i").alias("x"), F.posexplode(F.array("r", "g", "b")).alias("y", "v"))
+    table = rows.select("img").distinct().join(F.broadcast(colours.select("x", F.col("y").cast("bigint").alias("y"), "v")))  # 50 colours for each image
+    coded = table.select("img", F.lit(0).cast("bigint").alias("channel"), "x", "y", "v").union(channel(1, F.col("c0"))).union(channel(2, F.col("c1") - 4))
+    return transforms.undone(coded, 3, [("rct", 6, 0), ("palette", 0, 3, 50), ("squeeze", True, True, 1, 1)])
+
+
+@query(f"""with {_SAMPLES} select img, x, y, (c0 * 65535 + 127) // 255 as r, (c1 * 65535 + 127) // 255 as g, (c2 * 65535 + 127) // 255 as b, (least(c1 * 36, 255) * 65535 + 127) // 255 as a from samples""")
+def out4_rgba(spark: SparkSession, sf: str) -> DataFrame:
+    """Interleaved with an alpha channel of its own."""
+    alpha = s.clamp(F.col("c1") * 36, F.lit(0), F.lit(255))
+    shown = {"r": F.col("c0"), "g": F.col("c1"), "b": F.col("c2"), "a": alpha}
+    return r.samples(spark, sf).select("img", "x", "y", *[s.scale_depth(c, 8, 65535).alias(n) for n, c in shown.items()])

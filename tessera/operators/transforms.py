@@ -80,6 +80,59 @@ def unsqueeze_prefix(rows: DataFrame, average: str, residual: str, upto: int, ou
     return unsqueeze(cut, "_a", "_r", out).withColumn(out, F.slice(out, 1, upto)).drop("_a", "_r")
 
 
+def unsqueezed(low: DataFrame, residual: DataFrame, across: bool) -> DataFrame:
+    """img, x, y, v: undoes a squeeze of channels in long form (img, x, y, v), along rows (``across``) or columns.
+
+    A line's averages and residuals are gathered into one row; lines of any number of images are independent.
+    """
+    along, line = ("x", "y") if across else ("y", "x")
+    both = low.select("img", line, along, "v", F.lit(True).alias("_low")).union(residual.select("img", line, along, "v", F.lit(False)))
+    part = lambda mine: F.array_sort(F.collect_list(F.when(F.col("_low") == mine, F.struct(along, "v"))))
+    rows = both.groupBy("img", line).agg(part(True).alias("a"), part(False).alias("r"))
+    rows = rows.select("img", line, F.col("a.v").alias("_avg"), F.col("r.v").alias("_res"))
+    out = unsqueeze(rows, "_avg", "_res").select("img", line, F.posexplode("samples").alias(along, "v"))
+    return out.select("img", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "v")
+
+
+def undone(channels: DataFrame, count: int, transforms: list[tuple]) -> DataFrame:
+    """img, channel, x, y, v: the image channels left when all transforms of coded channels (same columns) are undone.
+
+    ``transforms`` come in the order they were applied: ("rct", kind, first channel), ("palette", first channel, channels,
+    size of the table) or ("squeeze", across, in place, first channel, channels). The last is undone first. A palette puts
+    its table (x counts colours, y channels) before all others, and tables are no image channels; ``count`` is how many
+    channels are coded. Numbers of channels change as they come and go.
+    """
+    channels = channels.select("img", "channel", "x", "y", "v")
+    at = F.col("channel")
+    for kind, *what in reversed(transforms):
+        if kind == "rct":
+            number, first = what
+            held = channels.where(at.between(first, first + 2)).groupBy("img", "x", "y").agg(*[F.max(F.when(at == first + i, F.col("v"))).alias(f"c{i}") for i in range(3)])
+            made = F.posexplode(F.array(*inverse_rct(number, "c0", "c1", "c2"))).alias("channel", "v")
+            held = held.select("img", "x", "y", made).select("img", (F.col("channel") + first).cast("bigint").alias("channel"), "x", "y", "v")
+            channels = channels.where(~at.between(first, first + 2)).union(held)
+        elif kind == "palette":
+            first, many, size = what
+            table = channels.where(at == 0).select("img", F.col("x").alias("_i"), F.col("y").alias("_c"), F.col("v").alias("_v"))
+            index = channels.where(at == first + 1).withColumn("_i", clamp("v", F.lit(0), F.lit(size - 1)).cast("bigint"))
+            shown = index.join(table.where(F.col("_c") < many), ["img", "_i"]).select("img", (F.col("_c") + first).alias("channel"), "x", "y", F.col("_v").alias("v"))
+            moved = F.when(at > first + 1, at + (many - 2)).otherwise(at - 1)
+            channels = channels.where((at > 0) & (at != first + 1)).withColumn("channel", moved).union(shown)
+            count += many - 2
+        elif kind == "squeeze":
+            across, in_place, first, many = what
+            lost = first + many if in_place else count - many
+            out = channels.where(~at.between(first, first + many - 1) & ~at.between(lost, lost + many - 1))
+            out = out.withColumn("channel", F.when(at >= lost + many, at - many).otherwise(at))
+            for i in range(many):
+                low, rest = (channels.where(at == c).drop("channel") for c in (first + i, lost + i))
+                out = out.union(unsqueezed(low, rest, across).select("img", F.lit(first + i).cast("bigint").alias("channel"), "x", "y", "v"))
+            channels, count = out, count - many
+        else:
+            raise ValueError(f"no such transform: {kind}")
+    return channels
+
+
 def inverted(df: DataFrame, transforms: list[tuple]) -> DataFrame:
     """Undoes transforms of channels, the last one first: ("rct", kind, columns) or ("palette", column, table, size)."""
     for kind, *what in reversed(transforms):

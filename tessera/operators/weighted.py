@@ -111,3 +111,9 @@ def weighted(samples: DataFrame, value: str, parameters: Parameters = Parameters
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in (img, x, y, found[of, y, x], prop[of, y, x])], ["img", "x", "y", "weighted", "property"])
 
     return rows.mapInArrow(run, "img long, x long, y long, weighted long, property long")
+
+
+def with_weighted(samples: DataFrame, value: str, parameters: Parameters = Parameters()) -> DataFrame:
+    """``samples`` with ``weighted`` and ``property``; a place that has several rows has them all."""
+    found = weighted(samples, value, parameters)
+    return samples.join(found.withColumns({c: F.col(c).cast(samples.schema[c].dataType) for c in ("img", "x", "y")}), ["img", "x", "y"])

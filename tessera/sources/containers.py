@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The two signatures.
+# The two signatures, and the content of the second box.
 NAKED = "FF0A"
 BOXED = "0000000C4A584C200D0A870A"
+BRAND = bytearray(b"jxl \0\0\0\0jxl ")
 
 _BOXES = "path string, seq int, box_type string, header_size long, content_size long, offset long, error string"
 
@@ -80,27 +81,29 @@ def codestreams(files: DataFrame) -> DataFrame:
     found = boxes(known.where("format = 'boxed'")).join(known.select("path", "content"), "path")
     body = F.expr("substring(content, int(offset + header_size + 1), int(content_size))")
     number = F.conv(F.hex(F.expr("substring(content, int(offset + header_size + 1), 4)")), 16, 10).cast("long")
-    rows = found.select("path", "seq", "box_type", "error", body.alias("body"), F.when(F.col("box_type") == "jxlp", number).alias("n"))
-    part = F.struct("seq", F.expr("n % 2147483648").alias("i"), (F.col("n") >= 2**31).alias("last"), F.hex(F.expr("substring(body, 5)")).alias("hex"))
+    rows = found.select("path", "seq", "box_type", "header_size", "error", body.alias("body"), F.when(F.col("box_type") == "jxlp", number).alias("n"))
+    part = F.struct("seq", F.expr("n % 2147483648").alias("i"), (F.col("n") >= 2**31).alias("last"))
+    rows = rows.withColumn("piece", F.when(F.col("box_type") == "jxlp", F.expr("substring(body, 5)")))
     whole = rows.groupBy("path").agg(
         F.first("error", True).alias("bad"),
         F.count_if(F.col("box_type") == "jxlc").alias("streams"),
         F.first(F.when(F.col("box_type") == "jxlc", F.col("body")), True).alias("stream"),
         F.array_sort(F.collect_list(F.when(F.col("box_type") == "jxlp", part))).alias("parts"),
         F.max_by("box_type", -F.col("seq")).alias("first"),
-        F.first(F.when(F.col("seq") == 1, F.col("box_type")), True).alias("second"),
+        F.first(F.when(F.col("seq") == 1, F.struct("box_type", "header_size", "body")), True).alias("second"),
+        F.expr("listagg(piece) within group (order by seq)").alias("joined"),
     )
     n = F.size("parts")
     counted = F.transform("parts", lambda p: p["i"]) == F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i.cast("long"))
     ended = F.transform("parts", lambda p: p["last"]) == F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i == n)
     error = (
         F.when(F.col("bad").isNotNull(), F.col("bad"))
-        .when(F.coalesce(F.col("second"), F.lit("")) != "ftyp", "second box is not ftyp")
+        .when(F.coalesce(F.col("second.box_type"), F.lit("")) != "ftyp", "second box is not ftyp")
+        .when((F.col("second.body") != F.lit(BRAND)) | (F.col("second.header_size") != 8), "invalid ftyp box")
         .when((F.col("streams") > 1) | ((F.col("streams") == 1) & (n > 0)), "several codestreams")
         .when((F.col("streams") == 0) & (n == 0), "no codestream")
         .when((n > 0) & ~counted, "parts out of order")
         .when((n > 0) & ~ended, "parts without an end")
     )
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
-    stream = F.when(error.isNull(), F.when(n > 0, joined).otherwise(F.col("stream")))
+    stream = F.when(error.isNull(), F.when(n > 0, F.col("joined")).otherwise(F.col("stream")))
     return naked.union(whole.select("path", F.lit("boxed").alias("format"), stream.alias("codestream"), error.alias("error")))

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
-def payloads(pixels: DataFrame, bits: int = 8) -> DataFrame:
-    """img, payload (binary): the whole file for pixels (img, x, y, r, g, b, a); samples over 8 bits are big-endian."""
+def strips(pixels: DataFrame, bits: int = 8) -> DataFrame:
+    """img, y, part (binary): each row of pixels (img, x, y, r, g, b, a) as bytes, and the header as row -1.
+
+    Samples over 8 bits are big-endian. No step holds more than a row of an image.
+    """
     digits, most = (2, 255) if bits == 8 else (4, 65535)
-    pixel = F.concat(*[F.lpad(F.hex(c), digits, "0") for c in "rgba"])
-    rows = pixels.groupBy("img").agg(
-        (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", pixel.alias("p")))).alias("s")
-    )
+    pixel = F.unhex(F.concat(*[F.lpad(F.hex(c), digits, "0") for c in "rgba"]))
+    rows = pixels.select("img", "x", "y", pixel.alias("p")).groupBy("img", "y").agg(F.expr("listagg(p) within group (order by x)").alias("part"), F.max("x").alias("x"))
+    sizes = rows.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     head = F.format_string(f"P7\nWIDTH %d\nHEIGHT %d\nDEPTH 4\nMAXVAL {most}\nTUPLTYPE RGB_ALPHA\nENDHDR\n", "w", "h")
-    body = F.unhex(F.array_join(F.transform("s", lambda p: p["p"]), ""))
-    return rows.select("img", F.concat(F.encode(head, "UTF-8"), body).alias("payload"))
+    return rows.select("img", F.col("y").cast("long").alias("y"), "part").union(sizes.select("img", F.lit(-1).cast("long"), F.encode(head, "UTF-8")))
+
+
+def payloads(pixels: DataFrame, bits: int = 8) -> DataFrame:
+    """img, payload (binary): the whole file of each image, for images that fit a row."""
+    return strips(pixels, bits).groupBy("img").agg(F.expr("listagg(part) within group (order by y)").alias("payload"))
 
 
 @dataclass
@@ -27,7 +34,10 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Files are written under hidden names and renamed when the job commits, so a failed task leaves no image."""
+    """Files are written strip by strip under hidden names and renamed when the job commits, so a failed task leaves no image.
+
+    Rows come in order of image and strip, all of an image in one task.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -45,11 +55,12 @@ class _Writer(DataSourceWriter):
         store, folder = self._store()
         store.create_dir(folder, recursive=True)
         task, names = TaskContext.get().taskAttemptId(), []
-        for row in rows:
-            hidden = f"{folder}/_{row['img']}-{task}"
+        for img, parts in groupby(rows, key=lambda row: row["img"]):
+            hidden = f"{folder}/_{img}-{task}"
             with store.open_output_stream(hidden) as f:
-                f.write(bytes(row["payload"]))
-            names.append((hidden, f"{folder}/{row['img']}.pam"))
+                for row in parts:
+                    f.write(bytes(row["part"]))
+            names.append((hidden, f"{folder}/{img}.pam"))
         return _Written(names)
 
     def commit(self, messages):
@@ -71,7 +82,7 @@ class PamSource(DataSource):
         return "pam"
 
     def schema(self) -> str:
-        return "img long, payload binary"
+        return "img long, y long, part binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
@@ -79,4 +90,5 @@ class PamSource(DataSource):
 
 def write(spark: SparkSession, pixels: DataFrame, path: str, bits: int = 8) -> None:
     spark.dataSource.register(PamSource)
-    payloads(pixels, bits).write.format("pam").mode("append").save(path)
+    dealt = strips(pixels, bits).select(F.col("img").cast("long").alias("img"), "y", "part").repartition("img").sortWithinPartitions("img", "y")
+    dealt.write.format("pam").mode("append").save(path)

@@ -159,6 +159,7 @@ def test_containers(spark, tmp_path):
         "naked": b"\xff\x0aabc", "whole": head + box(b"Exif", b"x") + box(b"jxlc", b"\xff\x0astream", long=True), "parts": head + part(0, False, b"\xff\x0aab") + part(1, True, b"cd"),
         "short": b"\xff", "bad": b"GIF89a", "cut": head + box(b"jxlc", b"\xff\x0astream")[:-3], "order": head + part(1, False, b"a") + part(0, True, b"b"),
         "none": head, "two": head + box(b"jxlc", b"a") + box(b"jxlc", b"b"), "open": head + part(0, False, b"a"), "empty": b"",
+        "brand": bytes.fromhex(containers.BOXED) + box(b"ftyp", b"jxl \0\0\0\1jxl ") + box(b"jxlc", b"a"), "wide": bytes.fromhex(containers.BOXED) + box(b"ftyp", b"jxl \0\0\0\0jxl ", long=True) + box(b"jxlc", b"a"),
     }
     for name, data in files.items():
         (tmp_path / f"{name}.jxl").write_bytes(data)
@@ -166,7 +167,7 @@ def test_containers(spark, tmp_path):
     streams = {k: bytes(r.codestream) for k, r in got.items() if r.codestream is not None}
     assert streams == {"naked": b"\xff\x0aabc", "whole": b"\xff\x0astream", "parts": b"\xff\x0aabcd"}
     errors = {k: r.error for k, r in got.items() if r.error}
-    assert errors == {"short": "truncated", "bad": "invalid signature", "cut": "truncated", "order": "parts out of order", "none": "no codestream", "two": "several codestreams", "open": "parts without an end"}
+    assert errors == {"short": "truncated", "bad": "invalid signature", "cut": "truncated", "order": "parts out of order", "none": "no codestream", "two": "several codestreams", "open": "parts without an end", "brand": "invalid ftyp box", "wide": "invalid ftyp box"}
     assert len(got) == len(files) - 1  # the empty file
 
 
@@ -252,3 +253,22 @@ def test_channels_share_their_windows(spark):
         want = {(r.x, r.y): r.around for r in stencils.neighbourhood(rows, v).collect()}
         got = {(r.x, r.y): r[f"_{v}"] for r in stencils.neighbourhoods(rows, ["a", "b", "c"]).collect()}
         assert got == want
+
+
+def test_transforms_are_undone_in_turn(spark):
+    """Coded by hand: a palette of two colours, its index squeezed along columns; and a squeeze whose residual is at the end."""
+    from tessera.operators.transforms import undone
+
+    index = [[0, 1, 1], [1, 1, 0]]
+    low = [[(a + b + (a > b)) // 2 for a, b in zip(*index)]]
+    kind = "img long, channel long, x long, y long, v long"
+    table = [(1, 0, i, c, v) for i, colour in enumerate(((10, 20, 30), (40, 50, 60))) for c, v in enumerate(colour)]
+    extra = [(1, 3, x, y, 7) for x in range(3) for y in range(2)]
+    averages = [(1, 1, x, 0, v) for x, v in enumerate(low[0])]
+    rest = [(1, 2, x, 0, index[0][x] - index[1][x]) for x in range(3)]  # one pair a column: no neighbour, so no slope
+    got = undone(spark.createDataFrame(table + averages + rest + extra, kind), 4, [("palette", 0, 3, 2), ("squeeze", False, True, 1, 1)])
+    want = {(c, x, y): (10, 20, 30, 40, 50, 60)[3 * index[y][x] + c] for c in range(3) for x in range(3) for y in range(2)} | {(3, x, y): 7 for x in range(3) for y in range(2)}
+    assert {(r.channel, r.x, r.y): r.v for r in got.collect()} == want
+    end = [(1, 0, 0, 0, 5), (1, 1, 0, 0, 9), (1, 2, 0, 0, 2)]  # the residual of channel 0 stands last
+    got = undone(spark.createDataFrame(end, kind), 3, [("squeeze", True, False, 0, 1)])
+    assert {(r.channel, r.x, r.y): r.v for r in got.collect()} == {(0, 0, 0): 6, (0, 1, 0): 4, (1, 0, 0): 9}
