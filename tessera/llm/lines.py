@@ -4,10 +4,10 @@ A document is the sequence of its lines that hold anything; a line's id is 128 b
 end every run, so only the others are sorted.
 
 1. ``suffixes``: the rank of a position is where its class begins in the order of the suffixes' first w lines. A round
-   sorts positions by their rank and the rank w lines on, which gives ranks by 2w lines, until no class splits any more:
-   then suffixes of one class are equal to the end of their documents. A sort is by ranges, with ties dealt over many
-   tasks; tasks number their rows, and one row a task settles what they start from. Deletion stops at a width of
-   ``min_lines``: it asks of suffixes only whether they share so many lines, which a finer order does not change.
+   sorts positions by their rank and the rank w lines on, which gives ranks by 2w lines. Positions whose class has no
+   other member, or ends with its documents, are settled and leave the rounds (doubling with discarding), so late rounds
+   sort the long repeats only; they end when no class splits any more. A sort is by ranges, with ties dealt over many
+   tasks; tasks number their rows, and one row a task settles what they start from.
 2. ``common_prefixes``: in the order of the array, how many lines a suffix shares with the one before it. The round in
    which the two parted bounds that number by a factor of two. It is worked out only where it is not the number of the line
    before less one (an irreducible value), by comparing lines between the bounds.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import salt_count, slices, stored
+from tessera.llm.common import discard, salt_count, slices, stored
 
 _WHITE = "\\t\\n\\x0B\\f\\r "
 _PLACE = ["doc_id", "th", "i"]
@@ -65,94 +65,142 @@ def with_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return met.withColumn("later", F.struct(*_PLACE) != F.col("first")).drop("first", "salt")
 
 
-def _sorted_parts(rows: DataFrame, order: Sequence[str], keys: Sequence[str], deal: Sequence) -> DataFrame:
-    """The rows in parts that follow each other in ``order``, with part, at (place in the part) and start (place of the
-    first row of the part with the same ``keys``), stored."""
-    number = [rows.columns.index(k) for k in keys]
+def _sorted_parts(rows: DataFrame, order: Sequence[str], levels: Sequence[Sequence[str]], deal: Sequence) -> DataFrame:
+    """The rows in parts that follow each other in ``order``, stored, with part and at (place in the part).
+
+    For each of ``levels``, a list of keys, start<k> is the place of the first row of the part with the same keys. alone
+    tells rows whose keys of the first level no other row has; of a part's first and last rows it is never said.
+    """
+    numbers = [[rows.columns.index(k) for k in keys] for keys in levels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, start, last = TaskContext.get().partitionId(), 0, 0, None
+        part, at, last, start, held = TaskContext.get().partitionId(), 0, [None] * len(levels), [0] * len(levels), None
+
+        def told(batch, places, starts, new, after: bool) -> pa.RecordBatch:
+            alone = new & np.append(new[1:], after)
+            extra = [pa.array(np.full(len(places), part, np.int32)), pa.array(places), *map(pa.array, starts), pa.array(alone)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "part", "at", *[f"start{k}" for k in range(len(levels))], "alone"])
+
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            key = np.column_stack([batch.column(c).to_numpy() for c in number])
-            new = np.ones(n, bool)
-            new[1:] = (key[1:] != key[:-1]).any(1)
-            new[0] = last is None or (key[0] != last).any()
-            place = np.arange(at, at + n)
-            starts = np.maximum.accumulate(np.where(new, place, -1))
-            starts = np.where(starts < 0, start, starts)
-            at, start, last = at + n, starts[-1], key[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place), pa.array(starts)], names=[*batch.schema.names, "part", "at", "start"])
+            place, starts, fine = np.arange(at, at + n), [], None
+            for k, number in enumerate(numbers):
+                key = np.column_stack([batch.column(c).to_numpy() for c in number])
+                new = np.ones(n, bool)
+                new[1:] = (key[1:] != key[:-1]).any(1)
+                new[0] = last[k] is None or (key[0] != last[k]).any()
+                begun = np.maximum.accumulate(np.where(new, place, -1))
+                starts.append(np.where(begun < 0, start[k], begun))
+                start[k], last[k] = starts[-1][-1], key[-1]
+                fine = new if k == 0 else fine
+            if held:
+                yield told(*held, bool(fine[0]))
+            if at == 0:
+                fine[0] = False  # it may go on with the part before
+            held, at = (batch, place, starts, fine), at + n
+        if held:
+            yield told(*held, False)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     dealt = rows.repartitionByRange(*order, *deal).sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(run, f"{schema}, part int, at long, start long"))
+    starts = "".join(f"start{k} long, " for k in range(len(levels)))
+    return stored(dealt.mapInArrow(run, f"{schema}, part int, at long, {starts}alone boolean"))
 
 
-def numbered(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
-    """Adds ``place``: how many rows have smaller ``keys`` (long columns). Also returns how many different keys there are.
+def numbered(rows: DataFrame, levels: Sequence[Sequence[str]]) -> tuple[DataFrame, list[int], DataFrame]:
+    """Adds place<k> for each of ``levels``, lists of long columns that begin the first of them: how many rows have smaller
+    keys; and alone (see ``_sorted_parts``). Also returns how many different keys each level has, and the stored table.
 
     Rows of one key may fill several parts; a part whose first key is the last of the part before goes on with its place.
     The tables of parts have one row each.
     """
-    parts = _sorted_parts(rows, keys, keys, [F.hash("doc_id", "i")])
-    key = F.struct(*keys)
-    ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("start").alias("last"), F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(F.col("at") == F.col("start")).alias("kinds"))
+    parts = _sorted_parts(rows, levels[0], levels, [F.hash("doc_id", "i")])
+    found = [F.count("*").alias("n")]
+    for k, keys in enumerate(levels):
+        key, start = F.struct(*keys), F.col(f"start{k}")
+        found += [F.max(start).alias(f"last{k}"), F.min(key).alias(f"low{k}"), F.max(key).alias(f"high{k}"), F.count_if(F.col("at") == start).alias(f"kinds{k}")]
     over = W.orderBy("part")
-    ends = ends.withColumn("offset", F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ends = ends.withColumn("on", F.coalesce(F.col("low") == F.lag("high").over(over), F.lit(False)))
-    begun = F.when(~F.col("on") | (F.col("kinds") > 1), F.col("offset") + F.col("last"))
-    ends = stored(ends.withColumn("carry", F.last(begun, True).over(over.rowsBetween(W.unboundedPreceding, -1))).select("part", "offset", "on", "carry", "kinds"))
-    kinds = ends.agg(F.sum(F.col("kinds") - F.col("on").cast("int"))).first()[0] or 0
-    place = F.when((F.col("start") == 0) & F.col("on"), F.col("carry")).otherwise(F.col("offset") + F.col("start"))
-    return parts.join(F.broadcast(ends.drop("kinds")), "part").withColumn("place", place).select(*rows.columns, "place"), kinds
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    ends = parts.groupBy("part").agg(*found).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    for k in range(len(levels)):
+        ends = ends.withColumn(f"on{k}", F.coalesce(F.col(f"low{k}") == F.lag(f"high{k}").over(over), F.lit(False)))
+        begun = F.when(~F.col(f"on{k}") | (F.col(f"kinds{k}") > 1), F.col("offset") + F.col(f"last{k}"))
+        ends = ends.withColumn(f"carry{k}", F.last(begun, True).over(before))
+    several = range(len(levels))
+    ends = stored(ends.select("part", "offset", *[f"{c}{k}" for k in several for c in ("on", "carry", "kinds")]))
+    kinds = ends.agg(*[F.sum(F.col(f"kinds{k}") - F.col(f"on{k}").cast("int")) for k in several]).first()
+    placed = parts.join(F.broadcast(ends.drop(*[f"kinds{k}" for k in several])), "part")
+    place = [F.when((F.col(f"start{k}") == 0) & F.col(f"on{k}"), F.col(f"carry{k}")).otherwise(F.col("offset") + F.col(f"start{k}")).alias(f"place{k}") for k in several]
+    return placed.select(*rows.columns, *place, "alone"), [n or 0 for n in kinds], parts
 
 
-def suffixes(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame, int | None]:
-    """Repeated lines (doc_id, th, i, n, a, b, words, ...) with line (a number for each line id), rank and since.
+#: Documents whose ids are sent to all tasks, to leave the lines of others out of a round.
+BROADCAST_DOCS = 500_000
+
+
+def suffixes(lines: DataFrame) -> DataFrame:
+    """Repeated lines (doc_id, th, i, n, a, b, words, ...) with line (a number for each line id), rank and since; stored.
 
     rank is the place of the first suffix that is equal to the end, since the width of the round in which the suffix at
-    that place was first told from the one before it. With ``depth`` rounds end when they have compared so many lines;
-    the second result is how many they did, and None where all suffixes are in order.
+    that place was first told from the one before it.
     """
-    rows, kinds = numbered(lines, ["a", "b"])
-    rows = rows.withColumn("rank", F.col("place")).withColumnRenamed("place", "line").withColumn("since", F.lit(1).cast("long")).drop("a", "b")
-    width = 1
-    while kinds and (depth is None or width < depth):
+    live, _, parts = numbered(lines, [["a", "b"]])
+    live = live.withColumns({"rank": F.col("place0"), "line": F.col("place0"), "since": F.lit(1).cast("long")}).drop("a", "b", "place0", "alone")
+    columns, width, settled, used = live.columns, 1, [], [parts]
+    while True:
+        docs = live.select("doc_id", "th").distinct()
+        few = bool(settled) and docs.count() <= BROADCAST_DOCS
+        pool = live.withColumn("_live", F.lit(True))
+        for done in settled:  # of lines that are settled only the ranks are asked for, in documents that still have others
+            done = done.join(F.broadcast(docs), ["doc_id", "th"], "left_semi") if few else done
+            named = [F.col(c) if c in (*_PLACE, "rank") else F.lit(None).cast(live.schema[c].dataType).alias(c) for c in columns]
+            pool = pool.union(done.select(*named, F.lit(False)))
         on = F.first("rank").over(W.partitionBy("doc_id", "th").orderBy("i").rangeBetween(width, width))
         # after the end of a document nothing follows; a line that is there once is like no other
         once = -2 - F.xxhash64("doc_id", "th", F.col("i") + width).bitwiseAND(F.lit((1 << 62) - 1))
         after = F.coalesce(on, F.when(F.col("i") + width >= F.col("n"), F.lit(-1).cast("long")).otherwise(once))
-        rows, found = numbered(rows.withColumn("after", after), ["rank", "after"])
+        asked = pool.withColumn("after", after).where("_live").drop("_live")
+        rows, (fine, coarse), parts = numbered(asked, [["rank", "after"], ["rank"]])
+        used.append(parts)
         width *= 2
-        rows = rows.withColumn("since", F.when(F.col("place") > F.col("rank"), F.lit(width).cast("long")).otherwise(F.col("since")))
-        rows = rows.withColumn("rank", F.col("place")).drop("after", "place")
-        if found == kinds:
-            return stored(rows), None
-        kinds = found
-    return stored(rows), width if kinds else None
-
-
-def common_prefixes(array: DataFrame, most: int | None = None) -> DataFrame:
+        rows = rows.withColumn("since", F.when(F.col("place0") > F.col("place1"), F.lit(width).cast("long")).otherwise(F.col("since")))
+        rows = rows.withColumn("rank", F.col("rank") + F.col("place0") - F.col("place1"))
+        ended = F.col("alone") | (F.col("after") == -1)
+        if fine == coarse:  # no class has split
+            settled.append(rows.select(*columns))
+            break
+        settled.append(rows.where(ended).select(*columns))
+        live = rows.where(~ended).select(*columns)
+        if live.isEmpty():
+            break
+    out = settled[0]
+    for done in settled[1:]:
+        out = out.union(done)
+    out = stored(out)
+    discard(*used)
+    return out
+
+
+def common_prefixes(array: DataFrame) -> DataFrame:
     """The suffixes with at, their place in the array, and common: how many lines they share with the suffix before.
 
-    Of equal suffixes the one of the smaller place comes first. In an array in order of ``most`` lines only, common
-    counts no further.
+    Of equal suffixes the one of the smaller place comes first.
     """
-    parts = _sorted_parts(array, ["rank", *_PLACE], _PLACE, [])
+    parts = _sorted_parts(array, ["rank", *_PLACE], [_PLACE], [])
     ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max_by(F.struct(*_PLACE), "at").alias("end"))
     over = W.orderBy("part")
     offset = F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = ends.select("part", offset.alias("offset"))
-    rows = parts.join(F.broadcast(ends), "part").withColumn("at", F.col("offset") + F.col("at")).drop("part", "offset", "start")
+    rows = parts.join(F.broadcast(ends), "part").withColumn("at", F.col("offset") + F.col("at")).drop("part", "offset", "start0", "alone")
     # the suffix before, by its place; each is before one other only
     before = rows.select((F.col("at") + 1).alias("at"), F.struct(*_PLACE).alias("before"))
-    rows = stored(rows.join(before, "at", "left"))
+    rows = sorted_rows = stored(rows.join(before, "at", "left"))
+    discard(parts)
     same = F.col("at") > F.col("rank")
     left = (F.col("n") - F.col("i")).cast("long")
-    known = F.when(same, F.least(left, F.lit(most)) if most else left).when(F.col("since") <= 2, F.col("since") - 1)
+    known = F.when(same, left).when(F.col("since") <= 2, F.col("since") - 1)
     of_doc = W.partitionBy("doc_id", "th").orderBy("i")
     rows = rows.withColumn("common", F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(known))
     previous = F.lag(F.struct("i", "before", F.coalesce("common", F.lit(1)).alias("some"))).over(of_doc)
@@ -160,10 +208,8 @@ def common_prefixes(array: DataFrame, most: int | None = None) -> DataFrame:
         (F.col("previous.i") == F.col("i") - 1) & (F.col("previous.some") > 0) & (F.col("previous.before.doc_id") == F.col("before.doc_id"))
         & (F.col("previous.before.th") == F.col("before.th")) & (F.col("previous.before.i") == F.col("before.i") - 1)
     )
-    if most:  # numbers that stop at ``most`` do not tell those of the lines after them
-        rows = stored(rows.withColumn("open", F.col("common").isNull()))
-    else:
-        rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
+    rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
+    discard(sorted_rows)
     # irreducible ones: lines between the bounds are compared; few in all (Kaerkkaeinen et al. 2009)
     steps = F.explode(F.sequence(F.expr("since div 2"), F.col("since") - 1)).alias("o")
     asked = rows.where("open").select("at", *_PLACE, "before", steps)
@@ -211,10 +257,10 @@ def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 5) -> D
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
     lines = stored(line_table(docs))
-    array, most = suffixes(with_first(lines, ["a", "b"]).drop("later").dropDuplicates(_PLACE), min_lines)
+    array = suffixes(with_first(lines, ["a", "b"]).drop("later").dropDuplicates(_PLACE))
     depths = sorted({*range(1, min(min_lines - 1, max(min_words, 1)) + 1), min_lines})
     of_doc = W.partitionBy("doc_id", "th").orderBy("i")
-    array = common_prefixes(array, most)
+    array = common_prefixes(array)
     array = array.withColumns({f"words{d}": F.sum("words").over(of_doc.rowsBetween(0, d - 1)) for d in depths})
     array = stored(intervals(array, depths))
     gone = None
