@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, salt_count, stored
+from tessera.llm.common import components, discard, release, salt_count, stored
 
 #: There is an anchor among any so many words in a row.
 SPAN = 8  # a power of two
@@ -118,24 +118,38 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * F.lit(least)), F.lit(0.0)).otherwise(jaccard)
 
 
-def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id), a row per row: fingerprints reachable from each other by likeness of ``threshold`` or more; the smallest id names it.
+#: Names of classes that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_NAMES = 500_000
+
+
+def _digests(sigs: str) -> list[Column]:
+    return [F.size(sigs).alias("n"), F.xxhash64(sigs).alias("d1"), F.xxhash64(F.lit(7), sigs).alias("d2")]
+
+
+def class_names(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """n, d1, d2, class_id: the class of a fingerprint, known by its size and two digests.
+
+    A class is what is reachable by likeness of ``threshold`` or more, and its name the smallest id in it.
 
     prints: id long, sigs array<int>; the threshold counts in whole millionths, so that bounds are exact. Equal fingerprints
     count once. Sets are put in length bands a factor 1/threshold wide or a little more, so partners stand in one band or
     the next; two such sets share one of the size - ceil(threshold * size) + 1 rarest signatures of either, which are the
     keys. A signature of one set only is no key, but it is the rarest, so a set with that many of them has no partner.
     Under a key all first meet its smallest id; then only members of different classes meet, so a key that very many near
-    copies share makes no square of pairs. Empty fingerprints stand alone, rows with a null id have no class. Where an id
-    is repeated, the row with the smallest hash stands for it; the others have the class of an equal fingerprint, or their id.
+    copies share makes no square of pairs. Empty fingerprints and those of rows without an id are left out. Where an id is
+    repeated, the row with the smallest digest stands for it, and the others' fingerprints are left out.
     """
+    spark = prints.sparkSession
     parts, whole = round(threshold * 1_000_000), 1_000_000
-    rows = prints.select("id", "sigs", F.size("sigs").alias("n"), F.xxhash64("sigs").alias("d1"), F.xxhash64(F.lit(7), "sigs").alias("d2"))
-    equal = rows.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    named = _beside(rows, equal, ["n", "d1", "d2"], F.hash("id"), "left").withColumn("rep", F.coalesce("rep", "id"))
-    named = stored(named)
-    own = F.row_number().over(W.partitionBy("id").orderBy("d1", "d2"))
-    sets = stored(named.where("n > 0 and id = rep").withColumn("_r", own).where("_r = 1").select("id", "sigs", "n"))
+    some = prints.where("id is not null and size(sigs) > 0").select("id", "sigs", *_digests("sigs"))
+    # equal sets: a partial aggregate; of each the smallest id
+    sets = stored(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"), (F.count("*") > 1).alias("several")))
+    release(spark)
+    names = sets.select("n", "d1", "d2", "id", "several")
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():
+        own = F.row_number().over(W.partitionBy("id").orderBy("d1", "d2"))
+        sets = stored(sets.withColumn("_r", own).where("_r = 1").drop("_r"))
+    sets = sets.select("id", "sigs", "n")
     spread = sets.select("id", "n", F.explode("sigs").alias("sig"))
     often = spread.groupBy("sig").agg(F.count("*").alias("freq")).where("freq > 1")
     # places in the order of rarity: those that only this set has come first
@@ -143,9 +157,11 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     known = spread.join(often, "sig").withColumn("r", F.row_number().over(of_set.orderBy("freq", "sig")) + F.col("n") - F.count("*").over(of_set))
     rare = known.where(F.col("r") <= F.col("n") + F.expr(f"-(n * {parts}L + {whole - 1}L) div {whole}L") + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) / F.lit(1 + 1e-9))
-    keyed = stored(rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band")))
+    keyed = raw = stored(rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band")))
+    release(spark)
     groups = keyed.groupBy("sig", "band").agg(F.min("id").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
     keyed = stored(_beside(keyed, groups, ["sig", "band"], F.hash("id"), "inner"))
+    discard(raw)
 
     def linked(pairs: DataFrame) -> DataFrame:
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa"), F.col("n").alias("na")), "a")
@@ -163,8 +179,27 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     left, right = placed.withColumnsRenamed({"id": "a", "c": "ca"}), placed.withColumnsRenamed({"id": "b", "c": "cb"})
     rest = left.join(right, ["sig", "band"]).where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     found = components(links.union(linked(rest)))
-    classes = found.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
-    return named.join(classes, "rep", "left").select("id", F.when(F.col("n") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("id")).alias("class_id"))
+    joined = names.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    # a fingerprint that neither another row nor a near one has needs no name: its class is its row's id
+    return joined.where("several or component is not null").select("n", "d1", "d2", F.coalesce("component", "id").alias("class_id"))
+
+
+def with_classes(rows: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``class_id`` to rows with ``key`` and ``sigs``: that of their fingerprint, or their own id where it has none."""
+    held = stored(names)
+    few = held.count() <= BROADCAST_NAMES
+    told = rows.select("*", *_digests("sigs"))
+    keys = ["n", "d1", "d2"]
+    told = told.join(F.broadcast(held), keys, "left") if few else _beside(told, held, keys, F.hash(key), "left")
+    return told.withColumn("class_id", F.coalesce("class_id", key)).drop(*keys)
+
+
+def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, class_id), a row per row of prints (id long, sigs array<int>); see ``class_names``.
+
+    Rows without an id have the class of an equal fingerprint, or none.
+    """
+    return with_classes(prints.select("id", "sigs"), class_names(prints, threshold), "id").select("id", "class_id")
 
 
 def _beside(rows: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str) -> DataFrame:
@@ -193,50 +228,48 @@ def _successors(texts: DataFrame) -> DataFrame:
     return joined.select("doc_id", prev["doc_id"].alias("prev_id"), prev["len"].alias("prev_len"))
 
 
-def _first(rows: DataFrame, key: str) -> DataFrame:
-    """Of rows with the same ``key`` the one with the smallest text hash."""
-    r = F.row_number().over(W.partitionBy(key).orderBy("th"))
-    return rows.withColumn("_r", r).where("_r = 1").drop("_r", "th")
+def _keyed(name: str, prefix: str = "") -> list[Column]:
+    """A key that is never null, so that joins, windows and shuffles on it can share a partitioning."""
+    return [F.coalesce(name, F.lit(0).cast("long")).alias(f"{prefix}k"), F.isnull(name).alias(f"{prefix}none")]
 
 
-def fingerprint_documents(docs: DataFrame, common: Common | None = None) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike they and the next document's are.
+def fingerprint_documents(docs: DataFrame, common: Common | None = None, threshold: float = 0.8) -> DataFrame:
+    """Fingerprints of every text and of its edited text, how alike they and the next document's are, and classes.
 
     Edited: the last quarter of the code points is replaced by as many from the start of the next document. Null texts
     are empty. Rows with a null doc_id are one document, that after all others. Where a doc_id is repeated, every row
     has its fingerprint, and the document that comes next is the row of the next doc_id with the smallest text hash. Two
-    empty fingerprints are 1 alike. Common words are those of the table where ``common`` gives none. A text's signatures
-    are worked out twice, for itself and for the document before: sending them costs more disk than that costs time.
+    empty fingerprints are 1 alike. class_id is the smallest doc_id that a text's fingerprint reaches by likeness of
+    ``threshold`` or more (``class_names``). Common words are those of the table where ``common`` gives none.
+
+    A text and its signatures go through one shuffle, by doc_id; both joins start from it, and what moves on to the
+    document before is no more than the start of the text.
     """
+    spark = docs.sparkSession
     common = common or common_words(docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = _successors(texts).withColumnRenamed("doc_id", "next_id")
-    heads = texts.hint("merge").join(near, texts["doc_id"].eqNullSafe(near["next_id"]))
-    heads = with_signatures(heads, "text", "next_sigs", common).select(
-        "prev_id", F.xxhash64("text").alias("th"), F.expr("left(text, int(prev_len div 4))").alias("head"), "next_sigs"
-    )
-    heads = _first(heads, "prev_id")
+    near = _successors(texts).select(*_keyed("doc_id"), *_keyed("prev_id", "p"), "prev_len")
+    signed = with_signatures(texts.select(*_keyed("doc_id"), "text"), "text", "sigs", common)
+    heads = signed.hint("merge").join(near.hint("merge"), ["k", "none"])
+    heads = heads.select(F.col("pk").alias("k"), F.col("pnone").alias("none"), F.xxhash64("text").alias("th"), F.expr("left(text, int(prev_len div 4))").alias("head"), F.col("sigs").alias("next_sigs"))
+    # of several rows of the next document the one with the smallest text hash
+    heads = heads.withColumn("_r", F.row_number().over(W.partitionBy("k", "none").orderBy("th"))).where("_r = 1").drop("_r", "th")
     n = F.length("text")
     cut = F.expr("int(length(text) div 4)")
     both = (
-        texts.hint("merge").join(heads, texts["doc_id"].eqNullSafe(heads["prev_id"]))
+        signed.hint("merge").join(heads.hint("merge"), ["k", "none"])
         .withColumn("n_chars", n.cast("long"))
         .withColumn("edited", F.concat(F.left("text", n - cut), F.left("head", cut)))
     )
-    both = with_signatures(with_signatures(both, "text", "sigs", common), "edited", "edited_sigs", common)
-    return both.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("sigs")).alias("fingerprint"),
-        as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
-    )
-
-
-def fingerprint_classes(docs: DataFrame, common: Common | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id of the whole table: the fingerprints of ``docs`` and their ``near_classes``."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = stored(with_signatures(texts, "text", "sigs", common or common_words(docs)).select("id", "sigs"))
-    return near_classes(prints, threshold).withColumnRenamed("id", "doc_id")
+    both = with_signatures(both, "edited", "edited_sigs", common)
+    rows = stored(
+        both.select(
+            F.when(~F.col("none"), F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "edited_sigs",
+            likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        )
+    )
+    release(spark)
+    told = with_classes(rows, class_names(rows.select(F.col("doc_id").alias("id"), "sigs"), threshold))
+    release(spark)
+    prints = [as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint")]
+    return told.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "class_id")
