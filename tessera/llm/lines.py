@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, salt_count, slices, stored
+from tessera.llm.common import discard, release, salt_count, slices, stored
 
 _WHITE = "\\t\\n\\x0B\\f\\r "
 _PLACE = ["doc_id", "th", "i"]
@@ -164,6 +164,7 @@ def suffixes(lines: DataFrame) -> DataFrame:
         asked = pool.withColumn("after", after).where("_live").drop("_live")
         rows, (fine, coarse), parts = numbered(asked, [["rank", "after"], ["rank"]])
         used.append(parts)
+        release(lines.sparkSession)
         width *= 2
         rows = rows.withColumn("since", F.when(F.col("place0") > F.col("place1"), F.lit(width).cast("long")).otherwise(F.col("since")))
         rows = rows.withColumn("rank", F.col("rank") + F.col("place0") - F.col("place1"))
@@ -210,6 +211,7 @@ def common_prefixes(array: DataFrame) -> DataFrame:
     )
     rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
     discard(sorted_rows)
+    release(array.sparkSession)
     # irreducible ones: lines between the bounds are compared; few in all (Kaerkkaeinen et al. 2009)
     steps = F.explode(F.sequence(F.expr("since div 2"), F.col("since") - 1)).alias("o")
     asked = rows.where("open").select("at", *_PLACE, "before", steps)
