@@ -126,8 +126,20 @@ def _digests(sigs: str) -> list[Column]:
     return [F.size(sigs).alias("n"), F.xxhash64(sigs).alias("d1"), F.xxhash64(F.lit(7), sigs).alias("d2")]
 
 
+def _parity(sigs: str) -> Column:
+    """256 parities, a bit for each signature modulo 256: two sets differ by at least as many members as bits."""
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63))
+    quarter = lambda i: F.filter(sigs, lambda s: F.shiftright(s, 6).bitwiseAND(3) == i)
+    return F.array(*[F.aggregate(quarter(i), F.lit(0).cast("long"), lambda acc, s: acc.bitwiseXOR(bit(s))) for i in range(4)])
+
+
+def _apart(a: str, b: str) -> Column:
+    """The least number of members that two sets with these parities do not share."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+
+
 def class_names(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """n, d1, d2, class_id: the class of a fingerprint, known by its size and two digests.
+    """n, d1, d2, class_id: the class of a fingerprint, known by its size and two digests; a stored table.
 
     A class is what is reachable by likeness of ``threshold`` or more, and its name the smallest id in it.
 
@@ -136,19 +148,24 @@ def class_names(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     the next; two such sets share one of the size - ceil(threshold * size) + 1 rarest signatures of either, which are the
     keys. A signature of one set only is no key, but it is the rarest, so a set with that many of them has no partner.
     Under a key all first meet its smallest id; then only members of different classes meet, so a key that very many near
-    copies share makes no square of pairs. Empty fingerprints and those of rows without an id are left out. Where an id is
-    repeated, the row with the smallest digest stands for it, and the others' fingerprints are left out.
+    copies share makes no square of pairs. Two that meet are a pair only where three exact bounds allow it: their sizes;
+    their places in the order of rarity, as no signature before the first they share is common (Xiao et al. 2008); and
+    their parities (``_parity``). Only such pairs are sent on and compared in full. Empty fingerprints and those of rows
+    without an id are left out. Where an id is repeated, the row with the smallest digest stands for it, and the others'
+    fingerprints are left out.
     """
     spark = prints.sparkSession
     parts, whole = round(threshold * 1_000_000), 1_000_000
     some = prints.where("id is not null and size(sigs) > 0").select("id", "sigs", *_digests("sigs"))
     # equal sets: a partial aggregate; of each the smallest id
-    sets = stored(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"), (F.count("*") > 1).alias("several")))
+    sets = all_sets = stored(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"), (F.count("*") > 1).alias("several")))
+    spent = [all_sets]
     release(spark)
     names = sets.select("n", "d1", "d2", "id", "several")
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
         own = F.row_number().over(W.partitionBy("id").orderBy("d1", "d2"))
         sets = stored(sets.withColumn("_r", own).where("_r = 1").drop("_r"))
+        spent.append(sets)
     sets = sets.select("id", "sigs", "n")
     spread = sets.select("id", "n", F.explode("sigs").alias("sig"))
     often = spread.groupBy("sig").agg(F.count("*").alias("freq")).where("freq > 1")
@@ -157,40 +174,61 @@ def class_names(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     known = spread.join(often, "sig").withColumn("r", F.row_number().over(of_set.orderBy("freq", "sig")) + F.col("n") - F.count("*").over(of_set))
     rare = known.where(F.col("r") <= F.col("n") + F.expr(f"-(n * {parts}L + {whole - 1}L) div {whole}L") + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) / F.lit(1 + 1e-9))
-    keyed = raw = stored(rare.select("id", "sig", F.explode(F.array(band, band - 1)).alias("band")))
+    keyed = raw = stored(rare.select("id", "sig", F.col("n").cast("int"), F.col("r").cast("int"), F.explode(F.array(band.cast("int"), band.cast("int") - 1)).alias("band")))
     release(spark)
-    groups = keyed.groupBy("sig", "band").agg(F.min("id").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
+    centre = F.min_by(F.struct("id", "n", "r"), "id").alias("centre")
+    groups = keyed.groupBy("sig", "band").agg(centre, F.count("*").alias("c")).where("c > 1").drop("c")
     keyed = stored(_beside(keyed, groups, ["sig", "band"], F.hash("id"), "inner"))
     discard(raw)
+    release(spark)
+
+    def may_meet(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
+        """Whether sizes and places allow the likeness, for a signature that is the first of those shared."""
+        na, ra, nb, rb = (c.cast("long") for c in (na, ra, nb, rb))
+        near = F.least(na, nb) * whole >= F.greatest(na, nb) * parts
+        return near & ((F.least(na - ra, nb - rb) + 1) * (whole + parts) >= (na + nb) * parts)
+
+    sketches = sets.select("id", _parity("sigs").alias("p"))
+    of = lambda table, side: table.withColumnsRenamed({c: f"{c}{side}" for c in table.columns if c != "id"} | {"id": side})
+
+    def may_be_alike() -> Column:
+        return _apart("pa", "pb").cast("long") * (whole + parts) <= (F.col("na") + F.col("nb")).cast("long") * (whole - parts)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa"), F.col("n").alias("na")), "a")
-        met = met.join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb"), F.col("n").alias("nb")), "b")
-        met = met.where(F.least("na", "nb").cast("long") * whole >= F.greatest("na", "nb").cast("long") * parts)
-        common = F.size(F.array_intersect("sa", "sb")).cast("long")
+        met = pairs.join(of(sets.drop("n"), "a"), "a").join(of(sets.drop("n"), "b"), "b")
+        common = F.size(F.array_intersect("sigsa", "sigsb")).cast("long")
         return met.where(common * whole >= (F.col("na") + F.col("nb") - common) * parts).select("a", "b")
 
-    first = stored(keyed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    c = F.col("centre")
+    with_centre = keyed.where(F.col("id") != c["id"]).where(may_meet(c["n"], c["r"], F.col("n"), F.col("r")))
+    with_centre = with_centre.select(c["id"].alias("a"), c["n"].alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
+    hopeful = with_centre.join(of(sketches, "a"), "a").join(of(sketches, "b"), "b").where(may_be_alike())
+    first = stored(hopeful.select("a", "na", "b", "nb"))
     links = stored(linked(first))
     found = components(links).withColumnRenamed("node", "id")
-    placed = keyed.join(found, "id", "left").select("sig", "band", "id", F.coalesce("component", "id").alias("c"))
+    placed = keyed.join(found, "id", "left").select("sig", "band", "id", "n", "r", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("sig", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "band")
     placed = stored(placed.join(mixed, ["sig", "band"]))
-    left, right = placed.withColumnsRenamed({"id": "a", "c": "ca"}), placed.withColumnsRenamed({"id": "b", "c": "cb"})
-    rest = left.join(right, ["sig", "band"]).where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    discard(keyed)
+    release(spark)
+    sketched = placed.join(sketches, "id")
+    meet = may_meet(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")) & may_be_alike()
+    rest = of(sketched, "a").withColumnsRenamed({"siga": "sig", "banda": "band"}).join(of(sketched, "b").withColumnsRenamed({"sigb": "sig", "bandb": "band"}), ["sig", "band"])
+    rest = rest.where("a < b and ca <> cb").where(meet).select("a", "na", "b", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     found = components(links.union(linked(rest)))
     joined = names.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     # a fingerprint that neither another row nor a near one has needs no name: its class is its row's id
-    return joined.where("several or component is not null").select("n", "d1", "d2", F.coalesce("component", "id").alias("class_id"))
+    out = stored(joined.where("several or component is not null").select("n", "d1", "d2", F.coalesce("component", "id").alias("class_id")))
+    discard(placed, first, links, *spent)
+    return out
 
 
 def with_classes(rows: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``class_id`` to rows with ``key`` and ``sigs``: that of their fingerprint, or their own id where it has none."""
-    held = stored(names)
-    few = held.count() <= BROADCAST_NAMES
+    few = names.count() <= BROADCAST_NAMES
     told = rows.select("*", *_digests("sigs"))
     keys = ["n", "d1", "d2"]
-    told = told.join(F.broadcast(held), keys, "left") if few else _beside(told, held, keys, F.hash(key), "left")
+    told = told.join(F.broadcast(names), keys, "left") if few else _beside(told, names, keys, F.hash(key), "left")
     return told.withColumn("class_id", F.coalesce("class_id", key)).drop(*keys)
 
 
@@ -264,12 +302,15 @@ def fingerprint_documents(docs: DataFrame, common: Common | None = None, thresho
     both = with_signatures(both, "edited", "edited_sigs", common)
     rows = stored(
         both.select(
-            F.when(~F.col("none"), F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "edited_sigs",
+            F.when(~F.col("none"), F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs",
+            F.array_except("sigs", "edited_sigs").alias("gone"), F.array_except("edited_sigs", "sigs").alias("come"),
             likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         )
     )
     release(spark)
     told = with_classes(rows, class_names(rows.select(F.col("doc_id").alias("id"), "sigs"), threshold))
     release(spark)
-    prints = [as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint")]
+    # most signatures outlive the edit, so only the differences are stored
+    edited = F.array_sort(F.array_union(F.array_except("sigs", "gone"), "come"))
+    prints = [as_text(F.col("sigs")).alias("fingerprint"), as_text(edited).alias("edited_fingerprint")]
     return told.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "class_id")
