@@ -497,15 +497,24 @@ def vdr13_upsample(spark: SparkSession, sf: str) -> DataFrame:
     return stencils.enlarge(r.samples(spark, sf), "c2", 2).select("img", "x", "y", fixed("v").alias("v"))
 
 
-@query(_enlarge_sql(4, _QUADRUPLING) + " where img % 4 = 1")
+def _by_row(rows: DataFrame) -> DataFrame:
+    """A row of an image as its count, its sum, and its sum by place: enlarged images have very many samples."""
+    return rows.groupBy("img", "y").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.sum(F.col("v") * F.col("x")).alias("by_x"))
+
+
+def _rows_sql(samples: str) -> str:
+    return f"select img, y, count(*) as n, cast(sum(v) as bigint) as v, cast(sum(v * x) as bigint) as by_x from ({samples}) group by all"
+
+
+@query(_rows_sql(_enlarge_sql(4, _QUADRUPLING)))
 def vdr13_upsample4(spark: SparkSession, sf: str) -> DataFrame:
-    return stencils.enlarge(r.samples(spark, sf).where("img % 4 = 1"), "c2", 4).select("img", "x", "y", fixed("v").alias("v"))
+    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 4).select("img", "x", "y", fixed("v").alias("v")))
 
 
-@query(_enlarge_sql(8, _OCTUPLING) + " where img % 8 = 1")
+@query(_rows_sql(_enlarge_sql(8, _OCTUPLING)))
 def vdr13_upsample8(spark: SparkSession, sf: str) -> DataFrame:
     weights = [((n * 37) % 101 - 30) / 1000 for n in range(210)]
-    return stencils.enlarge(r.samples(spark, sf).where("img % 8 = 1"), "c2", 8, weights).select("img", "x", "y", fixed("v").alias("v"))
+    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 8, weights).select("img", "x", "y", fixed("v").alias("v")))
 
 
 @query(_enlarge_sql(2, _DOUBLING).replace("* 10000 + 0.5", "+ 0.5"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.catalog import _AROUND, _haar_sql, _BLOCKS, _GRID, _GROUPS, _KINDS, _NAMES, _RECTS, _SAMPLES, _SIZES, _SRGB, _TEND, _TEND_STEPS, _TEND_STEPS2, _TOC, _kinds, _sizes, fixed, query
+from tessera.catalog import _AROUND, _DOUBLING, _enlarge_sql, _haar_sql, _BLOCKS, _GRID, _GROUPS, _KINDS, _NAMES, _RECTS, _SAMPLES, _SIZES, _SRGB, _TEND, _TEND_STEPS, _TEND_STEPS2, _TOC, _kinds, _sizes, fixed, query
 from tessera.functions import coding
 from tessera.functions import samples as s
 from tessera.operators import assembly, frequency, stencils, transforms
@@ -474,10 +474,46 @@ l as (select img, x, y, least(greatest(11.031567::double * a - 9.866944::double
   least(greatest(-3.6588514::double * a + 2.712923::double * b + 1.9459282::double * c, 0::double), 1::double) as b from m)
 select img, x, y, cast(floor({_SRGB.format('r')} * 255 + 0.5) as bigint) as r, cast(floor({_SRGB.format('g')} * 255 + 0.5) as bigint) as g, cast(floor({_SRGB.format('b')} * 255 + 0.5) as bigint) as b from l""")
 def vdr18_assembled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = r.samples(spark, sf)
-    for c in ("c0", "c1", "c2"):
-        rows = stencils.gaborish(rows, c, f"{c}_smooth")
-    rgb = s.xyb_to_linear(F.col("c1_smooth") / 4000.0, F.col("c0_smooth") / 60.0, F.col("c2_smooth") / 255.0)
+    rows = stencils.restored(r.samples(spark, sf), ["c0", "c1", "c2"], steps=[])
+    rgb = s.xyb_to_linear(F.col("c1") / 4000.0, F.col("c0") / 60.0, F.col("c2") / 255.0)
+    return rows.select("img", "x", "y", *[s.to_srgb(c, 255).alias(n) for c, n in zip(rgb, "rgb")])
+
+
+def _doubled_sql(c: str) -> str:
+    """``_enlarge_sql`` of a column of ``kept``, not rounded."""
+    text = _enlarge_sql(2, _DOUBLING).replace(_SAMPLES, f"samples as (select img, x, y, {c} as c2 from kept)")
+    return "(" + text.replace("cast(floor(least(", "least(").replace("list_max(ar)) * 10000 + 0.5) as bigint) as v", "list_max(ar)) as v") + ")"
+
+
+def _kept_sql() -> str:
+    """Step 2 of the edge filter on three channels, four neighbours each written out."""
+    of = lambda c: f"{c}, coalesce(lag({c}) over r, {c}) as {c}w, coalesce(lead({c}) over r, {c}) as {c}e, coalesce(lag({c}) over k, {c}) as {c}n, coalesce(lead({c}) over k, {c}) as {c}s"
+    far = lambda d: f"greatest(1 + (0.04::double * abs(px - px{d}) + 0.4::double * abs(py - py{d}) + 0.01::double * abs(pb - pb{d})) * scaled, 0) as w{d}"
+    mean = lambda c: f"case when sigma < -3.905243::double then {c} else ({c} + wn * {c}n + ww * {c}w + we * {c}e + ws * {c}s) / (1 + wn + ww + we + ws) end as {c}"
+    return f"""near as (select img, x, y, {of('px')}, {of('py')}, {of('pb')} from smooth window r as (partition by img, y order by x), k as (partition by img, x order by y)),
+edge as (select *, -0.3::double - (x // 8 + y // 8) % 5 as sigma from near),
+scaled as (select *, sigma * {1.65 * 6.5!r}::double * case when x % 8 in (0, 7) or y % 8 in (0, 7) then 2 / 3::double else 1 end as scaled from edge),
+weights as (select *, {far('n')}, {far('w')}, {far('e')}, {far('s')} from scaled),
+kept as (select img, x, y, {mean('px')}, {mean('py')}, {mean('pb')} from weights)"""
+
+
+@query(f"""with {_SAMPLES}, smooth as (select a.img, a.x, a.y, b.v as px, a.v as py, c.v as pb
+  from {_smooth_sql('c0')} a join {_smooth_sql('c1')} b using (img, x, y) join {_smooth_sql('c2')} c using (img, x, y)),
+{_kept_sql()},
+g as (select a.img, a.x, a.y, a.v / 4000::double as px, b.v / 60::double as py, c.v / 255::double as pb
+  from {_doubled_sql('px')} a join {_doubled_sql('py')} b using (img, x, y) join {_doubled_sql('pb')} c using (img, x, y)),
+k as (select *, -pow(0.0037930732::double, 1 / 3::double) as root from g),
+m as (select img, x, y, pow(py + px - root, 3) - 0.0037930732::double as a, pow(py - px - root, 3) - 0.0037930732::double as b, pow(pb - root, 3) - 0.0037930732::double as c from k),
+l as (select img, x, y, least(greatest(11.031567::double * a - 9.866944::double * b - 0.164623::double * c, 0::double), 1::double) as r,
+  least(greatest(-3.2541473::double * a + 4.4187703::double * b - 0.164623::double * c, 0::double), 1::double) as g,
+  least(greatest(-3.6588514::double * a + 2.712923::double * b + 1.9459282::double * c, 0::double), 1::double) as b from m)
+select img, x, y, cast(floor({_SRGB.format('r')} * 255 + 0.5) as bigint) as r, cast(floor({_SRGB.format('g')} * 255 + 0.5) as bigint) as g, cast(floor({_SRGB.format('b')} * 255 + 0.5) as bigint) as b from l""")
+def vdr18_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothing, edge filter, doubling and colour, one after another."""
+    sigma = -0.3 - (s.div("x", F.lit(8)) + s.div("y", F.lit(8))) % 5
+    rows = r.samples(spark, sf).withColumn("sigma", sigma)
+    rows = stencils.restored(rows, ["c1", "c0", "c2"], steps=[2], scales=[0.04, 0.4, 0.01], inverse_sigma="sigma", factor=2)
+    rgb = s.xyb_to_linear(F.col("c1") / 4000.0, F.col("c0") / 60.0, F.col("c2") / 255.0)
     return rows.select("img", "x", "y", *[s.to_srgb(c, 255).alias(n) for c, n in zip(rgb, "rgb")])
 
 

@@ -83,6 +83,15 @@ def gaborish(df: DataFrame, value: str, out: str = "smooth") -> DataFrame:
     return neighbourhood(df, value).withColumn(out, weigh("around", [[c, b, c], [b, a, b], [c, b, c]])).drop("around")
 
 
+def gaborish_channels(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``gaborish`` of several channels by the same two windows; each takes the place of its channel."""
+    side, corner = GABORISH
+    total = 1 + 4 * (side + corner)
+    a, b, c = 1 / total, side / total, corner / total
+    df = neighbourhoods(df, values)
+    return df.withColumns({v: weigh(f"_{v}", [[c, b, c], [b, a, b], [c, b, c]]) for v in values}).drop(*[f"_{v}" for v in values])
+
+
 def noise_filter(df: DataFrame, value: str, out: str = "noise") -> DataFrame:
     """5 x 5: 0.16 of each neighbour less 3.84 of the centre."""
     weights = [[-3.84 if i == j == 2 else 0.16 for i in range(5)] for j in range(5)]
@@ -177,6 +186,41 @@ def enlarge(df: DataFrame, value: str, factor: int = 2, weights: Sequence[float]
     return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), shown)
 
 
+def enlarge_channels(df: DataFrame, values: Sequence[str], factor: int = 2, weights: Sequence[float] | None = None) -> DataFrame:
+    """img, x, y and the channels, all enlarged as ``enlarge`` does, by the same two windows."""
+    weights = weights or {2: DOUBLING, 4: QUADRUPLING}[factor]
+    wide = neighbourhoods(df, values, 2)
+    wide = wide.withColumns({f"_{v}": F.flatten(f"_{v}") for v in values})
+    wide = wide.withColumns({f"_lo_{v}": F.array_min(f"_{v}") for v in values} | {f"_hi_{v}": F.array_max(f"_{v}") for v in values})
+    kernels = [F.struct(F.lit(n % factor).alias("ox"), F.lit(n // factor).alias("oy"), F.array(*[F.lit(w) for row in k for w in row]).alias("k")) for n, k in enumerate(enlarging_kernels(factor, weights))]
+    each = wide.withColumn("_s", F.explode(F.array(*kernels)))
+    shown = []
+    for v in values:
+        whole = sum((F.col(f"_{v}")[i] * F.col("_s.k")[i] for i in range(25)), F.lit(0.0))
+        shown.append(F.least(F.greatest(whole, f"_lo_{v}"), f"_hi_{v}").alias(v))
+    return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), *shown)
+
+
+def restored(
+    df: DataFrame, values: Sequence[str], smooth: bool = True, steps: Sequence[int] = (1, 2), scales: Sequence[float] = (40.0, 5.0, 3.5),
+    inverse_sigma: float | str = -1.0, factor: int = 1, weights: Sequence[float] | None = None,
+) -> DataFrame:
+    """img, x, y and the channels after all filters of a frame, in their order: smoothing, edge filter, enlarging.
+
+    ``smooth`` says whether the first is on, ``steps`` which of the edge filter's steps run (none: it is off), ``factor``
+    how much wider and higher the frame gets (1: it stays). Each filter windows once for all channels. Where
+    ``inverse_sigma`` is a column, it goes along from step to step.
+    """
+    sigma = [inverse_sigma] if isinstance(inverse_sigma, str) else []
+    df = df.select("img", "x", "y", *sigma, *[F.col(v).cast("double").alias(v) for v in values])
+    if smooth:
+        df = gaborish_channels(df, values)
+    for step in sorted(steps):
+        df = edge_filter(df, values, scales, inverse_sigma, step)
+        df = df.select("img", "x", "y", *sigma, *[F.col(f"{v}_kept").alias(v) for v in values])
+    return enlarge_channels(df, values, factor, weights) if factor > 1 else df.drop(*sigma)
+
+
 def widen_chroma(df: DataFrame, value: str, out: str = "v", axis: str = "x") -> DataFrame:
     """Twice as long along an axis: three quarters of the sample and a quarter of the nearer neighbour."""
     other = "y" if axis == "x" else "x"

@@ -255,6 +255,23 @@ def test_channels_share_their_windows(spark):
         assert got == want
 
 
+def test_filters_of_a_frame_are_those_one_by_one(spark):
+    rows = spark.createDataFrame([(i, x, y, (x * 7 + y * 3 + i) % 11, (x * y) % 5) for i in (0, 1) for x in range(9) for y in range(9 - i)], "img int, x int, y int, a int, b int")
+    want = stencils.gaborish(stencils.gaborish(rows, "a", "sa"), "b", "sb").select("img", "x", "y", F.col("sa").alias("a"), F.col("sb").alias("b"))
+    for step in (0, 1, 2):
+        want = stencils.edge_filter(want, ["a", "b"], [0.1, 0.2], -1.5, step)
+        want = want.select("img", "x", "y", F.col("a_kept").alias("a"), F.col("b_kept").alias("b"))
+    got = stencils.restored(rows, ["a", "b"], steps=[2, 0, 1], scales=[0.1, 0.2], inverse_sigma=-1.5, factor=2)
+    sizes = {(r["img"], r["x"], r["y"]): (r["a"], r["b"]) for r in got.collect()}
+    for n, c in enumerate("ab"):
+        one_by_one = stencils.enlarge(want, c, 2).collect()
+        assert len(one_by_one) == len(sizes) == 4 * rows.count()
+        assert all(abs(sizes[r["img"], r["x"], r["y"]][n] - r["v"]) < 1e-9 for r in one_by_one)
+    same = stencils.restored(rows, ["a", "b"], smooth=False, steps=[])
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rows.collect()))
+    assert stencils.restored(rows.limit(0), ["a", "b"], scales=[1, 1], factor=2).collect() == []
+
+
 def test_transforms_are_undone_in_turn(spark):
     """Coded by hand: a palette of two colours, its index squeezed along columns; and a squeeze whose residual is at the end."""
     from tessera.operators.transforms import undone
