@@ -1,8 +1,11 @@
 """Quality by compression: which of two zstandard dictionaries, of good or of bad text, makes a document smaller.
 
-Labelled rows are drawn by a hash of doc_id, so the sample is bounded (``per_class`` rows for the dictionaries and as
-many again for the calibration), the same on every run and at every size. Each class's dictionary is raw content: whole
-drawn texts, in the order of the draw, as long as ``dictionary`` bytes hold them. A document's bytes are compressed in
+Labelled rows are drawn by a hash of doc_id, so the sample is bounded (``2 * per_class`` rows of a class for its dictionary
+and ``per_class`` more for the calibration), the same on every run and at every size. Each class's dictionary is raw
+content: all drawn texts, cut into the blocks that scoring compresses, in the order of a hash, ``dictionary`` bytes at most;
+where the texts have more, the draw is one of blocks, so a long text teaches by its share and none is passed over for its
+length. A class with fewer bytes has the shorter dictionary; the curve makes up for it, better than cutting the other one
+to its length does. A document's bytes are compressed in
 blocks with either dictionary; the difference of the two sizes, by bytes and by compressed size, becomes a probability
 through a logistic curve fitted on labelled documents that are in no dictionary. Scoring needs no shuffle.
 """
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices
 
 BLOCK = 4096
-LEVEL = 6
+LEVEL = 12
+SLICES = 4096
 
 
 @dataclass(frozen=True)
@@ -96,8 +100,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary: int = 1_500_000) -> Model:
-    """Learns ``quality`` from labelled documents that are not held out, ``2 * per_class`` rows of each class at most.
+def _dictionaries(rows: DataFrame, dictionary: int) -> dict[int, bytes]:
+    """rows(y, doc_id, _mark, text) -> for each class the blocks of its texts in the order of a hash.
+
+    Bytes are counted by slices of the hash first, so that the blocks fetched exceed ``dictionary`` by one slice at most.
+    Of rows equal in doc_id and text one counts.
+    """
+    data = rows.dropDuplicates(["doc_id", "_mark"]).select("y", "doc_id", "_mark", F.col("text").cast("binary").alias("_data"))
+    last = F.floor((F.octet_length("_data") - 1) / BLOCK)
+    blocks = data.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_nr"))
+    blocks = blocks.withColumn("_at", F.xxhash64(F.lit(7), "doc_id", "_mark", "_nr"))
+    size = F.least(F.octet_length("_data") - F.col("_nr") * BLOCK, F.lit(BLOCK)) + 1
+    counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    for r in blocks.groupBy("y", F.pmod("_at", F.lit(SLICES)).alias("part")).agg(F.sum(size).alias("n")).collect():
+        counts[r["y"]][r["part"]] = r["n"]
+    wanted = F.lit(False)
+    for y, sizes in counts.items():
+        parts, held = -1, 0
+        for part in sorted(sizes):
+            if held < dictionary:
+                parts, held = part, held + sizes[part]
+        wanted = wanted | ((F.col("y") == y) & (F.pmod("_at", F.lit(SLICES)) <= parts))
+    found = blocks.where(wanted).select(
+        "y", F.pmod("_at", F.lit(SLICES)).alias("part"), "_at", "doc_id", "_mark", "_nr",
+        F.substring("_data", (F.col("_nr") * BLOCK + 1).cast("int"), F.lit(BLOCK)).alias("block"),
+    ).collect()
+    found.sort(key=lambda r: tuple(r)[1:6])
+    return {y: b"\n".join(bytes(r["block"]) for r in found if r["y"] == y)[:dictionary] for y in counts}
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, dictionary: int = 1_500_000) -> Model:
+    """Learns ``quality`` from labelled documents that are not held out, ``3 * per_class`` rows of each class at most.
 
     Rows with a null label, ids labelled both ways and ids without a document teach nothing; nor do null and empty texts.
     Of a repeated id or text every row may be drawn, within the same bounds. Without both classes the model gives every
@@ -109,32 +142,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary:
         .where("y = _most").select("doc_id", "y", F.xxhash64(F.lit(5), "doc_id").alias("_draw"))
     )
     picked: list = []
-    for y in (0, 1):  # takes the smallest draws: each task sends 2 * per_class rows at most
-        picked += known.where(F.col("y") == y).orderBy("_draw", "doc_id").limit(2 * per_class).collect()
+    for y in (0, 1):  # takes the smallest draws: each task sends 3 * per_class rows at most
+        picked += known.where(F.col("y") == y).orderBy("_draw", "doc_id").limit(3 * per_class).collect()
     spark = docs.sparkSession
     if not picked:
         return Model(b"", b"")
     ids = spark.createDataFrame([(r["doc_id"], int(r["y"]), r["_draw"]) for r in picked], "doc_id long, y int, _draw long")
-    # at most 4 * per_class rows of three numbers: bounded by a parameter, so broadcast
+    # at most 6 * per_class rows of three numbers: bounded by a parameter, so broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null and text <> ''")
     rows = rows.withColumn("_mark", F.xxhash64("text"))
-    size = F.octet_length("text").alias("size")
-    chosen: list[tuple] = []
     cut: dict[int, int] = {}
-    for y in (0, 1):  # an id may have many rows: again 2 * per_class of them at most
-        some = rows.where(F.col("y") == y).select("doc_id", "_draw", "_mark", size).orderBy("_draw", "_mark").limit(2 * per_class).collect()
-        draws = [r["_draw"] for r in some]
-        cut[y] = draws[(len(draws) - 1) // 2] if draws else 0  # the smaller half of the draws goes to the dictionaries
-        room = dictionary
-        for r in some:
-            if r["_draw"] <= cut[y] and r["size"] < room:
-                chosen.append((r["doc_id"], r["_mark"]))
-                room -= r["size"] + 1
-    texts = spark.createDataFrame(sorted(set(chosen)), "doc_id long, _mark long")
-    parts = rows.join(F.broadcast(texts), ["doc_id", "_mark"]).dropDuplicates(["doc_id", "_mark"]).select("y", "_draw", "doc_id", "_mark", "text").collect()
-    parts.sort(key=lambda r: (r["_draw"], r["doc_id"], r["_mark"]))
-    good, bad = (b"\n".join(r["text"].encode() for r in parts if r["y"] == y) for y in (1, 0))
-    rest = rows.where(F.col("_draw") > F.when(F.col("y") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0])))
+    for y in (0, 1):  # an id may have many rows: again 3 * per_class of them at most
+        some = rows.where(F.col("y") == y).select("_draw", "_mark").orderBy("_draw", "_mark").limit(3 * per_class).collect()
+        if not some:
+            return Model(b"", b"")
+        cut[y] = some[2 * (len(some) - 1) // 3]["_draw"]  # the smaller two thirds of the draws go to the dictionaries
+    last = F.when(F.col("y") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0]))
+    texts = _dictionaries(rows.where(F.col("_draw") <= last), dictionary)
+    good, bad = texts[1], texts[0]
+    rest = rows.where(F.col("_draw") > last)
     fit = []
     for y in (0, 1):
         fit += _features(rest.where(F.col("y") == y).orderBy("_draw", "_mark").limit(per_class), good, bad).collect()

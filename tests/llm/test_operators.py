@@ -464,6 +464,38 @@ def test_quality_on_held_out(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("dictionary", [1_500_000, 60_000])
+def test_quality_matches_brute_force(spark, dictionary):
+    import zstandard
+
+    data = [(i, h.prose(30 + i % 40, i) if i % 3 else " ".join(w + "$" for w in h.prose(20, i).split())) for i in range(300)]
+    data[9] = (9, h.prose(30000, 9))  # longer than the smaller dictionary
+    docs = h.documents(spark, [*data, *[data[4]] * 5])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i, _ in data], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, per_class=50, dictionary=dictionary)
+    draw = {r.id: r.d for r in spark.range(300).select("id", F.xxhash64(F.lit(5), "id").alias("d")).collect()}
+    learned, blocks = {0: [], 1: []}, {0: [], 1: []}
+    copies = Counter(i for i, _ in [*data, *[data[4]] * 5])
+    for y in (0, 1):
+        known = sorted((draw[i], i) for i, _ in data if int(i % 3 > 0) == y and zlib.crc32(str(i).encode()) % 3 != 1)[:150]
+        drawn = [i for _, i in known for _ in range(copies[i])][:150]
+        cut = draw[drawn[2 * (len(drawn) - 1) // 3]]
+        learned[y] = [i for _, i in known if draw[i] <= cut]
+        parts = [(i, n, data[i][1].encode()[n * 4096 : n * 4096 + 4096]) for i in learned[y] for n in range(-(-len(data[i][1].encode()) // 4096))]
+        at = spark.createDataFrame([(i, data[i][1], n, b) for i, n, b in parts], "i long, t string, n long, b binary").select("b", F.xxhash64(F.lit(7), "i", F.xxhash64("t"), "n").alias("at")).collect()
+        blocks[y] = [bytes(r.b) for r in sorted(at, key=lambda r: (r.at % 4096, r.at))]
+    good, bad = (b"\n".join(blocks[y])[:dictionary] for y in (1, 0))
+    assert (model.good, model.bad) == (good, bad) and any(len(data[i][1]) > 60_000 for i in learned[0])
+    packed = []
+    for content in (good, bad):
+        packed.append(zstandard.ZstdCompressor(quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False))
+    for r in quality.score(docs, model).where("doc_id % 10 = 0").collect():
+        b = r.text.encode()
+        g, w = (sum(len(c.compress(b[i : i + 4096])) for i in range(0, len(b), 4096)) for c in packed)
+        z = sum(k * (x - c) / s for k, x, c, s in zip(model.weights[1:], ((w - g) / (w + g + 16), (w - g) / (len(b) + 16)), model.centre, model.scale))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z + model.weights[0], -50, 50))), abs=0.02)
+
+
 def test_quality_without_labels(spark):
     docs = h.documents(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
