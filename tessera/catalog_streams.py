@@ -7,12 +7,13 @@ SQL beside them is the serial form, by recursion.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.catalog import ORACLE_SQL, _CAUSAL, _SAMPLES, fixed, query
+from tessera.catalog import ORACLE_SQL, _CAUSAL, _GROUPS, _SAMPLES, fixed, query
 from tessera.functions import samples as s
 from tessera.operators import alias, compositing, copies, noise, splines, stencils, transforms, trees, weighted
-from tessera.plans import blocks, channels
+from tessera.plans import blocks, channels, layout, prefixes
 from tessera.sources import rasters as r
 
 _FIX = "cast(floor(({0}) * 10000 + 0.5) as bigint)"
@@ -379,3 +380,74 @@ def out4_rgba(spark: SparkSession, sf: str) -> DataFrame:
     alpha = s.clamp(F.col("c1") * 36, F.lit(0), F.lit(255))
     shown = {"r": F.col("c0"), "g": F.col("c1"), "b": F.col("c2"), "a": alpha}
     return r.samples(spark, sf).select("img", "x", "y", *[s.scale_depth(c, 8, 65535).alias(n) for n, c in shown.items()])
+
+
+# ---- prefix codes, pruning by channels, names
+
+
+_TURN = "list_sum(list_transform(range({w}), lambda b: (({v} >> b) & 1) << ({w} - 1 - b)))"
+_PREFIX = """alphabets as (select p_partkey // 100 as grp, p_partkey as symbol, row_number() over (partition by p_partkey // 100 order by p_partkey) as k, count(*) over (partition by p_partkey // 100) as n from part),
+cut as (select *, least(grp % 8, n - 1) as a, length(bin(n - least(grp % 8, n - 1))) - 1 as e from alphabets),
+lens as (select grp, symbol, cast(case when k <= a then k when k - a <= (1 << cast(e + 1 as int)) - (n - a) then a + e else a + e + 1 end as int) as len from cut),
+spans as (select *, coalesce(sum(1 << (15 - len)) over (partition by grp order by len, symbol rows between unbounded preceding and 1 preceding), 0) as start, 1 << (15 - len) as span from lens),
+heads as (select distinct grp, range as slot, {turn8} * 128 as v from spans, range(256)),
+met as (select h.grp, slot, v, max(len) as most, min(symbol) as symbol from heads h join spans s on s.grp = h.grp and s.start < v + 128 and v < s.start + s.span group by all),
+placed as (select *, 256 + coalesce(sum(case when most > 8 then 1 << (most - 8) else 0 end) over (partition by grp order by v rows between unbounded preceding and 1 preceding), 0) as place from met),
+inside as (select grp, place, v, most - 8 as width, unnest(range(1 << (most - 8))) as j from placed where most > 8),
+turned as (select *, v + ({turnw} << (7 - width)) as spot from inside),
+slots as (select grp, slot, most as bits, case when most > 8 then place else symbol end as value from placed
+  union all select t.grp, place + j, len - 8, symbol from turned t join spans s on s.grp = t.grp and s.start <= spot and spot < s.start + s.span)""".format(turn8=_TURN.format(w=8, v="range"), turnw=_TURN.format(w="width", v="j"))
+
+
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete codes: of every hundred parts the first few have codes of 1, 2, 3, ... bits, the others two lengths beyond."""
+    whole = W.partitionBy("grp")
+    rows = r.table(spark, sf, "part").select(s.div("p_partkey", F.lit(100)).alias("grp"), F.col("p_partkey").alias("symbol"))
+    rows = rows.withColumns({"k": F.row_number().over(whole.orderBy("symbol")), "n": F.count("*").over(whole)})
+    rows = rows.withColumn("a", F.least(F.col("grp") % 8, F.col("n") - 1)).withColumn("e", F.length(F.bin(F.col("n") - F.col("a"))) - 1)
+    rest = F.expr("case when k - a <= shiftleft(1L, int(e + 1)) - (n - a) then a + e else a + e + 1 end")
+    # the one symbol of a group has no bits to spend; any length says that it is there
+    length = F.when(F.col("n") == 1, 1).when(F.col("k") <= F.col("a"), F.col("k")).otherwise(rest)
+    return rows.select("grp", "symbol", length.cast("int").alias("len"))
+
+
+@query(f"with {_PREFIX} select grp, cast(slot as bigint) as slot, cast(bits as int) as bits, cast(value as bigint) as value from slots")
+def ent9_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixes.tables(_lengths(spark, sf), "grp", "symbol", "len")
+
+
+@query(f"""with {_PREFIX}, ahead as (select o_orderkey as id, o_orderkey % 200 as grp, o_orderkey * 7919 % 32768 as bits from orders)
+select id, a.grp, a.bits as ahead, symbol, cast(len as bigint) as used from (select *, {_TURN.format(w=15, v='bits')} as code from ahead) a
+  join spans s on s.grp = a.grp and s.start <= a.code and a.code < s.start + s.span""")
+def ent9_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    windows = r.table(spark, sf, "orders").select(k.alias("id"), (k % 200).alias("grp"), (k * 7919 % 32768).alias("ahead"))
+    return prefixes.looked_up(windows, prefixes.tables(_lengths(spark, sf), "grp", "symbol", "len"), "grp", "ahead")
+
+
+@query(f"""with {_GROUPS}, c as (select *, unnest(range(3)) as channel, (frame * 31 + grp * 7) % 5 as payload from grps),
+d as (select *, (frame + channel) % 4 - 1 as hs, (frame * 3 + channel) % 4 - 1 as vs from c),
+k as (select *, x // pow(2, greatest(hs, 0)) * pow(2, greatest(hs, 0)) as left_, y // pow(2, greatest(vs, 0)) * pow(2, greatest(vs, 0)) as top_,
+  gw // pow(2, greatest(hs, 0)) * pow(2, greatest(hs, 0)) as wide, gh // pow(2, greatest(vs, 0)) * pow(2, greatest(vs, 0)) as high from d)
+select frame, grp from k where payload > 0 group by frame, grp
+having bool_or(hs = -1 or vs = -1 or (left_ < 900 and left_ + wide > 300 and top_ < 700 and top_ + high > 500))""")
+def roi2_channels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = layout.groups(layout.group_layout(r.frames(spark, sf))).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = rows.withColumns({"hshift": (F.col("frame") + F.col("channel")) % 4 - 1, "vshift": (F.col("frame") * 3 + F.col("channel")) % 4 - 1, "payload": (F.col("frame") * 31 + F.col("grp") * 7) % 5})
+    own = lambda c, by: F.expr(f"shiftright({c}, int(greatest({by}, 0)))").alias(c)
+    rows = rows.select("frame", "grp", "payload", "hshift", "vshift", own("x", "hshift"), own("y", "vshift"), own("gw", "hshift"), own("gh", "vshift"))
+    return layout.needed_for_channels(rows, 300, 500, 900, 700)
+
+
+@query("""select event_id as id,
+  case event_id % 18 when 0 then 'alpha' when 1 then 'depth' when 2 then 'spot colour' when 3 then 'selection mask' when 4 then 'black' when 5 then 'colour filter array'
+    when 6 then 'thermal' when 15 then 'unknown' when 16 then 'optional' end as channel,
+  case event_id % 13 when 1 then 'd65' when 2 then 'custom' when 10 then 'e' when 11 then 'dci' end as white,
+  case event_id % 12 when 1 then 'srgb' when 2 then 'custom' when 9 then 'rec2100' when 11 then 'p3' end as primaries,
+  case event_id % 20 when 1 then 'bt709' when 2 then 'unknown' when 8 then 'linear' when 13 then 'srgb' when 16 then 'pq' when 17 then 'dci' when 18 then 'hlg' end as transfer,
+  case event_id % 5 when 0 then 'perceptual' when 1 then 'relative' when 2 then 'saturation' when 3 then 'absolute' end as intent,
+  case event_id % 4 when 0 then 'xyb' when 1 then 'none' when 2 then 'ycbcr' end as transform from events""")
+def hdr16_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    codes = {"channel": 18, "white": 13, "primaries": 12, "transfer": 20, "intent": 5, "transform": 4}
+    return r.table(spark, sf, "events").select(k.alias("id"), *[layout.sparse_label(kind, k % n).alias(kind) for kind, n in codes.items()])

@@ -43,6 +43,19 @@ def needed(group_rows: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFra
     return group_rows.where((F.col("x") < x1) & (F.col("x") + F.col("gw") > x0) & (F.col("y") < y1) & (F.col("y") + F.col("gh") > y0))
 
 
+def needed_for_channels(rows: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """(frame, grp): the groups with a payload of which any channel touches a region of the image.
+
+    ``rows`` are (frame, grp, payload, hshift, vshift, x, y, gw, gh): what a group holds of a channel, on the channel's own
+    grid. A channel of negative shifts belongs to the whole image (a palette, say), so its groups always stay.
+    """
+    grown = lambda c, by: F.expr(f"shiftleft(bigint({c}), int(greatest({by}, 0)))")
+    x, y, w, h = grown("x", "hshift"), grown("y", "vshift"), grown("gw", "hshift"), grown("gh", "vshift")
+    touches = (x < x1) & (x + w > x0) & (y < y1) & (y + h > y0)
+    meta = (F.col("hshift") < 0) | (F.col("vshift") < 0)
+    return rows.where((F.col("payload") != 0) & (meta | touches)).select("frame", "grp").distinct()
+
+
 def offsets(sections: DataFrame) -> DataFrame:
     """Adds ``offset``: the sizes of the sections before, in file order."""
     before = W.partitionBy("frame").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
@@ -250,6 +263,22 @@ LABELS = {
     "orientation": ("identity", "mirror", "half turn", "flip", "transpose", "clockwise", "transpose across", "counterclockwise"),
 }
 
+# The enumerations whose codes have gaps.
+SPARSE_LABELS = {
+    "channel": {0: "alpha", 1: "depth", 2: "spot colour", 3: "selection mask", 4: "black", 5: "colour filter array", 6: "thermal", 15: "unknown", 16: "optional"},
+    "white": {1: "d65", 2: "custom", 10: "e", 11: "dci"},
+    "primaries": {1: "srgb", 2: "custom", 9: "rec2100", 11: "p3"},
+    "transfer": {1: "bt709", 2: "unknown", 8: "linear", 13: "srgb", 16: "pq", 17: "dci", 18: "hlg"},
+    "intent": {0: "perceptual", 1: "relative", 2: "saturation", 3: "absolute"},
+    "transform": {0: "xyb", 1: "none", 2: "ycbcr"},
+}
+
+
+def sparse_label(kind: str, code) -> Column:
+    """The name of a code of an enumeration whose codes have gaps, null for codes outside it."""
+    pairs = [F.lit(v) for code_name in SPARSE_LABELS[kind].items() for v in code_name]
+    return F.try_element_at(F.create_map(*pairs), col(code).cast("int"))
+
 
 def label(kind: str, code, first: int = 0) -> Column:
     """The name of a code of an enumeration, null for codes outside it."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import alias, assembly, compositing, copies, noise, splines, trees, weighted
-from tessera.plans import blocks, channels
+from tessera.plans import blocks, channels, layout, prefixes
 
 NODE = "tree long, node long, property long, split long, left long, right long"
 
@@ -295,3 +295,64 @@ def test_every_query_reads_its_tables():
     for name, f in catalog.QUERIES.items():
         body = inspect.getsource(f).split(f"def {name}(", 1)[1]
         assert re.search(r"\br\.\w+\(|_\w+\(spark, sf|containers\.|\bframes\(|_wide\(|\br\.", body), name
+
+
+# ---- prefix codes
+
+
+def complete(rng, symbols):
+    """Code lengths of a random full tree with ``symbols`` leaves of at most 15 bits."""
+    leaves = [0]
+    while len(leaves) < symbols:
+        at = rng.choice([i for i, n in enumerate(leaves) if n < 15])
+        leaves += [leaves.pop(at) + 1] * 2
+    rng.shuffle(leaves)
+    return leaves
+
+
+def test_prefix_tables_decode_what_codes_encode(spark):
+    rng = random.Random(5)
+    alphabets = {g: complete(rng, n) for g, n in enumerate((2, 3, 40, 300, 16))}
+    alphabets[4] = [*range(1, 15), 15, 15]  # the deepest
+    rows = [(g, s, n) for g, lengths in alphabets.items() for s, n in enumerate(lengths)] + [(2, 500, 0), (9, 77, 3), (9, 78, 0)]
+    table = prefixes.tables(spark.createDataFrame(rows, "g long, s long, n int"), "g", "s", "n")
+    slots = {}
+    for r in table.collect():
+        slots.setdefault(r.g, {})[r.slot] = (r.bits, r.value)
+    assert all(sorted(t) == list(range(len(t))) for t in slots.values())  # every slot once, no gap
+    assert set(slots[9].values()) == {(0, 77)}
+    want, windows = {}, []
+    for g, lengths in alphabets.items():
+        code, last = 0, 0
+        for n, s in sorted((n, s) for s, n in enumerate(lengths)):
+            code <<= n - last
+            last = n
+            bits = f"{code:0{n}b}" + "".join(rng.choice("01") for _ in range(15 - n))
+            want[len(windows)] = (s, n)
+            windows.append((len(windows), g, int(bits[::-1], 2)))
+            code += 1
+    want[len(windows)] = (77, 0)
+    windows += [(len(windows), 9, 12345), (len(windows) + 1, 8, 1)]  # no alphabet 8: no row
+    got = prefixes.looked_up(spark.createDataFrame(windows, "id long, g long, ahead long"), table, "g", "ahead").collect()
+    assert {r.id: (r.symbol, r.used) for r in got} == want
+
+
+@pytest.mark.parametrize("lengths", [[1, 2], [1, 1, 2], [3, 3, 3]])
+def test_prefix_codes_with_gaps_or_overlaps_are_errors(spark, lengths):
+    rows = spark.createDataFrame([(0, s, n) for s, n in enumerate(lengths)], "g long, s long, n int")
+    with pytest.raises(Exception, match="prefix code"):
+        prefixes.tables(rows, "g", "s", "n").collect()
+
+
+def test_groups_of_a_region_by_channels(spark):
+    rows = [
+        (0, 0, 5, 0, 0, 0, 0, 100, 100),  # touches nothing of the region
+        (0, 1, 5, 0, 0, 100, 0, 100, 100),
+        (0, 2, 0, 0, 0, 100, 0, 100, 100),  # no payload
+        (0, 3, 5, 1, 1, 50, 50, 50, 50),  # touches it at its own scale only
+        (0, 3, 5, 0, 0, 0, 0, 10, 10),
+        (0, 4, 5, -1, 0, 0, 0, 1, 1),  # belongs to the whole image
+        (0, 5, 5, 2, 0, 50, 0, 1, 1),  # begins where the region ends
+    ]
+    df = spark.createDataFrame(rows, "frame long, grp long, payload long, hshift long, vshift long, x long, y long, gw long, gh long")
+    assert sorted(r.grp for r in layout.needed_for_channels(df, 120, 10, 200, 120).collect()) == [1, 3, 4]
