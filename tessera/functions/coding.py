@@ -82,6 +82,16 @@ def unshuffled(position, size, width: int) -> Column:
     return row + column * rows
 
 
+def shuffled(position, size, width: int) -> Column:
+    """Where the byte at ``position`` goes: the other way round of ``unshuffled``."""
+    p, n = col(position), col(size)
+    rows = F.call_function("div", n + (width - 1), F.lit(width).cast("bigint"))
+    across = F.call_function("div", n + rows - 1, rows)
+    full = n - rows * (across - 1)
+    row, column = p % rows, F.call_function("div", p, rows)
+    return F.when(row < full, row * across + column).otherwise(full * across + (row - full) * (across - 1) + column)
+
+
 def varints(rows: DataFrame, key: str, position: str, byte: str) -> DataFrame:
     """(key, n, v): the numbers in a stream of bytes, seven bits each, the last byte of a number under 128.
 
