@@ -221,10 +221,10 @@ kinds as (select frame, id, g, d,
   case when sections > 1 and id > d + 1 then (id - d - 2) % g when sections > 1 and id between 1 and d then id - 1 end as grp from i)"""
 
 
-def _kinds(spark: SparkSession, sf: str) -> DataFrame:
+def _kinds(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     rows = layout.group_layout(r.frames(spark, sf)).withColumn("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sections") - 1)))
     rows = rows.withColumn("g", F.col("groups_x") * F.col("groups_y")).withColumn("d", F.col("dc_groups_x") * F.col("dc_groups_y"))
-    return rows.withColumn("k", layout.section_kind("id", "g", "d", "sections")).select("frame", "id", "g", "d", "k.*")
+    return rows.withColumn("k", layout.section_kind("id", "g", "d", "sections")).select("frame", "id", "g", "d", "k.*", *keep)
 
 
 @query(f"with {_KINDS} select frame, id, kind, pass, grp from kinds")

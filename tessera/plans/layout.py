@@ -27,14 +27,14 @@ def group_layout(frames: DataFrame, shift: int = 1, upsampling: int = 1, passes:
     return out.withColumn("sections", F.when((groups == 1) & (n == 1), F.lit(1).cast("bigint")).otherwise(2 + dc + groups * n))
 
 
-def groups(frames: DataFrame) -> DataFrame:
-    """frame, grp, x, y, gw, gh: the groups of every frame of a layout, clipped to the frame."""
+def groups(frames: DataFrame, *keep: str) -> DataFrame:
+    """frame, grp, x, y, gw, gh: the groups of every frame of a layout, clipped to the frame. ``keep`` names columns of the frame to go along."""
     dim = F.col("group_dim")
     rows = frames.withColumn("gy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups_y") - 1)))
     rows = rows.withColumn("gx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups_x") - 1)))
     return rows.select(
         "frame", (F.col("gy") * F.col("groups_x") + F.col("gx")).alias("grp"), (F.col("gx") * dim).alias("x"), (F.col("gy") * dim).alias("y"),
-        F.least(dim, F.col("w") - F.col("gx") * dim).alias("gw"), F.least(dim, F.col("h") - F.col("gy") * dim).alias("gh"),
+        F.least(dim, F.col("w") - F.col("gx") * dim).alias("gw"), F.least(dim, F.col("h") - F.col("gy") * dim).alias("gh"), *keep,
     )
 
 
@@ -181,14 +181,25 @@ def payload(body, offset, size) -> Column:
     return F.when((o >= 0) & (n >= 0) & (o + n <= F.octet_length(col(body))), F.substring(col(body), o + 1, n))
 
 
-def classified(kinds: DataFrame, frames: DataFrame) -> DataFrame:
+#: What ``classified`` asks of a frame's layout.
+LAID_OUT = ("w", "h", "group_dim", "groups_x", "groups_y", "dc_groups_x", "dc_groups_y")
+
+
+def classified(kinds: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """frame, id, kind, pass, grp and the rectangle x, y, gw, gh of the sections that belong to a group.
 
-    An equi join by frame and group; DC groups are eight times as long. Sections of groups that are not there drop out.
+    DC groups are eight times as long. Sections of groups that are not there drop out. A rectangle follows from the number
+    of its group, so sections meet their frame's layout (an equi join by frame) and no groups; where they bring it along
+    (``LAID_OUT``) there is nothing to join. Frames are few rows in Spark's eyes, but not few: they are not broadcast.
     """
-    wide = frames.withColumn("group_dim", F.col("group_dim") * 8).withColumn("groups_x", F.col("dc_groups_x")).withColumn("groups_y", F.col("dc_groups_y"))
-    rects = groups(frames).withColumn("kind", F.lit("ac_group")).union(groups(wide).withColumn("kind", F.lit("dc_group")))
-    return kinds.select("frame", "id", "kind", "pass", "grp").join(rects, ["frame", "kind", "grp"])
+    if frames is not None:
+        kinds = kinds.select("frame", "id", "kind", "pass", "grp").join(frames.select("frame", *LAID_OUT).hint("merge"), "frame")
+    dc = F.col("kind") == "dc_group"
+    dim = F.when(dc, F.col("group_dim") * 8).otherwise(F.col("group_dim"))
+    across, down = (F.when(dc, F.col(f"dc_groups_{a}")).otherwise(F.col(f"groups_{a}")) for a in "xy")
+    x, y = F.col("grp") % across * dim, div("grp", across) * dim
+    rows = kinds.where(F.col("kind").isin("dc_group", "ac_group") & (F.col("grp") >= 0) & (F.col("grp") < across * down))
+    return rows.select("frame", "kind", "grp", "id", "pass", x.alias("x"), y.alias("y"), F.least(dim, F.col("w") - x).alias("gw"), F.least(dim, F.col("h") - y).alias("gh"))
 
 
 def channel_rects(group_rows: DataFrame, channels: DataFrame, least: str = "min_shift", most: str = "max_shift") -> DataFrame:

@@ -34,3 +34,12 @@ def test_group_counts_without_sending_groups(spark):
     assert sorted(map(tuple, assembly.group_counts(said).collect())) == want
     assert "Join" not in plan(assembly.group_counts(groups, found))
     assert "Join" not in plan(catalog.QUERIES["asm2_counts"](spark, SF))
+
+
+def test_sections_take_their_rectangles_from_their_own_numbers(spark):
+    frames = layout.group_layout(spark.createDataFrame([(1, 600, 300), (2, 2500, 10), (3, 20, 20)], "frame long, w long, h long"))
+    rows = [(1, 0, "ac_group", 0), (1, 1, "ac_group", 5), (1, 2, "ac_group", 6), (1, 3, "dc_group", 0), (2, 0, "dc_group", 1), (2, 1, "dc_group", 2), (2, 2, "dc_global", None), (9, 0, "ac_group", 0)]
+    kinds = spark.createDataFrame([(f, i, k, None, g) for f, i, k, g in rows], "frame long, id long, kind string, pass long, grp long")
+    got = {(r["frame"], r["id"]): (r["x"], r["y"], r["gw"], r["gh"]) for r in layout.classified(kinds, frames).collect()}
+    assert got == {(1, 0): (0, 0, 256, 256), (1, 1): (512, 256, 88, 44), (1, 3): (0, 0, 600, 300), (2, 0): (2048, 0, 452, 10)}
+    assert "Join" not in plan(catalog.QUERIES["toc8_classified"](spark, SF))
