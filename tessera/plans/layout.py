@@ -202,13 +202,14 @@ def classified(kinds: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     return rows.select("frame", "kind", "grp", "id", "pass", x.alias("x"), y.alias("y"), F.least(dim, F.col("w") - x).alias("gw"), F.least(dim, F.col("h") - y).alias("gh"))
 
 
-def channel_rects(group_rows: DataFrame, channels: DataFrame, least: str = "min_shift", most: str = "max_shift") -> DataFrame:
+def channel_rects(group_rows: DataFrame, channels: DataFrame | None = None, least: str = "min_shift", most: str = "max_shift") -> DataFrame:
     """frame, grp, channel, x, y, gw, gh: what a group holds of subsampled channels (frame, channel, cw, ch, shift).
 
     Only channels whose shift lies in the pass's bracket (columns of the groups) are in it, and only where anything is
-    left of the rectangle.
+    left of the rectangle. Without ``channels`` the groups have a row for each channel already, with its columns.
     """
-    met = group_rows.join(channels, "frame").where((F.col("shift") >= F.col(least)) & (F.col("shift") <= F.col(most)))
+    met = group_rows if channels is None else group_rows.join(channels.hint("merge"), "frame")
+    met = met.where((F.col("shift") >= F.col(least)) & (F.col("shift") <= F.col(most)))
     shifted = lambda c: F.expr(f"shiftright({c}, int(shift))")
     x, y = shifted("x"), shifted("y")
     rows = met.select("frame", "grp", "channel", x.alias("x"), y.alias("y"), F.least(shifted("gw"), F.col("cw") - x).alias("gw"), F.least(shifted("gh"), F.col("ch") - y).alias("gh"))

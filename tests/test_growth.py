@@ -43,3 +43,12 @@ def test_sections_take_their_rectangles_from_their_own_numbers(spark):
     got = {(r["frame"], r["id"]): (r["x"], r["y"], r["gw"], r["gh"]) for r in layout.classified(kinds, frames).collect()}
     assert got == {(1, 0): (0, 0, 256, 256), (1, 1): (512, 256, 88, 44), (1, 3): (0, 0, 600, 300), (2, 0): (2048, 0, 452, 10)}
     assert "Join" not in plan(catalog.QUERIES["toc8_classified"](spark, SF))
+
+
+def test_channels_of_groups_are_not_joined(spark):
+    assert "Join" not in plan(catalog.QUERIES["toc9_channels"](spark, SF))
+    groups = spark.createDataFrame([(1, 0, 0, 0, 256, 100, 0, 2), (2, 3, 256, 0, 10, 100, 2, 2)], "frame long, grp long, x long, y long, gw long, gh long, min_shift int, max_shift int")
+    channels = spark.createDataFrame([(1, 0, 200, 50, 1), (1, 1, 80, 25, 3), (2, 0, 60, 25, 2)], "frame long, channel long, cw long, ch long, shift long")
+    found = layout.channel_rects(groups, channels)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert [tuple(f) for f in found.collect()] == [(1, 0, 0, 0, 0, 128, 50)]
