@@ -325,8 +325,7 @@ def vdp10_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {_GROUPS} select frame, grp, (y // 2048) * ((w + 2047) // 2048) + x // 2048 as dc_group from grps join frames using (frame)""")
 def vdp12_group_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    frames = layout.group_layout(r.frames(spark, sf))
-    rows = layout.groups(frames).join(frames.select("frame", "w"), "frame")
+    rows = layout.groups(layout.group_layout(r.frames(spark, sf)), "w")
     across = layout.ceil_div("w", F.lit(2048))
     return rows.select("frame", "grp", (s.div("y", F.lit(2048)) * across + s.div("x", F.lit(2048))).alias("dc_group"))
 

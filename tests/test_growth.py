@@ -52,3 +52,7 @@ def test_channels_of_groups_are_not_joined(spark):
     found = layout.channel_rects(groups, channels)
     assert "BroadcastHashJoin" not in plan(found)
     assert [tuple(f) for f in found.collect()] == [(1, 0, 0, 0, 0, 128, 50)]
+
+
+def test_groups_bring_their_frame_along(spark):
+    assert "Join" not in plan(catalog.QUERIES["vdp12_group_lookup"](spark, SF))
