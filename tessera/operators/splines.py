@@ -28,10 +28,12 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def curve(points: DataFrame) -> DataFrame:
+def curve(points: DataFrame, strict: bool = True) -> DataFrame:
     """spline, n, x, y: the curve through control points (spline, i, x, y), ``BETWEEN`` steps from each to the next.
 
     The ends are extended by reflection. A point equal to the one before it is an error, as its knots would coincide.
+    Unless ``strict`` it ends no other spline's work: pieces that such knots belong to keep their rows, between control
+    points without coordinates.
     """
     by = W.partitionBy("spline").orderBy("i")
     here = _point(F.col("x").cast("double"), F.col("y").cast("double"))
@@ -41,7 +43,7 @@ def curve(points: DataFrame) -> DataFrame:
     last = F.col("p2").isNull()
     p0, p3 = F.coalesce("p0", mirror(F.col("p1"), F.col("p2"))), F.coalesce("p3", mirror(F.col("p2"), F.col("p1")))
     rows = rows.withColumns({"p0": F.when(~last, p0), "p3": F.when(~last, p3)})
-    same = F.raise_error(F.lit("identical successive control points")).cast("double")
+    same = F.raise_error(F.lit("identical successive control points")).cast("double") if strict else F.lit(None).cast("double")
     knot = lambda a, b: _with(F.sqrt(_far(F.col(a), F.col(b))), lambda d: F.when(d == 0, same).otherwise(d))
     rows = rows.withColumns({"d0": knot("p0", "p1"), "d1": knot("p1", "p2"), "d2": knot("p2", "p3")})
     steps = F.explode(F.sequence(F.lit(0), F.when(last, 0).otherwise(BETWEEN - 1))).alias("step")
@@ -61,20 +63,22 @@ def stepped(line: DataFrame) -> DataFrame:
 
     Arc lengths are prefix sums. Each piece of a line holds the whole lengths from its begin up to its end, so the as-of
     join of steps to pieces is a sequence on each piece. The end's intensity is what is left of the last step; the others
-    have 1.
+    have 1. A line that lacks a coordinate has no length: it has one row, null but for its spline.
     """
     by = W.partitionBy("spline").orderBy("n")
-    rows = line.withColumns({"x1": F.lead("x").over(by), "y1": F.lead("y").over(by), "first": F.row_number().over(by) == 1})
+    lacks = F.max(F.col("x").isNull() | F.col("y").isNull()).over(W.partitionBy("spline"))
+    rows = line.withColumns({"lacks": lacks, "x1": F.lead("x").over(by), "y1": F.lead("y").over(by), "first": F.row_number().over(by) == 1, "last": F.lead("n").over(by).isNull()})
     rows = rows.withColumn("length", F.coalesce(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")), F.lit(0.0)))
     rows = rows.withColumn("to", F.sum("length").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     rows = rows.withColumn("since", F.coalesce(F.lag("to").over(by), F.lit(0.0)))
     low = F.when(F.col("first"), F.lit(0)).otherwise(F.floor("since") + 1).cast("bigint")
-    on = rows.where(F.col("first") | (F.floor("to") > F.floor("since"))).withColumn("k", F.explode(F.sequence(low, F.floor("to").cast("bigint"))))
+    on = rows.where(~F.col("lacks") & (F.col("first") | (F.floor("to") > F.floor("since")))).withColumn("k", F.explode(F.sequence(low, F.floor("to").cast("bigint"))))
     t = F.when(F.col("length") > 0, (F.col("k") - F.col("since")) / F.col("length")).otherwise(F.lit(0.0))
     at = lambda a: F.col(a) + t * (F.coalesce(f"{a}1", a) - F.col(a))
     on = on.select("spline", "k", at("x").alias("x"), at("y").alias("y"), F.lit(1.0).alias("intensity"))
-    ends = rows.where("x1 is null")
-    return on.union(ends.select("spline", (F.floor("to") + 1).cast("bigint").alias("k"), "x", "y", (F.col("to") - F.floor("to")).alias("intensity")))
+    whole = lambda c: F.when(~F.col("lacks"), c)
+    ends = rows.where("last").select("spline", whole((F.floor("to") + 1).cast("bigint")).alias("k"), whole(F.col("x")), whole(F.col("y")), whole(F.col("to") - F.floor("to")))
+    return on.union(ends)
 
 
 def _along(coefficients: Column, at: Column) -> Column:

@@ -56,3 +56,18 @@ def test_channels_of_groups_are_not_joined(spark):
 
 def test_groups_bring_their_frame_along(spark):
     assert "Join" not in plan(catalog.QUERIES["vdp12_group_lookup"](spark, SF))
+
+
+def test_one_spline_with_equal_points_ends_no_other(spark):
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 3.0, 4.0), (2, 0, 0.0, 0.0), (2, 1, 5.0, 5.0), (2, 2, 5.0, 5.0), (2, 3, 9.0, 9.0), (2, 4, 9.0, 0.0), (2, 5, 0.0, 0.0), (3, 0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "spline long, i long, x double, y double")
+    line = splines.curve(points, strict=False)
+    got = line.orderBy("spline", "n").collect()
+    assert [(g["spline"], g["n"]) for g in got] == [(1, n) for n in range(17)] + [(2, n) for n in range(81)] + [(3, 0)]
+    lost = {(g["spline"], g["n"]) for g in got if g["x"] is None or g["y"] is None}
+    assert lost == {(2, n) for n in range(48) if n % 16}  # three pieces look at the gap of no length
+    steps = splines.stepped(line).orderBy("spline", "k").collect()
+    assert [tuple(s) for s in steps if s["spline"] == 2] == [(2, None, None, None, None)]
+    assert [s["k"] for s in steps if s["spline"] == 1] == [0, 1, 2, 3, 4, 5, 6] and [s["k"] for s in steps if s["spline"] == 3] == [0, 1]
+    series = spark.createDataFrame([(n, [[1.0] * 32] * 3, [1.0] * 32) for n in (1, 2, 3)], "spline long, colours array<array<double>>, sigmas array<double>")
+    assert {s["spline"] for s in splines.segments(splines.stepped(line), series).collect()} == {1}
