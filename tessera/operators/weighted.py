@@ -88,29 +88,60 @@ def _rounds(v: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
     return out, prop
 
 
+#: Samples of whole images that a task gathers before it works them out: bounds its memory where images are smaller.
+GATHERED = 1 << 17
+
+
 def weighted(samples: DataFrame, value: str, parameters: Parameters = Parameters()) -> DataFrame:
     """img, x, y, weighted, property: the prediction of every sample (img, x, y, value), and the largest error around it.
 
-    An image's places without a sample count as 0; they must come after its last sample in reading order. Each image (a
-    group of one) is gathered into a row. Images without samples do not occur.
+    An image's places without a sample count as 0; they must come after its last sample in reading order. The samples of
+    an image (a group of one) come to one task one after another; a task holds a few images at a time, at least one.
     """
-    rows = samples.groupBy("img").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"), F.collect_list("x").alias("x"), F.collect_list("y").alias("y"), F.collect_list(F.col(value).cast("bigint")).alias("v"))
+    rows = samples.select(*[F.col(c).cast("bigint").alias(c) for c in ("img", "x", "y")], F.col(value).cast("bigint").alias("v"))
+
+    def worked_out(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, v = (part.column(c).to_numpy() for c in ("x", "y", "v"))
+        new = _begins(part)
+        starts, image = np.flatnonzero(new), np.cumsum(new) - 1
+        sizes = np.stack([np.maximum.reduceat(y, starts) + 1, np.maximum.reduceat(x, starts) + 1], axis=1)
+        for h, w in np.unique(sizes, axis=0):
+            some = (sizes == (h, w)).all(axis=1)
+            at = np.flatnonzero(some[image])
+            of = (np.cumsum(some) - 1)[image[at]]
+            images = np.zeros((int(some.sum()), h, w), np.int64)
+            images[of, y[at], x[at]] = v[at]
+            found, prop = _rounds(images, parameters)
+            img = part.column("img").take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([img, *[pa.array(a) for a in (x[at], y[at], found[of, y[at], x[at]], prop[of, y[at], x[at]])]], ["img", "x", "y", "weighted", "property"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, enough = [], 0, GATHERED
         for batch in batches:
-            sizes = np.stack([np.asarray(batch.column("h")), np.asarray(batch.column("w"))], axis=1)
-            for h, w in np.unique(sizes, axis=0):
-                some = np.flatnonzero((sizes == (h, w)).all(axis=1))
-                part = batch.take(pa.array(some))
-                x, y, v = (np.asarray(part.column(c).flatten()) for c in ("x", "y", "v"))
-                of = np.repeat(np.arange(len(some)), np.asarray(part.column("v").value_lengths()))
-                images = np.zeros((len(some), h, w), np.int64)
-                images[of, y, x] = v
-                found, prop = _rounds(images, parameters)
-                img = np.asarray(part.column("img"))[of]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (img, x, y, found[of, y, x], prop[of, y, x])], ["img", "x", "y", "weighted", "property"])
-
-    return rows.mapInArrow(run, "img long, x long, y long, weighted long, property long")
+            held.append(batch)
+            count += batch.num_rows
+            if count < enough:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            whole = int(np.flatnonzero(_begins(part))[-1])  # the last image may go on
+            if whole:
+                yield from worked_out(part.slice(0, whole))
+            held, count = part.slice(whole).to_batches(), part.num_rows - whole
+            enough = max(GATHERED, 2 * count)
+        if count:
+            yield from worked_out(pa.Table.from_batches(held).combine_chunks())
+
+    ordered = rows.repartition("img").sortWithinPartitions("img")
+    return ordered.mapInArrow(run, "img long, x long, y long, weighted long, property long")
+
+
+def _begins(part: pa.Table) -> np.ndarray:
+    """Where an image begins in rows ordered by image."""
+    column = part.column("img").combine_chunks()
+    img, none = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+    new = np.ones(len(img), bool)
+    new[1:] = (img[1:] != img[:-1]) | (none[1:] != none[:-1])
+    return new
 
 
 def with_weighted(samples: DataFrame, value: str, parameters: Parameters = Parameters()) -> DataFrame:

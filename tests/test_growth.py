@@ -88,3 +88,14 @@ def test_canvases_are_painted_where_their_segments_meet(spark, monkeypatch):
         assert {(g["img"], g["y"], g["x"]): g["v"] for g in got.collect()} == want
     for name in ("syn9_draw", "syn9_accumulate"):  # what is shuffled are segments: nothing is exploded
         assert "Generate" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_weighted_gathers_few_images_at_a_time(spark, monkeypatch):
+    rows = [(i // 12 if i < 600 else None, i % 12 % 4, i % 12 // 4, i * 37 % 256) for i in range(612)] + [(77, x, y, x * y % 7) for x in range(30) for y in range(20)]
+    samples = spark.createDataFrame(rows, "img long, x long, y long, v long").repartition(3)
+    want = sorted(map(str, weighted.weighted(samples, "v").collect()))
+    assert len(want) == len(rows)
+    monkeypatch.setattr(weighted, "GATHERED", 50)
+    few = weighted.weighted(samples, "v")
+    assert sorted(map(str, few.collect())) == want
+    assert "collect_list" not in plan(few)
