@@ -63,7 +63,7 @@ select img, x, y, w.node as leaf, predictor from walk w join trees t on t.tree =
 def mod3_leaves(spark: SparkSession, sf: str) -> DataFrame:
     samples = stencils.pixel_properties(r.samples(spark, sf), "c2", 2, 7).withColumn("tree", F.col("img") % 5)
     nodes = r.trees(spark, sf)
-    found = trees.leaves(samples.select("img", "x", "y", "tree", *[f"p{i}" for i in range(15)]), nodes, [f"p{i}" for i in range(15)])
+    found = trees.leaves(samples.select("img", "x", "y", "tree", *[f"p{i}" for i in range(15)]), nodes, [f"p{i}" for i in range(15)], keep=["img", "x", "y", "tree"])
     kinds = nodes.select("tree", F.col("node").alias("leaf"), "predictor")
     return found.join(kinds, ["tree", "leaf"]).select("img", "x", "y", "leaf", "predictor")
 

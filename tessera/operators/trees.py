@@ -16,6 +16,8 @@ from tessera.sources.scratch import sent, stored
 LOWEST, HIGHEST, TALLEST = -(2**31), 2**31 - 1, 2048
 #: Nodes of the largest tree that is walked as an array beside each sample; larger ones are walked by joins.
 HELD = 1024
+#: Nodes of the largest table that goes to every task whole; of larger ones only those that a round can come to go.
+SENT = 1_000_000
 
 
 def ranges(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,6 +89,16 @@ def _by_array(live: DataFrame, nodes: DataFrame, properties: Sequence[str], leve
     return moved.withColumn("_leaf", F.get("_tree", F.col("_node").cast("int"))["property"] < 0).drop("_tree", "_values")
 
 
+def _in_reach(nodes: DataFrame, near: DataFrame, levels: int) -> DataFrame:
+    """The nodes that a walk of ``levels`` steps from the nodes (tree, node) of ``near`` can come to; a level is a join."""
+    near, found = stored(near), None
+    for _ in range(levels):
+        found = near if found is None else found.union(near)
+        here = nodes.where("property >= 0").join(near, ["tree", "node"])
+        near = stored(here.select("tree", F.explode(F.array("left", "right")).alias("node")).where("node is not null").distinct())
+    return stored(nodes.join(found.union(near).distinct(), ["tree", "node"]).select("tree", "node", "property", "split", "left", "right"))
+
+
 def _by_joins(live: DataFrame, nodes: DataFrame, properties: Sequence[str], levels: int) -> DataFrame:
     """``levels`` steps, a join each; the node table is broadcast if its size allows it."""
     table = sent(nodes.select("tree", F.col("node").alias("_node"), "property", "split", "left", "right"))
@@ -99,19 +111,25 @@ def _by_joins(live: DataFrame, nodes: DataFrame, properties: Sequence[str], leve
     return live.join(leaf, ["tree", "_node"])
 
 
-def leaves(samples: DataFrame, nodes: DataFrame, properties: Sequence[str], held: int = HELD) -> DataFrame:
+def leaves(samples: DataFrame, nodes: DataFrame, properties: Sequence[str], held: int = HELD, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds ``leaf``, the leaf of its ``tree`` that each sample reaches; ``properties`` names its properties from 0 on.
 
     Samples walk in rounds of ever more levels, and those that have reached a leaf leave the walk, so a deep branch costs
     only the samples on it. Each round is stored. Samples of a tree that has no nodes are left out.
+    Of the samples' columns ``keep`` stay (all, unless given); the others are not stored once a sample has its leaf.
     """
+    keep = list(samples.columns if keep is None else keep)
     nodes = stored(nodes.select("tree", "node", "property", "split", "left", "right"))
-    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    largest, number = nodes.groupBy("tree").count().agg(F.max("count"), F.sum("count")).first()
+    largest, number = largest or 0, number or 0
     step, most = (_by_array, 64) if largest <= held else (_by_joins, 16)
     live, levels, walked, done = samples.withColumn("_node", F.lit(0).cast("bigint")), 8, 0, None
+    near = nodes.where("node = 0").select("tree", "node")
     while True:
-        moved = stored(step(live, nodes, properties, levels))
-        there = moved.where("_leaf").drop("_leaf").select(*samples.columns, F.col("_node").alias("leaf"))
+        known = _in_reach(nodes, near, levels) if step is _by_joins and number > SENT else nodes
+        moved = step(live, known, properties, levels)
+        moved = stored(moved.withColumns({c: F.when(~F.col("_leaf"), F.col(c)) for c in samples.columns if c not in keep}))
+        there = moved.where("_leaf").drop("_leaf").select(*keep, F.col("_node").alias("leaf"))
         done = there if done is None else done.union(there)
         live = moved.where("not _leaf").drop("_leaf")
         if live.isEmpty():
@@ -119,4 +137,5 @@ def leaves(samples: DataFrame, nodes: DataFrame, properties: Sequence[str], held
         walked += levels
         if walked > TALLEST:
             raise ValueError("a sample walked further than the tallest valid tree")
+        near = live.select("tree", F.col("_node").alias("node")).distinct()
         levels = min(2 * levels, most)

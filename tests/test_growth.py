@@ -99,3 +99,16 @@ def test_weighted_gathers_few_images_at_a_time(spark, monkeypatch):
     few = weighted.weighted(samples, "v")
     assert sorted(map(str, few.collect())) == want
     assert "collect_list" not in plan(few)
+
+
+def test_large_trees_go_to_tasks_by_what_is_in_reach(spark, monkeypatch):
+    rows = [(t, 2 * d + i, -1 if i else 0, d, None if i else 2 * d + 2, None if i else 2 * d + 1) for t in range(2) for d in range(100) for i in range(2)] + [(t, 200, -1, 0, None, None) for t in range(2)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, property long, split long, left long, right long")
+    samples = spark.createDataFrame([(i, i % 2, i % 130, "beside") for i in range(400)], "id long, tree long, a long, b string")
+    sent, asked = trees.sent, []
+    monkeypatch.setattr(trees, "SENT", 50)
+    monkeypatch.setattr(trees, "sent", lambda df, *most: asked.append(df.count()) or sent(df, *most))
+    found = trees.leaves(samples, nodes, ["a"], held=0, keep=["id"])
+    assert found.columns == ["id", "leaf"]
+    assert {f["id"]: f["leaf"] for f in found.collect()} == {i: 2 * (i % 130) + 1 if i % 130 < 100 else 200 for i in range(400)}
+    assert max(asked) <= 2 * (2 * 16 + 1) < len(rows)
