@@ -388,7 +388,7 @@ select img, x, y, cast(floor((case when sigma < -3.905243::double then c2 else (
 def _edge(spark: SparkSession, sf: str, step: int) -> DataFrame:
     sigma = -0.3 - (s.div("x", F.lit(8)) + s.div("y", F.lit(8))) % 5
     rows = r.samples(spark, sf).withColumn("sigma", sigma)
-    return stencils.edge_filter(rows, ["c2"], [0.05], "sigma", step).select("img", "x", "y", fixed("c2_kept").alias("v"))
+    return stencils.restored(rows, ["c2"], smooth=False, steps=[step], scales=[0.05], inverse_sigma="sigma").select("img", "x", "y", fixed("c2").alias("v"))
 
 
 def _line7(value: str, out: str, table: str, by: str, along: str) -> str:
@@ -493,7 +493,7 @@ _OCTUPLING = "list_transform(range(210), lambda n: ((n * 37) % 101 - 30) / 1000:
 
 @query(_enlarge_sql(2, _DOUBLING))
 def vdr13_upsample(spark: SparkSession, sf: str) -> DataFrame:
-    return stencils.enlarge(r.samples(spark, sf), "c2", 2).select("img", "x", "y", fixed("v").alias("v"))
+    return stencils.enlarge(r.samples(spark, sf), "c2", 2, steps=10000)
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
@@ -507,13 +507,13 @@ def _rows_sql(samples: str) -> str:
 
 @query(_rows_sql(_enlarge_sql(4, _QUADRUPLING)))
 def vdr13_upsample4(spark: SparkSession, sf: str) -> DataFrame:
-    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 4).select("img", "x", "y", fixed("v").alias("v")))
+    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 4, steps=10000))
 
 
 @query(_rows_sql(_enlarge_sql(8, _OCTUPLING)))
 def vdr13_upsample8(spark: SparkSession, sf: str) -> DataFrame:
     weights = [((n * 37) % 101 - 30) / 1000 for n in range(210)]
-    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 8, weights).select("img", "x", "y", fixed("v").alias("v")))
+    return _by_row(stencils.enlarge(r.samples(spark, sf), "c2", 8, weights, steps=10000))
 
 
 @query(_enlarge_sql(2, _DOUBLING).replace("* 10000 + 0.5", "+ 0.5"))

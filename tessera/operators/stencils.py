@@ -2,17 +2,21 @@
 
 Neighbourhoods come from two windows, along the row and then along the column, so a sample is shuffled twice whatever the
 size of the stencil, and never copied once for every neighbour. Beyond an edge coordinates are mirrored: -1 is 0, n is
-n - 1. Windows are by image and row or column, so an image's rows spread over tasks.
+n - 1. Windows are by image and row or column, so an image's rows spread over tasks. Enlarging and the filters of a whole
+frame go over strips of rows instead (``strips``), which copies no neighbourhoods between steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import strips
+
 
 def _line(value: str, keys: Sequence[str], along: str, reach: int) -> list[Column]:
     """The values at -reach .. reach along an axis, mirrored (reach 1 to 3)."""
@@ -83,15 +87,6 @@ def gaborish(df: DataFrame, value: str, out: str = "smooth") -> DataFrame:
     return neighbourhood(df, value).withColumn(out, weigh("around", [[c, b, c], [b, a, b], [c, b, c]])).drop("around")
 
 
-def gaborish_channels(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """``gaborish`` of several channels by the same two windows; each takes the place of its channel."""
-    side, corner = GABORISH
-    total = 1 + 4 * (side + corner)
-    a, b, c = 1 / total, side / total, corner / total
-    df = neighbourhoods(df, values)
-    return df.withColumns({v: weigh(f"_{v}", [[c, b, c], [b, a, b], [c, b, c]]) for v in values}).drop(*[f"_{v}" for v in values])
-
-
 def noise_filter(df: DataFrame, value: str, out: str = "noise") -> DataFrame:
     """5 x 5: 0.16 of each neighbour less 3.84 of the centre."""
     weights = [[-3.84 if i == j == 2 else 0.16 for i in range(5)] for j in range(5)]
@@ -120,6 +115,8 @@ def smooth_dc(df: DataFrame, values: Sequence[str], steps: Sequence[float]) -> D
 
 _AROUND = {0: [(0, -2), (-1, -1), (0, -1), (1, -1), (-2, 0), (-1, 0), (1, 0), (2, 0), (-1, 1), (0, 1), (1, 1), (0, 2)]}
 _CROSS = [(0, -1), (-1, 0), (1, 0), (0, 1)]
+#: How the edge filter's steps scale its sigma.
+STEP_SCALES = {0: 0.9, 1: 1.0, 2: 6.5}
 
 
 def edge_filter(df: DataFrame, values: Sequence[str], scales: Sequence[float], inverse_sigma, step: int = 2, sigma_scale: float | None = None, border: float = 2 / 3) -> DataFrame:
@@ -137,7 +134,7 @@ def edge_filter(df: DataFrame, values: Sequence[str], scales: Sequence[float], i
     at = lambda v, x, y: F.col(f"_{v}")[reach + y][reach + x]
     sigma = F.lit(inverse_sigma) if isinstance(inverse_sigma, (int, float)) else F.col(inverse_sigma)
     edge = (F.col("x") % 8).isin(0, 7) | (F.col("y") % 8).isin(0, 7)
-    scale = 1.65 * ({0: 0.9, 1: 1.0, 2: 6.5}[step] if sigma_scale is None else sigma_scale)
+    scale = 1.65 * (STEP_SCALES[step] if sigma_scale is None else sigma_scale)
     df = df.withColumn("_sigma", sigma).withColumn("_scaled", F.col("_sigma") * F.lit(scale) * F.when(edge, F.lit(border)).otherwise(F.lit(1.0)))
     for n, (x, y) in enumerate(places):
         off = F.lit(0.0)
@@ -170,35 +167,31 @@ def enlarging_kernels(factor: int, weights: Sequence[float]) -> list[list[list[f
     return [[[square[i][j] for i in lines[ox]] for j in lines[oy]] for oy in range(factor) for ox in range(factor)]
 
 
-def enlarge(df: DataFrame, value: str, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v") -> DataFrame:
+def _cells(around: strips.Around, value: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(own sample, 25): neighbourhoods, rows first."""
+    at = around.of(value)
+    return np.stack([at(i, j)[own] for j in range(-2, 3) for i in range(-2, 3)], axis=1)
+
+
+def _enlarging(factor: int, weights: Sequence[float] | None) -> np.ndarray:
+    return np.array(enlarging_kernels(factor, weights or {2: DOUBLING, 4: QUADRUPLING}[factor])).reshape(factor * factor, 25)
+
+
+def enlarge(df: DataFrame, value: str, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v", steps: int | None = None) -> DataFrame:
     """``factor`` (2, 4 or 8) times the width and height; every new sample is a weighed 5 x 5 neighbourhood, kept in its range.
 
-    Weights for 8 have no default here: 210 numbers that the caller gives.
+    Weights for 8 have no default here: 210 numbers that the caller gives. With ``steps`` new samples are whole numbers of
+    1/steps, rounded with the last place that SQL's inner product has (see ``strips.enlarged``).
     """
-    weights = weights or {2: DOUBLING, 4: QUADRUPLING}[factor]
-    wide = neighbourhood(df, value, 2)
-    flat = F.flatten("around")
-    wide = wide.withColumn("_flat", flat).drop("around").withColumn("_lo", F.array_min("_flat")).withColumn("_hi", F.array_max("_flat"))
-    kernels = [F.struct(F.lit(n % factor).alias("ox"), F.lit(n // factor).alias("oy"), F.array(*[F.lit(w) for row in k for w in row]).alias("k")) for n, k in enumerate(enlarging_kernels(factor, weights))]
-    each = wide.withColumn("_s", F.explode(F.array(*kernels)))
-    whole = sum((F.col("_flat")[i] * F.col("_s.k")[i] for i in range(25)), F.lit(0.0))
-    shown = F.least(F.greatest(whole, "_lo"), "_hi").alias(out)
-    return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), shown)
-
-
-def enlarge_channels(df: DataFrame, values: Sequence[str], factor: int = 2, weights: Sequence[float] | None = None) -> DataFrame:
-    """img, x, y and the channels, all enlarged as ``enlarge`` does, by the same two windows."""
-    weights = weights or {2: DOUBLING, 4: QUADRUPLING}[factor]
-    wide = neighbourhoods(df, values, 2)
-    wide = wide.withColumns({f"_{v}": F.flatten(f"_{v}") for v in values})
-    wide = wide.withColumns({f"_lo_{v}": F.array_min(f"_{v}") for v in values} | {f"_hi_{v}": F.array_max(f"_{v}") for v in values})
-    kernels = [F.struct(F.lit(n % factor).alias("ox"), F.lit(n // factor).alias("oy"), F.array(*[F.lit(w) for row in k for w in row]).alias("k")) for n, k in enumerate(enlarging_kernels(factor, weights))]
-    each = wide.withColumn("_s", F.explode(F.array(*kernels)))
-    shown = []
-    for v in values:
-        whole = sum((F.col(f"_{v}")[i] * F.col("_s.k")[i] for i in range(25)), F.lit(0.0))
-        shown.append(F.least(F.greatest(whole, f"_lo_{v}"), f"_hi_{v}").alias(v))
-    return each.select("img", (F.col("x") * factor + F.col("_s.ox")).alias("x"), (F.col("y") * factor + F.col("_s.oy")).alias("y"), *shown)
+    kernels = _enlarging(factor, weights)
+
+    def work(around, x, y, values, own):
+        many = max(1, strips.SHOWN // (factor * factor))
+        for start in range(0, len(own), many):
+            some = own[start : start + many]
+            yield start, [strips.enlarged(_cells(around, values[0], some), kernels, steps)]
+
+    return strips.over_strips(df, [value], 2, 2, work, factor, "long" if steps else "double", [out])
 
 
 def restored(
@@ -208,17 +201,34 @@ def restored(
     """img, x, y and the channels after all filters of a frame, in their order: smoothing, edge filter, enlarging.
 
     ``smooth`` says whether the first is on, ``steps`` which of the edge filter's steps run (none: it is off), ``factor``
-    how much wider and higher the frame gets (1: it stays). Each filter windows once for all channels. Where
-    ``inverse_sigma`` is a column, it goes along from step to step.
+    how much wider and higher the frame gets (1: it stays). All filters go over a strip of rows in one task, one shuffle
+    for all of them and all channels. Where ``inverse_sigma`` is a column, it goes along from step to step.
     """
     sigma = [inverse_sigma] if isinstance(inverse_sigma, str) else []
-    df = df.select("img", "x", "y", *sigma, *[F.col(v).cast("double").alias(v) for v in values])
-    if smooth:
-        df = gaborish_channels(df, values)
-    for step in sorted(steps):
-        df = edge_filter(df, values, scales, inverse_sigma, step)
-        df = df.select("img", "x", "y", *sigma, *[F.col(f"{v}_kept").alias(v) for v in values])
-    return enlarge_channels(df, values, factor, weights) if factor > 1 else df.drop(*sigma)
+    reach = {0: 3, 1: 2, 2: 1}
+    every = [*[1] * smooth, *[reach[s] for s in steps], *[2] * (factor > 1)]
+    if not every:
+        return df.select("img", "x", "y", *[F.col(v).cast("double").alias(v) for v in values])
+    side, corner = GABORISH
+    total = 1 + 4 * (side + corner)
+    a, b, c = 1 / total, side / total, corner / total
+    kernels = _enlarging(factor, weights) if factor > 1 else None
+
+    def work(around, x, y, held, own):
+        given = held[len(values)] if sigma else np.full(len(x), float(inverse_sigma))
+        held = held[: len(values)]
+        if smooth:
+            held = [strips.smooth(around, v, [[c, b, c], [b, a, b], [c, b, c]]) for v in held]
+        edge = np.isin(x % 8, (0, 7)) | np.isin(y % 8, (0, 7))
+        for step in sorted(steps):
+            scaled = given * (1.65 * STEP_SCALES[step]) * np.where(edge, 2 / 3, 1.0)
+            held = strips.kept(around, held, scales, given, scaled, _AROUND.get(step, _CROSS), [(0, 0), *_CROSS] if step < 2 else [(0, 0)], LEAST_SIGMA)
+        many = max(1, strips.SHOWN // (factor * factor))
+        for start in range(0, len(own), many):
+            some = own[start : start + many]
+            yield start, [strips.enlarged(_cells(around, v, some), kernels) if factor > 1 else v[some, None] for v in held]
+
+    return strips.over_strips(df, [*values, *sigma], sum(every), max(every), work, factor, names=list(values))
 
 
 def widen_chroma(df: DataFrame, value: str, out: str = "v", axis: str = "x") -> DataFrame:
@@ -232,8 +242,7 @@ def widen_chroma(df: DataFrame, value: str, out: str = "v", axis: str = "x") ->
 
 def enlarge_alpha(df: DataFrame, value: str, most: int, factor: int = 2, weights: Sequence[float] | None = None, out: str = "v") -> DataFrame:
     """A subsampled integer channel at full size: enlarged, rounded, from 0 to ``most``."""
-    whole = F.floor(F.col(out) + 0.5).cast("bigint")
-    return enlarge(df, value, factor, weights, out).withColumn(out, F.least(F.greatest(whole, F.lit(0)), F.lit(most)).cast("bigint"))
+    return enlarge(df, value, factor, weights, out, steps=1).withColumn(out, F.least(F.greatest(F.col(out), F.lit(0)), F.lit(most)).cast("bigint"))
 
 
 def causal(df: DataFrame, value: str) -> DataFrame:

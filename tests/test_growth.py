@@ -1,11 +1,13 @@
 """Queries whose rows are exploded: plans that stay small however many rows come out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog, catalog_frames, catalog_streams  # noqa: F401  (register their queries with catalog)
 from tessera.functions import coding
-from tessera.operators import assembly, splines, stencils, transforms, trees, weighted
+from tessera.operators import assembly, splines, stencils, strips, transforms, trees, weighted
 from tessera.plans import layout
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +114,43 @@ def test_large_trees_go_to_tasks_by_what_is_in_reach(spark, monkeypatch):
     assert found.columns == ["id", "leaf"]
     assert {f["id"]: f["leaf"] for f in found.collect()} == {i: 2 * (i % 130) + 1 if i % 130 < 100 else 200 for i in range(400)}
     assert max(asked) <= 2 * (2 * 16 + 1) < len(rows)
+
+
+def test_enlarged_samples_are_rounded_as_sql_sums_them(spark):
+    """SQL's inner product fuses products and sums; where a sum is all but a half, that decides the whole number."""
+    import duckdb
+
+    rng, weights = random.Random(3), [((n * 37) % 101 - 30) / 1000 for n in range(15)]
+    rows = spark.createDataFrame([(1, x, y, rng.randrange(256)) for x in range(40) for y in range(30)], "img long, x long, y long, v long")
+    got = {(r.x, r.y): r.v for r in stencils.enlarge(rows, "v", 2, weights, steps=100).collect()}
+    cells = [(r.x, r.y, [float(v) for row in r.around for v in row]) for r in stencils.neighbourhood(rows, "v", 2).collect()]
+    con, plain, want = duckdb.connect(), {}, {}
+    for n, kernel in enumerate(stencils.enlarging_kernels(2, weights)):
+        k = [w for row in kernel for w in row]
+        whole = con.execute("select list_transform($1::double[][], lambda c: floor(least(greatest(list_inner_product(c, $2::double[]), list_min(c)), list_max(c)) * 100 + 0.5))", [[c for _, _, c in cells], k]).fetchone()[0]
+        for (x, y, c), v in zip(cells, whole):
+            at, total = (2 * x + n % 2, 2 * y + n // 2), 0.0
+            for a, w in zip(c, k):
+                total += a * w
+            want[at], plain[at] = v, (min(max(total, min(c)), max(c)) * 100 + 0.5) // 1
+    assert got == want and want != plain
+
+
+def test_strips_give_what_windows_give(spark, monkeypatch):
+    monkeypatch.setattr(strips, "GATHERED", 40)
+    rng = random.Random(5)
+    places = [(img, x, y) for img, w, h in ((None, 3, 70), (1, 5, 200), (2, 1, 1), (3, 7, 65)) for x in range(w) for y in range(h) if (x, y) != (w - 1, h - 1) or w * h == 1]
+    rows = spark.createDataFrame([(*p, rng.randrange(9), rng.random(), -0.3 - rng.randrange(5)) for p in places], "img long, x int, y int, a long, b double, s double").repartition(3)
+    want = rows
+    for v in "ab":
+        want = stencils.gaborish(want, v, f"g{v}").drop(v).withColumnRenamed(f"g{v}", v)
+    for step in (0, 1, 2):
+        want = stencils.edge_filter(want, ["a", "b"], [0.1, 0.2], "s", step).select("img", "x", "y", "s", F.col("a_kept").alias("a"), F.col("b_kept").alias("b"))
+    found = stencils.restored(rows, ["a", "b"], steps=[0, 1, 2], scales=[0.1, 0.2], inverse_sigma="s")
+    assert found.columns == ["img", "x", "y", "a", "b"] and found.dtypes[:3] == [("img", "bigint"), ("x", "int"), ("y", "int")]
+    key = lambda r: (str(r.img), r.x, r.y)
+    got, want = ({key(r): (r.a, r.b) for r in df.collect()} for df in (found, want))
+    assert got.keys() == want.keys() and len(got) == len(places)
+    assert all(abs(p - q) < 1e-9 for k in got for p, q in zip(got[k], want[k]))
+    for name in ("vdr11_step0", "vdr13_upsample8", "vdr18_restored"):  # neighbourhoods are not copied from row to row
+        assert plan(catalog.QUERIES[name](spark, SF)).count("Window ") == 1  # the samples' own numbers
