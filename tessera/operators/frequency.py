@@ -7,14 +7,16 @@ basis values, whose size depends on the transform alone, so they are broadcast.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.samples import col, div, quant_bias
+from tessera.operators.gathering import by_groups
 from tessera.operators.transforms import haar_matrix
 
 # Width, height and kind of the transforms by strategy number.
@@ -253,11 +255,42 @@ def inverse_small(blocks: DataFrame, kind: str) -> DataFrame:
     return _by_matrix(blocks.withColumn("strategy", F.lit(0).cast("bigint")), ["blk"], {0: matrix(kind)})
 
 
+def _block_samples(part: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The samples of whole blocks (blk, strategy, width, height, k, v), those of one size at once.
+
+    Coefficients of one place add up, nulls count nothing, and a block of nulls alone has null samples.
+    """
+    width, height, k = (part.column(c).to_numpy() for c in ("width", "height", "k"))
+    value = part.column("v").combine_chunks()
+    v, known = value.fill_null(0.0).to_numpy(), value.is_valid().to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    some_known = np.logical_or.reduceat(known, first)
+    block = block - block[0]
+    for w, h in np.unique(np.stack([width[first], height[first]], axis=1), axis=0).tolist():
+        mine = (width[first] == w) & (height[first] == h)
+        blocks = np.flatnonzero(mine)
+        at = np.flatnonzero(mine[block])
+        at = at[(k[at] >= 0) & (k[at] < w * h)]
+        held = np.zeros((len(blocks), h * w))
+        np.add.at(held, ((np.cumsum(mine) - 1)[block[at]], k[at]), v[at])
+        across, down = _cosines(w), _cosines(h).T
+        for start in range(0, len(blocks), max(1, (1 << 18) // (w * h))):
+            some = blocks[start : start + max(1, (1 << 18) // (w * h))]
+            made = 2 * (down @ (held[start : start + len(some)].reshape(-1, h, w) @ across))
+            of = pa.array(np.repeat(first[some], w * h))
+            place = np.tile(np.arange(w * h), len(some))
+            lost = np.repeat(~some_known[some], w * h)
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c).combine_chunks().take(of) for c in ("blk", "strategy")], pa.array(place % w), pa.array(place // w), pa.array(made.reshape(-1), mask=lost)],
+                ["blk", "strategy", "x", "y", "v"],
+            )
+
+
 def spatial(blocks: DataFrame, corner_basis: np.ndarray | None = None) -> DataFrame:
     """blk, strategy, x, y, v: blocks of any strategy and size (blk, strategy, k, v), k counting row by row.
 
-    Cosine transforms of all sizes go through one join with the cosines of all sizes for each axis; the other 8 x 8 ones
-    through one join with their matrices. Both tables depend on the format alone and are broadcast. A block comes out
+    Cosine transforms are products with the cosines of their sizes, of whole blocks in tasks; the other 8 x 8 ones go
+    through one join with their matrices, which depend on the format alone and are broadcast. A block comes out
     whole: 8 x 8 ones of the other kinds need all their coefficients there, cosine ones at least one. Strategies that do
     not exist are an error, and so are corner transforms without their ``corner_basis`` (see ``matrix``).
     """
@@ -269,14 +302,10 @@ def spatial(blocks: DataFrame, corner_basis: np.ndarray | None = None) -> DataFr
     rows = rows.withColumn("kind", F.when(known, F.col("kind")).otherwise(missing))
     special = {n: matrix(kind, corner_basis) for n, (_, _, kind) in enumerate(STRATEGIES) if kind != "dct" and (corner_basis is not None or not kind.startswith("corner"))}
     small = _by_matrix(rows.where("kind <> 'dct'"), keys, special)
-    sizes = F.explode(F.array(*[F.lit(1 << n).cast("bigint") for n in range(3, 9)])).alias("size")
-    every = spark.range(1).select(sizes).withColumn("u", F.explode(F.expr("sequence(0L, size - 1)"))).withColumn("i", F.explode(F.expr("sequence(0L, size - 1)")))
-    angle = (2 * F.col("i") + 1) * F.col("u") * F.lit(math.pi) / (2 * F.col("size"))
-    every = every.withColumn("w", F.cos(angle) * F.when(F.col("u") == 0, F.lit(math.sqrt(0.5))).otherwise(F.lit(1.0)))
-    basis = lambda size, u, i: F.broadcast(every.withColumnsRenamed({"size": size, "u": u, "i": i, "w": "_w"}))  # noqa: E731  87,360 rows
-    large = rows.where("kind = 'dct'").select(*keys, "width", "height", (F.col("k") % F.col("width")).alias("_u"), div("k", F.col("width")).alias("_v"), "v")
-    large = large.join(basis("width", "_u", "x"), ["width", "_u"]).groupBy(*keys, "height", "_v", "x").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-    large = large.join(basis("height", "_v", "y"), ["height", "_v"]).groupBy(*keys, "x", "y").agg((2 * F.sum(F.col("v") * F.col("_w"))).alias("v"))
+    kind = blocks.schema["blk"].dataType.simpleString()
+    large = rows.where("kind = 'dct'").select(*keys, "width", "height", "k", F.col("v").cast("double").alias("v"))
+    large = large.repartition(*keys).sortWithinPartitions(*keys)
+    large = large.mapInArrow(by_groups(keys, _block_samples), f"blk {kind}, strategy long, x long, y long, v double")
     return large.select(*keys, "x", "y", "v").union(small.select(*keys, "x", "y", "v"))
 
 

@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of samples in a strip, samples of whole strips that a task gathers, and samples that it puts out at once.
-STRIP, GATHERED, SHOWN = 64, 1 << 15, 1 << 18
+from tessera.operators.gathering import by_groups
+
+#: Rows of samples in a strip, and samples that a task puts out at once.
+STRIP, SHOWN = 64, 1 << 18
 
 
 def _mirrored(line: np.ndarray, reach: int) -> dict[int, np.ndarray]:
@@ -120,12 +122,6 @@ def enlarged(cells: np.ndarray, kernels: np.ndarray, steps: int | None = None) -
     return np.floor(np.fmin(np.fmax(total, low), high) * steps + 0.5)
 
 
-def _strips(part: pa.Table) -> np.ndarray:
-    """Numbers of the strips of rows ordered by image and strip."""
-    img, strip = (np.asarray(part.column(c).combine_chunks().dictionary_encode("encode").indices) for c in ("img", "_strip"))
-    return np.cumsum(np.r_[True, (img[1:] != img[:-1]) | (strip[1:] != strip[:-1])])
-
-
 def over_strips(df: DataFrame, values: Sequence[str], reach: int, most: int, work: Callable, factor: int = 1, shown: str = "double", names: Sequence[str] | None = None) -> DataFrame:
     """img, x, y and ``names`` (as ``values`` when there are none): ``work`` of the strips of df (img, x, y, values).
 
@@ -155,24 +151,7 @@ def over_strips(df: DataFrame, values: Sequence[str], reach: int, most: int, wor
             out += [pc.cast(pa.array(m.reshape(-1), from_pandas=True), kind) for m in made]
             yield pa.RecordBatch.from_arrays(out, ["img", "x", "y", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, enough = [], 0, GATHERED
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < enough:
-                continue
-            part = pa.Table.from_batches(held).combine_chunks()
-            strips = _strips(part)
-            whole = int(np.searchsorted(strips, strips[-1]))  # the last strip may go on
-            if whole:
-                yield from worked_out(part.slice(0, whole), strips[:whole])
-            held, count = part.slice(whole).to_batches(), part.num_rows - whole
-            enough = max(GATHERED, 2 * count)
-        if count:
-            part = pa.Table.from_batches(held).combine_chunks()
-            yield from worked_out(part, _strips(part))
-
     kind = df.schema["img"].dataType.simpleString()
+    run = by_groups(["img", "_strip"], worked_out)
     out = rows.mapInArrow(run, f"img {kind}, x long, y long, " + ", ".join(f"`{n}` {shown}" for n in names))
     return out.select("img", *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in "xy"], *names)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog, catalog_frames, catalog_streams  # noqa: F401  (register their queries with catalog)
 from tessera.functions import coding
-from tessera.operators import assembly, splines, stencils, strips, transforms, trees, weighted
+from tessera.operators import assembly, frequency, gathering, noise, splines, stencils, transforms, trees, weighted
 from tessera.plans import layout
 
 SF = "/root/testdata/sf0.001"
@@ -137,7 +137,7 @@ def test_enlarged_samples_are_rounded_as_sql_sums_them(spark):
 
 
 def test_strips_give_what_windows_give(spark, monkeypatch):
-    monkeypatch.setattr(strips, "GATHERED", 40)
+    monkeypatch.setattr(gathering, "GATHERED", 40)
     rng = random.Random(5)
     places = [(img, x, y) for img, w, h in ((None, 3, 70), (1, 5, 200), (2, 1, 1), (3, 7, 65)) for x in range(w) for y in range(h) if (x, y) != (w - 1, h - 1) or w * h == 1]
     rows = spark.createDataFrame([(*p, rng.randrange(9), rng.random(), -0.3 - rng.randrange(5)) for p in places], "img long, x int, y int, a long, b double, s double").repartition(3)
@@ -154,3 +154,61 @@ def test_strips_give_what_windows_give(spark, monkeypatch):
     assert all(abs(p - q) < 1e-9 for k in got for p, q in zip(got[k], want[k]))
     for name in ("vdr11_step0", "vdr13_upsample8", "vdr18_restored"):  # neighbourhoods are not copied from row to row
         assert plan(catalog.QUERIES[name](spark, SF)).count("Window ") == 1  # the samples' own numbers
+
+
+def test_squeezed_lines_are_undone_without_gathering_them_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(gathering, "GATHERED", 30)
+    rng = random.Random(8)
+    sizes = {(img, line): (a := rng.randrange(1, 9), rng.choice((0, a - 1, a, a))) for img in (None, 1, 2, 3) for line in range(9)}
+    value = lambda: rng.choice((None, *range(-40, 40)))
+    low, rest = ([(*k, i, value()) for k, n in sizes.items() for i in range(n[side])] for side in (0, 1))
+    kind = "img long, y long, x long, v long"
+    got = transforms.unsqueezed(spark.createDataFrame(low, kind).repartition(3), spark.createDataFrame(rest, kind), across=True)
+    assert got.columns == ["img", "x", "y", "v"]
+    assert "collect_list" not in plan(got)
+    lines = [(*k, [r[3] for r in low if r[:2] == k], [r[3] for r in rest if r[:2] == k]) for k in sizes]
+    folded = transforms.unsqueeze(spark.createDataFrame(lines, "img long, y long, a array<long>, r array<long>"), "a", "r")
+    want = {(r.img, x, r.y): v for r in folded.collect() for x, v in enumerate(r.samples)}
+    assert {(r.img, r.x, r.y): r.v for r in got.collect()} == want
+    with pytest.raises(Exception, match="more residuals than averages"):
+        transforms.unsqueezed(spark.createDataFrame([(1, 0, 0, 5)], kind), spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 1)], kind), True).collect()
+
+
+def test_a_palette_below_a_colour_transform_is_not_taken_apart_and_put_together(spark):
+    assert "SortMergeJoin" not in plan(catalog.QUERIES["xfm1_chain"](spark, SF))
+    assert plan(catalog.QUERIES["xfm1_chain"](spark, SF)).count("Aggregate") <= 6  # images, sizes and colours, no samples
+    kind = "img long, channel long, x long, y long, v long"
+    rows = [(1, 0, i, c, 10 * i + c) for i in range(3) for c in range(3)] + [(1, 1, x, 0, x) for x in range(-1, 5)]
+    steps = [("rct", 6, 0), ("palette", 0, 3, 3)]
+    got = {(r.channel, r.x): r.v for r in transforms.undone(spark.createDataFrame(rows, kind), 2, steps).collect()}
+    plain = transforms.undone(spark.createDataFrame(rows, kind), 2, steps[1:])
+    want = {(r.channel, r.x): r.v for r in transforms.undone(plain, 3, steps[:1]).collect()}
+    assert got == want and len(got) == 18
+
+
+def test_cosine_blocks_are_whole_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(gathering, "GATHERED", 20)
+    kind = "blk long, strategy long, k long, v double"
+    rows = [(b, n, k, float((b or 0) + k % 5)) for b in (None, 1, 2) for n in (0, 6, 10) for k in range(0, 60, 7)] + [(1, 0, 7, 2.5), (3, 0, 0, None), (4, 0, 0, None), (4, 0, 1, 1.0)]
+    found = frequency.spatial(spark.createDataFrame(rows, kind).repartition(3))
+    wave = frequency._cosines
+    got = {(r.blk, r.strategy, r.x, r.y): r.v for r in found.collect()}
+    want = {}
+    for b, n in {r[:2] for r in rows}:
+        w, h, _ = frequency.STRATEGIES[n]
+        mine = [(k, v) for bb, nn, k, v in rows if (bb, nn) == (b, n) and v is not None]
+        for x in range(w):
+            for y in range(h):
+                want[b, n, x, y] = 2 * sum(v * wave(w)[k % w, x] * wave(h)[k // w, y] for k, v in mine) if mine else None
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_noise_is_dealt_to_tasks_and_worked_out_once_for_images_alike(spark, monkeypatch):
+    groups = spark.createDataFrame([(i, 0, 0, 0, 5, 3) for i in range(200)], "img long, grp long, x long, y long, gw long, gh long").coalesce(1)
+    found = noise.noise(groups)
+    assert found.rdd.getNumPartitions() == 4
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.img, {})[r.plane, r.x, r.y] = r.v
+    assert len(got) == 200 and all(g == got[0] and len(g) == 45 for g in got.values())
