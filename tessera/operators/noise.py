@@ -88,20 +88,26 @@ def plane_rows(groups: DataFrame) -> DataFrame:
 
 
 def noise(groups: DataFrame, visible: int = 1, hidden: int = 0) -> DataFrame:
-    """img, plane, x, y, v: three planes of noise in [1, 2) over each group, seeded by frame numbers and the corner."""
+    """img, plane, x, y, v: three planes of noise in [1, 2) over each group, seeded by frame numbers and the corner.
+
+    Groups are dealt to as many tasks as a shuffle has: few bytes of groups become very many samples.
+    """
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 part = whole.slice(start, 1024)
                 img, plane, x, y, wide, row, n, at = (np.asarray(part.column(c), np.int64) for c in ("img", "plane", "x", "y", "gw", "row", "batches", "at"))
-                state = ahead(seeded(np.stack([np.full_like(x, visible), np.full_like(x, hidden), x, y], axis=1)), at)
-                values = np.empty((len(x), int(n.max(initial=1)) * BATCH), np.uint32)
+                # images have corners and places in common, and the same of both have the same noise
+                (cx, cy, upto), row_of = np.unique(np.stack([x, y, at]), axis=1, return_inverse=True)
+                state = ahead(seeded(np.stack([np.full_like(cx, visible), np.full_like(cx, hidden), cx, cy], axis=1)), upto)
+                values = np.empty((len(cx), int(n.max(initial=1)) * BATCH), np.uint32)
                 for b in range(values.shape[1] // BATCH):
                     values[:, b * BATCH : (b + 1) * BATCH] = (state[..., 0] + state[..., 1]).view(np.uint32)  # little-endian: the lower half first
                     state = stepped(state)
                 of, column = np.nonzero(np.arange(values.shape[1]) < wide[:, None])
-                v = ((values[of, column] >> np.uint32(9)) | np.uint32(0x3F800000)).view(np.float32).astype(np.float64)
+                v = ((values[row_of.reshape(-1)[of], column] >> np.uint32(9)) | np.uint32(0x3F800000)).view(np.float32).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in (img[of], plane[of], x[of] + column, (y + row)[of], v)], ["img", "plane", "x", "y", "v"])
 
-    return plane_rows(groups).select("img", "plane", "x", "y", "gw", "row", "batches", "at").mapInArrow(fill, "img long, plane long, x long, y long, v double")
+    return plane_rows(groups.repartition(tasks, "img", "grp")).select("img", "plane", "x", "y", "gw", "row", "batches", "at").mapInArrow(fill, "img long, plane long, x long, y long, v double")
