@@ -46,6 +46,11 @@ def _range_error(s: Column, begin, num) -> Column:
     )
 
 
+def _unless(error: Column, s: Column, channels: Column, meta: Column) -> Column:
+    """The state with new channels, or the old ones and an error, which is worked out once."""
+    return named(error, lambda e: _state(F.when(e.isNull(), channels).otherwise(s["channels"]), F.when(e.isNull(), meta).otherwise(s["meta"]), e))
+
+
 def _rct(s: Column, t: Column) -> Column:
     return _state(s["channels"], s["meta"], _range_error(s, t["begin"], F.lit(3)))
 
@@ -55,8 +60,7 @@ def _palette(s: Column, t: Column) -> Column:
     table = _channel(t["colours"] + t["deltas"], num, none, none, F.lit(None).cast("bigint"))
     channels = F.concat(F.array(table), _cut(s["channels"], F.lit(0), begin + 1), _rest(s["channels"], begin + num))
     meta = F.when(begin >= s["meta"], s["meta"] + 1).otherwise(s["meta"] + 2 - num)
-    error = _range_error(s, begin, num)
-    return _state(F.when(error.isNull(), channels).otherwise(s["channels"]), F.when(error.isNull(), meta).otherwise(s["meta"]), error)
+    return _unless(_range_error(s, begin, num), s, channels, meta)
 
 
 def _squeeze(s: Column, q: Column) -> Column:
@@ -80,12 +84,12 @@ def _squeeze(s: Column, q: Column) -> Column:
     before, low, lost, rest = _cut(s["channels"], F.lit(0), begin), F.transform(held, lambda c: part(c, False)), F.transform(held, lambda c: part(c, True)), _rest(s["channels"], end)
     channels = F.when(q["in_place"], F.concat(before, low, lost, rest)).otherwise(F.concat(before, low, rest, lost))
     meta = F.when(begin < s["meta"], s["meta"] + q["num"]).otherwise(s["meta"])
-    return _state(F.when(error.isNull(), channels).otherwise(s["channels"]), F.when(error.isNull(), meta).otherwise(s["meta"]), error)
+    return _unless(error, s, channels, meta)
 
 
 def _halvings(n: Column) -> Column:
-    """How often a side is halved until it is small."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.ceil(n / F.pow(F.lit(2.0), k)) > SMALL))
+    """How often a side is halved, rounded up, until it is small: the bits of (n - 1) / 8."""
+    return F.when(n > SMALL, F.least(F.length(F.bin(F.call_function("div", n - 1, F.lit(SMALL).cast("bigint")))), F.lit(32))).otherwise(0)
 
 
 def default_squeezes(channels: Column, meta: Column) -> Column:
@@ -100,15 +104,17 @@ def default_squeezes(channels: Column, meta: Column) -> Column:
     pair = F.array(*[one(F.lit(a), F.lit(False), meta + 1, F.lit(2)) for a in (True, False)])
     pair = F.when((n > 2) & (second["w"] == first["w"]) & (second["h"] == first["h"]), pair).otherwise(none)
     whole = lambda across: one(F.lit(across), F.lit(True), meta, n)
-    wide, tall = _halvings(first["w"]), _halvings(first["h"])
-    ahead = (first["w"] <= first["h"]) & (tall > 0)  # the height goes once before the turns begin
+    sides = F.struct(_halvings(first["w"]).alias("wide"), _halvings(first["h"]).alias("tall"), (first["w"] <= first["h"]).alias("upright"))
 
-    def turn(k):
-        return F.concat(F.when(k < wide, F.array(whole(True))).otherwise(none), F.when(k < tall - ahead.cast("int"), F.array(whole(False))).otherwise(none))
+    def rounds(v):
+        ahead = v["upright"] & (v["tall"] > 0)  # the height goes once before the turns begin
+        wide, tall = v["wide"], v["tall"] - ahead.cast("int")
+        turn = lambda k: F.concat(F.when(k < wide, F.array(whole(True))).otherwise(none), F.when(k < tall, F.array(whole(False))).otherwise(none))
+        turns = F.greatest(wide, tall)
+        turned = F.when(turns > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(turns, F.lit(1)) - 1), turn))).otherwise(none)
+        return F.concat(F.when(ahead, F.array(whole(False))).otherwise(none), turned)
 
-    turns = F.greatest(wide, tall - ahead.cast("int"))
-    rounds = F.when(turns > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(turns, F.lit(1)) - 1), turn))).otherwise(none)
-    return F.when(n < 1, none).otherwise(F.concat(pair, F.when(ahead, F.array(whole(False))).otherwise(none), rounds))
+    return F.when(n < 1, none).otherwise(F.concat(pair, named(sides, rounds)))
 
 
 def _squeezes(s: Column, t: Column) -> Column:
