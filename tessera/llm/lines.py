@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,19 @@ _WHITE = "\\t\\n\\x0B\\f\\r "
 _PLACE = ["doc_id", "th", "i"]
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, most_words: int = 5) -> DataFrame:
     """doc_id, th, i, n, a, b, words: the lines that hold anything; th tells apart rows that share a doc_id.
 
-    i counts such lines from 0, n is their number in the document, (a, b) is the line's id. Rows with a null doc_id are
-    left out.
+    i counts such lines from 0, n is their number in the document, (a, b) is the line's id. words are counted up to
+    ``most_words``: sums of them reach that number where those of all words do. Rows with a null doc_id are left out.
     """
-    held = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{_WHITE}]"))
+    held = F.filter(F.split("text", "\n", -1), lambda x: F.ltrim(x, F.lit("\t\n\x0b\f\r ")) != "")
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), held.alias("lines"))
     rows = rows.select("doc_id", "th", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
-    words = F.regexp_count("line", F.lit(f"[^{_WHITE}]+"))
+    # most lines show enough words in their first characters
+    enough = f"^[{_WHITE}]*+(?:[^{_WHITE}]++[{_WHITE}]++){{{most_words - 1}}}[^{_WHITE}]"
+    counted = F.least(F.regexp_count("line", F.lit(f"[^{_WHITE}]+")), F.lit(most_words))
+    words = F.when(F.substring("line", 1, 24 * most_words).rlike(enough), F.lit(most_words)).otherwise(counted)
     return rows.select(*_PLACE, "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), words.alias("words"))
 
 
@@ -57,29 +62,47 @@ def with_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     Counting is a partial aggregate; the classes that remain are joined in salts, so that a line which a third of the
     documents have is not one task's. Rows equal in document and text are one document.
     """
-    salts = salt_count(rows.sparkSession)
     first = F.min(F.struct(*_PLACE)).alias("first")
     classes = rows.groupBy(*keys).agg(first, F.max(F.struct(*_PLACE)).alias("last")).where("first <> last").drop("last")
+    return _met(rows, classes, keys).withColumn("later", F.struct(*_PLACE) != F.col("first")).drop("first")
+
+
+def several(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose class (``keys``) has several places; counted by hashing, as no order of places is asked for."""
+    apart = reduce(or_, [F.min(c) != F.max(c) for c in _PLACE]).alias("apart")
+    return _met(rows, rows.groupBy(*keys).agg(apart).where("apart").drop("apart"), keys)
+
+
+def _met(rows: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    salts = salt_count(rows.sparkSession)
     salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = rows.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(salts))).join(salted, [*keys, "salt"])
-    return met.withColumn("later", F.struct(*_PLACE) != F.col("first")).drop("first", "salt")
+    return rows.withColumn("salt", F.pmod(F.hash("doc_id", "i"), F.lit(salts))).join(salted, [*keys, "salt"]).drop("salt")
 
 
-def _sorted_parts(rows: DataFrame, order: Sequence[str], levels: Sequence[Sequence[str]], deal: Sequence) -> DataFrame:
-    """The rows in parts that follow each other in ``order``, stored, with part and at (place in the part).
+def _sorted_parts(rows: DataFrame, order: Sequence[str], levels: Sequence[Sequence[str]], deal: Sequence, before: Sequence[str] = ()) -> DataFrame:
+    """The rows in parts that follow each other in ``order``, stored, with part, at (place in the part) and ending (its last row).
 
     For each of ``levels``, a list of keys, start<k> is the place of the first row of the part with the same keys. alone
     tells rows whose keys of the first level no other row has; of a part's first and last rows it is never said.
+    before_<c> is what the row before in the part has in the column c of ``before``.
     """
     numbers = [[rows.columns.index(k) for k in keys] for keys in levels]
+    asked = [rows.columns.index(c) for c in before]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, last, start, held = TaskContext.get().partitionId(), 0, [None] * len(levels), [0] * len(levels), None
-
-        def told(batch, places, starts, new, after: bool) -> pa.RecordBatch:
-            alone = new & np.append(new[1:], after)
-            extra = [pa.array(np.full(len(places), part, np.int32)), pa.array(places), *map(pa.array, starts), pa.array(alone)]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "part", "at", *[f"start{k}" for k in range(len(levels))], "alone"])
+        prior = [None] * len(asked)
+
+        def told(batch, places, starts, new, after: bool | None) -> pa.RecordBatch:
+            alone, ending = new & np.append(new[1:], bool(after)), np.zeros(len(places), bool)
+            ending[-1] = after is None
+            extra = [pa.array(np.full(len(places), part, np.int32)), pa.array(places), *map(pa.array, starts), pa.array(alone), pa.array(ending)]
+            for k, c in enumerate(asked):
+                column = batch.column(c)
+                extra.append(pa.concat_arrays([pa.array([prior[k]], column.type), column.slice(0, len(column) - 1)]))
+                prior[k] = column[-1].as_py()
+            names = ["part", "at", *[f"start{k}" for k in range(len(levels))], "alone", "ending", *[f"before_{c}" for c in before]]
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
         for batch in batches:
             n = batch.num_rows
@@ -101,12 +124,13 @@ def _sorted_parts(rows: DataFrame, order: Sequence[str], levels: Sequence[Sequen
                 fine[0] = False  # it may go on with the part before
             held, at = (batch, place, starts, fine), at + n
         if held:
-            yield told(*held, False)
+            yield told(*held, None)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = "".join(f", before_{c} {rows.schema[c].dataType.simpleString()}" for c in before)
     dealt = rows.repartitionByRange(*order, *deal).sortWithinPartitions(*order)
     starts = "".join(f"start{k} long, " for k in range(len(levels)))
-    return stored(dealt.mapInArrow(run, f"{schema}, part int, at long, {starts}alone boolean"))
+    return stored(dealt.mapInArrow(run, f"{schema}, part int, at long, {starts}alone boolean, ending boolean{kinds}"))
 
 
 def numbered(rows: DataFrame, levels: Sequence[Sequence[str]]) -> tuple[DataFrame, list[int], DataFrame]:
@@ -118,14 +142,17 @@ def numbered(rows: DataFrame, levels: Sequence[Sequence[str]]) -> tuple[DataFram
     """
     parts = _sorted_parts(rows, levels[0], levels, [F.hash("doc_id", "i")])
     found = [F.count("*").alias("n")]
-    for k, keys in enumerate(levels):
-        key, start = F.struct(*keys), F.col(f"start{k}")
-        found += [F.max(start).alias(f"last{k}"), F.min(key).alias(f"low{k}"), F.max(key).alias(f"high{k}"), F.count_if(F.col("at") == start).alias(f"kinds{k}")]
+    for c in levels[0]:  # rows are in this order, so the first and the last have the part's bounds
+        found += [F.max(F.when(F.col("at") == 0, F.col(c))).alias(f"low_{c}"), F.max(F.when(F.col("ending"), F.col(c))).alias(f"high_{c}")]
+    for k in range(len(levels)):
+        start = F.col(f"start{k}")
+        found += [F.max(start).alias(f"last{k}"), F.count_if(F.col("at") == start).alias(f"kinds{k}")]
     over = W.orderBy("part")
     before = over.rowsBetween(W.unboundedPreceding, -1)
     ends = parts.groupBy("part").agg(*found).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    for k in range(len(levels)):
-        ends = ends.withColumn(f"on{k}", F.coalesce(F.col(f"low{k}") == F.lag(f"high{k}").over(over), F.lit(False)))
+    for k, keys in enumerate(levels):
+        on = reduce(and_, [F.col(f"low_{c}") == F.lag(f"high_{c}").over(over) for c in keys])
+        ends = ends.withColumn(f"on{k}", F.coalesce(on, F.lit(False)))
         begun = F.when(~F.col(f"on{k}") | (F.col(f"kinds{k}") > 1), F.col("offset") + F.col(f"last{k}"))
         ends = ends.withColumn(f"carry{k}", F.last(begun, True).over(before))
     several = range(len(levels))
@@ -148,15 +175,18 @@ def suffixes(lines: DataFrame) -> DataFrame:
     """
     live, _, parts = numbered(lines, [["a", "b"]])
     live = live.withColumns({"rank": F.col("place0"), "line": F.col("place0"), "since": F.lit(1).cast("long")}).drop("a", "b", "place0", "alone")
-    columns, width, settled, used = live.columns, 1, [], [parts]
+    columns, width, settled, used, behind = live.columns, 1, [], [parts], None
     while True:
-        docs = live.select("doc_id", "th").distinct()
-        few = bool(settled) and docs.count() <= BROADCAST_DOCS
         pool = live.withColumn("_live", F.lit(True))
-        for done in settled:  # of lines that are settled only the ranks are asked for, in documents that still have others
-            done = done.join(F.broadcast(docs), ["doc_id", "th"], "left_semi") if few else done
+        if settled:  # of lines that are settled only the ranks are asked for, and only a width or more after one that is not
+            docs = stored(live.groupBy("doc_id", "th").agg(F.min("i").alias("_least")))
+            old, behind = behind, settled[-1].select(*_PLACE, "rank")
+            behind = old.union(behind) if old is not None else behind
+            behind = behind.join(F.broadcast(docs) if docs.count() <= BROADCAST_DOCS else docs, ["doc_id", "th"])
+            behind = stored(behind.where(F.col("i") - F.col("_least") >= width).select(*_PLACE, "rank"))
+            discard(docs, *([old] if old is not None else []))
             named = [F.col(c) if c in (*_PLACE, "rank") else F.lit(None).cast(live.schema[c].dataType).alias(c) for c in columns]
-            pool = pool.union(done.select(*named, F.lit(False)))
+            pool = pool.union(behind.select(*named, F.lit(False)))
         on = F.first("rank").over(W.partitionBy("doc_id", "th").orderBy("i").rangeBetween(width, width))
         # after the end of a document nothing follows; a line that is there once is like no other
         once = -2 - F.xxhash64("doc_id", "th", F.col("i") + width).bitwiseAND(F.lit((1 << 62) - 1))
@@ -180,7 +210,7 @@ def suffixes(lines: DataFrame) -> DataFrame:
     for done in settled[1:]:
         out = out.union(done)
     out = stored(out)
-    discard(*used)
+    discard(*used, *([behind] if behind is not None else []))
     return out
 
 
@@ -189,16 +219,15 @@ def common_prefixes(array: DataFrame) -> DataFrame:
 
     Of equal suffixes the one of the smaller place comes first.
     """
-    parts = _sorted_parts(array, ["rank", *_PLACE], [_PLACE], [])
-    ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.max_by(F.struct(*_PLACE), "at").alias("end"))
+    parts = _sorted_parts(array, ["rank", *_PLACE], [_PLACE], [], before=_PLACE)
+    ends = parts.groupBy("part").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("ending"), F.col(c))).alias(c) for c in _PLACE])
     over = W.orderBy("part")
     offset = F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.select("part", offset.alias("offset"))
-    rows = parts.join(F.broadcast(ends), "part").withColumn("at", F.col("offset") + F.col("at")).drop("part", "offset", "start0", "alone")
-    # the suffix before, by its place; each is before one other only
-    before = rows.select((F.col("at") + 1).alias("at"), F.struct(*_PLACE).alias("before"))
-    rows = sorted_rows = stored(rows.join(before, "at", "left"))
-    discard(parts)
+    ends = ends.select("part", offset.alias("offset"), *[F.lag(c).over(over).alias(f"end_{c}") for c in _PLACE])
+    # the suffix before; that of a part's first is the last of the part before
+    place = [F.coalesce(f"before_{c}", f"end_{c}").alias(c) for c in _PLACE]
+    before = F.when(F.coalesce("before_doc_id", "end_doc_id").isNotNull(), F.struct(*place))
+    rows = parts.join(F.broadcast(ends), "part").select(*array.columns, (F.col("offset") + F.col("at")).alias("at"), before.alias("before"))
     same = F.col("at") > F.col("rank")
     left = (F.col("n") - F.col("i")).cast("long")
     known = F.when(same, left).when(F.col("since") <= 2, F.col("since") - 1)
@@ -210,7 +239,7 @@ def common_prefixes(array: DataFrame) -> DataFrame:
         & (F.col("previous.before.th") == F.col("before.th")) & (F.col("previous.before.i") == F.col("before.i") - 1)
     )
     rows = stored(rows.withColumn("previous", previous).withColumn("open", F.col("common").isNull() & ~F.coalesce(step, F.lit(False))).drop("previous"))
-    discard(sorted_rows)
+    discard(parts)
     release(array.sparkSession)
     # irreducible ones: lines between the bounds are compared; few in all (Kaerkkaeinen et al. 2009)
     steps = F.explode(F.sequence(F.expr("since div 2"), F.col("since") - 1)).alias("o")
@@ -258,8 +287,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 5) -> D
     """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    lines = stored(line_table(docs))
-    array = suffixes(with_first(lines, ["a", "b"]).drop("later").dropDuplicates(_PLACE))
+    lines = stored(line_table(docs, max(min_words, 1)))
+    array = suffixes(several(lines, ["a", "b"]).dropDuplicates(_PLACE))
     depths = sorted({*range(1, min(min_lines - 1, max(min_words, 1)) + 1), min_lines})
     of_doc = W.partitionBy("doc_id", "th").orderBy("i")
     array = common_prefixes(array)

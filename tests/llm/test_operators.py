@@ -673,6 +673,24 @@ def test_suffix_array_of_lines(spark):
             assert shared == min(commons[lo + 1 : hi + 1])
 
 
+def test_rounds_of_lines_do_not_read_all_earlier_rounds_again(spark, monkeypatch):
+    """A round reads what is live and one table of settled ranks, and lines count no more words than the rule asks for."""
+    long = [f"l{k}" for k in range(40)]
+    texts = [long, long[5:], ["x", *long[:30], "y"], ["p", "q"] * 8, ["p", "q", "r"]]
+    table = lines.line_table(h.documents(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)]))
+    read, sort = [], lines._sorted_parts
+
+    def seen(rows, *rest, **named):
+        read.append(len({f.rsplit("/", 1)[0] for f in rows.inputFiles()}))
+        return sort(rows, *rest, **named)
+
+    monkeypatch.setattr(lines, "_sorted_parts", seen)
+    array = lines.suffixes(lines.with_first(table, ["a", "b"]).drop("later"))
+    assert array.count() == sum(map(len, texts)) - 3 and len(read) > 5 and max(read) <= 3, read
+    words = lines.line_table(h.documents(spark, [(1, "\n".join([" one  two", "a b c d e", "a b c d e " * 9, "w" * 300 + " x y\tz v", "\x0b"]))])).orderBy("i")
+    assert [r.words for r in words.collect()] == [2, 5, 5, 5]
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_dedup(spark, min_lines):
     rng = np.random.default_rng(min_lines)
