@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, lines, mixing, packing, quality
-from tessera.llm.common import stored, table, tokenizer_path
+from tessera.llm.common import small_batches, stored, table, tokenizer_path
 from tessera.llm.queries import MIX, TOKENIZER
 
 
@@ -23,6 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are scored like others, and rows that repeat an id each by their own text.
     """
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, and rows with a null id, stay as they are. Rows equal in id and text are one document.
     """
+    small_batches(spark)
     return lines.cut_lines(docs)
 
 
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words and rows with a null id link with nothing and stay. Rows that repeat an id stay or go together.
     """
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -48,12 +51,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and stay at least once. Tokens are counted as words here; packing counts
     vocabulary ids, so shares of packed ids are near the targets but not equal to them.
     """
+    small_batches(spark)
     known = mixing.language_labels(docs, table(spark, sf_dir, "labels"))
     return mixing.mixed(docs, known, MIX, high=float("inf"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 4096; a null text packs as an empty one."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(TOKENIZER))
 
 

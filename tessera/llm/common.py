@@ -53,6 +53,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that a task unpacks of a Parquet file at a time, and bytes of what it sends to a Python worker at a time.
+READ_ROWS, SENT_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on tasks of this session hold texts by a few MB at a time, whatever their length.
+
+    Spark counts what it unpacks and sends on by rows, 4,096 and 10,000 of them, which of texts are some 20 to 64 MB at a
+    time on each side of the pipe to a worker. Executors keep much of such buffers when they are done with them, so a long
+    run of stages needs the more memory the longer it runs. Results do not depend on it.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SENT_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -78,6 +78,26 @@ def test_run_on_awkward_and_empty_tables(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} & {1, 2} == {1}
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_texts_go_to_tasks_by_a_few_megabytes(spark, folder, monkeypatch, name, stage):
+    import pyarrow as pa
+
+    for module, operator in (("quality", "keep_good"), ("lines", "cut_lines"), ("jaccard", "keep_one"), ("mixing", "mixed"), ("packing", "pack_documents")):
+        monkeypatch.setattr(getattr(corpus_pipeline, module), operator, lambda docs, *_, **__: docs)
+    limits = ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for k in limits:
+        spark.conf.unset(k)
+    try:
+        long = h.documents(spark, [(i, "word ") for i in range(40)]).coalesce(1).withColumn("text", F.expr("repeat(text, 100000)"))
+        sizes = stage(spark, long, folder).select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        found = [r.n for r in sizes.collect()]
+        assert sum(found) >= 40 * 500_000 and max(found) < 6e6, name
+        assert int(spark.conf.get(limits[0])) <= 512
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
 def test_queries_match_sql(spark, name):
     import duckdb
