@@ -1,5 +1,6 @@
 """Queries whose rows are exploded: plans that stay small however many rows come out."""
 
+import math
 import random
 
 import pytest
@@ -75,6 +76,56 @@ def test_one_spline_with_equal_points_ends_no_other(spark):
     assert {s["spline"] for s in splines.segments(splines.stepped(line), series).collect()} == {1}
 
 
+def test_a_line_is_walked_once_and_its_series_sent_once(spark):
+    rows = [(n if n < 8 else None, i, float(i * (3 + n % 3)), float(i * i % 5)) for n in range(9) for i in range(2 + n)]
+    line = splines.stepped(splines.curve(spark.createDataFrame(rows, "spline long, i long, x double, y double")))
+    series = {
+        1: ([[1.0, 0.5] * 16, [0.25] * 32, [-3.0] * 32], [2.0] + [0.01] * 31),
+        2: ([[1.0] * 32, [None] + [1.0] * 31, None], [1.0] * 32),
+        3: ([[float("inf")] * 2, [0.125], []], [1.5, 0.5]),
+        4: ([[1.0] * 32], [0.0] * 32),
+        5: ([[1.0] * 32], [1.0, None]),
+        6: (None, [1.0]),
+        7: ([[0.001] * 40, [1.0]], [1.0]),
+        9: ([[1.0]], [1.0]),
+    }
+    given = spark.createDataFrame([(s, *both) for s, both in series.items()] + [(7, [[5.0]], [2.0])], "spline long, colours array<array<double>>, sigmas array<double>")
+
+    def along(terms, at):
+        lacks = terms is None or None in terms
+        return None if lacks else sum(math.sqrt(2) * v * math.cos((at + 0.5) * math.pi / 32 * n) for n, v in enumerate(terms))
+
+    steps, want = line.where("spline is not null").collect(), {}
+    for spline, (colours, sigmas) in [*series.items(), (7, ([[5.0]], [2.0]))]:
+        own = [s for s in steps if s["spline"] == spline]
+        arc = sum(s["intensity"] for s in own) - 1
+        for s in own:
+            at = 31 * min(s["k"] / arc, 1)
+            sigma, lit = along(sigmas, at), [along(c, at) for c in colours or []]
+            if sigma:
+                most = max([0.01, *[abs(c * s["intensity"]) for c in lit if c is not None]], key=lambda v: (v != v, v))
+                reach = math.sqrt(-2 * sigma * sigma * (3 * math.log(0.1) - math.log(most)))
+                for channel, colour in enumerate(lit):
+                    want.setdefault((spline, s["k"], channel), []).append((colour, sigma, reach, s["x"], s["y"], s["intensity"]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for sent in (before, "3"):  # a series also holds for the rows of later parts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sent)
+        found = splines.segments(line, given)
+        got = {}
+        for g in found.collect():
+            got.setdefault((g["spline"], g["k"], g["channel"]), []).append(tuple(g[c] for c in ("colour", "sigma", "reach", "cx", "cy", "intensity")))
+        assert got.keys() == want.keys() and {s for s, *_ in got} == {1, 2, 3, 7}
+        for key, rows in got.items():
+            assert len(rows) == len(want[key])
+            for one, other in zip(sorted(rows, key=str), sorted(want[key], key=str)):
+                assert all(a is b if a is None or b is None else a == pytest.approx(b, rel=1e-9, nan_ok=True) for a, b in zip(one, other))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    said = plan(splines.segments(line, given))
+    assert said.count("Scan ExistingRDD") == 2 and said.count("ArrowEvalPython") == 1  # points and series are read once
+    assert "lambda" not in said and "Union" not in said and "Broadcast" not in said
+    assert said.count("Exchange") == 2 and "REPARTITION_BY_NUM" in said  # few bytes of points still go to all tasks
+
+
 def test_canvases_are_painted_where_their_segments_meet(spark, monkeypatch):
     monkeypatch.setattr(assembly, "PAINTED", 3)
     rows = [(i % 4 if i % 5 else None, i % 2, i * 7 % 20 - 2, i % 4, None if i % 9 == 8 else i) for i in range(60)] + [(9, 0, 5, 1, None), (9, 1, -9, 2, 1)]
