@@ -65,15 +65,16 @@ def stepped(line: DataFrame) -> DataFrame:
     have 1. A line that lacks a coordinate has no length: it has one row, null but for its spline.
     """
     by = W.partitionBy("spline").orderBy("n")
-    over = lambda end: by.rowsBetween(W.unboundedPreceding, end)
-    lacks = F.max(F.col("x").isNull() | F.col("y").isNull()).over(over(W.unboundedFollowing))
-    rows = line.withColumns({"lacks": lacks, "x1": F.lead("x").over(by), "y1": F.lead("y").over(by), "first": F.row_number().over(by) == 1, "last": F.lead("n").over(by).isNull()})
+    lacks = F.max(F.col("x").isNull() | F.col("y").isNull()).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = line.withColumns({"lacks": lacks, "x1": F.lead("x").over(by), "y1": F.lead("y").over(by)})
     rows = rows.withColumn("length", F.coalesce(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")), F.lit(0.0)))
-    rows = rows.withColumns({"to": F.sum("length").over(over(W.currentRow)), "since": F.coalesce(F.sum("length").over(over(-1)), F.lit(0.0))})
+    before = F.sum("length").over(by.rowsBetween(W.unboundedPreceding, -1))  # null for a first row alone
+    rows = rows.withColumn("before", before).withColumns({"since": F.coalesce("before", F.lit(0.0)), "first": F.col("before").isNull(), "last": F.col("x1").isNull()})
+    rows = rows.withColumn("to", F.col("since") + F.col("length"))
     whole = F.floor("to").cast("bigint")
     low = F.when(F.col("first"), F.lit(0)).otherwise(F.floor("since") + 1).cast("bigint")
     steps = F.sequence(low, F.when(F.col("last"), whole + 1).otherwise(whole))  # the end comes after the whole lengths
-    rows = rows.where(F.col("last") | ~F.col("lacks") & (F.col("first") | (F.floor("to") > F.floor("since"))))
+    rows = rows.where(F.col("first") | ~F.col("lacks") & (F.col("last") | (F.floor("to") > F.floor("since"))))
     rows = rows.withColumn("k", F.explode(F.when(F.col("lacks"), F.array(F.lit(None).cast("bigint"))).otherwise(steps)))
     t = F.when(F.col("length") > 0, (F.col("k") - F.col("since")) / F.col("length")).otherwise(F.lit(0.0))
     end = F.col("last") & (F.col("k") > whole)
